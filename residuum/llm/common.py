@@ -85,3 +85,15 @@ class BoundedCache(dict):
     def room(self, wanted: int) -> None:
         if len(self) + wanted > self.limit:
             self.clear()
+
+
+def slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
+    """Ranges of ``texts`` of about ``limit`` characters, one text at least."""
+    begin = held = 0
+    for i, text in enumerate(texts):
+        held += len(text or "")
+        if held >= limit:
+            yield begin, i + 1
+            begin, held = i + 1, 0
+    if begin < len(texts):
+        yield begin, len(texts)

@@ -7,10 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import exact_dedup, quality, secrets
+from residuum.llm import exact_dedup, packing, quality, secrets, sentencepiece_codec, token_counts, token_ids
 from residuum.llm.common import read_table
 
 
+def tokenizer_file(name: str) -> str:
+    """Where the public vocabulary files are installed, alike on every node."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -22,6 +29,24 @@ FROM documents WINDOW w AS (PARTITION BY coalesce(text, ''))
 """
 
 
+def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+
+
+def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return token_ids.digests(token_ids.pack_ids(docs, tokenizer_file("word_bpe_49k.json")))
+
+
+def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    return sentencepiece_codec.round_trip_digests(docs, tokenizer_file("piece_bpe_32k.model"))
+
+
+def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
+
+
 def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = secrets.scan(read_table(spark, sf_dir, "documents").select("doc_id", "text"))
     number = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long")
@@ -44,8 +69,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_packing": op3_packing,
+        "op5_token_ids": op5_token_ids,
+        "op6_sentencepiece": op6_sentencepiece,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
+        "op10_token_counts": op10_token_counts,
     }
 
 
