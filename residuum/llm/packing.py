@@ -77,32 +77,33 @@ def combinations(bins: int, depth: int) -> tuple[tuple[int, ...], ...]:
     return tuple(c for c in grow(bins, 1, depth))
 
 
-def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, max_rounds: int = 4000) -> np.ndarray:
+def nonnegative_least_squares(a: np.ndarray, b: np.ndarray, max_rounds: int = 2000) -> np.ndarray:
     """Active-set solution of ``min |ax - b|`` with ``x >= 0``."""
-    gram, goal = a.T @ a if a.shape[1] <= 8000 else None, a.T @ b
+    goal = a.T @ b
     x = np.zeros(a.shape[1])
-    active: list[int] = []
-    scale = max(1.0, np.abs(goal).max(initial=0))
+    active = np.empty(0, np.int64)
+    scale = np.abs(goal).max(initial=1.0)
     for _ in range(max_rounds):
-        slope = goal - a.T @ (a @ x)
+        slope = goal - a.T @ (a[:, active] @ x[active])
         slope[active] = -1
         j = int(np.argmax(slope))
-        if slope[j] <= 1e-9 * scale or len(active) >= a.shape[0]:
+        if slope[j] <= 1e-6 * scale or len(active) >= a.shape[0]:
             break
-        active.append(j)
-        while active:
-            inner = gram[np.ix_(active, active)] if gram is not None else a[:, active].T @ a[:, active]
-            trial = np.linalg.lstsq(inner, goal[active], rcond=None)[0]
-            if (trial > 1e-12).all():
-                x[:] = 0
+        active = np.append(active, j)
+        while len(active):
+            chosen = a[:, active]
+            inner = chosen.T @ chosen + 1e-10 * np.eye(len(active))
+            trial = np.linalg.solve(inner, goal[active])
+            if (trial > 1e-9).all():
                 x[active] = trial
                 break
             now = x[active]
-            low = trial <= 1e-12
+            low = trial <= 1e-9
             step = np.min(now[low] / np.maximum(now[low] - trial[low], 1e-300))
             x[active] = now + step * (trial - now)
-            active = [i for i in active if x[i] > 1e-10]
-            x[[i for i in range(len(x)) if i not in set(active)]] = 0
+            gone = x[active] <= 1e-9
+            x[active[gone]] = 0
+            active = active[~gone]
     return x
 
 
