@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import exact_dedup, packing, quality, secrets, sentencepiece_codec, token_counts, token_ids
+from residuum.llm import exact_dedup, near_dedup, packing, quality, secrets, sentencepiece_codec, token_counts, token_ids
 from residuum.llm.common import read_table
 
 
@@ -43,6 +43,10 @@ def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.round_trip_digests(docs, tokenizer_file("piece_bpe_32k.model"))
 
 
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.near_groups(read_table(spark, sf_dir, "documents"), shingle_words=2)
+
+
 def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(read_table(spark, sf_dir, "documents"), tokenizer_file("piece_bpe_32k.model"))
 
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_packing": op3_packing,
         "op5_token_ids": op5_token_ids,
         "op6_sentencepiece": op6_sentencepiece,
+        "op7_near_dedup": op7_near_dedup,
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_counts": op10_token_counts,
