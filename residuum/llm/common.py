@@ -75,16 +75,32 @@ def count_white(text: str) -> int:
     return sum(map(text.count, _WHITE))
 
 
-class BoundedCache(dict):
-    """A dict that forgets everything once it holds ``limit`` keys."""
+class BoundedCache:
+    """Values of words by a function of many words, in two generations.
 
-    def __init__(self, limit: int):
-        super().__init__()
-        self.limit = limit
+    A word met again moves to the young generation; when that holds
+    ``limit`` words, the old one goes. So common words stay, and memory is bounded.
+    """
 
-    def room(self, wanted: int) -> None:
-        if len(self) + wanted > self.limit:
-            self.clear()
+    def __init__(self, limit: int, make: Callable[[list], list]):
+        self.limit, self.make = limit, make
+        self.young: dict = {}
+        self.old: dict = {}
+
+    def look_up(self, wanted: set) -> dict:
+        """A dict that holds every wanted word."""
+        young, old = self.young, self.old
+        if len(young) + len(wanted) > self.limit:
+            self.old, self.young = old, young = young, {}
+        missing = []
+        for word in wanted - young.keys():
+            value = old.get(word)
+            if value is None:
+                missing.append(word)
+            else:
+                young[word] = value
+        young.update(zip(missing, self.make(missing)))
+        return young
 
 
 def slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:

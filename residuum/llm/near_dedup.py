@@ -40,7 +40,9 @@ from residuum.llm.components import components
 _PART = 4096  # counters in a row of the counting sketch
 _BUCKETS = 128
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_words = BoundedCache(500_000)
+_words = BoundedCache(
+    600_000, lambda words: [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words]
+)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -55,11 +57,7 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     words = text_bytes(text).lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    known = _words
-    missing = {w for w in words if w not in known}
-    known.room(len(missing))
-    for w in missing if known else set(words):
-        known[w] = int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little")
+    known = _words.look_up(set(words))
     h = np.array([known[w] for w in words], np.uint64)
     width = min(size, len(h))
     out = h[: len(h) - width + 1].copy()

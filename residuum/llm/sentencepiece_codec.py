@@ -35,7 +35,7 @@ codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 class Codec:
     """Encoder and decoder of one model file."""
 
-    def __init__(self, model_path: str, cache_words: int = 300_000):
+    def __init__(self, model_path: str, cache_words: int = 400_000):
         from sentencepiece import sentencepiece_model_pb2 as proto
 
         model = proto.ModelProto()
@@ -70,7 +70,8 @@ class Codec:
             raise ValueError("a piece holds a space after other characters")
         line = "" if any("\n" in p for p in normal) else "\n"
         self._words = re.compile(f"{SPACE}+[^{SPACE}{line}]*" + (f"|\n[^{SPACE}\n]*" if line else ""))
-        self._known = BoundedCache(cache_words)
+        self._known = BoundedCache(cache_words, self._digest)
+        self._decimal = [str(i) for i in range(len(surface))]
 
     def _build_pairs(self, model, normal: dict[str, int]) -> None:
         """Sorted table of symbol pairs with the piece that each makes, and its rank."""
@@ -78,8 +79,11 @@ class Codec:
         for piece in normal:
             for c in piece:
                 symbols.setdefault(c, len(model.pieces) + len(symbols))
-        self.chars = {c: i for c, i in symbols.items() if len(c) == 1}
         self.base = max(symbols.values(), default=0) + 2  # the last symbol stands for unknown characters
+        self._symbol_of = np.full(0x110000, self.base - 1, np.int64)
+        for c, i in symbols.items():
+            if len(c) == 1:
+                self._symbol_of[ord(c)] = i
         scores = sorted({model.pieces[i].score for i in normal.values()}, reverse=True)
         rank_of = {s: r for r, s in enumerate(scores)}
         rank = {i: rank_of[model.pieces[i].score] for i in normal.values()}
@@ -100,20 +104,18 @@ class Codec:
         shared = np.bincount(list(rank.values()), minlength=len(scores)) > 1
         self._at_once = np.array([own[i] >= 0 and around[i] > own[i] and not shared[own[i]] for i in range(self.base)])
 
-    def encode_words(self, words: list[str]) -> list[np.ndarray]:
-        """Ids of each word, a word being symbols that merge only among themselves."""
-        done: list[np.ndarray | None] = [None] * len(words)
-        unknown = self.base - 1
-        sym = np.fromiter((self.chars.get(c, unknown) for w in words for c in w), np.int64)
+    def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and their number for each word.
+
+        A word is a run of symbols that merge only among themselves.
+        """
+        code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
+        sym = self._symbol_of[code]
         size = np.fromiter(map(len, words), np.int64, len(words))
         number = np.flatnonzero(size)
-        char_at = np.cumsum(size) - size  # a symbol's first character, for unknown ones
-        text = "".join(words)
-        begin = char_at[number].copy()
+        begins = (np.cumsum(size) - size)[number]
         place = np.arange(len(sym))
-        begins = begin
-        for i in np.flatnonzero(size == 0):
-            done[i] = np.empty(0, np.int64)
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         while len(number):
             ends = np.append(begins[1:], len(sym))
             key = np.full(len(sym), -1, np.int64)
@@ -124,11 +126,10 @@ class Codec:
             least = np.minimum.reduceat(rank, begins)
             over = least == _NONE
             lengths = ends - begins
-            for j in np.flatnonzero(over):
-                b, e = begins[j], ends[j]
-                done[number[j]] = self._finish(sym[b:e], place[b:e], text, unknown)
-            hit = (rank == np.repeat(least, lengths)) & (rank != _NONE)
-            where = np.flatnonzero(hit)
+            leaving = np.repeat(over, lengths)
+            if over.any():
+                done.append((np.repeat(number[over], lengths[over]), sym[leaving], place[leaving]))
+            where = np.flatnonzero((rank == np.repeat(least, lengths)) & (rank != _NONE))
             owner = np.repeat(np.arange(len(number)), lengths)[where]
             first = np.ones(len(where), bool)
             first[1:] = owner[1:] != owner[:-1]
@@ -140,31 +141,32 @@ class Codec:
             chosen = first | (self._at_once[made] & (run % 2 == 0))
             where, made = where[chosen], made[chosen]
             sym[where] = made
-            keep = np.ones(len(sym), bool)
+            keep = ~leaving
             keep[where + 1] = False
-            keep &= ~np.repeat(over, lengths)
             left = np.add.reduceat(keep.astype(np.int64), begins)[~over]
             sym, place, number = sym[keep], place[keep], number[~over]
             begins = np.cumsum(left) - left
-        return done
-
-    def _finish(self, sym: np.ndarray, place: np.ndarray, text: str, unknown: int) -> np.ndarray:
-        if (sym < len(self.surface)).all():
-            return sym.copy()
-        out: list[int] = []
-        for s, p in zip(sym.tolist(), place.tolist()):
-            if s < len(self.surface):
-                out.append(s)
-            else:
-                out.extend(self.byte_ids[list(text[p].encode("utf-8", "surrogatepass"))].tolist())
-        return np.array(out, np.int64)
+        if not done:
+            return np.empty(0, np.int64), size
+        word, sym, place = (np.concatenate(x) for x in zip(*done))
+        order = np.argsort(place)  # characters are numbered through all words
+        word, sym, place = word[order], sym[order], place[order]
+        unknown = np.flatnonzero(sym >= len(self.surface))
+        if len(unknown):
+            raw = [chr(c).encode("utf-8", "surrogatepass") for c in code[place[unknown]].tolist()]
+            times = np.ones(len(sym), np.int64)
+            times[unknown] = np.fromiter(map(len, raw), np.int64, len(raw))
+            first = (np.cumsum(times) - times)[unknown]
+            word, sym = np.repeat(word, times), np.repeat(sym, times)
+            spread = np.repeat(first - np.cumsum(times[unknown]) + times[unknown], times[unknown])
+            sym[spread + np.arange(len(spread))] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
+        return sym, np.bincount(word, minlength=len(words))
 
     def words(self, text: str) -> list[str]:
         return self._words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 
     def encode(self, text: str) -> np.ndarray:
-        found = self.encode_words(self.words(text))
-        return np.concatenate(found) if found else np.empty(0, np.int64)
+        return self.encode_words(self.words(text))[0]
 
     def decode_bytes(self, ids: np.ndarray) -> bytes:
         """Surface of the ids with the dummy prefix still there."""
@@ -176,15 +178,17 @@ class Codec:
         raw = self.decode_bytes(np.asarray(ids, np.int64)) if len(ids) else b""
         return raw.removeprefix(b" ").decode("utf-8", "each-byte")
 
-    def digest_words(self, wanted: set[str]) -> dict[str, tuple[str, int, bytes]]:
+    def _digest(self, words: list[str]) -> list[tuple[str, int, bytes]]:
         """Of each word: its ids in decimal, their number, and the bytes that they decode to."""
-        missing = [w for w in wanted if w not in self._known]
-        self._known.room(len(missing))
-        if len(self._known) == 0:
-            missing = list(wanted)
-        for word, ids in zip(missing, self.encode_words(missing)):
-            self._known[word] = (",".join(map(str, ids.tolist())), len(ids), self.decode_bytes(ids))
-        return self._known
+        ids, count = self.encode_words(words)
+        raw, decimal = self.decode_bytes(ids), [self._decimal[i] for i in ids.tolist()]
+        end = np.cumsum(count)
+        byte_end = np.append(0, np.cumsum(self._size[ids]))[end]
+        spans = zip((end - count).tolist(), end.tolist(), np.append(0, byte_end[:-1]).tolist(), byte_end.tolist())
+        return [(",".join(decimal[b:e]), e - b, raw[x:y]) for b, e, x, y in spans]
+
+    def digest_words(self, wanted: set[str]) -> dict[str, tuple[str, int, bytes]]:
+        return self._known.look_up(wanted)
 
 
 @lru_cache(maxsize=2)

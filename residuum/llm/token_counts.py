@@ -39,7 +39,7 @@ def read_vocabulary(model_path: str) -> list[tuple[str, float]]:
 
 
 class Counter:
-    def __init__(self, vocabulary: list[tuple[str, float]], cache_words: int = 500_000):
+    def __init__(self, vocabulary: list[tuple[str, float]], cache_words: int = 600_000):
         import ahocorasick
 
         if any(SPACE in piece.lstrip(SPACE) for piece, _ in vocabulary):
@@ -53,7 +53,7 @@ class Counter:
         self.unknown = min(score for _, score in vocabulary) - _UNKNOWN_PENALTY
         line = "" if any("\n" in piece for piece, _ in vocabulary) else "\n"
         self._words = re.compile(f"{SPACE}+[^{SPACE}{line}]*" + (f"|\n[^{SPACE}\n]*" if line else ""))
-        self._known = BoundedCache(cache_words)
+        self._known = BoundedCache(cache_words, lambda words: [self.count_word(w) for w in words])
 
     def count_word(self, word: str) -> int:
         """Pieces of the best path through ``word``."""
@@ -81,12 +81,7 @@ class Counter:
 
     def count(self, texts: list[str | None]) -> list[int]:
         split = [self.words(t or "") for t in texts]
-        wanted = set().union(*split)
-        missing = [w for w in wanted if w not in self._known]
-        self._known.room(len(missing))
-        for word in missing if self._known else wanted:
-            self._known[word] = self.count_word(word)
-        known = self._known
+        known = self._known.look_up(set().union(*split))
         return [sum([known[w] for w in words]) for words in split]
 
 

@@ -16,7 +16,7 @@ from residuum.llm.common import BoundedCache, text_bytes
 
 
 class WordTokenizer:
-    def __init__(self, path: str, end_id: int, cache_words: int = 300_000):
+    def __init__(self, path: str, end_id: int, cache_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -26,20 +26,16 @@ class WordTokenizer:
         ):
             raise ValueError("the tokenizer does not treat words one by one")
         self.end = np.array([end_id], "<u4").tobytes()
-        self._known = BoundedCache(cache_words)
+        self._known = BoundedCache(cache_words, self._encode_words)
+
+    def _encode_words(self, words: list[bytes]) -> list[bytes]:
+        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
+        return [np.array(x.ids, "<u4").tobytes() for x in found]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, ``end_id`` last."""
         split = [text_bytes(t).split() for t in texts]
-        wanted = set().union(*split)
-        missing = [w for w in wanted if w not in self._known]
-        self._known.room(len(missing))
-        if not self._known:
-            missing = list(wanted)
-        known = self._known
-        found = self.tokenizer.encode_batch([w.decode() for w in missing], add_special_tokens=False)
-        for word, encoding in zip(missing, found):
-            known[word] = np.array(encoding.ids, "<u4").tobytes()
+        known = self._known.look_up(set().union(*split))
         return [b"".join([known[w] for w in words]) + self.end for words in split]
 
 
