@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import exact_dedup, near_dedup, packing, quality, secrets, sentencepiece_codec, token_counts, token_ids
+from residuum.llm import exact_dedup, html_extract, near_dedup, packing, quality, secrets, sentencepiece_codec, token_counts, token_ids
 from residuum.llm.common import read_table
 
 
@@ -18,6 +18,10 @@ def tokenizer_file(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(read_table(spark, sf_dir, "pages"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.duplicate_groups(read_table(spark, sf_dir, "documents"), keep="largest")
 
@@ -72,6 +76,7 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_html_extract": op1_html_extract,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_packing": op3_packing,
         "op5_token_ids": op5_token_ids,
