@@ -76,7 +76,7 @@ def rules() -> dict[str, Column]:
     """Name and failure condition of each document rule that hosts are judged by."""
     return {
         "symbols": F.col("n_symbols") * 10 > F.col("n_words"),
-        "dup_lines": F.col("n_dup_lines") * 10 > F.col("n_lines") * 3,
+        "dup_lines": F.col("n_dup_lines") * 10 > F.col("n_lines") * 6,
         "word_length": (F.col("word_chars") < 2 * F.col("n_words")) | (F.col("word_chars") > 15 * F.col("n_words")),
         "repeats": F.col("n_repeat_words") * 100 > F.col("n_words") * 30,
     }
