@@ -13,8 +13,9 @@ made of little else, so the inverted lists stay short.
    and position bounds, and a bound from bucket counts of the sets.
 3. The union of the two sketches bounds the difference of the sets; pairs within
    it are verified on full sets. Verified links form groups.
-4. Members of a list that lie in different groups are compared in blocks (a long
-   list over many tasks); only pairs that pass all bounds leave the task.
+4. Lists with the same first member are taken together. Their members that lie in
+   different groups are compared in blocks (many members over many tasks); only
+   pairs that pass the bounds of sizes and buckets leave the task.
 5. The groups are the components of all verified links.
 
 All bounds are lossless, so the result equals that of comparing all pairs. Null
@@ -38,7 +39,7 @@ from residuum.llm.common import BoundedCache, Staged, text_bytes
 from residuum.llm.components import components
 
 _PART = 4096  # counters in a row of the counting sketch
-_BUCKETS = 128
+_BUCKETS = 512
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _words = BoundedCache(
     600_000, lambda words: [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words]
@@ -84,7 +85,7 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 np.add.at(counts, (s & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
                 ns.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
-                held = np.bincount((s >> np.uint64(57)).astype(np.int64), minlength=_BUCKETS)
+                held = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=_BUCKETS)
                 buckets.append(np.minimum(held, 255).astype(np.uint8).tobytes())
             n = len(ns)
             yield pa.RecordBatch.from_arrays(
@@ -140,23 +141,20 @@ def _room(na, nb, pa_, pb, percent: int):
 
 
 def _list_rows(percent: int):
-    """Of sorted postings: pairs with the first of each list (kind 0), rows of lists of three or more (kind 1)."""
-    names = ["kind", "value", "a", "b", "n", "pos"]
+    """Of sorted postings: pairs with the first of each list (kind 0), members of lists of three or more (kind 1)."""
 
-    def frame(kind: int, value, a, b, n, pos) -> pa.RecordBatch:
-        arrays = [np.full(len(value), kind, np.int32), value, a, b, n, pos]
-        return pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+    def frame(kind: int, first, doc) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(first), pa.array(doc)], ["kind", "a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hub = None  # value, doc, n, pos of the list that may go on, and its rows so far
-        held: list[np.ndarray] = []  # its rows, while fewer than three
+        held: list[np.ndarray] = []  # its documents, while fewer than three
         for batch in batches:
             if not batch.num_rows:
                 continue
             rows = np.stack([batch[c].to_numpy() for c in ("value", "doc_id", "n", "pos")])
             value = rows[0]
-            head = np.r_[True, value[1:] != value[:-1]]
-            begin = np.flatnonzero(head)
+            begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
             size = np.diff(np.r_[begin, len(value)])
             first = rows[:, np.repeat(begin, size)]
             older = np.zeros(len(begin), np.int64)
@@ -167,71 +165,76 @@ def _list_rows(percent: int):
             pair = rows[1] != first[1]
             pair &= _near(rows[2], first[2], percent) & _room(rows[2], first[2], rows[3], first[3], percent)
             if pair.any():
-                r, f = rows[:, pair], first[:, pair]
-                yield frame(0, r[0], f[1], r[1], r[2], r[3])
+                yield frame(0, first[1][pair], rows[1][pair])
             long = np.repeat(size + older >= 3, size)
-            out = [rows[:, long]]
             if on and older[0] < 3 <= older[0] + size[0]:
-                out += held
-            out = np.concatenate(out, 1)
-            if out.shape[1]:
-                yield frame(1, out[0], out[1], out[1], out[2], out[3])
+                before = np.concatenate(held)
+                yield frame(1, np.full(len(before), hub[0][1]), before)
+            if long.any():
+                yield frame(1, first[1][long], rows[1][long])
             last = begin[-1]
             goes_on = on and len(begin) == 1
             count = int(size[-1] + older[-1])
-            if count >= 3:
-                held = []
-            else:
-                held = (held if goes_on else []) + [rows[:, last:].copy()]
+            held = [] if count >= 3 else (held if goes_on else []) + [rows[1, last:].copy()]
             hub = (hub[0] if goes_on else rows[:, last].copy(), count)
 
     return run
 
 
-def _block_pairs(percent: int):
-    """Pairs of a block that lie in different groups and pass all bounds, without those of the list's first."""
-
-    def compare(rows: dict[str, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-        group, ids, n, pos = rows["root"], rows["doc_id"], rows["n"], rows["pos"]
-        counts = np.stack([np.frombuffer(x, np.uint8) for x in rows["buckets"]]).astype(np.int16)
-        names, number = np.unique(group, return_inverse=True)
-        largest = np.bincount(number).argmax()
-        left = np.flatnonzero(number != largest)
-        found = []
-        for i in left:
-            other = np.flatnonzero((group != group[i]) & ((number == largest) | (ids > ids[i])) & _near(n, n[i], percent))
-            other = other[_room(n[other], n[i], pos[other], pos[i], percent)]
-            gap = np.abs(counts[other] - counts[i]).sum(1)
-            other = other[gap * (100 + percent) <= (100 - percent) * (n[other] + n[i])]
-            if len(other):
-                found.append(np.stack([np.full(len(other), ids[i]), ids[other]]))
-        both = np.concatenate(found, 1) if found else np.empty((2, 0), np.int64)
-        return both.min(0), both.max(0)
+def _block_pairs(percent: int, step: int = 64):
+    """Pairs of a block that lie in different groups and pass the bounds of sizes and buckets.
+
+    A block has the members of two parts of a hub's lists (or of one); pairs are
+    taken between the parts.
+    """
+
+    def compare(rows: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        order = np.argsort(rows["n"], kind="stable")
+        ids, root, n, part = (rows[c][order] for c in ("doc_id", "root", "n", "own"))
+        counts = np.stack([np.frombuffer(rows["buckets"][i], np.uint8) for i in order]).astype(np.int16)
+        apart = len(np.unique(part)) > 1
+        names, number, size = np.unique(root, return_inverse=True, return_counts=True)
+        small = np.flatnonzero(number != size.argmax())
+        for at in range(0, len(small), step):
+            left = small[at : at + step]
+            low, high = np.searchsorted(n, [-(-percent * n[left[0]] // 100), 100 * n[left[-1]] // percent + 1])
+            i, j = np.meshgrid(left, np.arange(low, high), indexing="ij")
+            i, j = i.ravel(), j.ravel()
+            keep = (number[i] != number[j]) & _near(n[i], n[j], percent)
+            keep &= (number[j] == size.argmax()) | (ids[i] < ids[j])  # once if both are on the left side
+            if apart:
+                keep &= part[i] != part[j]
+            i, j = i[keep], j[keep]
+            for b in range(0, len(i), 20_000):
+                x, y = i[b : b + 20_000], j[b : b + 20_000]
+                gap = np.abs(counts[x] - counts[y]).sum(1, dtype=np.int64)
+                near = gap * (100 + percent) <= (100 - percent) * (n[x] + n[y])
+                if near.any():
+                    x, y = ids[x[near]], ids[y[near]]
+                    yield np.minimum(x, y), np.maximum(x, y)
+
+    def emit(block: pa.Table) -> Iterator[pa.RecordBatch]:
+        rows = {c: block[c].to_numpy() for c in ("doc_id", "root", "n", "own")}
+        if (rows["root"] == rows["root"][0]).all():
+            return
+        rows["buckets"] = block["buckets"].to_pylist()
+        for a, b in compare(rows):
+            yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
-        seen: set[tuple[int, int]] = set()  # pairs of this task so far, kept small
         for batch in batches:
             table = pa.Table.from_batches([batch])
             held = table if held is None else pa.concat_tables([held, table])
-            block = held["block"].combine_chunks().to_numpy(zero_copy_only=False)
-            begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]]) if len(block) else []
+            block = held["block"].to_numpy()
+            if not len(block):
+                continue
+            begin = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
             for b, e in zip(begin[:-1], begin[1:]):
-                yield from emit(held.slice(b, e - b), seen)
-            held = held.slice(begin[-1]) if len(begin) else None
-        if held is not None:
-            yield from emit(held, seen)
-
-    def emit(block: pa.Table, seen: set) -> Iterator[pa.RecordBatch]:
-        rows = {c: block[c].to_numpy() for c in ("doc_id", "root", "n", "pos")}
-        if len(rows["root"]) < 2 or (rows["root"] == rows["root"][0]).all():
-            return
-        rows["buckets"] = block["buckets"].to_pylist()
-        if len(seen) > 1_000_000:
-            seen.clear()
-        fresh = [p for p in zip(*(x.tolist() for x in compare(rows))) if not (p in seen or seen.add(p))]
-        if fresh:
-            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*fresh)], ["a", "b"])
+                yield from emit(held.slice(b, e - b))
+            held = held.slice(begin[-1])
+        if held is not None and held.num_rows:
+            yield from emit(held)
 
     return run
 
@@ -333,7 +336,7 @@ def near_groups(
         singles.mapInArrow(postings, "value long, doc_id long, n long, pos long")
         .repartition("value")
         .sortWithinPartitions("value", "doc_id")
-        .mapInArrow(_list_rows(percent), "kind int, value long, a long, b long, n long, pos long")
+        .mapInArrow(_list_rows(percent), "kind int, a long, b long")
     )
 
     sizes = usable.select("doc_id", "n", "buckets").dropDuplicates(["doc_id"])
@@ -351,29 +354,27 @@ def near_groups(
     links = checked(first)
     groups = components(links, staged)
 
-    members = lists.filter("kind = 1").select("value", F.col("a").alias("doc_id"), "pos")
+    members = lists.filter("kind = 1").select(F.col("a").alias("hub"), F.col("b").alias("doc_id")).distinct()
     members = members.join(groups.withColumnRenamed("node", "doc_id"), "doc_id", "left")
     members = staged.write(members.withColumn("root", F.coalesce("root", "doc_id")))
     mixed = (
-        members.groupBy("value")
+        members.groupBy("hub")
         .agg(F.count("*").alias("m"), F.min("root").alias("low"), F.max("root").alias("high"))
         .filter("low < high")
-        .select("value", F.ceil(F.col("m") / block_rows).cast("int").alias("blocks"))
+        .select("hub", F.ceil(F.col("m") / block_rows).cast("int").alias("parts"))
     )
-    own = F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     blocks = (
-        members.join(mixed, "value")
-        .withColumn("own", own)
-        .withColumn("other", other)
-        .withColumn("block", F.xxhash64("value", F.least("own", "other"), F.greatest("own", "other")))
-        .select("block", "doc_id", "root", "pos")
+        members.join(mixed, "hub")
+        .withColumn("own", F.pmod(F.xxhash64("doc_id"), F.col("parts")).cast("int"))
+        .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+        .withColumn("block", F.xxhash64("hub", F.least("own", "other"), F.greatest("own", "other")))
+        .select("block", "doc_id", "root", "own")
         .join(sizes, "doc_id")
     )
     rest = staged.write(
         blocks.repartition("block")
-        .sortWithinPartitions("block", "doc_id")
-        .select("block", "doc_id", "root", "n", "pos", "buckets")
+        .sortWithinPartitions("block")
+        .select("block", "doc_id", "root", "own", "n", "buckets")
         .mapInArrow(_block_pairs(percent), "a long, b long")
         .distinct()
     )
