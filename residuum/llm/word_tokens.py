@@ -15,6 +15,9 @@ import numpy as np
 from residuum.llm.common import BoundedCache, text_bytes
 
 
+_MARKS = b".,;:!?#%*$&"
+
+
 class WordTokenizer:
     def __init__(self, path: str, end_id: int, cache_words: int = 500_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -25,13 +28,35 @@ class WordTokenizer:
             self.tokenizer.encode("a", add_special_tokens=False)
         ):
             raise ValueError("the tokenizer does not treat words one by one")
+        upper, lower = (self.tokenizer.encode(x, add_special_tokens=False).ids for x in ("ABC", "abc"))
+        apart = self.tokenizer.encode("ab.#", add_special_tokens=False).ids
+        if apart != self._ids("ab") + self._ids(".#"):
+            raise ValueError("the tokenizer does not cut between letters and marks")
+        self.lower = upper == lower
         self.end = np.array([end_id], "<u4").tobytes()
-        self._known = BoundedCache(cache_words, self._encode_words)
+        self._cores = BoundedCache(cache_words, self._encode_words)
+        self._known = BoundedCache(cache_words, self._encode_parts)
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
 
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
         found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _encode_parts(self, words: list[bytes]) -> list[bytes]:
+        """Words with the marks behind them encoded apart, since the pre-tokenizer always cuts there."""
+        cut = [self._split(w) for w in words]
+        known = self._cores.look_up({x for pair in cut for x in pair if x})
+        known[b""] = b""
+        return [known[core] + known[tail] for core, tail in cut]
+
+    def _split(self, word: bytes) -> tuple[bytes, bytes]:
+        core = word.rstrip(_MARKS)
+        if not core or not core[-1:].isalnum():
+            return word, b""
+        return (core.lower() if self.lower and core.isascii() else core), word[len(core) :]
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, ``end_id`` last."""
         split = [text_bytes(t).split() for t in texts]
