@@ -1,15 +1,528 @@
-"""All queries of the library outside ``llm``."""
+"""All queries of the library outside ``llm``, with equivalent SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from residuum.functions import columns as C
+from residuum.functions import constants as K
+from residuum.operators import interface, mapping, nullmodel, spectra, structure, summarize
+from residuum.plans import tables as T
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def keep(f: Query) -> Query:
+        _QUERIES[f.__name__] = f
+        if sql:
+            _SQL[f.__name__] = sql
+        return f
+
+    return keep
+
+
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+_SCALES = ", ".join(f"({k}, {s}e0)" for k, s in enumerate(K.SCALES))
+_D2 = "(a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)"
+
+
+@query(f"""WITH {T.POINTS}, pairs AS (SELECT a.label, a.v * b.v AS w, {_D2} AS d2
+  FROM points a JOIN points b ON a.label = b.label AND a.i > b.i)
+SELECT label, scale_idx, scale, round(sum(w * exp(-d2 / (2 * scale * scale))), 5) AS score
+FROM pairs, (VALUES {_SCALES}) s(scale_idx, scale) GROUP BY ALL""")
+def proximity_multiscale(spark: SparkSession, d: str) -> DataFrame:
+    found = structure.proximity(T.points(spark, d), "label", "i", ["x", "y", "z"], "v")
+    return found.withColumn("score", F.round("score", 5))
+
+
+@query("""WITH p AS (SELECT l_partkey, l_orderkey * 10 + l_linenumber AS i, l_quantity AS x, l_extendedprice / 1000 AS y,
+  l_discount * 100 AS z FROM lineitem)
+SELECT a.l_partkey, count(*) AS n_pairs, round(sum(exp(-((a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z)) / 72e0)), 6) AS score
+FROM p a JOIN p b ON a.l_partkey = b.l_partkey AND a.i > b.i GROUP BY 1""")
+def proximity_score(spark: SparkSession, d: str) -> DataFrame:
+    p = T.table(spark, d, "lineitem").select(
+        "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), F.col("l_quantity").alias("x"),
+        (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"),
+    )
+    pairs = structure.residue_pairs(p, "l_partkey", "i", ["x", "y", "z"])
+    return pairs.groupBy("l_partkey").agg(F.count("*").alias("n_pairs"), F.round(F.sum(C.kernel(F.col("d2"), 6.0)), 6).alias("score"))
+
+
+def _atoms(spark: SparkSession, d: str) -> DataFrame:
+    e = T.table(spark, d, "embeddings")
+    k = F.explode(F.sequence(F.lit(0), F.lit(3))).alias("k")
+    at = lambda o: F.get("embedding", (F.col("k") * 3 + o).cast("int")).cast("double")
+    return e.select("label", F.col("vec_id").alias("i"), "embedding", k).select("label", "i", at(0).alias("x"), at(1).alias("y"), at(2).alias("z"))
+
+
+_ATOMS = """atoms AS (SELECT label, vec_id AS i, embedding[k*3+1]::DOUBLE AS x, embedding[k*3+2]::DOUBLE AS y, embedding[k*3+3]::DOUBLE AS z
+  FROM embeddings, (VALUES (0), (1), (2), (3)) t(k))"""
+
+
+@query(f"WITH {_ATOMS} SELECT label, i, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM atoms GROUP BY label, i")
+def centroids(spark: SparkSession, d: str) -> DataFrame:
+    return _atoms(spark, d).groupBy("label", "i").agg(*(F.round(F.avg(c), 6).alias(c) for c in "xyz"))
+
+
+@query(f"""WITH {_ATOMS}, s AS (SELECT * FROM atoms WHERE label = 0)
+SELECT a.i, b.i AS j, round(min({_D2}), 6) AS d2 FROM s a JOIN s b ON a.i > b.i GROUP BY ALL""")
+def min_atom_distance(spark: SparkSession, d: str) -> DataFrame:
+    atoms = _atoms(spark, d).filter("label = 0").select(F.lit("s").alias("pdb"), F.lit("A").alias("chain"), F.col("i").alias("resnum"), "x", "y", "z")
+    residues = atoms.select(F.lit("s").alias("structure"), F.lit("s-A").alias("pdb_chain"), "resnum").distinct()
+    residues = residues.select("structure", "pdb_chain", F.col("resnum").alias("p"), F.col("resnum").alias("i"))
+    return structure.least_atom_distance(residues, atoms).select("i", "j", F.round("d2", 6).alias("d2"))
+
+
+@query("""SELECT l_partkey, count(*) AS n, round(pow(count(*), 4) / (16e0 + pow(count(*), 4)), 9) AS weight FROM lineitem GROUP BY 1""")
+def hill_weights(spark: SparkSession, d: str) -> DataFrame:
+    counts = T.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))
+    return counts.withColumn("weight", F.round(C.hill(F.col("n").cast("double")), 9))
+
+
+_COUNTS = "counts AS (SELECT c_mktsegment AS ttype, c_custkey AS sample, count(*) AS mut_count FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2)"
+
+
+@query(f"WITH {_COUNTS} SELECT * FROM counts")
+def sample_counts(spark: SparkSession, d: str) -> DataFrame:
+    return spectra.sample_counts(T.order_counts(spark, d))
+
+
+_ZLOG = """CASE WHEN mut_count - m <= 0 THEN 1e0
+  WHEN sd = 0 THEN CASE WHEN log10(mut_count - m) > 0 THEN 0e0 ELSE 1e0 END
+  ELSE 1e0 / greatest(1e0, log10(mut_count - m) / sd) END"""
+
+
+def _weights_sql(counts: str) -> str:
+    return f"""WITH {counts}, w AS (SELECT *, avg(log10(mut_count)) OVER g AS m, stddev_pop(log10(mut_count)) OVER g AS sd,
+  count(*) OVER g AS n, row_number() OVER (PARTITION BY ttype ORDER BY mut_count, sample) - 1 AS r FROM counts WINDOW g AS (PARTITION BY ttype))
+SELECT ttype, sample, mut_count, round(r / n::DOUBLE, 9) AS rank_score, round({_ZLOG}, 6) AS zlog_score FROM w"""
+
+
+def _weights(counts: DataFrame) -> DataFrame:
+    found = spectra.frequency_weights(counts)
+    return found.withColumns({"rank_score": F.round("rank_score", 9), "zlog_score": F.round("zlog_score", 6)})
+
+
+@query(_weights_sql(_COUNTS))
+def frequency_weights(spark: SparkSession, d: str) -> DataFrame:
+    return _weights(spectra.sample_counts(T.order_counts(spark, d)))
+
+
+@query(_weights_sql("counts AS (SELECT 'g' || c_custkey AS ttype, c_custkey AS sample, count(*) AS mut_count FROM customer JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2)"))
+def single_sample_weights(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.order_counts(spark, d).withColumn("ttype", F.concat(F.lit("g"), F.col("sample").cast("string")))
+    return _weights(spectra.sample_counts(rows))
+
+
+_CONTEXT = "substr('acgt', (event_id % 4 + 1)::INT, 1) || substr('acgt', (event_id // 4 % 4 + 1)::INT, 1) || substr('acgt', (event_id // 16 % 4 + 1)::INT, 1)"
+
+
+def _channel_sql(index: str) -> str:
+    return f"""WITH e AS (SELECT user_id AS patient, event_type AS ttype, {_CONTEXT} AS abc, substr('acgt', (user_id % 4 + 1)::INT, 1) AS n FROM events),
+f AS (SELECT patient, ttype, abc[2] IN ('g', 't') AS fold, abc, n FROM e),
+g AS (SELECT patient, ttype, CASE WHEN fold THEN translate(reverse(abc), 'acgt', 'tgca') ELSE abc END AS abc,
+  CASE WHEN fold THEN translate(n, 'acgt', 'tgca') ELSE n END AS n FROM f),
+h AS (SELECT patient, ttype, CASE WHEN n <> abc[2] THEN 24 * (instr('acgt', abc[1]) - 1) + 6 * (instr('acgt', abc[3]) - 1) + 3 * (abc[2] = 'c')::INT
+  + instr('acgt', n) - 1 - (instr('acgt', n) > instr('acgt', abc[2]))::INT END AS channel FROM g) {index}"""
+
+
+def _event_channels(spark: SparkSession, d: str) -> DataFrame:
+    e = T.table(spark, d, "events")
+    base = lambda x: F.substring(F.lit("acgt"), (F.floor(x) % 4 + 1).cast("int"), F.lit(1))
+    abc = F.concat(base(F.col("event_id")), base(F.col("event_id") / 4), base(F.col("event_id") / 16))
+    return e.select(F.col("user_id").alias("patient"), F.col("event_type").alias("ttype"), C.channel_index(abc, base(F.col("user_id"))).alias("channel"))
+
+
+@query(_channel_sql("SELECT patient, ttype, " + ", ".join(f"count(*) FILTER (channel = {i}) AS \"{c}\"" for i, c in enumerate(K.channels())) + " FROM h GROUP BY ALL"))
+def channel_pivot(spark: SparkSession, d: str) -> DataFrame:
+    return spectra.spectrum_pivot(_event_channels(spark, d))
+
+
+@query("""SELECT event_type, count(*) FILTER (v = 0) AS low, count(*) FILTER (v = 1) AS middle, count(*) FILTER (v = 2) AS high
+FROM (SELECT event_type, CASE WHEN value < 10 THEN 0 WHEN value < 50 THEN 1 ELSE 2 END AS v FROM events) GROUP BY 1""")
+def event_strata(spark: SparkSession, d: str) -> DataFrame:
+    rows = nullmodel.burial_groups(T.table(spark, d, "events"), "value", (10.0, 50.0))
+    return rows.groupBy("event_type").agg(*(F.count_if(F.col("stratum") == k).alias(n) for k, n in enumerate(("low", "middle", "high"))))
+
+
+_BH = """least(1e0, min(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING))"""
+_SCORED = "s AS (SELECT p_partkey, (p_partkey * 7919 % 997 + 1) / 998e0 AS p, p_size <= 20 AS listed FROM part)"
+
+
+def _ranked(source: str) -> str:
+    return f"(SELECT *, row_number() OVER (ORDER BY p, p_partkey) AS i, count(*) OVER () AS n FROM {source})"
+
+
+@query(f"WITH {_SCORED} SELECT p_partkey, round(p, 9) AS p, round({_BH}, 9) AS q FROM {_ranked('s')}")
+def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
+    found = summarize.bh_fdr(T.scored_parts(spark, d), "p", "p_partkey")
+    return found.select("p_partkey", F.round("p", 9).alias("p"), F.round("q", 9).alias("q"))
+
+
+@query(f"""WITH {_SCORED}, r AS (SELECT p_partkey, {_BH} AS q FROM {_ranked('(SELECT * FROM s WHERE listed)')})
+SELECT s.p_partkey, round(coalesce(q, -1e0), 9) AS q FROM s LEFT JOIN r USING (p_partkey)""")
+def bh_fdr_restricted(spark: SparkSession, d: str) -> DataFrame:
+    found = summarize.bh_fdr_restricted(T.scored_parts(spark, d), "p", "p_partkey", F.col("listed"), "q")
+    return found.select("p_partkey", F.round("q", 9).alias("q"))
+
+
+_REPS = 40
+
+
+def _null_sql(key: str, where: str = "TRUE") -> str:
+    hashed = "('0x' || substr(md5('draw:' || label || ':' || rep || ':' || i), 1, 12))::BIGINT"
+    return f"""WITH {T.POINTS}, hits AS (SELECT * FROM points WHERE i % 10 = 0 AND {where}),
+k AS (SELECT label, count(*) AS k FROM hits GROUP BY 1),
+obs AS (SELECT a.label, sum(exp(-({_D2}) / 72e0)) AS observed FROM hits a JOIN hits b ON a.label = b.label AND a.i > b.i GROUP BY 1),
+draws AS (SELECT p.*, rep, row_number() OVER (PARTITION BY label, rep ORDER BY {key.format(u=f"(({hashed} + 0.5e0) / pow(16e0, 12))")}, i) AS r
+  FROM points p, range({_REPS}) t(rep) WHERE {where}),
+scores AS (SELECT a.label, a.rep, sum(exp(-({_D2}) / 72e0)) AS score FROM (SELECT * FROM draws JOIN k USING (label) WHERE r <= k) a
+  JOIN (SELECT * FROM draws JOIN k USING (label) WHERE r <= k) b ON a.label = b.label AND a.rep = b.rep AND a.i > b.i GROUP BY 1, 2)
+SELECT label, count(*) FILTER (score >= observed - 1e-12) AS exceed, count(*) AS draws FROM scores JOIN obs USING (label) GROUP BY 1"""
+
+
+def _null(spark: SparkSession, d: str, weighted: bool = False, where: str = "true") -> DataFrame:
+    points = T.points(spark, d).filter(where)
+    hits = points.filter("i % 10 = 0")
+    sizes = hits.groupBy("label").agg(F.count("*").alias("k"))
+    score = F.sum(C.kernel(F.col("d2"), 6.0)).alias("score")
+    observed = structure.residue_pairs(hits, "label", "i", ["x", "y", "z"]).groupBy("label").agg(score)
+    drawn = nullmodel.draw(points, sizes, nullmodel.replicates(spark, _REPS), "label", "i", F.col("v") if weighted else None)
+    drawn = drawn.withColumn("unit", F.struct("label", "rep"))
+    scores = structure.residue_pairs(drawn, "unit", "i", ["x", "y", "z"]).groupBy("unit").agg(score)
+    return nullmodel.exceedances(scores.select("unit.*", "score"), observed, ["label"])
+
+
+@query(_null_sql("{u}"))
+def uniform_null(spark: SparkSession, d: str) -> DataFrame:
+    return _null(spark, d)
+
+
+@query(_null_sql("-ln({u}) / v"))
+def weighted_null(spark: SparkSession, d: str) -> DataFrame:
+    return _null(spark, d, weighted=True)
+
+
+@query(_null_sql("{u}", "i % 5 < 3"))
+def restricted_null(spark: SparkSession, d: str) -> DataFrame:
+    return _null(spark, d, where="i % 5 < 3")
+
+
+@query("""SELECT l_suppkey, sum(e)::BIGINT AS exceed, sum(n)::BIGINT AS draws, round(sum(e) / sum(n)::DOUBLE, 9) AS p,
+  round(greatest(1, sum(e)) / sum(n)::DOUBLE, 9) AS p_floor
+FROM (SELECT l_suppkey, l_linenumber, count(*) FILTER (l_quantity >= 50) AS e, count(*) AS n FROM lineitem GROUP BY 1, 2) GROUP BY 1""")
+def exceedance_pvalue(spark: SparkSession, d: str) -> DataFrame:
+    blocks = T.table(spark, d, "lineitem").groupBy("l_suppkey", "l_linenumber").agg(
+        F.count_if(F.col("l_quantity") >= 50).alias("exceed"), F.count("*").alias("draws")
+    )
+    found = nullmodel.p_values(blocks, ["l_suppkey"]).withColumn("p_floor", F.round(C.p_floor(F.col("exceed"), F.col("draws")), 9))
+    return found.withColumn("p", F.round("p", 9))
+
+
+@query("""SELECT p_partkey, count(*) AS n_hits, round(sum(l_quantity), 2) AS mass FROM
+ (SELECT l_suppkey % 5 AS chrom, l_partkey * 3 + l_linenumber AS pos, l_quantity FROM lineitem) m JOIN
+ (SELECT p_partkey, p_size % 5 AS chrom, p_partkey * 3 AS s, p_partkey * 3 + p_size + 5 AS e FROM part) g
+ ON m.chrom = g.chrom AND pos >= s AND pos < e GROUP BY 1""")
+def interval_join(spark: SparkSession, d: str) -> DataFrame:
+    muts = T.table(spark, d, "lineitem").select(
+        (F.col("l_suppkey") % 5).alias("chrom"), (F.col("l_partkey") * 3 + F.col("l_linenumber")).alias("pos"), "l_quantity"
+    )
+    genes = T.table(spark, d, "part").select(
+        "p_partkey", (F.col("p_size") % 5).cast("long").alias("chrom"), (F.col("p_partkey") * 3).alias("s"), (F.col("p_partkey") * 3 + F.col("p_size") + 5).alias("e")
+    )
+    hits = mapping.binned_join(muts, genes, ["chrom"], "pos", "s", "e", 64)
+    return hits.groupBy("p_partkey").agg(F.count("*").alias("n_hits"), F.round(F.sum("l_quantity"), 2).alias("mass"))
+
+
+@query("""SELECT o_orderkey, o_custkey, EXISTS (FROM lineitem WHERE l_orderkey = o_orderkey AND l_quantity > 45) AS has_large FROM orders""")
+def semi_anti(spark: SparkSession, d: str) -> DataFrame:
+    orders = T.table(spark, d, "orders").select("o_orderkey", "o_custkey")
+    large = T.table(spark, d, "lineitem").filter("l_quantity > 45").select(F.col("l_orderkey").alias("o_orderkey"))
+    without = interface.missing_structures(orders, large, "o_orderkey").withColumn("has_large", F.lit(False))
+    return orders.join(large, "o_orderkey", "left_semi").withColumn("has_large", F.lit(True)).unionByName(without)
+
+
+@query("""SELECT l_orderkey, l_linenumber FROM (SELECT *, count(*) OVER (PARTITION BY l_partkey, l_suppkey) AS n FROM lineitem) WHERE n = 1""")
+def unique_mapping(spark: SparkSession, d: str) -> DataFrame:
+    return structure.unique_in_group(T.table(spark, d, "lineitem"), ["l_partkey", "l_suppkey"]).select("l_orderkey", "l_linenumber")
+
+
+@query("""WITH m AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey FROM lineitem),
+big AS (SELECT l_orderkey FROM m GROUP BY 1 HAVING count(*) >= 5),
+c AS (SELECT *, count(*) OVER (PARTITION BY l_orderkey, l_suppkey) AS n FROM m WHERE l_orderkey IN (FROM big))
+SELECT l_orderkey AS structure, 85.5e0 AS identity, l_linenumber::BIGINT AS u, l_suppkey AS p FROM c WHERE n = 1""")
+def residue_map_parse(spark: SparkSession, d: str) -> DataFrame:
+    pair = F.struct("l_linenumber", F.concat_ws(":", F.col("l_linenumber").cast("string"), F.col("l_suppkey").cast("string")).alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(pair)), lambda x: x["t"]), " ")
+    maps = T.table(spark, d, "lineitem").groupBy("l_orderkey").agg(text.alias("residues")).select(
+        F.col("l_orderkey").alias("structure"), F.lit("P").alias("u1"), F.lit("P").alias("u2"), F.lit("s-A").alias("pdb_chain"),
+        F.lit("x:1 pdb_identity:85.5 y:2").alias("attrs"), C.residue_map(F.col("residues")).alias("resmap"),
+    )
+    kept = structure.usable_maps(maps).join(maps.select("structure", C.identity(F.col("attrs")).alias("identity")), "structure")
+    return kept.select("structure", "identity", F.col("u").cast("long").alias("u"), F.col("p").cast("long").alias("p"))
+
+
+@query("""WITH r AS (SELECT DISTINCT l_suppkey, l_partkey FROM lineitem),
+m AS (SELECT l_suppkey, l_partkey, o_custkey FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 30)
+SELECT r.l_suppkey AS structure, (SELECT min(l_partkey) FROM r q WHERE q.l_suppkey = r.l_suppkey) AS start, (SELECT max(l_partkey) FROM r q WHERE q.l_suppkey = r.l_suppkey) AS "end",
+  count(DISTINCT r.l_partkey) AS n_sites, count(DISTINCT o_custkey) AS n_samples, string_agg(DISTINCT r.l_partkey::VARCHAR, '+' ORDER BY r.l_partkey::VARCHAR) AS sites
+FROM r JOIN m ON r.l_suppkey = m.l_suppkey AND r.l_partkey = m.l_partkey GROUP BY 1 HAVING count(DISTINCT r.l_partkey) >= 3""")
+def coverage_summary(spark: SparkSession, d: str) -> DataFrame:
+    items = T.table(spark, d, "lineitem")
+    protein = F.col("l_suppkey").cast("string")
+    residues = items.select(F.col("l_suppkey").alias("structure"), protein.alias("u1"), F.col("l_partkey").alias("u")).distinct()
+    hit = items.filter("l_quantity > 30").join(T.table(spark, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey"))
+    sites = hit.select(protein.alias("uniprot"), F.col("l_partkey").alias("site"), F.col("o_custkey").alias("sample"))
+    found = summarize.coverage_summary(residues, sites)
+    listed = F.array_join(F.array_sort(F.split("sites", r"\+")), "+")
+    return found.select("structure", "start", "end", "n_sites", "n_samples", listed.alias("sites"))
+
+
+def _chains(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return T.table(spark, d, "supplier").select(
+        F.col("s_nationkey").cast("string").alias("pdb"), F.format_string("u%02d", k % 17).alias("u"), F.format_string("%06d", k).alias("chain"),
+        (60.0 + k % 41).alias("identity"), (k % 3 == 0).alias("native"), k.alias("start"),
+    )
+
+
+_PAIRS = """c AS (SELECT s_nationkey::VARCHAR AS pdb, format('u{:02d}', s_suppkey % 17) AS u, format('{:06d}', s_suppkey) AS chain,
+  60e0 + s_suppkey % 41 AS identity, s_suppkey % 3 = 0 AS native, s_suppkey AS k FROM supplier),
+pairs AS (SELECT a.pdb, a.chain AS ca, b.chain AS cb, a.identity AS ia, b.identity AS ib, least(a.u, b.u) AS ua, greatest(a.u, b.u) AS ub,
+  a.identity * (a.k % 7 + 1) + b.identity * (b.k % 5 + 1) AS size
+  FROM c a JOIN c b ON a.pdb = b.pdb AND a.k < b.k WHERE a.u <> b.u AND NOT (a.native AND b.native) AND (a.k + b.k) % 2 = 0)"""
+
+
+@query(f"""WITH {_PAIRS}, kinds AS (SELECT *, CASE WHEN (substr(ua, 2)::INT + substr(ub, 2)::INT) % 4 = 0 THEN 'interlog'
+  WHEN ia >= 80 AND ib >= 80 THEN 'high_identity' END AS kind FROM pairs)
+SELECT kind, ua, ub, pdb, ca AS a_chain, cb AS b_chain, size FROM (SELECT *, row_number() OVER (PARTITION BY kind, ua, ub ORDER BY size DESC, pdb, ca, cb) AS r
+  FROM kinds WHERE kind IS NOT NULL) WHERE r = 1""")
+def pair_select(spark: SparkSession, d: str) -> DataFrame:
+    chains = _chains(spark, d)
+    k = lambda s: F.col(s).cast("long")
+    a, b = (chains.select("pdb", F.col("chain").alias(c)) for c in ("c1", "c2"))
+    near = a.join(b, "pdb").filter("c1 < c2").filter((k("c1") + k("c2")) % 2 == 0)
+    size = F.explode(F.array(F.struct(F.lit(0).alias("side"), (k("c1") % 7 + 1).alias("m")), F.struct(F.lit(1).alias("side"), (k("c2") % 5 + 1).alias("m"))))
+    contacts = near.select("pdb", "c1", "c2", size.alias("s")).select("pdb", "c1", "c2", "s.side", F.explode(F.sequence(F.lit(1).cast("long"), "s.m")).alias("resnum"))
+    names = chains.select("u").distinct()
+    number = lambda c: F.substring(c, 2, 2).cast("int")
+    known = names.withColumnRenamed("u", "ua").join(names.withColumnRenamed("u", "ub"), (F.col("ua") < F.col("ub")) & ((number("ua") + number("ub")) % 4 == 0))
+    chosen = interface.select_pairs(interface.pair_candidates(chains, contacts), known)
+    return chosen.select("kind", "ua", "ub", "pdb", "a_chain", "b_chain", "size")
+
+
+@query("""WITH r AS (SELECT s.s_nationkey AS pdb, 'c' || s.s_suppkey AS c1, 'd' || t.s_suppkey AS c2, 'u' || s.s_suppkey % 5 AS u1, 'u' || t.s_suppkey % 5 AS u2,
+  10e0 + s.s_suppkey % 9 AS m1, 1e0 + s.s_suppkey % 4 AS i1, 10e0 + t.s_suppkey % 8 AS m2, 1e0 + t.s_suppkey % 3 AS i2, 50e0 + s.s_suppkey % 50 AS d1,
+  50e0 + t.s_suppkey % 49 AS d2, ((s.s_suppkey * 31 + t.s_suppkey * 17) % 101 + 1) / 102e0 AS p
+  FROM supplier s JOIN supplier t ON s.s_nationkey = t.s_nationkey AND s.s_suppkey <> t.s_suppkey),
+k AS (SELECT *, least(u1, u2) AS ua, greatest(u1, u2) AS ub FROM r WHERE u1 <> u2),
+t AS (SELECT *, max(m1) OVER w AS tm1, max(i1) OVER w AS ti1, max(m2) OVER w AS tm2, max(i2) OVER w AS ti2 FROM k WINDOW w AS (PARTITION BY ua, ub)),
+s AS (SELECT *, CASE WHEN u1 = ua THEN d1 * (i1 / ti1 + m1 / tm1) + d2 * (i2 / ti2 + m2 / tm2) ELSE d2 * (i2 / ti1 + m2 / tm1) + d1 * (i1 / ti2 + m1 / tm2) END AS score FROM t),
+h AS (SELECT *, max(score) OVER (PARTITION BY ua, ub) AS top FROM s)
+SELECT ua, ub, c1, c2, round(score, 6) AS score, round(p, 9) AS p FROM (SELECT *, row_number() OVER (PARTITION BY ua, ub ORDER BY p, score DESC, pdb::VARCHAR, c1, c2) AS n
+  FROM h WHERE score >= 0.8e0 * top) WHERE n = 1""")
+def pair_best_ties(spark: SparkSession, d: str) -> DataFrame:
+    sup = T.table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").cast("string").alias("pdb"))
+    a, b = sup.withColumnRenamed("k", "a"), sup.withColumnRenamed("k", "b")
+    text = lambda s, c: F.concat(F.lit(s), c.cast("string"))
+    x, y = F.col("a"), F.col("b")
+    rows = a.join(b, "pdb").filter("a <> b").select(
+        "pdb", text("c", x).alias("c1"), text("d", y).alias("c2"), text("u", x % 5).alias("u1"), text("u", y % 5).alias("u2"),
+        (10.0 + x % 9).alias("mapped1"), (1.0 + x % 4).alias("iface1"), (10.0 + y % 8).alias("mapped2"), (1.0 + y % 3).alias("iface2"),
+        (((x * 31 + y * 17) % 101 + 1) / 102.0).alias("p"),
+    )
+    k = F.col("k")
+    ids = [
+        sup.select(text("u", k % 5).alias("u1"), F.concat(F.col("pdb"), F.lit(f"-{s}"), k.cast("string")).alias("pdb_chain"), (50.0 + k % m).alias("identity"))
+        for s, m in (("c", 50), ("d", 49))
+    ]
+    found = interface.best_pair_rows(rows, ids[0].unionByName(ids[1]))
+    return found.select("ua", "ub", "c1", "c2", F.round("score", 6).alias("score"), F.round("p", 9).alias("p"))
+
+
+@query("""WITH r AS (SELECT p_brand AS brand, p_partkey AS k, p_partkey * 37 % 500 AS s, p_partkey * 37 % 500 + p_size + 20 AS e FROM part)
+SELECT a.brand, count(*) AS n_pairs, round(sum(o), 6) AS shared, round(sum(o / (a.e - a.s + b.e - b.s - o)), 6) AS jaccard, round(sum(o / least(a.e - a.s, b.e - b.s)), 6) AS of_shorter
+FROM r a JOIN r b ON a.brand = b.brand AND a.k < b.k, LATERAL (SELECT greatest(0, least(a.e, b.e) - greatest(a.s, b.s))::DOUBLE AS o) GROUP BY 1""")
+def interval_overlap(spark: SparkSession, d: str) -> DataFrame:
+    r = T.part_ranges(spark, d)
+    a, b = r.alias("a"), r.alias("b")
+    span = [F.col(x).cast("double") for x in ("a.start", "a.end", "b.start", "b.end")]
+    pairs = a.join(b, (F.col("a.brand") == F.col("b.brand")) & (F.col("a.key") < F.col("b.key")))
+    total = lambda c, n: F.round(F.sum(c), 6).alias(n)
+    return pairs.groupBy(F.col("a.brand").alias("brand")).agg(
+        F.count("*").alias("n_pairs"), total(C.overlap(*span), "shared"), total(C.jaccard(*span), "jaccard"), total(C.overlap_of_shorter(*span), "of_shorter")
+    )
+
+
+@query(f"""WITH {T.POINTS}, seeds AS (SELECT * FROM points WHERE i % 25 = 0)
+SELECT b.label, b.i, bool_or(a.i = b.i) AS direct FROM seeds a JOIN points b ON a.label = b.label AND ({_D2}) <= 4e0 GROUP BY ALL""")
+def distance_band(spark: SparkSession, d: str) -> DataFrame:
+    residues = T.points(spark, d).select(F.col("label").cast("string").alias("pdb"), F.lit("A").alias("chain"), F.col("i").alias("resnum"), "x", "y", "z")
+    contacts = residues.filter("resnum % 25 = 0").select("pdb", F.lit("P").alias("kind"), F.lit("A").alias("c1"), F.lit("B").alias("c2"), F.lit(0).alias("side"), "resnum")
+    found = interface.with_band(contacts, residues, 2.0)
+    return found.select(F.col("pdb").cast("int").alias("label"), F.col("resnum").alias("i"), "direct")
+
+
+@query("""SELECT l_suppkey, round(coalesce(sum(l_quantity) FILTER (l_linenumber % 2 = 0), 0), 2) AS mass1, round(coalesce(sum(l_quantity) FILTER (l_linenumber % 2 = 1), 0), 2) AS mass2,
+  round(sum(l_quantity), 2) AS mass, count(DISTINCT l_linenumber) FILTER (l_linenumber % 2 = 0) AS n1 FROM lineitem GROUP BY 1""")
+def interface_mass(spark: SparkSession, d: str) -> DataFrame:
+    items = T.table(spark, d, "lineitem").select(F.col("l_suppkey").cast("string").alias("pdb"), F.lit("A").alias("chain"), F.col("l_linenumber").alias("resnum"), F.col("l_quantity").alias("w"))
+    edges = items.select("pdb", F.lit("P").alias("kind"), F.lit("A").alias("c1"), F.lit("B").alias("c2"), (F.col("resnum") % 2).alias("side"), "chain", "resnum", F.lit(True).alias("direct")).distinct()
+    found = interface.interface_mass(edges, items)
+    n1 = F.when(F.col("residues1") == "", 0).otherwise(F.size(F.split("residues1", ";")))
+    return found.select(F.col("pdb").cast("long").alias("l_suppkey"), *(F.round(c, 2).alias(c) for c in ("mass1", "mass2", "mass")), n1.cast("long").alias("n1"))
+
+
+@query("""SELECT p_partkey, substr(p_type, 1, 1) || p_size || substr(p_name, 1, 1) AS change,
+  CASE WHEN substr(p_name, 1, 1) = '*' THEN 'N' WHEN substr(p_name, 1, 1) = substr(p_type, 1, 1) THEN 'S' ELSE 'M' END AS mtype FROM part""")
+def mutation_class(spark: SparkSession, d: str) -> DataFrame:
+    ref, alt = F.substring("p_type", 1, 1), F.substring("p_name", 1, 1)
+    return T.table(spark, d, "part").select("p_partkey", F.concat(ref, F.col("p_size").cast("string"), alt).alias("change"), C.mutation_class(ref, alt).alias("mtype"))
+
+
+_FOLD = "translate(regexp_replace(lower(text), '[^a-z]', ''{g}), 'abcdefghijklmnopqrstuvwxyz', 'acgtacgtacgtacgtacgtacgtac')"
+_CODON_VALUES = ", ".join(f"('{c}', '{a}')" for c, a in K.CODONS.items())
+
+
+@query(f"""WITH c AS (SELECT doc_id, unnest(regexp_extract_all({_FOLD.format(g=", 'g'")}, '...')) AS codon FROM documents)
+SELECT doc_id, aa, count(*) AS n FROM c JOIN (VALUES {_CODON_VALUES}) t(codon, aa) USING (codon) GROUP BY ALL""")
+def codon_translate(spark: SparkSession, d: str) -> DataFrame:
+    codons = F.explode(F.regexp_extract_all(F.expr(_FOLD.format(g="")), F.lit("..."), F.lit(0))).alias("codon")
+    counted = T.table(spark, d, "documents").select("doc_id", codons).groupBy("doc_id", "codon").agg(F.count("*").alias("n"))
+    return counted.withColumn("aa", C.translate_codon(F.col("codon"))).groupBy("doc_id", "aa").agg(F.sum("n").alias("n"))
+
+
+@query("""SELECT doc_id, substr(text, (pos - 1)::INT, 3) AS abc, count(*) AS n FROM documents JOIN (SELECT l_orderkey % 200 AS doc_id, 5 + l_partkey % 40 AS pos FROM lineitem) USING (doc_id)
+WHERE n_chars >= 50 AND length(text) >= 50 AND regexp_matches(substr(text, 1, 50), '^[a-zA-Z ,.]*$') GROUP BY ALL""".replace("AS abc", "AS raw"))
+def genome_context(spark: SparkSession, d: str) -> DataFrame:
+    chunk = 16
+    docs = T.table(spark, d, "documents").filter("n_chars >= 50 AND length(text) >= 50").filter(F.substring("text", 1, 50).rlike("^[a-zA-Z ,.]*$"))
+    pieces = docs.select(F.col("doc_id").alias("chrom"), "text", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk_id"))
+    genome = pieces.select("chrom", "chunk_id", F.substring("text", F.col("chunk_id") * chunk + 1, F.lit(chunk + 2)).alias("seq"))
+    muts = T.table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("chrom"), (5 + F.col("l_partkey") % 40).alias("pos"))
+    rows = mapping.context(muts, genome, F.col("pos") - 2, 3, "abc", chunk)
+    return rows.join(docs.select(F.col("doc_id").alias("chrom"), "text"), "chrom").select(
+        F.col("chrom").alias("doc_id"), F.substring("text", (F.col("pos") - 1).cast("int"), F.lit(3)).alias("raw"), "abc"
+    ).filter(F.lower("raw") == F.col("abc")).groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
+
+
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT DISTINCT event_type AS i FROM events), m AS (SELECT user_id, event_type AS i, count(*) AS n FROM events GROUP BY 1, 2),
+g AS (SELECT user_id, i, coalesce(n, 0) AS q FROM u CROSS JOIN r LEFT JOIN m USING (user_id, i)),
+q AS (SELECT user_id, user_id % 10 AS team, i, q / sum(q) OVER (PARTITION BY user_id)::DOUBLE AS q FROM g),
+h AS (SELECT team, i, median(q) AS q FROM q GROUP BY 1, 2)
+SELECT team, i, round(q / sum(q) OVER (PARTITION BY team), 9) AS w FROM h""")
+def spectrum_probs(spark: SparkSession, d: str) -> DataFrame:
+    e = T.table(spark, d, "events")
+    one = F.lit("s").alias("structure")
+    residues = e.select(one, F.col("event_type").alias("i")).distinct()
+    channels = residues.select("structure", "i", F.col("i").alias("channel"), F.lit(1).alias("mult"))
+    counts = e.groupBy(F.col("user_id").alias("patient"), F.col("event_type").alias("channel")).agg(F.count("*").alias("n"))
+    people = e.select(one, F.col("user_id").alias("patient"), F.format_string("team%d", F.col("user_id") % 10).alias("i")).distinct()
+    q = nullmodel.patient_probabilities(residues, channels, counts, people)
+    flat = residues.withColumn("weight", F.lit(1.0))
+    found = nullmodel.mutation_probabilities(people, q, flat)
+    return found.select(F.regexp_replace("site", "team", "").cast("long").alias("team"), "i", F.round("w", 9).alias("w"))
+
+
+@query("""SELECT c_custkey, coalesce(split_part(c_name, '#', 1), 'NA') AS gene, max(o_orderpriority) AS symbol, count(o_orderkey) AS n FROM customer LEFT JOIN orders ON c_custkey = o_custkey GROUP BY 1, 2""")
+def metadata_left_join(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "customer").join(T.table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left")
+    name = F.coalesce(F.split_part("c_name", F.lit("#"), F.lit(1)), F.lit("NA")).alias("gene")
+    return rows.groupBy("c_custkey", name).agg(F.max("o_orderpriority").alias("symbol"), F.count("o_orderkey").alias("n"))
+
+
+@query("""WITH ids AS (SELECT o_custkey AS accession, o_orderkey AS id, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS n FROM orders),
+g AS (SELECT DISTINCT l_orderkey AS id FROM lineitem WHERE l_quantity > 48)
+SELECT accession, arg_max('g' || id, n) AS last_symbol, arg_min('g' || id, n) AS first_symbol FROM ids JOIN g USING (id) GROUP BY 1""")
+def gene_symbols(spark: SparkSession, d: str) -> DataFrame:
+    meta = T.table(spark, d, "orders").groupBy(F.col("o_custkey").alias("accession")).agg(F.array_sort(F.collect_list("o_orderkey")).alias("entrez"))
+    genes = T.table(spark, d, "lineitem").filter("l_quantity > 48").select(F.col("l_orderkey").alias("entrez_id")).distinct()
+    genes = genes.withColumn("symbol", F.concat(F.lit("g"), F.col("entrez_id").cast("string")))
+    last = summarize.gene_symbols(meta, genes).withColumnRenamed("symbol", "last_symbol")
+    return last.join(summarize.gene_symbols(meta, genes, first=True).withColumnRenamed("symbol", "first_symbol"), "accession")
+
+
+@query("""WITH n AS (SELECT event_type AS pdb, user_id % 50 AS resnum, count(DISTINCT user_id) AS n FROM events GROUP BY 1, 2), l AS (SELECT *, least(ln(n::DOUBLE), 4e0) AS v FROM n)
+SELECT pdb, resnum, n, coalesce(round(CASE WHEN max(v) OVER w > 0 THEN 100 * v / max(v) OVER w END) / 100, 0e0) AS color FROM l WINDOW w AS (PARTITION BY pdb)""")
+def color_scale(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "events").select(
+        F.col("event_type").alias("pdb"), F.lit("A").alias("chain"), (F.col("user_id") % 50).alias("resnum"), F.lit("M").alias("mtype"), F.lit("t").alias("ttype"), F.col("user_id").alias("sample")
+    )
+    return interface.residue_counts(rows).select("pdb", "resnum", "n", "color")
+
+
+@query("""WITH m AS (SELECT l_suppkey AS c, l_orderkey AS line, count(*) AS n, max(l_discount) * 100 AS identity FROM lineitem GROUP BY 1, 2)
+SELECT c, arg_max(line, n * 1e9 + line) AS largest, arg_max(line, n * identity * 1e9 - line) AS best FROM m GROUP BY 1""")
+def map_choice(spark: SparkSession, d: str) -> DataFrame:
+    maps = T.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("pdb_chain"), F.col("l_orderkey").alias("line")).agg(
+        F.collect_list("l_linenumber").alias("resmap"), (F.max("l_discount") * 100).alias("identity")
+    )
+    large = interface.largest_map(maps).select("pdb_chain", F.col("line").alias("largest"))
+    return large.join(interface.best_map(maps).select("pdb_chain", F.col("line").alias("best")), "pdb_chain").withColumnRenamed("pdb_chain", "c")
+
+
+@query("""SELECT p_partkey, CASE WHEN p_partkey % 4 = 0 THEN 'd' WHEN p_partkey % 4 = 1 THEN 'D' WHEN p_partkey % 4 = 2 THEN 'R' ELSE 'L' END AS partner_kind FROM part
+WHERE NOT (p_partkey % 4 = 3 AND p_size <= 25)""")
+def partner_kinds(spark: SparkSession, d: str) -> DataFrame:
+    k = F.col("p_partkey") % 4
+    label = F.when(k == 0, "A_0_DNA").when(k == 1, "A,B_0_DNA/RNA").when(k == 2, "A_0_RNA").otherwise("A_1_X")
+    rows = T.table(spark, d, "part").select("p_partkey", label.alias("c2"), F.when(F.col("p_size") <= 25, "SO4").otherwise("ATP").alias("u2"))
+    return interface.partner_rows(rows).select("p_partkey", "partner_kind")
+
+
+@query("""WITH c AS (SELECT user_id AS sample, sum(value > 50)::BIGINT AS mut_count FROM events GROUP BY 1),
+w AS (SELECT *, avg(log10(mut_count)) OVER () AS m, stddev_pop(log10(mut_count)) OVER () AS sd, count(*) OVER () AS n, row_number() OVER (ORDER BY mut_count, sample) - 1 AS r FROM c WHERE mut_count > 0)
+SELECT sample, mut_count, round(r / n::DOUBLE, 9) AS rank_score, round(CASE WHEN mut_count - m > 0 AND sd > 0 AND log10(mut_count - m) <> 0 THEN sd / log10(mut_count - m) END, 6) AS zlog_score FROM w""")
+def ptm_weights(spark: SparkSession, d: str) -> DataFrame:
+    ptm = T.table(spark, d, "events").select(F.col("user_id").alias("patient"), (F.col("value") > 50).cast("int").alias("value"))
+    found = spectra.frequency_weights(spectra.ptm_counts(ptm).filter("mut_count > 0"), group=None, clamp=False)
+    return found.withColumns({"rank_score": F.round("rank_score", 9), "zlog_score": F.round("zlog_score", 6)})
+
+
+@query()
+def cluster_structures(spark: SparkSession, d: str) -> DataFrame:
+    return summarize.representatives(T.part_ranges(spark, d), "brand")
+
+
+@query()
+def nested_merge(spark: SparkSession, d: str) -> DataFrame:
+    rows = T.table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("string").alias("uniprot"), F.col("l_orderkey").cast("string").alias("key")).agg(
+        F.array_sort(F.collect_set(F.col("l_linenumber"))).alias("residues")
+    )
+    rows = rows.withColumns({"partner_kind": F.lit("L"), "pdb": F.col("key"), "ligand": F.concat(F.lit("x"), F.size("residues").cast("string"))})
+    return interface.merge_nested(rows)
+
+
+@query()
+def adaptive_null(spark: SparkSession, d: str) -> DataFrame:
+    points = T.points(spark, d).withColumn("v", F.when(F.col("i") % 10 == 0, F.col("v")))
+    return nullmodel.structure_test(points, "label", options=nullmodel.Draws(max_draws=5000))
+
+
+@query()
+def spectrum_null(spark: SparkSession, d: str) -> DataFrame:
+    points = T.points(spark, d).withColumn("v", F.when(F.col("i") % 25 == 0, F.col("v")))
+    sites = points.filter("v IS NOT NULL").select("label", F.col("i").alias("site"))
+    vectors = sites.join(points.select("label", "i", (1 / (1 + F.abs("x"))).alias("w")), "label")
+    return nullmodel.structure_test(points, "label", options=nullmodel.Draws(max_draws=2000), vectors=vectors)
+
+
+@query()
+def interface_null(spark: SparkSession, d: str) -> DataFrame:
+    base = T.points(spark, d).select(F.col("label").cast("string").alias("pdb"), F.when(F.col("i") % 2 == 0, "A").otherwise("B").alias("chain"), F.col("i").alias("resnum"), "x", "y", "z", F.when(F.col("i") % 7 == 0, F.col("v")).alias("w"))
+    contacts = base.filter("resnum % 25 < 2").select("pdb", F.lit("P").alias("kind"), F.lit("A").alias("c1"), F.lit("B").alias("c2"), F.when(F.col("chain") == "A", 0).otherwise(1).alias("side"), "resnum")
+    edges = interface.with_band(contacts, base, 2.0)
+    return interface.interface_test(base.select("pdb", "chain", "resnum", "w"), edges, nullmodel.Draws(max_draws=4000, batch=2000))
