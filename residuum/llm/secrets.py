@@ -114,13 +114,20 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sampl
     )
     size = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
-    counts = {kind: [[0.5] * size for _ in ALPHABET] for kind in (True, False)}
+    counts = {kind: [[0] * size for _ in ALPHABET] for kind in (True, False)}
     for row in counted:
         counts[row["random"]][place[row["pair"][0]]][place[row["pair"][1]]] += row["count"]
-    logs = {k: [[math.log(x / sum(line)) for x in line] for line in m] for k, m in counts.items()}
+    logs = {kind: _log_transitions(m) for kind, m in counts.items()}
     return [round(a - b, 6) for x, y in zip(logs[True], logs[False]) for a, b in zip(x, y)]
 
 
+def _log_transitions(counts: list[list[int]], backing: float = 10.0) -> list[list[float]]:
+    """Log transition probabilities, smoothed towards the characters' own frequencies."""
+    column = [sum(line[j] for line in counts) + 0.5 for j in range(len(counts))]
+    share = [c / sum(column) for c in column]
+    return [[math.log((x + backing * share[j]) / (sum(line) + backing)) for j, x in enumerate(line)] for line in counts]
+
+
 def llr(token: Column, ratios: Column) -> Column:
     """Mean log-likelihood ratio per character pair."""
     at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
@@ -138,13 +145,15 @@ def scan(
     text_col: str = "text",
     sample_docs: int = 2000,
     threshold: float = 0.7,
+    train_on: DataFrame | None = None,
 ) -> DataFrame:
     """``docs`` with ``base`` and ``found``: arrays of spans, base ones and all, in order.
 
     :param sample_docs: bound of the labelled sample of documents.
+    :param train_on: documents to take the sample from, ``docs`` if not given.
     :param threshold: mean log-likelihood ratio from which a token is a secret.
     """
-    ratios = F.from_json(F.lit(json.dumps(train(docs, id_col, text_col, sample_docs))), "array<double>")
+    ratios = F.from_json(F.lit(json.dumps(train(docs if train_on is None else train_on, id_col, text_col, sample_docs))), "array<double>")
     text = F.coalesce(docs[text_col], F.lit(""))
     out = docs.withColumn("base", base_spans(text)).withColumn("_token", _matches(text, TOKEN, "markov"))
     likely = F.filter("_token", lambda s: llr(s["value"], ratios) >= threshold)
