@@ -93,7 +93,7 @@ class BoundedCache:
         if len(young) + len(wanted) > self.limit:
             self.old, self.young = old, young = young, {}
         missing = []
-        for word in wanted - young.keys():
+        for word in [w for w in wanted if w not in young]:
             value = old.get(word)
             if value is None:
                 missing.append(word)
