@@ -141,7 +141,8 @@ def fragments(spark: SparkSession, path: str) -> DataFrame:
     )
     chains = F.explode(F.split(F.regexp_extract("molecule", r"CHAIN:\s*([^;]+)", 1), r",\s*"))
     text = F.nullif(F.trim(F.regexp_extract("molecule", r"FRAGMENT:\s*([^;]+)", 1)), F.lit(""))
-    return parts.select("pdb", F.trim(chains).alias("chain"), F.coalesce(text, F.lit("NA")).alias("fragment")).filter("chain <> ''")
+    rows = parts.select("pdb", chains.alias("chain"), F.coalesce(text, F.lit("NA")).alias("fragment"))
+    return rows.withColumn("chain", F.trim("chain")).filter("chain <> ''")
 
 
 def coverage(spark: SparkSession, path: str) -> DataFrame:
