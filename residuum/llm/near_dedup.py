@@ -28,6 +28,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -35,15 +36,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import BoundedCache, Staged, text_bytes
+from residuum.llm.common import Staged, slices, text_bytes
 from residuum.llm.components import components
 
 _PART = 4096  # counters in a row of the counting sketch
 _BUCKETS = 512
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_words = BoundedCache(
-    600_000, lambda words: [int.from_bytes(hashlib.blake2b(w, digest_size=8).digest(), "little") for w in words]
-)
+_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2 ** 64
+_WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -53,18 +53,60 @@ def _mix(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
+
+
+@lru_cache(maxsize=1)
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse."""
+    out = []
+    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
+        steps = np.full(n, base, np.uint64)
+        steps[0] = 1
+        out.append(np.multiply.accumulate(steps))
+    return out[0], out[1]
+
+
+def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Hash and first byte of each word of ``raw``: a polynomial over bytes, from prefix sums."""
+    if not raw:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    buf = np.frombuffer(raw, np.uint8)
+    inside = np.zeros(len(buf) + 2, np.int8)
+    inside[1:-1] = ~_WHITE[buf]
+    edge = np.diff(inside)
+    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    power, inverse = _powers(max(1 << 20, 1 << len(raw).bit_length()))
+    total = np.zeros(len(buf) + 1, np.uint64)
+    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
+    return _mix((total[ends] - total[starts]) * inverse[starts]), starts
+
+
+def shingle_sets(texts: list[str | None], size: int, limit: int = 500_000) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its ``size``-word shingles."""
+    for begin, end in slices(texts, limit):
+        raws = [text_bytes(t).lower() for t in texts[begin:end]]
+        h, starts = _word_hashes(b" ".join(raws))
+        places = np.cumsum([0, *(len(r) + 1 for r in raws)])
+        bounds = np.searchsorted(starts, places)
+        joined = h[: max(0, len(h) - size + 1)].copy()
+        for i in range(1, size):
+            joined = _mix(joined * _MULTIPLIER + h[i : len(h) - size + 1 + i])
+        joined = _mix(joined)
+        for b, e in zip(bounds[:-1], bounds[1:]):
+            if e - b >= size:
+                yield np.unique(joined[b : e - size + 1])
+            elif e > b:  # too few words: all of them are one shingle
+                short = h[b : b + 1].copy()
+                for i in range(b + 1, e):
+                    short = _mix(short * _MULTIPLIER + h[i : i + 1])
+                yield _mix(short)
+            else:
+                yield np.empty(0, np.uint64)
+
+
 def shingles(text: str | None, size: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of the text's ``size``-word shingles."""
-    words = text_bytes(text).lower().split()
-    if not words:
-        return np.empty(0, np.uint64)
-    known = _words.look_up(set(words))
-    h = np.array([known[w] for w in words], np.uint64)
-    width = min(size, len(h))
-    out = h[: len(h) - width + 1].copy()
-    for i in range(1, width):
-        out = _mix(out * _MULTIPLIER + h[i : len(h) - width + 1 + i])
-    return np.unique(_mix(out))
+    return next(shingle_sets([text], size))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
@@ -80,8 +122,7 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
         empty = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             ns, digests, buckets = [], [], []
-            for text in batch["text"].to_pylist():
-                s = shingles(text, size)
+            for s in shingle_sets(batch["text"].to_pylist(), size):
                 np.add.at(counts, (s & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
                 ns.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
@@ -313,8 +354,8 @@ def near_groups(
     def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             value, doc, n, pos = [], [], [], []
-            for i, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                s = keys(shingles(text, shingle_words))
+            found = shingle_sets(batch["text"].to_pylist(), shingle_words)
+            for i, s in zip(batch["doc_id"].to_pylist(), map(keys, found)):
                 k = retained(len(s), percent)
                 value.append(s[:k])
                 doc.append(np.full(k, i, np.int64))
@@ -326,7 +367,7 @@ def near_groups(
 
     def ordered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [keys(shingles(t, shingle_words)).tobytes() for t in batch["text"].to_pylist()]
+            sets = [keys(s).tobytes() for s in shingle_sets(batch["text"].to_pylist(), shingle_words)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "values"])
 
     gone = copies.select("doc_id").distinct()
