@@ -28,7 +28,6 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
-from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -38,37 +37,15 @@ from pyspark.sql import functions as F
 
 from residuum.llm.common import Staged, slices, text_bytes
 from residuum.llm.components import components
+from residuum.llm.rolling import MULTIPLIER, Rolling, mix
 
 _PART = 4096  # counters in a row of the counting sketch
 _BUCKETS = 512
-_MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
-_BASE = 0xD6E8FEB86659FD93  # odd, so it has an inverse modulo 2 ** 64
 _WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
-def _mix(x: np.ndarray) -> np.ndarray:
-    """The splitmix64 finaliser."""
-    x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
-
-
-_BYTE = _mix(np.arange(1, 257, dtype=np.uint64) * _MULTIPLIER)
-
-
-@lru_cache(maxsize=1)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """Powers of the base and of its inverse."""
-    out = []
-    for base in (_BASE, pow(_BASE, -1, 1 << 64)):
-        steps = np.full(n, base, np.uint64)
-        steps[0] = 1
-        out.append(np.multiply.accumulate(steps))
-    return out[0], out[1]
-
-
 def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word of ``raw``: a polynomial over bytes, from prefix sums."""
+    """Hash and first byte of each word of ``raw``."""
     if not raw:
         return np.empty(0, np.uint64), np.empty(0, np.int64)
     buf = np.frombuffer(raw, np.uint8)
@@ -76,10 +53,7 @@ def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
     inside[1:-1] = ~_WHITE[buf]
     edge = np.diff(inside)
     starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    power, inverse = _powers(max(1 << 20, 1 << len(raw).bit_length()))
-    total = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * power[: len(buf)], out=total[1:])
-    return _mix((total[ends] - total[starts]) * inverse[starts]), starts
+    return Rolling(raw).hashes(starts, ends), starts
 
 
 def shingle_sets(texts: list[str | None], size: int, limit: int = 500_000) -> Iterator[np.ndarray]:
@@ -91,16 +65,16 @@ def shingle_sets(texts: list[str | None], size: int, limit: int = 500_000) -> It
         bounds = np.searchsorted(starts, places)
         joined = h[: max(0, len(h) - size + 1)].copy()
         for i in range(1, size):
-            joined = _mix(joined * _MULTIPLIER + h[i : len(h) - size + 1 + i])
-        joined = _mix(joined)
+            joined = mix(joined * MULTIPLIER + h[i : len(h) - size + 1 + i])
+        joined = mix(joined)
         for b, e in zip(bounds[:-1], bounds[1:]):
             if e - b >= size:
                 yield np.unique(joined[b : e - size + 1])
             elif e > b:  # too few words: all of them are one shingle
                 short = h[b : b + 1].copy()
                 for i in range(b + 1, e):
-                    short = _mix(short * _MULTIPLIER + h[i : i + 1])
-                yield _mix(short)
+                    short = mix(short * MULTIPLIER + h[i : i + 1])
+                yield mix(short)
             else:
                 yield np.empty(0, np.uint64)
 

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import exact_dedup, html_extract, near_dedup, packing, quality, secrets, sentencepiece_codec, token_counts, token_ids
+from residuum.llm import exact_dedup, html_extract, near_dedup, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, token_ids
 from residuum.llm.common import read_table
 
 
@@ -37,6 +37,10 @@ def op3_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
+def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.removal_digests(read_table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
     return token_ids.digests(token_ids.pack_ids(docs, tokenizer_file("word_bpe_49k.json")))
@@ -79,6 +83,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_html_extract": op1_html_extract,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_packing": op3_packing,
+        "op4_suffix_dedup": op4_suffix_dedup,
         "op5_token_ids": op5_token_ids,
         "op6_sentencepiece": op6_sentencepiece,
         "op7_near_dedup": op7_near_dedup,
