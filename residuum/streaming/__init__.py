@@ -1,0 +1 @@
+"""No operator of this library is a streaming one: every input is a closed table."""
