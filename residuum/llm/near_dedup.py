@@ -30,7 +30,6 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -119,15 +118,16 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
 def _classes(survey: DataFrame, bits: int) -> np.ndarray:
     """For each counter the class of its count: the number of its binary digits."""
 
-    def add(pdf: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(_PART, np.uint64)
-        for block in pdf["counts"]:
-            total += np.frombuffer(block, np.uint32)
-        kind = np.ceil(np.log2(total.astype(float) + 1)).astype(np.uint8)
-        return pd.DataFrame({"part": pdf["part"].iloc[:1], "classes": [kind.tobytes()]})
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}  # at most 2 ** bits counters
+        for batch in batches:
+            for part, block in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
+                total.setdefault(part, np.zeros(_PART, np.uint64))
+                total[part] += np.frombuffer(block, np.uint32)
+        kinds = [np.ceil(np.log2(t.astype(float) + 1)).astype(np.uint8).tobytes() for t in total.values()]
+        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(kinds, pa.binary())], ["part", "classes"])
 
-    # A part holds one small row per task of the survey.
-    parts = survey.filter("part IS NOT NULL").select("part", "counts").groupBy("part").applyInPandas(add, "part int, classes binary")
+    parts = survey.filter("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(add, "part int, classes binary")
     out = np.zeros(1 << bits, np.uint8)
     for row in parts.collect():  # at most 2 ** bits bytes
         out[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(row["classes"], np.uint8)
