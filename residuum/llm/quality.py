@@ -135,7 +135,7 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
 
     A document is found again by its identifier and so by all its rows: of
     repeated identifiers with unlike texts every one must pass. Rows without an
-    identifier are dropped.
+    identifier cannot be found again and stay.
     """
     gone = judge(docs, id_col, text_col, host_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.filter(docs[id_col].isNotNull()).join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
