@@ -16,8 +16,10 @@ def parser() -> argparse.ArgumentParser:
     top = argparse.ArgumentParser(prog="residuum")
     steps = top.add_subparsers(dest="step", required=True)
     prep = steps.add_parser("prep", help="map mutations to residues; weights and spectra of samples")
-    for name in ("mutations", "gene-map", "genome", "proteins", "out"):
-        prep.add_argument(f"--{name}", required=True)
+    for name in ("mutations", "gene-map", "genome", "proteins"):
+        prep.add_argument(f"--{name}")
+    prep.add_argument("--ptm", help="a table of modification sites instead of mutations")
+    prep.add_argument("--out", required=True)
     test = steps.add_parser("test", help="score structures against a null model")
     for name in ("sites", "maps", "atoms", "out"):
         test.add_argument(f"--{name}", required=True)
@@ -36,6 +38,13 @@ def parser() -> argparse.ArgumentParser:
 
 
 def prep(spark: SparkSession, a: argparse.Namespace) -> None:
+    if a.ptm:
+        ptm = readers.ptm_sites(spark, a.ptm)
+        writers.by_protein(mapping.ptm_rows(ptm), f"{a.out}/sites")
+        spectra.frequency_weights(spectra.ptm_counts(ptm), group=None, clamp=False).write.parquet(f"{a.out}/weights")
+        return
+    if not (a.mutations and a.gene_map and a.genome and a.proteins):
+        raise SystemExit("prep needs --ptm, or --mutations, --gene-map, --genome and --proteins")
     muts = readers.mutations(spark, a.mutations)
     genome = readers.genome(spark, a.genome)
     mapped = mapping.to_residues(muts, readers.gene_map(spark, a.gene_map), genome, readers.proteins(spark, a.proteins))

@@ -109,3 +109,42 @@ def ptm_rows(ptm: DataFrame) -> DataFrame:
         F.concat(F.lit("p."), F.col("site_position").cast("string")).alias("change"), F.col("site_position").alias("site"), "mtype",
         F.col("value").cast("double").alias("value"),
     )
+
+
+def residue_positions(genes: DataFrame) -> DataFrame:
+    """``uniprot, gene, chrom, strand, site, pos``: every coding base (1-based) and its residue.
+
+    The same arithmetic as in :func:`to_residues`, for all bases of all exons;
+    excluded positions are left out.
+    """
+    cut = genes.select("uniprot", "gene", "chrom", "strand", "blocks", "excluded", F.posexplode("exons").alias("k", "exon"))
+    cut = cut.withColumn("p0", F.explode(F.sequence(F.col("exon.s"), F.col("exon.e") - 1)))
+    cut = cut.filter(~F.array_contains("excluded", F.col("p0")))
+    off = F.when(F.col("strand") == "+", F.col("p0") - F.col("exon.s")).otherwise(F.col("exon.e") - F.col("p0") - 1)
+    begin = F.get("blocks", F.col("k"))["a0"]
+    site = begin["aa"] + F.floor(off / 3) + F.floor((begin["phase"] + off % 3) / 3) + 1
+    return cut.select("uniprot", "gene", "chrom", "strand", site.cast("int").alias("site"), (F.col("p0") + 1).alias("pos"))
+
+
+def residue_codons(positions: DataFrame, genome: DataFrame, proteins: DataFrame, chunk: int = 65536) -> DataFrame:
+    """``uniprot, gene, site, strand, codon, ctx`` of residues with three bases that translate to the protein's.
+
+    ``ctx`` holds the genomic trinucleotides around the codon's bases, both in
+    the order of translation.
+    """
+    rows = context(positions, genome, F.col("pos") - 2, 3, "abc", chunk)
+    found = rows.groupBy("uniprot", "gene", "site", "strand").agg(F.array_sort(F.collect_list(F.struct("pos", "abc"))).alias("b"))
+    plus = F.col("strand") == "+"
+    found = found.filter(F.size("b") == 3).withColumn("b", F.when(plus, F.col("b")).otherwise(F.reverse("b")))
+    middle = F.array_join(F.transform("b", lambda x: F.substring(x["abc"], 2, 1)), "")
+    codon = F.when(plus, middle).otherwise(F.translate(middle, "acgt", "tgca"))
+    found = found.withColumns({"codon": codon, "ctx": F.transform("b", lambda x: x["abc"])}).join(proteins, "uniprot")
+    right = C.translate_codon(F.col("codon")) == F.substring(F.col("seq"), F.col("site"), F.lit(1))
+    return found.filter(right).select("uniprot", "gene", "site", "strand", "codon", "ctx")
+
+
+def first_gene(rows: DataFrame) -> DataFrame:
+    """Rows of one gene model per protein, the one that starts first on its chromosome."""
+    order = rows.groupBy("uniprot", "gene").agg(F.min(F.struct("chrom", "pos")).alias("at"))
+    chosen = order.groupBy("uniprot").agg(F.min_by("gene", F.struct("at", "gene")).alias("gene"))
+    return rows.join(chosen, ["uniprot", "gene"], "left_semi")

@@ -110,3 +110,51 @@ def test_readers_and_writers(spark, tmp_path):
     (tmp_path / "meta.tsv").write_text("accession\tgene_names\tentrez\tlength\nP1\tABC DEF\t5; 7\t100\n")
     row = readers.gene_metadata(spark, str(tmp_path / "meta.tsv"), {"P1": 641}).first()
     assert row.entrez == [5, 7] and row.length == 641
+
+
+def test_positions_and_codons_invert_the_mapping(spark, files):
+    genes, genome = readers.gene_map(spark, str(files / "genes.tsv")), readers.genome(spark, str(files / "genome.fa"), 8)
+    proteins = readers.proteins(spark, str(files / "proteins.fa"))
+    positions = mapping.residue_positions(genes)
+    for r in positions.collect():
+        found = reference(r.pos, "a", r.strand)
+        assert found is None or found[0] == r.site
+    codons = {(r.uniprot, r.site): r for r in mapping.residue_codons(positions, genome, proteins, 8).collect()}
+    assert {k[1] for k in codons if k[0] == "PLUS"} == {1, 2, 3, 4, 5}
+    for (name, site), r in codons.items():
+        coding = CODING if name == "PLUS" else turned(CODING)
+        assert r.codon == coding[3 * site - 3 : 3 * site] and all(len(x) == 3 for x in r.ctx)
+    assert mapping.first_gene(positions).select("gene").distinct().count() == 2
+
+
+def two_bit(sequences):
+    """A file as the format's description has it."""
+    import struct
+
+    head, records = struct.pack("<4I", 0x1A412743, 0, len(sequences), 0), []
+    at = 16 + sum(5 + len(n) for n in sequences)
+    for name, seq in sequences.items():
+        def runs(test):
+            marks = [test(c) for c in seq] + [False]
+            starts = [i for i in range(len(seq)) if marks[i] and (i == 0 or not marks[i - 1])]
+            sizes = [next(k for k in range(i, len(marks)) if not marks[k]) - i for i in starts]
+            return struct.pack(f"<I{2 * len(starts)}I", len(starts), *starts, *sizes)
+
+        codes = ["TCAG".index(c.upper()) if c.upper() in "TCAG" else 0 for c in seq] + [0] * (-len(seq) % 4)
+        packed = bytes(codes[i] << 6 | codes[i + 1] << 4 | codes[i + 2] << 2 | codes[i + 3] for i in range(0, len(codes), 4))
+        record = struct.pack("<I", len(seq)) + runs(lambda c: c in "Nn") + runs(str.islower) + struct.pack("<I", 0) + packed
+        head += bytes([len(name)]) + name.encode() + struct.pack("<I", at)
+        records.append(record)
+        at += len(record)
+    return head + b"".join(records)
+
+
+def test_two_bit_source(spark, tmp_path):
+    from residuum.sources.twobit import TwoBit
+
+    sequences = {"chr1": "ACGTNNNNacgtTTGCA", "chrM": "ggA"}
+    (tmp_path / "g.2bit").write_bytes(two_bit(sequences))
+    spark.dataSource.register(TwoBit)
+    rows = spark.read.format("twobit").option("chunk", 5).option("per_task", 2).load(str(tmp_path / "g.2bit")).collect()
+    got = {(r.chrom, r.chunk_id): r.seq for r in rows}
+    assert got == {(n, k): s[5 * k : 5 * k + 7] for n, s in sequences.items() for k in range(-(-len(s) // 5))}
