@@ -9,11 +9,12 @@ so the sketches lose no link; common shingles are retained only by documents
 made of little else, so the inverted lists stay short.
 
 1. Equal sets are merged by digest; one stands for all.
-2. Each inverted list pairs its members with the first one. Pairs must pass size
-   and position bounds, and a bound from bucket counts of the sets.
+2. A short inverted list gives its pairs, a long one pairs each member with the
+   first. Pairs must pass size and position bounds, and a bound from bucket counts
+   of the sets.
 3. The union of the two sketches bounds the difference of the sets; pairs within
    it are verified on full sets. Verified links form groups.
-4. Lists with the same first member are taken together. Their members that lie in
+4. Long lists with the same first member are taken together. Their members that lie in
    different groups are compared in blocks (many members over many tasks); only
    pairs that pass the bounds of sizes and buckets leave the task.
 5. The groups are the components of all verified links.
@@ -40,6 +41,7 @@ from residuum.llm.rolling import MULTIPLIER, Rolling, mix
 
 _PART = 4096  # counters in a row of the counting sketch
 _BUCKETS = 512
+_SHORT = 16  # a list of so many documents gives its pairs itself
 _WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
@@ -106,7 +108,8 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 [batch["doc_id"], pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.binary()),
                  empty(n, pa.int32()), empty(n, pa.binary())], names)
         parts = [p for p in range(len(counts) // _PART) if counts[p * _PART : (p + 1) * _PART].any()]
-        blocks = [counts[p * _PART : (p + 1) * _PART].tobytes() for p in parts]
+        small = np.minimum(counts, 255).astype(np.uint8)  # what is common stays common
+        blocks = [small[p * _PART : (p + 1) * _PART].tobytes() for p in parts]
         n = len(parts)
         yield pa.RecordBatch.from_arrays(
             [empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary()), empty(n, pa.binary()),
@@ -123,7 +126,7 @@ def _classes(survey: DataFrame, bits: int) -> np.ndarray:
         for batch in batches:
             for part, block in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
                 total.setdefault(part, np.zeros(_PART, np.uint64))
-                total[part] += np.frombuffer(block, np.uint32)
+                total[part] += np.frombuffer(block, np.uint8)
         kinds = [np.ceil(np.log2(t.astype(float) + 1)).astype(np.uint8).tobytes() for t in total.values()]
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(kinds, pa.binary())], ["part", "classes"])
 
@@ -156,42 +159,54 @@ def _room(na, nb, pa_, pb, percent: int):
 
 
 def _list_rows(percent: int):
-    """Of sorted postings: pairs with the first of each list (kind 0), members of lists of three or more (kind 1)."""
+    """Of sorted postings: pairs that pass the bounds of size and position (kind 0), members of long lists (kind 1).
 
-    def frame(kind: int, first, doc) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(doc), kind, np.int32)), pa.array(first), pa.array(doc)], ["kind", "a", "b"])
+    A list of up to ``_SHORT`` documents gives its own pairs; of a longer one each
+    member is paired with the first and listed under it.
+    """
+
+    def frame(kind: int, a, b) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int32)), pa.array(a), pa.array(b)], ["kind", "a", "b"])
+
+    def pairs(x: np.ndarray, y: np.ndarray) -> Iterator[pa.RecordBatch]:
+        keep = (x[1] != y[1]) & _near(x[2], y[2], percent)
+        x, y = x[:, keep], y[:, keep]
+        keep = _room(x[2], y[2], x[3], y[3], percent)
+        if keep.any():
+            yield frame(0, np.minimum(x[1], y[1])[keep], np.maximum(x[1], y[1])[keep])
+
+    def short(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for gap in range(1, _SHORT):
+            same = np.flatnonzero(rows[0, gap:] == rows[0, :-gap])
+            if not len(same):
+                return
+            yield from pairs(rows[:, same], rows[:, same + gap])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hub = None  # value, doc, n, pos of the list that may go on, and its rows so far
-        held: list[np.ndarray] = []  # its documents, while fewer than three
+        held = np.empty((4, 0), np.int64)  # the last list, while it is short
+        hub = None  # the first row of the last list, once it is long
         for batch in batches:
-            if not batch.num_rows:
+            rows = np.concatenate([held, np.stack([batch[c].to_numpy() for c in ("value", "doc_id", "n", "pos")])], 1)
+            if not rows.shape[1]:
                 continue
-            rows = np.stack([batch[c].to_numpy() for c in ("value", "doc_id", "n", "pos")])
-            value = rows[0]
-            begin = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-            size = np.diff(np.r_[begin, len(value)])
-            first = rows[:, np.repeat(begin, size)]
-            older = np.zeros(len(begin), np.int64)
-            on = hub is not None and hub[0][0] == value[0]
-            if on:
-                first[:, : size[0]] = hub[0][:, None]
-                older[0] = hub[1]
-            pair = rows[1] != first[1]
-            pair &= _near(rows[2], first[2], percent) & _room(rows[2], first[2], rows[3], first[3], percent)
-            if pair.any():
-                yield frame(0, first[1][pair], rows[1][pair])
-            long = np.repeat(size + older >= 3, size)
-            if on and older[0] < 3 <= older[0] + size[0]:
-                before = np.concatenate(held)
-                yield frame(1, np.full(len(before), hub[0][1]), before)
-            if long.any():
-                yield frame(1, first[1][long], rows[1][long])
-            last = begin[-1]
-            goes_on = on and len(begin) == 1
-            count = int(size[-1] + older[-1])
-            held = [] if count >= 3 else (held if goes_on else []) + [rows[1, last:].copy()]
-            hub = (hub[0] if goes_on else rows[:, last].copy(), count)
+            begin = np.flatnonzero(np.r_[True, rows[0, 1:] != rows[0, :-1]])
+            size = np.diff(np.r_[begin, rows.shape[1]])
+            first = rows[:, begin]
+            long = size > _SHORT
+            if hub is not None and hub[0] == rows[0, 0]:
+                first[:, 0], long[0] = hub, True
+            waits = not long[-1]
+            held = rows[:, begin[-1] :] if waits else rows[:, :0]
+            hub = None if waits else first[:, -1].copy()
+            in_long = np.repeat(long, size)
+            done = ~in_long
+            done[begin[-1] :] = False
+            yield from short(rows[:, done])
+            if in_long.any():
+                own = np.repeat(first, size, axis=1)[:, in_long]
+                yield from pairs(own, rows[:, in_long])
+                yield frame(1, own[1], rows[1, in_long])
+        yield from short(held)
 
     return run
 
@@ -297,7 +312,7 @@ def near_groups(
     percent: int = 80,
     id_col: str = "doc_id",
     text_col: str = "text",
-    sketch_bits: int = 20,
+    sketch_bits: int = 24,
     block_rows: int = 1024,
     broadcast_rows: int = 1_000_000,
 ) -> DataFrame:

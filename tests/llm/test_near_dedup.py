@@ -1,5 +1,7 @@
 import random
 
+import numpy as np
+import pyarrow as pa
 import pytest
 
 from residuum.llm import near_dedup
@@ -54,6 +56,26 @@ def test_dense_group_in_small_blocks(spark):
     assert got(frame, shingle_words=2, percent=80, block_rows=16, broadcast_rows=3, sketch_bits=14) == expected
 
 
+def test_list_rows_do_not_depend_on_batches():
+    rng = np.random.default_rng(0)
+    sizes = [1, 3, 17, 2, 40, 16, 1]
+    value = np.repeat(np.arange(len(sizes)), sizes)
+    rows = [value, np.concatenate([np.sort(rng.choice(100, s, replace=False)) for s in sizes]), np.full(len(value), 50), np.full(len(value), 2)]
+    names = ["value", "doc_id", "n", "pos"]
+
+    def found(step):
+        batches = (pa.RecordBatch.from_arrays([pa.array(r[b : b + step]) for r in rows], names) for b in range(0, len(value), step))
+        return sorted(x for b in near_dedup._list_rows(80)(batches) for x in zip(*(b[c].to_pylist() for c in b.schema.names)))
+
+    assert found(100) == found(1) == found(5)
+    pairs = {(a, b) for kind, a, b in found(100) if kind == 0}
+    for v, s in enumerate(sizes):
+        ids = rows[1][value == v].tolist()
+        wanted = {(ids[0], x) for x in ids[1:]} if s > 16 else {(x, y) for k, x in enumerate(ids) for y in ids[k + 1 :]}
+        assert wanted <= pairs
+    assert sum(kind for kind, _, _ in found(100)) == 57
+
+
 def test_edges(odd, nothing):
     rows = near_dedup.near_groups(odd).collect()
     assert len(rows) == odd.count()
