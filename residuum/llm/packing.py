@@ -163,7 +163,7 @@ def pack(
     bins: int = 256,
     depth: int = 3,
     end_id: int = 1,
-    group_pieces: int = 50_000,
+    group_pieces: int = 10_000,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:

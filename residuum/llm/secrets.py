@@ -68,17 +68,16 @@ def _outside(spans: Column, base: Column) -> Column:
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """``token, random``: ordinary tokens of at most ``sample_docs`` documents, and as many made at random.
+    """``token, random``: ordinary tokens of about ``sample_docs`` documents, and as many made at random.
 
-    The documents with the least hashes of their identifiers are taken.
+    A document is taken if the hash of its identifier is low enough for the share
+    wanted, so no task sees more than its own part.
     """
     spark = docs.sparkSession
-    chosen = (
-        docs.select(F.xxhash64(docs[id_col], F.lit("secrets")).alias("h"), docs[text_col].alias("text"))
-        .filter(F.col("text").isNotNull())
-        .orderBy("h")
-        .limit(sample_docs)
-    )
+    known = docs.filter(docs[text_col].isNotNull())
+    share = sample_docs / max(known.count(), sample_docs, 1)
+    low = F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
+    chosen = known.filter(F.xxhash64(docs[id_col], F.lit("secrets")) <= low).select(docs[text_col].alias("text"))
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
     ordinary = chosen.select(F.explode(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9+/_-]{4,}"), F.lit(0))).alias("token"))
     digest = F.sha2(F.col("id").cast("string"), 512)
@@ -149,7 +148,7 @@ def scan(
 ) -> DataFrame:
     """``docs`` with ``base`` and ``found``: arrays of spans, base ones and all, in order.
 
-    :param sample_docs: bound of the labelled sample of documents.
+    :param sample_docs: expected size of the labelled sample of documents, all if there are fewer.
     :param train_on: documents to take the sample from, ``docs`` if not given.
     :param threshold: mean log-likelihood ratio from which a token is a secret.
     """

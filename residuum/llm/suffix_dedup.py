@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from residuum.llm.common import Staged, text_bytes
 from residuum.llm.rolling import Rolling
 
-GRAM = 16
+GRAM = 24
 _CHUNK = 2_000_000  # rows that a task settles among themselves before it passes them on
 
 
@@ -120,18 +120,30 @@ def _gram_rows(length: int):
     return run
 
 
+def _columns(batch: pa.RecordBatch, *names: str) -> np.ndarray:
+    return np.stack([batch[c].to_numpy().astype(np.int64) for c in names])
+
+
+def _dealt(rows: DataFrame, key: str, *order: str) -> DataFrame:
+    """Open rows in the order of their ranks; rows that are settled lie anywhere, spread by document."""
+    place = F.when(F.col("kind") == 0, F.xxhash64("doc")).otherwise(F.col(key))
+    return rows.withColumn("place", place).repartition("place").drop("place").sortWithinPartitions(key, *order)
+
+
 def _answer_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of sorted asking and telling rows: the documents whose gram is in another one."""
+    """Of sorted rows: the documents whose gram is in another one."""
     held = np.empty((3, 0), np.int64)
     for batch in batches:
-        rows = np.concatenate([held, np.stack([batch[c].to_numpy().astype(np.int64) for c in ("rank", "doc", "kind")])], 1)
-        if not rows.shape[1]:
-            continue
-        at = _runs(rows[0])
-        # A rank has a row or two for each task and chunk before; the last one may go on.
-        cut = at[-1]
-        yield from _repeated(rows[:, :cut])
-        held = rows[:, cut:]
+        rows = _columns(batch, "rank", "doc", "kind")
+        known = rows[2] == 0
+        if known.any():
+            yield _batch(doc=rows[1, known], a=rows[0, known])
+        rows = np.concatenate([held, rows[:, ~known]], 1)
+        if rows.shape[1]:
+            # A rank has a row or two for each task and chunk before; the last one may go on.
+            cut = _runs(rows[0])[-1]
+            yield from _repeated(rows[:, :cut])
+            held = rows[:, cut:]
     yield from _repeated(held)
 
 
@@ -142,7 +154,7 @@ def _repeated(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         several = (np.minimum.reduceat(doc, at) != np.maximum.reduceat(doc, at)) | (np.maximum.reduceat(kind, at) == 2)
         pick = several[_spread(at, len(rank))] & (kind == 1)
         if pick.any():
-            yield _batch(doc=doc[pick], a=rank[pick], b=np.zeros(pick.sum(), np.int64))
+            yield _batch(doc=doc[pick], a=rank[pick])
 
 
 def _with_texts(docs: DataFrame, side: DataFrame) -> DataFrame:
@@ -205,7 +217,11 @@ def _settle_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
     held = np.empty((4, 0), np.int64)
     several_before = head_before = None  # of the gram that goes on: more than one span; its last span and that one's first document
     for batch in batches:
-        rows = np.concatenate([held, np.stack([batch[c].to_numpy() for c in ("gram", "span", "doc", "at")])], 1)
+        rows = _columns(batch, "gram", "span", "doc", "at", "kind")
+        known = rows[4] == 0
+        if known.any():
+            yield _batch(kind=np.zeros(known.sum(), np.int32), doc=rows[2, known], a=rows[3, known], b=rows[0, known])
+        rows = np.concatenate([held, rows[:4, ~known]], 1)
         if not rows.shape[1]:
             continue
         gram, span, doc, at = rows
@@ -244,7 +260,7 @@ def _string_rows(length: int):
                     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     starts = np.repeat(first, count) + inner
                     string = Rolling(raw).hashes(starts, starts + length)
-                    yield _signed(string), np.repeat(gram, count).astype(np.int32), np.full(len(starts), doc, np.int64), starts
+                    yield _signed(string), np.repeat(gram, count), np.full(len(starts), doc, np.int64), starts
 
         for string, gram, doc, at in _chunks(rows()):
             order = np.lexsort((doc, gram, string))
@@ -260,9 +276,13 @@ def _settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Of strings sorted by ``string, gram, doc``: those that a smaller document has."""
     before = None
     for batch in batches:
-        if not batch.num_rows:
+        rows = _columns(batch, "string", "gram", "doc", "at", "kind")
+        known = rows[4] == 0
+        if known.any():
+            yield _batch(doc=rows[2, known], a=rows[3, known] * 64 + 1)
+        string, gram, doc, at, _ = rows[:, ~known]
+        if not len(doc):
             continue
-        string, gram, doc, at = (batch[c].to_numpy() for c in ("string", "gram", "doc", "at"))
         start = _runs(string, gram)
         head = doc[start].copy()
         if before is not None and (string[0], gram[0]) == before[:2]:
@@ -270,7 +290,7 @@ def _settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
         before = (string[-1], gram[-1], head[-1])
         covered = doc > head[_spread(start, len(doc))]
         if covered.any():
-            yield _batch(doc=doc[covered], at=at[covered] * 64 + 1)
+            yield _batch(doc=doc[covered], a=at[covered] * 64 + 1)
 
 
 def removed_runs(at: np.ndarray, length: int) -> np.ndarray:
@@ -301,29 +321,17 @@ def covered_strings(docs: DataFrame, staged: Staged, length: int) -> list[DataFr
         _release(spark)
         return out
 
-    grams = step(known.mapInArrow(_gram_rows(length), "kind int, rank long, doc long"))
-    asked = grams.filter("kind > 0").repartition("rank").sortWithinPartitions("rank")
-    found = step(asked.mapInArrow(_answer_grams, "doc long, a long, b long"))
-    repeated = grams.filter("kind = 0").select("doc", F.col("rank").alias("a"), F.lit(0).cast("long").alias("b")).unionByName(found)
-
-    spans = step(_with_texts(known, repeated).mapInArrow(_span_rows(length), "kind int, gram long, span long, doc long, at long"))
-    staged.drop(grams)
-    staged.drop(found)
-    opened = spans.filter("kind = 1").select("gram", "span", "doc", "at").repartition("gram").sortWithinPartitions("gram", "span", "doc")
-    settled = step(opened.mapInArrow(_settle_spans, "kind int, doc long, a long, b long"))
-    covered = step(spans.filter("kind = 0").select("doc", F.col("at").alias("a")).unionByName(settled.filter("kind = 0").select("doc", "a")))
-    staged.drop(spans)
-
-    strings = step(
-        _with_texts(known, settled.filter("kind = 1").select("doc", "a", "b")).mapInArrow(
-            _string_rows(length), "kind int, string long, gram int, doc long, at long"
-        )
-    )
-    staged.drop(settled)
-    order = ["string", "gram", "doc"]
-    last = strings.filter("kind = 1").select(*order, "at").repartition("string").sortWithinPartitions(*order)
-    late = step(last.mapInArrow(_settle_strings, "doc long, at long").withColumnRenamed("at", "a"))
-    return [covered, strings.filter("kind = 0").select("doc", (F.col("at") * 64 + 1).alias("a")), late]
+    grams = known.mapInArrow(_gram_rows(length), "kind int, rank long, doc long")
+    repeated = step(_dealt(grams, "rank").mapInArrow(_answer_grams, "doc long, a long").withColumn("b", F.lit(0).cast("long")))
+
+    spans = _with_texts(known, repeated).mapInArrow(_span_rows(length), "kind int, gram long, span long, doc long, at long")
+    settled = step(_dealt(spans, "gram", "span", "doc").mapInArrow(_settle_spans, "kind int, doc long, a long, b long"))
+    staged.drop(repeated)
+
+    opened = settled.filter("kind = 1").select("doc", "a", "b")
+    strings = _with_texts(known, opened).mapInArrow(_string_rows(length), "kind int, string long, gram long, doc long, at long")
+    late = step(_dealt(strings, "string", "gram", "doc").mapInArrow(_settle_strings, "doc long, a long"))
+    return [settled.filter("kind = 0").select("doc", "a"), late]
 
 
 def remove_repeats(
@@ -340,7 +348,7 @@ def remove_repeats(
     rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     staged = Staged(docs.sparkSession, "suffix-dedup")
     parts = covered_strings(rows, staged, length)
-    side = parts[0].unionByName(parts[1]).unionByName(parts[2]).withColumn("b", F.lit(0).cast("long"))
+    side = parts[0].unionByName(parts[1]).withColumn("b", F.lit(0).cast("long"))
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
