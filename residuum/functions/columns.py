@@ -81,6 +81,11 @@ def mutation_class(reference: Column, alternative: Column) -> Column:
     return F.when(alternative == "*", "N").when(alternative == reference, "S").otherwise("M")
 
 
+def type_prefix(ttype: Column) -> Column:
+    """A tumour type without what follows a hyphen."""
+    return F.split_part(ttype, F.lit("-"), F.lit(1))
+
+
 def zlog(count: Column, mean: Column, sd: Column, clamp: bool = True) -> Column:
     """``1 / max(1, log10(count - mean) / sd)``, with a defined value at every edge.
 

@@ -256,3 +256,41 @@ def residue_counts(muts: DataFrame, least: int = 1, ttype: str | None = None) ->
         rows = rows.filter(F.col("ttype").startswith(ttype))
     counts = rows.groupBy("pdb", "chain", "resnum").agg(F.count_distinct("ttype", "sample").alias("n")).filter(F.col("n") >= least)
     return counts.withColumn("color", C.color_value(F.col("n"), ["pdb"]))
+
+
+def chosen_maps(maps: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
+    """the maps named by ``pdb_chain, u1, first`` in ``fixed``, else only native ones."""
+    if fixed is None:
+        return maps.filter((F.col("attrs") == "-") | (F.col("u2") == "-"))
+    first = F.get("resmap", F.lit(0))["u"]
+    return maps.withColumn("first", first).join(fixed, ["pdb_chain", "u1", "first"], "left_semi").drop("first")
+
+
+def chain_residues(maps: DataFrame) -> DataFrame:
+    """``pdb, chain, resnum, uniprot, u`` of the largest map of each chain."""
+    chain = F.split("pdb_chain", "-")
+    rows = largest_map(maps).select("pdb_chain", "u1", F.explode("resmap").alias("r"))
+    return rows.select(
+        F.get(chain, F.lit(0)).alias("pdb"), F.get(chain, F.lit(1)).alias("chain"), F.col("r.p").alias("resnum"),
+        F.col("u1").alias("uniprot"), F.col("r.u").alias("u"),
+    )
+
+
+def chain_mutations(residues: DataFrame, sites: DataFrame, weights: DataFrame | None = None) -> DataFrame:
+    """``pdb, chain, resnum, w`` of mutated residues; weights are looked up by the type's prefix."""
+    rows = sites.filter(F.col("site").isNotNull()).withColumn("ttype", C.type_prefix(F.col("ttype")))
+    if weights is not None:
+        missing = F.raise_error(F.concat_ws(" ", F.lit("no weight for"), "ttype", "sample")).cast("double")
+        rows = rows.join(weights.select("ttype", "sample", "zlog_score"), ["ttype", "sample"], "left").withColumn("w", F.coalesce("zlog_score", missing))
+    else:
+        rows = rows.withColumn("w", F.lit(1.0))
+    mass = rows.groupBy("uniprot", F.col("site").alias("u")).agg(F.sum("w").alias("w"))
+    return residues.join(mass, ["uniprot", "u"]).select("pdb", "chain", "resnum", "w")
+
+
+def mass_lists(edges: DataFrame, muts: DataFrame) -> DataFrame:
+    """``residue_mass`` lists of each side, by residue."""
+    rows = edges.join(muts, ["pdb", "chain", "resnum"]).groupBy("pdb", "kind", "c1", "c2", "side", "resnum").agg(F.sum("w").alias("w"))
+    text = F.format_string("%d_%.2f", "resnum", "w")
+    listed = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("resnum", text.alias("t"))))), lambda x: x["t"]), ";")
+    return rows.groupBy("pdb", "kind", "c1", "c2").agg(listed(0).alias("masses1"), listed(1).alias("masses2"))

@@ -137,6 +137,26 @@ def test_interface_masses(spark):
     assert interface.interface_mass(edges, residues.filter("w IS NOT NULL").select("pdb", "chain", "resnum", "w")).first().mass == 6.0
 
 
+def test_chain_maps_and_mutations(spark):
+    pairs = lambda n, shift: [{"u": u, "p": u + shift} for u in range(1, n)]
+    maps = spark.createDataFrame(
+        [("P", "-", "1abc-A", "-", pairs(4, 10), 1), ("P", "Q", "1abc-A", "pdb_identity:90", pairs(6, 20), 2), ("P", "Q", "1abc-B", "pdb_identity:90", pairs(3, 0), 3)],
+        "u1 string, u2 string, pdb_chain string, attrs string, resmap array<struct<u:int,p:int>>, line int",
+    )
+    fixed = spark.createDataFrame([("1abc-B", "P", 1)], "pdb_chain string, u1 string, first int")
+    assert [r.line for r in interface.chosen_maps(maps).collect()] == [1]
+    assert [r.line for r in interface.chosen_maps(maps, fixed).collect()] == [3]
+    residues = interface.chain_residues(maps)
+    sites = spark.createDataFrame([("T-x", "s", "P", 2), ("T", "s", "P", 2), ("T", "r", "P", None)], "ttype string, sample string, uniprot string, site int")
+    weights = spark.createDataFrame([("T", "s", 0.25)], "ttype string, sample string, zlog_score double")
+    muts = interface.chain_mutations(residues, sites, weights)
+    assert sorted(map(tuple, muts.collect())) == [("1abc", "A", 22, 0.5), ("1abc", "B", 2, 0.5)]
+    assert interface.chain_mutations(residues, sites).filter("chain = 'A'").first().w == 2.0
+    edges = spark.createDataFrame([("1abc", "P", "A", "B", 0, "A", 22), ("1abc", "P", "A", "B", 1, "B", 2)], "pdb string, kind string, c1 string, c2 string, side int, chain string, resnum int")
+    row = interface.mass_lists(edges, muts).first()
+    assert (row.masses1, row.masses2) == ("22_0.50", "2_0.50")
+
+
 def test_listed_mass(spark):
     assert spark.range(1).select(interface.listed_mass(F.lit("3_1.50;7_0.25")).alias("m")).first().m == 1.75
 
