@@ -42,8 +42,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents")
-    return token_ids.digests(token_ids.pack_ids(docs, tokenizer_file("word_bpe_49k.json")))
+    return token_ids.pack_digests(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

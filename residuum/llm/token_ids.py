@@ -15,6 +15,7 @@ null identifiers are written like others; an empty table gives no rows.
 from __future__ import annotations
 
 import zlib
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -78,17 +79,10 @@ def fill_windows(lengths: list[int], window: int) -> list[list[int]]:
     return windows
 
 
-def pack_ids(
-    docs: DataFrame,
-    tokenizer_path: str,
-    window: int = 2048,
-    end_id: int = 1,
-    pad_id: int = 0,
-    group_tokens: int = 2_000_000,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-) -> DataFrame:
-    """One row per window: ``row_id``, segments, ids and positions (little-endian 32-bit)."""
+def _windows(tokenizer_path: str, window: int, end_id: int, pad_id: int, group_tokens: int):
+    """The work of a task: Arrow batches of texts to Arrow batches of windows."""
+
+    count, padding = np.arange(window, dtype="<u4").tobytes(), np.full(window, pad_id, "<u4").tobytes()
 
     def emit(pieces: list[tuple], first: int) -> pa.RecordBatch:
         rows = []
@@ -96,9 +90,9 @@ def pack_ids(
             parts = [pieces[i] for i in members]
             lengths = [len(p[2]) // 4 for p in parts]
             pad = window - sum(lengths)
-            ids = b"".join([p[2] for p in parts]) + np.full(pad, pad_id, "<u4").tobytes()
-            positions = np.concatenate([np.arange(n, dtype="<u4") for n in [*lengths, pad]]).tobytes()
-            ends = np.concatenate([[0], np.cumsum(lengths)]).tolist()
+            ids = b"".join([p[2] for p in parts]) + padding[: 4 * pad]
+            positions = b"".join([count[: 4 * n] for n in [*lengths, pad]])
+            ends = [0, *accumulate(lengths)]
             rows.append((first + len(rows), [p[0] for p in parts], [p[1] for p in parts], ends, ids, positions))
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
         names = ["row_id", "doc_ids", "starts", "cu_seqlens", "ids", "positions"]
@@ -120,8 +114,26 @@ def pack_ids(
         if pieces:
             yield emit(pieces, first)
 
-    source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-    return source.mapInArrow(run, _ROWS)
+    return run
+
+
+def _source(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
+
+
+def pack_ids(
+    docs: DataFrame,
+    tokenizer_path: str,
+    window: int = 2048,
+    end_id: int = 1,
+    pad_id: int = 0,
+    group_tokens: int = 2_000_000,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+) -> DataFrame:
+    """One row per window: ``row_id``, segments, ids and positions (little-endian 32-bit)."""
+    run = _windows(tokenizer_path, window, end_id, pad_id, group_tokens)
+    return _source(docs, id_col, text_col).mapInArrow(run, _ROWS)
 
 
 def write_packed(docs: DataFrame, path: str, tokenizer_path: str, **options) -> None:
@@ -135,16 +147,26 @@ def read_matrix(packed: DataFrame, window: int = 2048):
         yield row["row_id"], np.frombuffer(row["ids"], "<u4").reshape(window)
 
 
+_DIGESTS = "row_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids_crc32 long, positions_crc32 long"
+
+
+def _digest(batches):
+    for b in batches:
+        crc = [pa.array([zlib.crc32(x.as_buffer()) for x in b[c]], pa.int64()) for c in ("ids", "positions")]
+        names = [c.split()[0] for c in _DIGESTS.split(", ")]
+        yield pa.RecordBatch.from_arrays([b["row_id"], b["doc_ids"], b["starts"], b["cu_seqlens"], *crc], names)
+
+
+def _with_length(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("n_tokens", F.element_at("cu_seqlens", -1).cast("long"))
+
+
 def digests(packed: DataFrame) -> DataFrame:
     """The windows with the two matrices replaced by their CRC-32."""
+    return _with_length(packed.mapInArrow(_digest, _DIGESTS))
 
-    def run(batches):
-        for b in batches:
-            crc = [pa.array([zlib.crc32(x) for x in b[c].to_pylist()], pa.int64()) for c in ("ids", "positions")]
-            yield pa.RecordBatch.from_arrays(
-                [b["row_id"], b["doc_ids"], b["starts"], b["cu_seqlens"], *crc],
-                ["row_id", "doc_ids", "starts", "cu_seqlens", "ids_crc32", "positions_crc32"],
-            )
-
-    schema = "row_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids_crc32 long, positions_crc32 long"
-    return packed.mapInArrow(run, schema).withColumn("n_tokens", F.element_at("cu_seqlens", -1).cast("long"))
+
+def pack_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """:func:`digests` of :func:`pack_ids`, in the task that packs, so the matrices need not leave it."""
+    run = _windows(tokenizer_path, 2048, 1, 0, 2_000_000)
+    return _with_length(_source(docs, id_col, text_col).mapInArrow(lambda batches: _digest(run(batches)), _DIGESTS))

@@ -85,6 +85,8 @@ def test_packed_ids_round_trip(docs, corpus, odd, nothing, spark, tmp_path):
     for i, text, *_ in corpus:
         assert np.concatenate([found[i][s] for s in sorted(found[i])]).tolist() == ids_of(text).tolist()
     assert sum(r.n_tokens for r in token_ids.digests(packed).collect()) == sum(len(ids_of(c[1])) for c in corpus)
+    both = [token_ids.digests(token_ids.pack_ids(docs, WORDS)), token_ids.pack_digests(docs, WORDS)]
+    assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
     assert token_ids.pack_ids(nothing, WORDS).count() == 0
     assert sum(len(r.doc_ids) for r in token_ids.pack_ids(odd, WORDS).collect()) == odd.count()
     assert len(list(token_ids.read_matrix(packed, 256))) == packed.count()
