@@ -29,6 +29,7 @@ from __future__ import annotations
 
 import gc
 import hashlib
+import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -306,9 +307,14 @@ def removed_runs(at: np.ndarray, length: int) -> np.ndarray:
 
 
 def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of plans that are no longer used."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark delete the shuffle files of finished steps now, not when the driver happens to collect garbage.
+
+    The first collection may come while listeners still hold the step's plan.
+    """
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(1)
 
 
 def covered_strings(docs: DataFrame, staged: Staged, length: int) -> list[DataFrame]:
