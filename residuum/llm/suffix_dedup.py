@@ -21,7 +21,8 @@ Before each shuffle a task settles what its own rows show, so a string that a
 third of all documents share reaches a later task as one row per earlier task.
 
 Null text is empty. Documents without an identifier lose nothing and give nothing
-to others. Rows that repeat an identifier are taken as copies of one text. An
+to others. Rows that repeat an identifier are taken as copies of one text; a text has less
+than 1 GB. An
 empty table gives an empty result; extra columns are ignored.
 """
 
@@ -41,6 +42,7 @@ from residuum.llm.common import Staged, text_bytes
 from residuum.llm.rolling import Rolling
 
 GRAM = 24
+_LOW = (1 << 32) - 1
 _CHUNK = 2_000_000  # rows that a task settles among themselves before it passes them on
 
 
@@ -251,7 +253,11 @@ def _settle_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
 
 def _string_rows(length: int):
-    """Of texts with their open spans: ``string, gram, doc, at`` of each string."""
+    """Of texts with their open spans: ``string, doc, pack`` of each string.
+
+    ``pack`` holds 32 bits of the gram's rank, the start (30 bits) and the kind,
+    in that order, so that the shuffle carries three numbers a row.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple[np.ndarray, ...]]:
@@ -268,7 +274,7 @@ def _string_rows(length: int):
             string, gram, doc, at = string[order], gram[order], doc[order], at[order]
             start = _runs(string, gram)
             covered = doc > doc[start][_spread(start, len(doc))]
-            yield _batch(kind=np.where(covered, 0, 1).astype(np.int32), string=string, gram=gram, doc=doc, at=at)
+            yield _batch(string=string, doc=doc, pack=(gram & _LOW) << 31 | at << 1 | ~covered)
 
     return run
 
@@ -277,11 +283,13 @@ def _settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     """Of strings sorted by ``string, gram, doc``: those that a smaller document has."""
     before = None
     for batch in batches:
-        rows = _columns(batch, "string", "gram", "doc", "at", "kind")
-        known = rows[4] == 0
+        rows = _columns(batch, "string", "doc", "pack")
+        known = rows[2] & 1 == 0
+        start = rows[2] >> 1 & (1 << 30) - 1
         if known.any():
-            yield _batch(doc=rows[2, known], a=rows[3, known] * 64 + 1)
-        string, gram, doc, at, _ = rows[:, ~known]
+            yield _batch(doc=rows[1, known], a=start[known] * 64 + 1)
+        string, doc, gram = rows[0, ~known], rows[1, ~known], rows[2, ~known] >> 31
+        at = start[~known]
         if not len(doc):
             continue
         start = _runs(string, gram)
@@ -335,8 +343,10 @@ def covered_strings(docs: DataFrame, staged: Staged, length: int) -> list[DataFr
     staged.drop(repeated)
 
     opened = settled.filter("kind = 1").select("doc", "a", "b")
-    strings = _with_texts(known, opened).mapInArrow(_string_rows(length), "kind int, string long, gram long, doc long, at long")
-    late = step(_dealt(strings, "string", "gram", "doc").mapInArrow(_settle_strings, "doc long, a long"))
+    strings = _with_texts(known, opened).mapInArrow(_string_rows(length), "string long, doc long, pack long")
+    place = F.when(F.col("pack") % 2 == 0, F.xxhash64("doc")).otherwise(F.col("string"))
+    dealt = strings.repartition(place).sortWithinPartitions("string", F.shiftright("pack", 31), "doc")
+    late = step(dealt.mapInArrow(_settle_strings, "doc long, a long"))
     return [settled.filter("kind = 0").select("doc", "a"), late]
 
 
