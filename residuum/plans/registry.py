@@ -419,6 +419,24 @@ def genome_context(spark: SparkSession, d: str) -> DataFrame:
     ).filter(F.lower("raw") == F.col("abc")).groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
 
 
+@query("""WITH r AS (SELECT min(doc_id) AS lo, max(doc_id) - min(doc_id) + 1 AS n_ids FROM documents),
+m AS (SELECT lo + l_orderkey % n_ids AS doc_id, l_orderkey * 7919 + l_partkey * 104729 + l_linenumber AS h FROM lineitem, r)
+SELECT doc_id, lower(substr(text, (h % (length(text) - 2) + 1)::INT, 3)) AS abc, count(*) AS n FROM documents JOIN m USING (doc_id) WHERE length(text) >= 3 GROUP BY ALL""")
+def genome_context_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole texts as chromosomes, and mutations over all of their ids and positions."""
+    chunk = 4096
+    docs = T.table(spark, d, "documents").filter(F.length("text") >= 3).select(F.col("doc_id").alias("chrom"), "text", F.length("text").alias("size"))
+    pieces = docs.select("chrom", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk))).alias("chunk_id"))
+    genome = pieces.select("chrom", "chunk_id", F.substring("text", (F.col("chunk_id") * chunk + 1).cast("int"), F.lit(chunk + 2)).alias("seq"))
+    ids = T.table(spark, d, "documents").agg(F.min("doc_id").alias("lo"), (F.max("doc_id") - F.min("doc_id") + 1).alias("n_ids"))
+    drawn = F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber")
+    muts = T.table(spark, d, "lineitem").crossJoin(F.broadcast(ids))  # one row
+    muts = muts.select((F.col("lo") + F.col("l_orderkey") % F.col("n_ids")).alias("chrom"), drawn.alias("h"))
+    muts = muts.join(docs.select("chrom", "size"), "chrom").select("chrom", (F.col("h") % (F.col("size") - 2)).alias("at"))
+    rows = mapping.context(muts, genome, F.col("at"), 3, "abc", chunk)
+    return rows.groupBy(F.col("chrom").alias("doc_id"), "abc").agg(F.count("*").alias("n"))
+
+
 @query("""WITH u AS (SELECT DISTINCT user_id FROM events), r AS (SELECT DISTINCT event_type AS i FROM events), m AS (SELECT user_id, event_type AS i, count(*) AS n FROM events GROUP BY 1, 2),
 g AS (SELECT user_id, i, coalesce(n, 0) AS q FROM u CROSS JOIN r LEFT JOIN m USING (user_id, i)),
 q AS (SELECT user_id, user_id % 10 AS team, i, q / sum(q) OVER (PARTITION BY user_id)::DOUBLE AS q FROM g),
