@@ -69,14 +69,23 @@ def residue_centroids(residues: DataFrame, atoms: DataFrame) -> DataFrame:
 
 
 def least_atom_distance(residues: DataFrame, atoms: DataFrame) -> DataFrame:
-    """``structure, i, j, d2`` for ``i > j`` from the nearest atoms."""
+    """``structure, i, j, d2`` for ``i > j`` from the nearest atoms.
+
+    The atoms of a residue, a fixed few, are one array, so that a pair is one row;
+    one side is dealt into parts and the other repeated for each, which spreads a
+    large structure over tasks.
+    """
     chain = F.split(F.col("pdb_chain"), "-")
     rows = residues.withColumns({"pdb": F.get(chain, F.lit(0)), "chain": F.get(chain, F.lit(1))})
-    rows = rows.join(atoms.withColumnRenamed("resnum", "p"), ["pdb", "chain", "p"]).select("structure", "i", "x", "y", "z")
-    a, b = rows.alias("a"), rows.alias("b")
-    near = F.min(C.squared_distance([F.col(f"a.{c}") for c in "xyz"], [F.col(f"b.{c}") for c in "xyz"]))
-    pairs = a.join(b, (F.col("a.structure") == F.col("b.structure")) & (F.col("a.i") > F.col("b.i")))
-    return pairs.groupBy(F.col("a.structure").alias("structure"), F.col("a.i").alias("i"), F.col("b.i").alias("j")).agg(near.alias("d2"))
+    rows = rows.join(atoms.withColumnRenamed("resnum", "p"), ["pdb", "chain", "p"])
+    rows = rows.groupBy("structure", "i").agg(F.collect_list(F.struct("x", "y", "z")).alias("at"))
+    parts = 16
+    a = rows.withColumn("part", F.pmod(F.hash("i"), F.lit(parts))).alias("a")
+    b = rows.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))).alias("b")
+    pairs = a.join(b, (F.col("a.structure") == F.col("b.structure")) & (F.col("a.part") == F.col("b.part")) & (F.col("a.i") > F.col("b.i")))
+    apart = lambda p, q: C.squared_distance([p[c] for c in "xyz"], [q[c] for c in "xyz"])
+    near = F.array_min(F.transform("a.at", lambda p: F.array_min(F.transform("b.at", lambda q: apart(p, q)))))
+    return pairs.select(F.col("a.structure").alias("structure"), F.col("a.i").alias("i"), F.col("b.i").alias("j"), near.alias("d2"))
 
 
 def residue_pairs(points: DataFrame, group: str, index: str, coordinates: list[str], carry: list[str] = []) -> DataFrame:

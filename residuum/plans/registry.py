@@ -86,6 +86,18 @@ def min_atom_distance(spark: SparkSession, d: str) -> DataFrame:
     return structure.least_atom_distance(residues, atoms).select("i", "j", F.round("d2", 6).alias("d2"))
 
 
+@query(f"""WITH {_ATOMS}
+SELECT a.label, a.i, b.i AS j, round(min({_D2}), 6) AS d2 FROM atoms a JOIN atoms b ON a.label = b.label AND a.i > b.i GROUP BY ALL""")
+def min_atom_distance_all(spark: SparkSession, d: str) -> DataFrame:
+    """The least distances inside every structure."""
+    name = F.col("label").cast("string")
+    atoms = _atoms(spark, d).select(name.alias("pdb"), F.lit("A").alias("chain"), F.col("i").alias("resnum"), "x", "y", "z")
+    residues = T.table(spark, d, "embeddings").select(
+        F.col("label").alias("structure"), F.concat(name, F.lit("-A")).alias("pdb_chain"), F.col("vec_id").alias("p"), F.col("vec_id").alias("i")
+    )
+    return structure.least_atom_distance(residues.distinct(), atoms).select(F.col("structure").alias("label"), "i", "j", F.round("d2", 6).alias("d2"))
+
+
 @query("""SELECT l_partkey, count(*) AS n, round(pow(count(*), 4) / (16e0 + pow(count(*), 4)), 9) AS weight FROM lineitem GROUP BY 1""")
 def hill_weights(spark: SparkSession, d: str) -> DataFrame:
     counts = T.table(spark, d, "lineitem").groupBy("l_partkey").agg(F.count("*").alias("n"))

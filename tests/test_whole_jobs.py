@@ -20,3 +20,14 @@ def test_context_of_whole_texts(spark, tmp_path):
     got = registry.queries()["genome_context_whole"](spark, str(tmp_path)).collect()
     assert {(r.doc_id, r.abc): r.n for r in got} == expected
     assert {doc for doc, _ in places} == {900, 901, 1203} and max(at for _, at in places) > 4096
+
+
+def test_least_distances_of_every_label(spark, tmp_path):
+    rows = [(n, n % 3 if n else None, [float((n * 7 + k * k) % 23) for k in range(12)]) for n in range(40)]
+    spark.createDataFrame(rows, "vec_id long, label int, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    atoms = lambda v: [v[k : k + 3] for k in range(0, 12, 3)]
+    apart = lambda a, b: min(sum((x - y) ** 2 for x, y in zip(p, q)) for p in atoms(a) for q in atoms(b))
+    expected = {(g, i, j): apart(v, w) for i, g, v in rows for j, h, w in rows if g is not None and g == h and i > j}
+    got = registry.queries()["min_atom_distance_all"](spark, str(tmp_path)).collect()
+    assert {(r.label, r.i, r.j): r.d2 for r in got} == expected
+    assert len(got) == len(expected) and {r.label for r in got} == {0, 1, 2}
