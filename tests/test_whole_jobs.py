@@ -1,5 +1,9 @@
 """Cases where queries once did less than the whole job."""
 
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from residuum.operators import spectra
 from residuum.plans import registry
 
 
@@ -31,3 +35,20 @@ def test_least_distances_of_every_label(spark, tmp_path):
     got = registry.queries()["min_atom_distance_all"](spark, str(tmp_path)).collect()
     assert {(r.label, r.i, r.j): r.d2 for r in got} == expected
     assert len(got) == len(expected) and {r.label for r in got} == {0, 1, 2}
+
+
+def test_no_task_ranks_a_whole_group(spark):
+    """Ranks of many equal counts are exact, and no range holds more than a few hundredths of them."""
+    rows = spark.range(20000).select(
+        F.when(F.col("id") % 7 == 0, "b").otherwise("a").alias("ttype"), F.format_string("s%d", "id").alias("sample"),
+        F.when(F.col("id") % 10 == 0, F.col("id") % 50).otherwise(1).alias("mut_count"),
+    ).filter("mut_count > 0")
+    for keys in (["ttype"], []):
+        order = [*keys, "mut_count", "sample"]
+        largest = spectra._bucket(rows, order).groupBy(*keys, "_b").count().agg(F.max("count")).first()[0]
+        assert largest < rows.count() / 20
+        got = spectra.frequency_weights(rows, keys[0] if keys else None)
+        w = Window.partitionBy(*keys)
+        rank = (F.row_number().over(w.orderBy("mut_count", "sample")) - 1) / F.count("*").over(w)
+        wrong = got.join(rows.withColumn("want", rank), "sample").filter("rank_score != want")
+        assert got.count() == rows.count() and wrong.count() == 0
