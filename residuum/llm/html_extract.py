@@ -59,12 +59,16 @@ ENDS = {
 CLOSES_P = BLOCK - {"html", "body", "caption", "tr", "legend"}
 _SCOPE = frozenset("table td th caption button template html".split())
 
+# As the HTML tokenizer does: a quote opens a string only directly after "=", and a tag ends at the
+# next ">" elsewhere. Possessive, so linear. A tag that the page's end cuts off is dropped.
+_PAIR = r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+"
+_PAIRS = "((?:[\\s/]++|" + re.sub(r"\((?=\[)", "(?:", _PAIR) + ")*+)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>?|"
-    r"<([a-zA-Z][^\s/>]*)((?:[^\"'>]|\"[^\"]*\"|'[^']*')*)>",
+    r"<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*+)" + re.sub(r"^\(", "(?:", _PAIRS) + r"(?:>|\Z)|"
+    r"<([a-zA-Z][^\s/>]*+)" + _PAIRS + r"(>|\Z)",
     re.S,
 )
-_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+_ATTRIBUTE = re.compile(_PAIR)
 _HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
@@ -144,6 +148,8 @@ def parse(html: str) -> Node:
             barrier = _SCOPE - {tag, "html"} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset(["table"]) - {tag}
             close_to(frozenset([tag]), barrier)
         elif found[2]:
+            if not found[4]:
+                break
             tag = found[2].lower()
             start(tag, _attributes(found[3]) if found[3].strip(" /") else {})
             if tag in RAW:
