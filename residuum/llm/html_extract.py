@@ -7,7 +7,11 @@ browsers do not show (head matter, scripts, templates), ``hidden`` attributes,
 ``display:none`` and ``visibility:hidden`` styles, and closed ``details`` apart
 from their summary. Block elements start new lines, paragraphs and headings are
 set apart by an empty line, list items get bullets or numbers with indentation,
-and the cells of a table are padded to common column widths.
+and the cells of a table are padded to common column widths. Formulas, labels of
+drawings, all options of choices and the contents of text areas are text.
+
+Elements may be nested to any depth. Inside 100 quotes, list items and tables
+indentation and columns stop growing; text, marks, lines and cells stay apart.
 
 Null or empty pages give an empty text. Pages of any length are read whole, in
 time linear in their length apart from tables. Repeated rows and null
@@ -19,7 +23,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Generator
 from html import unescape
+from typing import Any
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -30,9 +37,18 @@ from residuum.llm.common import map_batches
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes noscript".split())
 UNSEEN = frozenset(
-    "head title script style template noscript iframe object embed svg math audio video canvas "
-    "datalist select textarea noembed noframes meta link base param source track area".split()
+    "head title script style template noscript iframe object embed audio video canvas "
+    "datalist noembed noframes meta link base param source track area".split()
+)
+#: Inside svg and math: elements that show nothing, HTML that ends the drawing, and elements that hold HTML.
+UNDRAWN = {"svg": frozenset("desc metadata defs symbol clippath mask marker pattern".split()), "math": frozenset(["annotation", "annotation-xml"])}
+BREAKS_OUT = frozenset(
+    "b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu meta nobr ol p pre "
+    "ruby s small span strong strike sub sup table tt u ul var".split()
 )
+HOLDS_HTML = {"svg": frozenset(["foreignobject"]), "math": frozenset("mi mo mn ms mtext".split())}
+#: Elements set apart from their neighbours by a space.
+APART = frozenset("td th option optgroup mtd mtr mfrac text".split())
 BLOCK = frozenset(
     "html body address article aside blockquote center dd details dialog dir div dl dt fieldset figcaption figure "
     "footer form h1 h2 h3 h4 h5 h6 header hgroup hr legend li main menu nav ol p pre search section summary table "
@@ -57,7 +73,7 @@ ENDS = {
     "rp": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
 }
 CLOSES_P = BLOCK - {"html", "body", "caption", "tr", "legend"}
-_SCOPE = frozenset("table td th caption button template html".split())
+_SCOPE = frozenset("table td th caption button template html foreignobject".split())
 
 # As the HTML tokenizer does: a quote opens a string only directly after "=", and a tag ends at the
 # next ">" elsewhere. Possessive, so linear. A tag that the page's end cuts off is dropped.
@@ -74,10 +90,24 @@ _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
-    __slots__ = ("tag", "attrs", "children")
-
-    def __init__(self, tag: str, attrs: dict[str, str]):
-        self.tag, self.attrs, self.children = tag, attrs, []
+    #: ``space``: "" for HTML, "math", "svg" where text is not drawn, "label" in a text of a drawing, "none" if unseen
+    __slots__ = ("tag", "attrs", "children", "space")
+
+    def __init__(self, tag: str, attrs: dict[str, str], space: str = ""):
+        self.tag, self.attrs, self.children, self.space = tag, attrs, [], space
+
+
+def _space(tag: str, around: str) -> str:
+    if tag in ("svg", "math"):
+        return around if around == "none" else tag
+    if not around or around == "none":
+        return around
+    kind = "math" if around == "math" else "svg"
+    if tag in UNDRAWN[kind]:
+        return "none"
+    if tag in HOLDS_HTML[kind]:
+        return ""
+    return "label" if kind == "svg" and tag == "text" else around
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -91,16 +121,30 @@ def parse(html: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack = [root]
+    opened: Counter[str] = Counter()  # tags on the stack, to look only for those that are there
+
+    def cut(i: int) -> None:
+        opened.subtract(n.tag for n in stack[i:])
+        del stack[i:]
 
     def close_to(tags: frozenset, boundaries: frozenset) -> None:
+        if not any(opened[t] for t in tags):
+            return
         for i in range(len(stack) - 1, 0, -1):
             if stack[i].tag in tags:
-                del stack[i:]
+                cut(i)
                 return
             if stack[i].tag in boundaries:
                 return
 
-    def start(tag: str, attrs: dict[str, str]) -> None:
+    def text(value: str) -> None:
+        if stack[-1].space != "svg":
+            stack[-1].children.append(value)
+
+    def start(tag: str, attrs: dict[str, str], closed: bool = False) -> None:
+        if tag in BREAKS_OUT:
+            while stack[-1].space:
+                cut(-1)
         if tag in ("html", "body"):
             root.attrs.update({k: v for k, v in attrs.items() if k not in root.attrs})
             return
@@ -109,31 +153,32 @@ def parse(html: str) -> Node:
         if tag in ENDS:
             close_to(*ENDS[tag])
         if tag in ("td", "th"):  # implied row
-            inside = next((n.tag for n in reversed(stack) if n.tag in ("tr", "table")), None)
+            inside = next((n.tag for n in reversed(stack) if n.tag in ("tr", "table")), None) if opened["table"] else None
             if inside == "table":
                 start("tr", {})
         if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
-            stack.pop()
-        node = Node(tag, attrs)
+            cut(-1)
+        node = Node(tag, attrs, _space(tag, stack[-1].space))
         stack[-1].children.append(node)
-        if tag not in VOID:
+        if tag not in VOID and not (closed and (stack[-1].space or node.space)):
             stack.append(node)
+            opened[tag] += 1
 
     at = 0
     while at < len(html):
         mark = html.find("<", at)
         if mark < 0:
-            stack[-1].children.append(unescape(html[at:]))
+            text(unescape(html[at:]))
             break
         found = _TOKEN.match(html, mark)
         if found is None:  # a lone "<" is text
             after = html.find("<", mark + 1)
             after = len(html) if after < 0 else after
-            stack[-1].children.append(unescape(html[at:after]))
+            text(unescape(html[at:after]))
             at = after
             continue
         if mark > at:
-            stack[-1].children.append(unescape(html[at:mark]))
+            text(unescape(html[at:mark]))
         at = found.end()
         if found[1]:
             tag = found[1].lower()
@@ -142,7 +187,7 @@ def parse(html: str) -> Node:
             if tag == "br":
                 stack[-1].children.append(Node("br", {}))
                 continue
-            if tag == "p" and not any(n.tag == "p" for n in stack):
+            if tag == "p" and not opened["p"]:
                 stack[-1].children.append(Node("p", {}))
                 continue
             barrier = _SCOPE - {tag, "html"} if tag not in ("table", "tr", "tbody", "thead", "tfoot") else frozenset(["table"]) - {tag}
@@ -151,19 +196,20 @@ def parse(html: str) -> Node:
             if not found[4]:
                 break
             tag = found[2].lower()
-            start(tag, _attributes(found[3]) if found[3].strip(" /") else {})
-            if tag in RAW:
+            closed = found[3].endswith("/") and re.search(r"=\s*[^\s\"'>]+\Z", found[3]) is None
+            start(tag, _attributes(found[3]) if found[3].strip(" /") else {}, closed)
+            if tag in RAW and not (closed and stack[-1].space):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
                 until = end.start() if end else len(html)
                 body = html[at:until]
-                stack[-1].children.append(unescape(body) if tag in ("title", "textarea") else body)
+                text(unescape(body) if tag in ("title", "textarea") else body)
                 at = until
     return root
 
 
 def visible(node: Node) -> bool:
     attrs = node.attrs
-    if node.tag in UNSEEN or "hidden" in attrs:
+    if node.tag in UNSEEN or node.space == "none" or "hidden" in attrs:
         return False
     if node.tag == "input" or node.tag == "img":
         return False
@@ -183,6 +229,7 @@ class _Lines:
         self.lines: list[str] = []
         self.now: list[str] = []
         self.gap = False  # an empty line is due before the next text
+        self.mark = ""  # due before the next line
 
     def text(self, value: str) -> None:
         self.now.append(value)
@@ -208,6 +255,9 @@ class _Lines:
             self.lines.append("")
         self.gap = False
         self.lines.extend(lines)
+        if self.mark:
+            self.lines[-len(lines)] = self.mark + lines[0]
+            self.mark = ""
 
     def space(self) -> None:
         self.end_line()
@@ -236,19 +286,42 @@ def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
     return captions, rows
 
 
-def _table(table: Node, depth: int) -> list[str]:
+# The walk: each step yields the steps it needs done first, and ``_walk`` keeps them on a stack of its own,
+# so that no depth of a page exhausts Python's. ``level`` counts quotes, list items and tables around.
+Step = Generator[Any, list[str] | None, list[str] | None]
+_LEVELS = 100
+
+
+def _walk(step: Step) -> list[str] | None:
+    stack, value = [step], None
+    while stack:
+        try:
+            below = stack[-1].send(value)
+        except StopIteration as end:
+            stack.pop()
+            value = end.value
+        else:
+            stack.append(below)
+            value = None
+    return value
+
+
+def _table(table: Node, level: int) -> Step:
     captions, rows = _rows(table)
     out: list[str] = []
     for c in captions:
         part = _Lines()
-        _inline_or_block(c, part, depth)
+        if isinstance(c, str):
+            part.text(c)
+        else:
+            yield _inline_or_block(c, part, level)
         part.end_line()
         out += part.lines
     grid = []
     for cells in rows:
         line: list[list[str]] = []
         for c in cells:
-            line.append(_children(c, depth))
+            line.append((yield _children(c, level)))
             span = c.attrs.get("colspan", "")
             line += [[]] * (min(int(span), 100) - 1 if span.isdigit() and int(span) > 1 else 0)
         grid.append(line)
@@ -263,17 +336,28 @@ def _table(table: Node, depth: int) -> list[str]:
     return out
 
 
-_DEEP = 100  # deeper elements are rendered as inline text, so that no page exhausts the stack
+def _each(nodes: list[Node | str], out: _Lines, level: int) -> Step:
+    for child in nodes:
+        if isinstance(child, str):
+            out.text(child)
+        elif visible(child):
+            yield _inline_or_block(child, out, level)
 
 
-def _children(node: Node, depth: int) -> list[str]:
+def _children(node: Node, level: int) -> Step:
     lines = _Lines()
-    for child in node.children:
-        _inline_or_block(child, lines, depth + 1)
+    yield _each(node.children, lines, level)
     lines.end_line()
     return lines.lines
 
 
+def _shown(node: Node) -> list[Node | str]:
+    """The children of a node, only the summary in closed details."""
+    if node.tag == "details" and "open" not in node.attrs:
+        return [c for c in node.children if isinstance(c, Node) and c.tag == "summary"]
+    return node.children
+
+
 def _flat(node: Node) -> str:
     out, stack = [], [node]
     while stack:
@@ -281,64 +365,68 @@ def _flat(node: Node) -> str:
         if isinstance(x, str):
             out.append(x)
         elif visible(x):
-            out.append(" " if x.tag in BLOCK or x.tag == "br" else "")
-            stack.extend(reversed(x.children))
+            out.append(" " if x.tag in BLOCK or x.tag in APART or x.tag == "br" else "")
+            stack.extend(reversed(_shown(x)))
     return "".join(out)
 
 
-def _inline_or_block(node: Node | str, out: _Lines, depth: int) -> None:
-    if isinstance(node, str):
-        out.text(node)
-        return
+def _preformatted(text: str) -> list[str]:
+    return [x.rstrip() for x in text.strip("\n").split("\n")] if text.strip() else []
+
+
+def _inline_or_block(node: Node, out: _Lines, level: int) -> Step:
+    """Writes a visible element."""
     tag = node.tag
-    if not visible(node):
-        return
     if tag == "br":
         out.end_line()
         return
-    if depth > _DEEP:
-        out.text(f" {_flat(node)} ")
+    if tag == "textarea":
+        out.block(_preformatted("".join(x for x in node.children if isinstance(x, str))))
         return
     if tag not in BLOCK:
-        if tag in ("td", "th"):
+        apart = tag in APART or tag == "tspan" and not node.attrs.keys().isdisjoint(("x", "y", "dy"))
+        if apart:
+            out.text(" ")
+        if tag == "optgroup":
+            out.text(node.attrs.get("label", "") + " ")
+        if tag == "mfrac":
+            for child in node.children:
+                yield _each([child], out, level)
+                out.text(" ")
+        else:
+            yield _each(node.children, out, level)
+        if apart:
             out.text(" ")
-        for child in node.children:
-            _inline_or_block(child, out, depth + 1)
         return
     out.end_line()
-    if tag in SPACED and depth >= 0 and not (tag in LISTS and node.attrs.get("_nested")):
+    if tag in SPACED and not (tag in LISTS and node.attrs.get("_nested")):
         out.space()
     if tag == "pre":
         text = "".join(x if isinstance(x, str) else "\n" if x.tag == "br" else _flat(x) for x in node.children)
-        out.block([x.rstrip() for x in text.strip("\n").split("\n")] if text.strip() else [])
-    elif tag == "table":
-        out.block(_table(node, depth + 1))
+        out.block(_preformatted(text))
+    elif tag == "table" and level < _LEVELS:
+        out.block((yield _table(node, level + 1)))
     elif tag in LISTS:
-        _list(node, out, depth)
-    elif tag == "details" and "open" not in node.attrs:
-        for child in node.children:
-            if isinstance(child, Node) and child.tag == "summary":
-                _inline_or_block(child, out, depth + 1)
+        yield _list(node, out, level)
     elif tag == "hr":
         out.block(["---"])
     else:
         indent = "    " if tag == "dd" else "> " if tag == "blockquote" else ""
-        if indent:
-            out.block([indent + x if x else x for x in _children(node, depth)])
+        if indent and level < _LEVELS:
+            out.block([indent + x if x else x for x in (yield _children(node, level + 1))])
         else:
-            for child in node.children:
-                _inline_or_block(child, out, depth + 1)
+            yield _each(_shown(node), out, level)
             out.end_line()
     if tag in SPACED and not (tag in LISTS and node.attrs.get("_nested")):
         out.space()
 
 
-def _list(node: Node, out: _Lines, depth: int) -> None:
+def _list(node: Node, out: _Lines, level: int) -> Step:
     begin = node.attrs.get("start", "1")
     number = int(begin) if re.fullmatch(r"-?\d{1,9}", begin) else 1
     for child in node.children:
         if not (isinstance(child, Node) and child.tag == "li"):
-            _inline_or_block(child, out, depth + 1)
+            yield _each([child], out, level)
             continue
         if not visible(child):
             continue
@@ -347,7 +435,14 @@ def _list(node: Node, out: _Lines, depth: int) -> None:
                 inner.attrs["_nested"] = "1"
         mark = f"{number}. " if node.tag == "ol" else "- "
         number += 1
-        lines = _children(child, depth + 1)
+        if level >= _LEVELS:
+            out.end_line()
+            out.mark += mark
+            yield _each(child.children, out, level)
+            out.end_line()
+            out.mark = ""
+            continue
+        lines = yield _children(child, level + 1)
         pad = " " * len(mark)
         if lines:
             out.block([(mark if i == 0 else pad if x else "") + x for i, x in enumerate(lines)])
@@ -360,7 +455,7 @@ def render(html: str | None) -> str:
     root = parse(html)
     if not visible(root):
         return ""
-    lines = _children(root, 0)
+    lines = _walk(_children(root, 0))
     return "\n".join(lines).strip("\n")
 
 

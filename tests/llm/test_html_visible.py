@@ -20,3 +20,28 @@ def test_stray_quotes_take_linear_time():
     assert render("<a " + "b = c '\" / " * 200_000 + ">x") == "x"
     assert render("<a" + " " * 500_000 + ">x") == "x"
     assert time.time() - start < 10
+
+
+def test_formulas_drawings_and_fields():
+    assert render("if <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>tex</annotation></math> then") == "if x= 1 2 then"
+    drawing = "<svg><title>t</title><defs><text>no</text></defs>no<rect/><text>A</text><text>B<tspan dy=1>C</tspan></text></svg>"
+    assert render(f"a{drawing}b") == "a A B C b"
+    assert render("<svg><path d='M0'/><p>after") == "after"
+    assert render("<svg><foreignObject><div>in</div></foreignObject></svg>out").split() == ["in", "out"]
+    assert render("pick <select><option>one<option>two<optgroup label=L><option>three</select> end") == "pick one two L three end"
+    assert render("<p>a<textarea>\nx &amp;\n  <b>y</textarea>b").split("\n") == ["a", "x &", "  <b>y", "b"]
+
+
+def test_layout_below_many_elements():
+    for many in (150, 20_000):
+        deep = "<div><font>" * many
+        inner = "<p>one<p>two<table><tr><td>a<td>b<tr><td>cc<td>d</table><ul><li>x<li>y</ul><details><summary>S</summary>hid</details>"
+        assert render(deep + inner) == render(inner) == "one\n\ntwo\n\na   b\ncc  d\n\n- x\n- y\n\nS"
+
+
+def test_many_levels_keep_all_text():
+    start = time.time()
+    for tag in ("<blockquote>", "<ul><li>", "<table><tr><td>"):
+        text = render("".join(f"{tag}w{n} " for n in range(20_000)) + "<table><tr><td>a<td>b</table>")
+        assert [x for x in text.split() if x not in (">", "-")] == [f"w{n}" for n in range(20_000)] + ["a", "b"]
+    assert time.time() - start < 60
