@@ -10,6 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from dataclasses import dataclass
+from functools import partial
 from zlib import crc32
 
 import numpy as np
@@ -147,6 +148,16 @@ def may_stop(exceed: np.ndarray, draws: int, threshold: float) -> bool:
     return bool((((draws - exceed + 1) / ((draws + 3) * (exceed + 1))) < threshold).all())
 
 
+#: Structures of up to so many residues keep the kernels of all their pairs, and so many numbers are held at once in larger ones.
+_DENSE, _HELD = 1000, 4_000_000
+
+
+def _kernels(xyz: np.ndarray, scales: tuple[float, ...]) -> np.ndarray:
+    d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(-1)
+    kernels = np.stack([np.tril(np.exp(-d2 / (2 * s * s)), -1) for s in scales])
+    return (kernels + kernels.transpose(0, 2, 1)) / 2
+
+
 def _score(kernels: np.ndarray, index: np.ndarray, values: np.ndarray) -> np.ndarray:
     """Scores of draws ``index`` (draws x k) with ``values`` (draws x k), by scale."""
     out = np.empty((len(kernels), len(index)))
@@ -156,13 +167,34 @@ def _score(kernels: np.ndarray, index: np.ndarray, values: np.ndarray) -> np.nda
     return out
 
 
+def _score_apart(xyz: np.ndarray, scales: tuple[float, ...], index: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """As :func:`_score`, from the coordinates and a tile of pairs at a time, so that memory does not grow with pairs."""
+    draws, k = index.shape
+    tile = max(1, min(k, _HELD // k))
+    some = max(1, _HELD // (tile * k))
+    out = np.zeros((len(scales), draws))
+    for b in range(0, draws, some):
+        at, v = xyz[index[b : b + some]], values[b : b + some]
+        for i in range(0, k, tile):
+            d2 = sum((at[:, i : i + tile, None, c] - at[:, None, :, c]) ** 2 for c in range(3))
+            rows = np.arange(d2.shape[1])
+            for s, scale in enumerate(scales):
+                near = np.exp(-d2 / (2 * scale * scale))
+                near[:, rows, rows + i] = 0
+                out[s, b : b + some] += np.einsum("bi,bij,bj->b", v[:, i : i + tile], near, v) / 2
+    return out
+
+
 def _sampler(weights: np.ndarray | None, allowed: np.ndarray, k: int) -> Callable[[np.random.Generator, int], np.ndarray]:
     def sample(rng: np.random.Generator, n: int) -> np.ndarray:
-        keys = rng.random((n, len(allowed)))
-        if weights is not None:
-            with np.errstate(divide="ignore"):
-                keys = -np.log(keys) / weights[allowed]
-        return np.sort(allowed[np.argpartition(keys, k - 1, axis=1)[:, :k]], axis=1)
+        out, some = np.empty((n, k), allowed.dtype), max(1, _HELD // len(allowed))
+        for b in range(0, n, some):  # the same numbers in any blocks
+            keys = rng.random((min(some, n - b), len(allowed)))
+            if weights is not None:
+                with np.errstate(divide="ignore"):
+                    keys = -np.log(keys) / weights[allowed]
+            out[b : b + some] = np.sort(allowed[np.argpartition(keys, k - 1, axis=1)[:, :k]], axis=1)
+        return out
 
     return sample
 
@@ -201,7 +233,8 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
     budget ended before the stop rule; 2: no draw was possible. The seed follows
     the structure's name, so results do not depend on partitions.
 
-    One structure is one task; its residues are a protein chain's, so bounded.
+    One structure is one task, which holds its residues, but the pairs of all of
+    them only in a chain of common size; in larger ones pairs are made in tiles.
     """
     has_weight = "weight" in points.columns
 
@@ -211,17 +244,18 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
         mutated = np.flatnonzero(pdf["v"].notna())
         values = pdf["v"].to_numpy(float)[mutated]
         xyz = pdf[["x", "y", "z"]].to_numpy(float)
-        d2 = ((xyz[:, None] - xyz[None]) ** 2).sum(-1)
-        kernels = np.stack([np.tril(np.exp(-d2 / (2 * s * s)), -1) for s in options.scales])
-        kernels = (kernels + kernels.transpose(0, 2, 1)) / 2
+        if len(pdf) <= _DENSE:
+            score = partial(_score, _kernels(xyz, options.scales))
+        else:
+            score = partial(_score_apart, xyz, options.scales)
         k = len(mutated)
-        out = lambda score, e, n, status: pd.DataFrame(
-            {group: key[0], "scale_idx": range(len(options.scales)), "score": score, "exceed": e, "draws": n, "status": status}
+        out = lambda observed, e, n, status: pd.DataFrame(
+            {group: key[0], "scale_idx": range(len(options.scales)), "score": observed, "exceed": e, "draws": n, "status": status}
         )
         zero = np.zeros(len(options.scales))
         if not k:
             return out(zero, 0, 0, 2)
-        observed = _score(kernels, mutated[None], values[None])[:, 0]
+        observed = score(mutated[None], values[None])[:, 0]
         allowed = np.flatnonzero(pdf["resname"].isin(names)) if names else np.arange(len(pdf))
         weights = pdf["weight"].to_numpy(float) if has_weight else None
         if weights is not None:
@@ -249,7 +283,7 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
                 mass = np.broadcast_to(values, index.shape)
             else:
                 index, mass = draw_(rng, n), rng.permuted(np.broadcast_to(values, (n, k)), axis=1)
-            exceed += (_score(kernels, index, mass) >= observed[:, None] - 1e-12).sum(1)
+            exceed += (score(index, mass) >= observed[:, None] - 1e-12).sum(1)
             done += n
             if may_stop(exceed, done, options.threshold):
                 status = 0

@@ -1,9 +1,10 @@
 """Cases where queries once did less than the whole job."""
 
+import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from residuum.operators import spectra
+from residuum.operators import nullmodel, spectra
 from residuum.plans import registry
 
 
@@ -52,3 +53,26 @@ def test_no_task_ranks_a_whole_group(spark):
         rank = (F.row_number().over(w.orderBy("mut_count", "sample")) - 1) / F.count("*").over(w)
         wrong = got.join(rows.withColumn("want", rank), "sample").filter("rank_score != want")
         assert got.count() == rows.count() and wrong.count() == 0
+
+
+def test_tiles_of_pairs_score_like_dense_kernels(monkeypatch):
+    rng = np.random.default_rng(1)
+    xyz, scales = rng.normal(size=(60, 3)) * 5, (3.0, 6.0, 10.0)
+    index = np.stack([rng.permutation(60)[:17] for _ in range(23)])
+    values = rng.random(index.shape)
+    want = nullmodel._score(nullmodel._kernels(xyz, scales), index, values)
+    draw = lambda w: nullmodel._sampler(w, np.arange(60), 17)(np.random.default_rng(2), 23)
+    drawn = [draw(None), draw(rng.random(60))]
+    for held in (1, 40, 500, 4_000_000):
+        monkeypatch.setattr(nullmodel, "_HELD", held)
+        np.testing.assert_allclose(nullmodel._score_apart(xyz, scales, index, values), want, rtol=1e-12)
+        np.testing.assert_array_equal(draw(None), drawn[0])
+
+
+def test_large_structure_needs_no_table_of_all_pairs(spark):
+    """30,000 residues: all pairs would take 21 GB of differences."""
+    at = lambda k: (F.col("id") * k % 101).cast("double")
+    rows = spark.range(30000).select(F.lit("big").alias("structure"), F.col("id").alias("i"), at(3).alias("x"), at(7).alias("y"), at(11).alias("z"),
+                                     F.when(F.col("id") % 1000 == 0, F.col("id") % 5 + 1.0).alias("v"))
+    got = nullmodel.structure_test(rows, options=nullmodel.Draws(max_draws=200, batch=100)).collect()
+    assert len(got) == len(nullmodel.Draws().scales) and all(r.draws > 0 and r.score > 0 for r in got)
