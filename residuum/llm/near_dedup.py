@@ -448,4 +448,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     """The documents that stay, one of each group, all columns as they were."""
     gone = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter("NOT kept")
     gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -138,4 +138,4 @@ def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", h
     identifier cannot be found again and stay.
     """
     gone = judge(docs, id_col, text_col, host_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -171,8 +171,9 @@ def joined(spans: Column) -> Column:
 
 def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans give one."""
-    found = scan(docs, id_col, text_col)
-    text = F.coalesce(F.col(text_col), F.lit(""))
+    whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")  # apart from the columns that the scan adds
+    found = scan(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), whole), "id", "text")
+    text = F.coalesce("text", F.lit(""))
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
 
     def step(state: Column, s: Column) -> Column:
@@ -184,6 +185,5 @@ def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark
         )
 
     clean = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    return found.withColumn(
-        text_col, F.when(F.size("found") > 0, clean).otherwise(F.col(text_col))
-    ).select(docs.columns)
+    clean = F.when(F.size("found") > 0, clean).otherwise(F.col("text"))
+    return found.select(*((clean if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
