@@ -5,7 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections import ChainMap
+from collections.abc import Callable, Iterator, Mapping
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
@@ -78,29 +79,38 @@ def count_white(text: str) -> int:
 class BoundedCache:
     """Values of words by a function of many words, in two generations.
 
-    A word met again moves to the young generation; when that holds
-    ``limit`` words, the old one goes. So common words stay, and memory is bounded.
+    A word met again moves to the young generation; when that is full, the old
+    one goes. So common words stay, and memory is bounded: a word takes a place
+    for every ``_PLACE`` characters, and words of over ``_LONGEST`` characters are
+    not kept at all.
     """
 
+    _PLACE, _LONGEST = 32, 256
+
     def __init__(self, limit: int, make: Callable[[list], list]):
         self.limit, self.make = limit, make
         self.young: dict = {}
         self.old: dict = {}
+        self.held = 0
 
-    def look_up(self, wanted: set) -> dict:
-        """A dict that holds every wanted word."""
+    def look_up(self, wanted: set) -> Mapping:
+        """A mapping that holds every wanted word."""
+        if self.held + len(wanted) > self.limit:
+            self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
-        if len(young) + len(wanted) > self.limit:
-            self.old, self.young = old, young = young, {}
-        missing = []
+        missing, longer = [], []
         for word in [w for w in wanted if w not in young]:
             value = old.get(word)
-            if value is None:
-                missing.append(word)
-            else:
+            if value is not None:
                 young[word] = value
+                self.held += 1 + len(word) // self._PLACE
+            elif len(word) > self._LONGEST:
+                longer.append(word)
+            else:
+                missing.append(word)
         young.update(zip(missing, self.make(missing)))
-        return young
+        self.held += len(missing) + sum(map(len, missing)) // self._PLACE
+        return ChainMap(dict(zip(longer, self.make(longer))), young) if longer else young
 
 
 def slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:

@@ -2,16 +2,22 @@
 
 A text is cut into words where no vocabulary piece can cross; the words that a
 worker has not met lately are encoded together. Their symbols lie in one flat
-array. Each round finds the pair of least rank in every word (a segmented
-minimum), merges it, and compacts the array; a word without a known pair leaves.
-Equal ranks go to the leftmost pair, as in the library. All leftmost occurrences
-of the pair merge at once where no longer piece around the merged one has a
-better rank; else only the first does, so the order of merges is the library's.
+array. Every round looks up each pair of neighbours, cuts words where no piece
+can hold both sides any more, finds the pair of least rank in every word (a
+segmented minimum, the leftmost of equal ones), merges, and compacts the array;
+a word without a known pair leaves.
+
+Besides the least pair of its word, every pair merges at once that the library
+would merge in any case before a neighbour changes: its rank is below that of
+all pieces that could reach over either of its ends. Equal pairs in a row merge
+from the left, every second one. So the merges are the library's, and the rounds
+of a text hardly grow with its length: a word of a million characters takes seconds.
 
 Models with byte fallback, the identity normaliser and a dummy prefix are
 supported; others are refused. Null counts as the empty text, which has no ids.
-Repeated rows and null identifiers are encoded like others; an empty table gives
-an empty result.
+Very long texts and words are encoded whole. Repeated rows and null identifiers
+are encoded like others; an empty table gives an empty result; extra columns are
+ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -19,6 +25,7 @@ from __future__ import annotations
 import codecs
 import hashlib
 import re
+from collections.abc import Iterable
 from functools import lru_cache
 
 import numpy as np
@@ -32,6 +39,15 @@ _NONE = np.iinfo(np.int64).max
 codecs.register_error("each-byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
+def word_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """Words that no piece crosses: at spaces and line ends, or whole texts if pieces go over spaces."""
+    pieces = list(pieces)
+    if any(SPACE in p.lstrip(SPACE) for p in pieces):
+        return re.compile(".+", re.S)
+    line = "" if any("\n" in p for p in pieces) else "\n"
+    return re.compile(f"{SPACE}+[^{SPACE}{line}]*" + (f"|\n[^{SPACE}\n]*" if line else ""))
+
+
 class Codec:
     """Encoder and decoder of one model file."""
 
@@ -65,16 +81,12 @@ class Codec:
         self._size = np.array([len(s) for s in surface], np.int64)
         self._begin = np.cumsum(self._size) - self._size
         self._build_pairs(model, normal)
-        crossing = [p for p in normal if SPACE in p.lstrip(SPACE)]
-        if crossing:
-            raise ValueError("a piece holds a space after other characters")
-        line = "" if any("\n" in p for p in normal) else "\n"
-        self._words = re.compile(f"{SPACE}+[^{SPACE}{line}]*" + (f"|\n[^{SPACE}\n]*" if line else ""))
+        self._words = word_pattern(normal)
         self._known = BoundedCache(cache_words, self._digest)
         self._decimal = [str(i) for i in range(len(surface))]
 
     def _build_pairs(self, model, normal: dict[str, int]) -> None:
-        """Sorted table of symbol pairs with the piece that each makes, and its rank."""
+        """Sorted table of symbols that some piece holds side by side, and the piece that the two make."""
         symbols = dict(normal)
         for piece in normal:
             for c in piece:
@@ -87,22 +99,25 @@ class Codec:
         scores = sorted({model.pieces[i].score for i in normal.values()}, reverse=True)
         rank_of = {s: r for r, s in enumerate(scores)}
         rank = {i: rank_of[model.pieces[i].score] for i in normal.values()}
-        rows = [
-            (symbols[piece[:cut]] * self.base + symbols[piece[cut:]], i, rank[i])
-            for piece, i in normal.items()
-            for cut in range(1, len(piece))
-            if piece[:cut] in symbols and piece[cut:] in symbols
-        ]
-        table = np.array(sorted(rows) + [(_NONE, 0, _NONE)], np.int64)
-        self._pair, self._makes, self._rank = (np.ascontiguousarray(c) for c in table.T)
-        around = np.full(self.base, _NONE)
-        for side in (self._pair[:-1] // self.base, self._pair[:-1] % self.base):
-            np.minimum.at(around, side, self._rank[:-1])
-        own = np.full(self.base, -1)
-        for i, r in rank.items():
-            own[i] = r
+        table: dict[int, list[int]] = {}  # two symbols side by side: least rank of a piece over both, the piece they make, its rank
+        for piece, i in sorted(normal.items(), key=lambda x: rank[x[1]]):
+            for cut in range(1, len(piece)):
+                before = [symbols[x] for a in range(cut) if (x := piece[a:cut]) in symbols]
+                after = [symbols[x] for b in range(cut, len(piece)) if (x := piece[cut : b + 1]) in symbols]
+                for s in before:
+                    for t in after:
+                        table.setdefault(s * self.base + t, [rank[i], 0, _NONE])
+                if piece[:cut] in symbols and piece[cut:] in symbols:
+                    table[before[0] * self.base + after[-1]][1:] = i, rank[i]
+        pairs = np.array([*table, _NONE], np.int64)
+        values = np.array([*table.values(), [_NONE, 0, _NONE]], np.int64)
+        order = np.argsort(pairs)
+        self._pair = pairs[order]
+        self._over, self._makes, self._rank = (np.ascontiguousarray(c) for c in values[order].T)
         shared = np.bincount(list(rank.values()), minlength=len(scores)) > 1
-        self._at_once = np.array([own[i] >= 0 and around[i] > own[i] and not shared[own[i]] for i in range(self.base)])
+        self._at_once = np.zeros(self.base, bool)  # pieces whose rank no other has
+        for i, r in rank.items():
+            self._at_once[i] = not shared[r]
 
     def encode_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all words in a row, and their number for each word.
@@ -110,47 +125,38 @@ class Codec:
         A word is a run of symbols that merge only among themselves.
         """
         code = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), "<u4")
-        sym = self._symbol_of[code]
         size = np.fromiter(map(len, words), np.int64, len(words))
-        number = np.flatnonzero(size)
-        begins = (np.cumsum(size) - size)[number]
+        sym = self._symbol_of[code]
         place = np.arange(len(sym))
-        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        while len(number):
-            ends = np.append(begins[1:], len(sym))
+        closed = np.zeros(len(sym), bool)  # behind the symbol nothing merges
+        closed[np.cumsum(size)[size > 0] - 1] = True
+        done: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(sym):
             key = np.full(len(sym), -1, np.int64)
             key[:-1] = sym[:-1] * self.base + sym[1:]
-            key[ends - 1] = -1
+            key[closed] = -1
             at = np.searchsorted(self._pair, key)
-            rank = np.where(self._pair[at] == key, self._rank[at], _NONE)
+            closed = self._pair[at] != key
+            rank = np.where(closed, _NONE, self._rank[at])
+            begins = np.flatnonzero(np.append(True, closed[:-1]))
+            lengths = np.diff(np.append(begins, len(sym)))
             least = np.minimum.reduceat(rank, begins)
-            over = least == _NONE
-            lengths = ends - begins
-            leaving = np.repeat(over, lengths)
-            if over.any():
-                done.append((np.repeat(number[over], lengths[over]), sym[leaving], place[leaving]))
-            where = np.flatnonzero((rank == np.repeat(least, lengths)) & (rank != _NONE))
-            owner = np.repeat(np.arange(len(number)), lengths)[where]
-            first = np.ones(len(where), bool)
-            first[1:] = owner[1:] != owner[:-1]
-            made = self._makes[at[where]]
-            # of neighbours that share a symbol every second one merges, from the left
-            fresh = first.copy()
-            fresh[1:] |= where[1:] != where[:-1] + 1
-            run = np.arange(len(where)) - np.maximum.accumulate(np.where(fresh, np.arange(len(where)), 0))
-            chosen = first | (self._at_once[made] & (run % 2 == 0))
-            where, made = where[chosen], made[chosen]
-            sym[where] = made
+            leaving = np.repeat(least == _NONE, lengths)
+            if leaving.any():
+                done.append((sym[leaving], place[leaving]))
+            merging = self._chosen(rank, at, closed, begins, np.repeat(least, lengths))
+            where = np.flatnonzero(merging)
+            sym[where] = self._makes[at[where]]
+            closed[where] = closed[where + 1]
             keep = ~leaving
             keep[where + 1] = False
-            left = np.add.reduceat(keep.astype(np.int64), begins)[~over]
-            sym, place, number = sym[keep], place[keep], number[~over]
-            begins = np.cumsum(left) - left
+            sym, place, closed = sym[keep], place[keep], closed[keep]
         if not done:
             return np.empty(0, np.int64), size
-        word, sym, place = (np.concatenate(x) for x in zip(*done))
+        sym, place = (np.concatenate(x) for x in zip(*done))
         order = np.argsort(place)  # characters are numbered through all words
-        word, sym, place = word[order], sym[order], place[order]
+        sym, place = sym[order], place[order]
+        word = np.repeat(np.arange(len(words)), size)[place]
         unknown = np.flatnonzero(sym >= len(self.surface))
         if len(unknown):
             raw = [chr(c).encode("utf-8", "surrogatepass") for c in code[place[unknown]].tolist()]
@@ -162,6 +168,24 @@ class Codec:
             sym[spread + np.arange(len(spread))] = self.byte_ids[np.frombuffer(b"".join(raw), np.uint8)]
         return sym, np.bincount(word, minlength=len(words))
 
+    def _chosen(self, rank: np.ndarray, at: np.ndarray, closed: np.ndarray, begins: np.ndarray, least: np.ndarray) -> np.ndarray:
+        """The pairs (by their left symbol) that merge in this round."""
+        known = rank != _NONE
+        is_least = np.flatnonzero(known & (rank == least))
+        chosen = np.zeros(len(rank), bool)
+        number = np.searchsorted(begins, is_least, "right")
+        chosen[is_least[np.append(True, number[1:] != number[:-1])[: len(is_least)]]] = True
+        over = np.where(closed, _NONE, self._over[at])
+        left, right = np.append(_NONE, over[:-1]), np.append(over[1:], _NONE)
+        again = np.append(False, rank[1:] == rank[:-1]) & known  # the pair before has the same rank
+        safe = known & (rank <= right) & ((rank < left) | again) & self._at_once[self._makes[at]]
+        # of equal pairs in a row: those before the first unsafe one, every second from the left
+        index = np.arange(len(rank))
+        start = np.maximum.accumulate(np.where(again, 0, index))
+        unsafe = np.maximum.accumulate(np.where(safe, -1, index))
+        chosen |= safe & (unsafe < start) & ((index - start) % 2 == 0)
+        return chosen
+
     def words(self, text: str) -> list[str]:
         return self._words.findall(SPACE + text.replace(" ", SPACE)) if text else []
 

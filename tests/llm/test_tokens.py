@@ -1,4 +1,6 @@
+import math
 import random
+import time
 
 import numpy as np
 import public_tokenizers
@@ -34,6 +36,63 @@ def test_codec_equals_library(codec, library, corpus):
         assert codec.decode(np.array(ids)) == library.decode(ids)
 
 
+def test_long_words_take_seconds(codec, library):
+    rnd = random.Random(3)
+    million = ["".join(rnd.choice(a) for _ in range(1_000_000)) for a in ("etaoinsh", "ABCDabcdefghij0123456789+/", "的一是不了人我在有他这中大来上国")]
+    for text in [*million, "a" * 1_000_000, "ab" * 500_000]:
+        start = time.time()
+        ids = codec.encode(text)
+        assert time.time() - start < 20
+        assert ids.tolist() == library.encode(text)
+    for unit in ("the", "abc", "ation", "aab"):
+        assert codec.encode(unit * 700).tolist() == library.encode(unit * 700)
+    start = time.time()
+    assert codec.decode(codec.encode("the" * 300_000)) == "the" * 300_000
+    assert time.time() - start < 20
+
+
+def test_unspaced_text(codec, library, corpus):
+    for text in [(c[1] or "").replace(" ", "") for c in corpus]:
+        assert codec.encode(text).tolist() == library.encode(text)
+
+
+def _unigram(vocabulary, **options):
+    library = Tokenizer(models.Unigram(vocabulary, unk_id=0, **options))
+    library.normalizer = normalizers.Sequence([normalizers.Replace(" ", "▁"), normalizers.Prepend("▁")])
+    return library
+
+
+def _pieces(rnd, crossing=False):
+    made = {"".join(rnd.choice("abcé▁" if crossing else "abcé") for _ in range(rnd.randint(1, 4))) for _ in range(60)}
+    made |= {"▁" + x for x in list(made)[:20] if not x.startswith("▁")} | {"▁", "a", "b", "\n"}
+    return sorted(made - {""})
+
+
+@pytest.mark.parametrize("crossing", [False, True])
+@pytest.mark.parametrize("fallback", [False, True])
+def test_fractional_scores_equal_library(crossing, fallback):
+    """Scores of one decimal give ties that only the rounding of the sums decides."""
+    rnd = random.Random(8)
+    for _ in range(12):
+        scores = [("<unk>", 0.0)] + [(p, -rnd.randint(1, 60) / 10) for p in _pieces(rnd, crossing)]
+        if fallback:
+            scores += [(f"<0x{b:02X}>", -9.0) for b in range(256)]
+        library = _unigram(scores, byte_fallback=fallback)
+        counter = token_counts.Counter(scores, byte_fallback=fallback)
+        for _ in range(60):
+            text = "".join(rnd.choice("aaabbbcé  \nxy") for _ in range(rnd.choice([5, 40, 400])))
+            assert counter.count([text])[0] == len(library.encode(text, add_special_tokens=False).ids), text
+
+
+def test_logarithmic_scores_equal_library(corpus):
+    """The 32k pieces with scores as of a Zipf law."""
+    vocabulary = [(p, -math.log(i + 2)) for i, (p, _) in enumerate(token_counts.read_vocabulary(MODEL))]
+    library = _unigram(vocabulary, byte_fallback=True)
+    counter = token_counts.Counter(vocabulary)
+    for text in [*ODD, *(c[1] or "" for c in corpus)]:
+        assert counter.count([text])[0] == len(library.encode(text, add_special_tokens=False).ids), text[:80]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.text(alphabet="abtheinr  \n▁é中.,", max_size=60))
 def test_codec_any_text(text):
