@@ -68,6 +68,7 @@ def op8_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         number("hex").alias("n_hex"),
         F.sha2(secrets.joined(F.col("base")), 256).alias("base_sha256"),
         secrets.joined(F.col("found")).alias("spans"),
+        F.array_max(F.transform("found", lambda s: s["score"])).alias("top_score"),
     )
 
 

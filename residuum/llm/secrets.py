@@ -1,22 +1,32 @@
 """Secret scans with built-in functions only.
 
 Three patterns give the base spans. Further spans come from two character
-Markov models, one of random strings and one of ordinary identifiers: a token is
-a secret if its mean log-likelihood ratio per character pair reaches a
-threshold. The models are trained from labelled samples: random strings are
-made from hash digests in the usual alphabets, ordinary ones are the tokens of a
-bounded sample of documents outside their base spans.
+Markov models, one of random strings and one of ordinary identifiers: a token of
+12 characters or more is a secret if its log-likelihood ratio reaches a
+threshold. The models are trained from labelled samples: random strings of 12 to
+40 characters are made from hash digests in the usual alphabets, ordinary ones
+are the distinct tokens of a bounded sample of documents outside their base
+spans, as they are and in capitals. A fifth of the labelled tokens is held out; the
+threshold is the greatest that a share ``recall`` of the held-out random tokens
+reaches, but no less than one that at most ``false_rate`` of the ordinary ones reach.
 
 Positions come from ``split``: the pieces between the matches of a pattern and
-the matches themselves give each start. Null text counts as empty; a null
-identifier is passed through; repeated rows are scanned alike; an empty table
-trains on the random sample only and gives an empty result.
+the matches themselves give each start, by sums in blocks of matches, so a text
+with very many matches, or one very long match, takes time in line with its
+length. Texts of any length are scanned whole.
+
+Null text counts as empty; a null identifier is passed through; repeated rows are
+scanned alike; an empty table trains on the random sample only and gives an empty
+result. Extra columns stay; :func:`scan` replaces input columns named ``base`` or
+``found``, :func:`redact` keeps all.
 """
 
 from __future__ import annotations
 
 import json
 import math
+from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,31 +37,75 @@ ACCESS = r"AKIA[A-Z0-9]{16,}"
 HEX = r"[0-9a-f]{24,}"
 MIN_ASSIGN = 6
 
-TOKEN = r"[A-Za-z0-9+/_-]{20,}"
+TOKEN = r"[A-Za-z0-9+/_-]{12,}"
+SHORTER = r"[A-Za-z0-9+/_-]{4,}"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 _KINDS = ("assign", "access", "hex", "markov")
+_SPANS = "array<struct<start:int,kind_no:int,end:int,kind:string,value:string,score:double>>"
+_BLOCK = 128
+_FAR = (1 << 31) - 1
+_BINS = 100  # scores are counted in whole numbers from -_BINS to _BINS
+
+
+def _let(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often and wherever it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
+def _scan(values: Column, start: Column, step: Callable[[Column, Column], Column]) -> Column:
+    before = F.struct(start.alias("at"), F.array().cast("array<int>").alias("out"))
+    add = lambda s, x: F.struct(step(s["at"], x).alias("at"), F.concat(s["out"], F.array(s["at"])).alias("out"))
+    return F.aggregate(values, before, add, lambda s: s["out"])
+
+
+def _blocks(values: Column) -> Column:
+    """``values``, not empty, cut into blocks."""
+    last = F.floor((F.size(values) - 1) / _BLOCK).cast("int")
+    return F.transform(F.sequence(F.lit(0), last), lambda b: F.slice(values, b * _BLOCK + 1, F.lit(_BLOCK)))
+
+
+def _running(values: Column, zero: Column, step: Callable[[Column, Column], Column]) -> Column:
+    """For each of ``values``, integers and not empty, the fold of all before it; ``step`` is associative."""
+
+    def over(blocks: Column) -> Column:
+        totals = F.transform(blocks, lambda x: F.aggregate(x, zero, step))
+        inside = lambda heads: F.flatten(F.transform(blocks, lambda x, i: _scan(x, F.get(heads, i), step)))
+        return _let(_scan(totals, zero, step), inside)
+
+    return _let(values, lambda v: _let(_blocks(v), over))
 
 
 def _matches(text: Column, pattern: str, kind: str, minimum: int = 0) -> Column:
-    """Array of ``struct(start, kind_no, end, kind, value)`` of a pattern's matches."""
-    lit = F.lit(pattern)
-    whole = F.regexp_extract_all(text, lit, F.lit(0))
-    value = F.regexp_extract_all(text, lit, F.lit(2)) if minimum else whole
-    between = F.when(F.size(whole) > 0, F.split(text, pattern, -1)).otherwise(F.array().cast("array<string>"))
-    chars = lambda a: F.transform(a, lambda x: F.length(x))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, x: s + x)
-
-    def span(m: Column, i: Column) -> Column:
-        start = total(F.slice(chars(between), 1, i + 1)) + total(F.slice(chars(whole), 1, i))
-        return F.struct(
-            start.alias("start"),
-            F.lit(_KINDS.index(kind)).alias("kind_no"),
-            (start + F.length(m)).alias("end"),
-            F.lit(kind).alias("kind"),
-            F.get(value, i).alias("value"),
-        )
+    """Array of ``struct(start, kind_no, end, kind, value, score)`` of a pattern's matches."""
+    none = F.array().cast(_SPANS)
+
+    def spans(whole: Column, between: Column, value: Column) -> Column:
+        sizes = F.transform(whole, lambda m, i: F.length(F.get(between, i)) + F.length(m))
+
+        def span(ends: Column) -> Callable[[Column, Column], Column]:
+            return lambda m, i: F.struct(
+                (F.get(ends, i) + F.length(F.get(between, i))).alias("start"),
+                F.lit(_KINDS.index(kind)).alias("kind_no"),
+                (F.get(ends, i) + F.length(F.get(between, i)) + F.length(m)).alias("end"),
+                F.lit(kind).alias("kind"),
+                F.get(value, i).alias("value"),
+                F.lit(None).cast("double").alias("score"),
+            )
+
+        all_ = _let(_running(sizes, F.lit(0), lambda s, x: s + x), lambda ends: F.transform(whole, span(ends)))
+        return F.filter(all_, lambda s: F.length(s["value"]) >= minimum)
 
-    return F.filter(F.transform(whole, span), lambda s: F.length(s["value"]) >= minimum)
+    def found(whole: Column) -> Column:
+        cut = F.split(text, pattern, -1)
+        if not minimum:
+            return _let(cut, lambda between: spans(whole, between, whole))
+        value = F.regexp_extract_all(text, F.lit(pattern), F.lit(2))
+        return _let(cut, lambda between: _let(value, lambda v: spans(whole, between, v)))
+
+    return _let(
+        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)),
+        lambda whole: F.when(F.size(whole) > 0, found(whole)).otherwise(none),
+    )
 
 
 def base_spans(text: Column) -> Column:
@@ -63,61 +117,101 @@ def base_spans(text: Column) -> Column:
 
 
 def _outside(spans: Column, base: Column) -> Column:
-    """Spans that overlap none of the base ones."""
-    return F.filter(spans, lambda s: ~F.exists(base, lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
+    """Spans that overlap none of the base ones, by the furthest end before and the next start behind each."""
+    markov = F.lit(_KINDS.index("markov"))
+
+    def free(all_: Column) -> Column:
+        ends = F.transform(all_, lambda s: F.when(s["kind_no"] == markov, F.lit(0)).otherwise(s["end"]))
+        starts = F.transform(F.reverse(all_), lambda s: F.when(s["kind_no"] == markov, F.lit(_FAR)).otherwise(s["start"]))
+        before = _running(ends, F.lit(0), lambda s, x: F.greatest(s, x))
+        behind = F.reverse(_running(starts, F.lit(_FAR), lambda s, x: F.least(s, x)))
+        alone = lambda b, a: lambda s, i: (s["kind_no"] == markov) & (F.get(b, i) <= s["start"]) & (F.get(a, i) >= s["end"])
+        return _let(before, lambda b: _let(behind, lambda a: F.filter(all_, alone(b, a))))
+
+    joined_ = lambda b, s: _let(F.array_sort(F.concat(b, s)), free)
+    return _let(
+        spans,
+        lambda s: F.when(F.size(s) > 0, _let(base, lambda b: F.when(F.size(b) > 0, joined_(b, s)).otherwise(s))).otherwise(s),
+    )
 
 
 def labelled_sample(docs: DataFrame, id_col: str, text_col: str, sample_docs: int) -> DataFrame:
-    """``token, random``: ordinary tokens of about ``sample_docs`` documents, and as many made at random.
+    """``token, random, held``: distinct ordinary tokens of about ``sample_docs`` documents, and as many made at random.
 
-    A document is taken if the hash of its identifier is low enough for the share
-    wanted, so no task sees more than its own part.
+    A document is taken if the hash of its identifier and text is low enough for
+    the share wanted, so no task sees more than its own part, and rows repeated
+    entire count once. Every fifth token, by hash, is held out.
     """
     spark = docs.sparkSession
     known = docs.filter(docs[text_col].isNotNull())
     share = sample_docs / max(known.count(), sample_docs, 1)
     low = F.lit(min((1 << 63) - 1, int(share * (1 << 64)) - (1 << 63)))
-    chosen = known.filter(F.xxhash64(docs[id_col], F.lit("secrets")) <= low).select(docs[text_col].alias("text"))
+    chosen = known.filter(F.xxhash64(docs[id_col], docs[text_col]) <= low).select(docs[text_col].alias("text")).distinct()
     clean = F.regexp_replace(F.regexp_replace(F.regexp_replace("text", ASSIGN, " "), ACCESS, " "), HEX, " ")
-    ordinary = chosen.select(F.explode(F.regexp_extract_all(clean, F.lit("[A-Za-z0-9+/_-]{4,}"), F.lit(0))).alias("token"))
+    ordinary = chosen.select(F.explode(F.regexp_extract_all(clean, F.lit(SHORTER), F.lit(0))).alias("token")).distinct()
+    ordinary = ordinary.select(F.explode(F.array("token", F.upper("token"))).alias("token")).distinct()
     digest = F.sha2(F.col("id").cast("string"), 512)
-    made = spark.range(sample_docs).select(
-        F.explode(
-            F.array(
-                F.substring(digest, 1, 40),
-                F.translate(F.base64(F.unhex(digest)), "=\r\n", ""),
-                F.upper(F.conv(F.substring(digest, 1, 15), 16, 36)),
-                F.translate(F.base64(F.unhex(F.reverse(digest))), "+/=\r\n", "-_"),
-            )
-        ).alias("token")
+    size = F.lit(12) + F.pmod("id", F.lit(29)).cast("int")
+    alphabets = (
+        digest,
+        F.translate(F.base64(F.unhex(digest)), "=\r\n", ""),
+        F.concat(*(F.upper(F.conv(F.substring(digest, i, 15), 16, 36)) for i in (1, 16, 31, 46))),
+        F.translate(F.base64(F.unhex(F.reverse(digest))), "+/=\r\n", "-_"),
     )
-    return ordinary.withColumn("random", F.lit(False)).unionByName(made.withColumn("random", F.lit(True)))
+    made = spark.range(sample_docs).select(F.explode(F.array(*(F.substring(x, F.lit(1), size) for x in alphabets))).alias("token"))
+    both = ordinary.withColumn("random", F.lit(False)).unionByName(made.withColumn("random", F.lit(True)))
+    return both.withColumn("held", F.pmod(F.xxhash64("token"), F.lit(5)) == 0)
+
+
+@dataclass(frozen=True)
+class Model:
+    """Log-likelihood ratios of pairs of ``ALPHABET``, the threshold, and its held-out recall and false rate."""
+
+    ratios: list[float]
+    threshold: float
+    recall: float
+    false_rate: float
+
+    def column(self) -> Column:
+        return F.from_json(F.lit(json.dumps(self.ratios)), "array<double>")
 
 
-def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = 2000) -> list[float]:
-    """Log-likelihood ratios, random against ordinary, of each pair of ``ALPHABET``.
+def train(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    sample_docs: int = 2000,
+    recall: float = 0.97,
+    false_rate: float = 0.0002,
+) -> Model:
+    """The models and the threshold.
 
     What reaches the driver is a count per class and pair, at most twice the
-    alphabet squared.
+    alphabet squared, and a count per class and whole score.
     """
+    sample = labelled_sample(docs, id_col, text_col, sample_docs).filter(F.length("token") > 1)
     pairs = F.transform(
         F.sequence(F.lit(1), F.length("token") - 1), lambda i: F.substring(F.col("token"), i, F.lit(2))
     )
-    counted = (
-        labelled_sample(docs, id_col, text_col, sample_docs)
-        .filter(F.length("token") > 1)
-        .select("random", F.explode(pairs).alias("pair"))
-        .groupBy("random", "pair")
-        .count()
-        .collect()
-    )
+    short = sample.filter("NOT held").withColumn("token", F.substring("token", 1, 100))  # one token is no more than that
+    counted = short.select("random", F.explode(pairs).alias("pair")).groupBy("random", "pair").count().collect()
     size = len(ALPHABET)
     place = {c: i for i, c in enumerate(ALPHABET)}
     counts = {kind: [[0] * size for _ in ALPHABET] for kind in (True, False)}
     for row in counted:
         counts[row["random"]][place[row["pair"][0]]][place[row["pair"][1]]] += row["count"]
     logs = {kind: _log_transitions(m) for kind, m in counts.items()}
-    return [round(a - b, 6) for x, y in zip(logs[True], logs[False]) for a, b in zip(x, y)]
+    ratios = [round(a - b, 6) for x, y in zip(logs[True], logs[False]) for a, b in zip(x, y)]
+
+    table = F.from_json(F.lit(json.dumps(ratios)), "array<double>")
+    score = F.least(F.greatest(F.floor(llr(F.col("token"), table)), F.lit(-_BINS)), F.lit(_BINS))
+    held = sample.filter("held AND length(token) >= 12").groupBy("random", score.alias("score")).count().collect()
+    reach = {kind: [sum(r["count"] for r in held if r["random"] == kind and r["score"] >= t) for t in range(-_BINS, _BINS + 2)] for kind in (True, False)}
+    share = {kind: [n / max(c[0], 1) for n in c] for kind, c in reach.items()}
+    rare = next(i for i, x in enumerate(share[False]) if x <= false_rate)
+    most = max((i for i, x in enumerate(share[True]) if x >= recall), default=0)
+    best = max(rare, most, _BINS + 1)  # 1 at least: likelier random than not
+    return Model(ratios, float(best - _BINS), share[True][best], share[False][best])
 
 
 def _log_transitions(counts: list[list[int]], backing: float = 10.0) -> list[list[float]]:
@@ -128,14 +222,15 @@ def _log_transitions(counts: list[list[int]], backing: float = 10.0) -> list[lis
 
 
 def llr(token: Column, ratios: Column) -> Column:
-    """Mean log-likelihood ratio per character pair."""
-    at = lambda i: F.instr(F.lit(ALPHABET), F.substring(token, i, F.lit(1))) - 1
-    total = F.aggregate(
-        F.sequence(F.lit(1), F.length(token) - 1),
-        F.lit(0.0),
-        lambda s, i: s + F.get(ratios, at(i) * len(ALPHABET) + at(i + 1)),
-    )
-    return total / (F.length(token) - 1)
+    """Log-likelihood ratio of a token, random against ordinary, over its character pairs."""
+    begin = F.struct(F.lit(-1).alias("last"), F.lit(0.0).alias("sum"))
+
+    def step(s: Column, c: Column) -> Column:
+        at = F.instr(F.lit(ALPHABET), c) - 1
+        more = F.when(s["last"] >= 0, F.get(ratios, s["last"] * len(ALPHABET) + at)).otherwise(F.lit(0.0))
+        return F.struct(at.alias("last"), (s["sum"] + more).alias("sum"))
+
+    return F.aggregate(F.split(token, ""), begin, step, lambda s: s["sum"])
 
 
 def scan(
@@ -143,23 +238,35 @@ def scan(
     id_col: str = "doc_id",
     text_col: str = "text",
     sample_docs: int = 2000,
-    threshold: float = 0.7,
-    train_on: DataFrame | None = None,
+    model: Model | None = None,
 ) -> DataFrame:
     """``docs`` with ``base`` and ``found``: arrays of spans, base ones and all, in order.
 
+    Spans of the models carry their log-likelihood ratio as ``score``.
+
     :param sample_docs: expected size of the labelled sample of documents, all if there are fewer.
-    :param train_on: documents to take the sample from, ``docs`` if not given.
-    :param threshold: mean log-likelihood ratio from which a token is a secret.
+    :param model: what :func:`train` gave on other documents; trained on ``docs`` if not given.
     """
-    ratios = F.from_json(F.lit(json.dumps(train(docs if train_on is None else train_on, id_col, text_col, sample_docs))), "array<double>")
+    model = model or train(docs, id_col, text_col, sample_docs)
     text = F.coalesce(docs[text_col], F.lit(""))
-    out = docs.withColumn("base", base_spans(text)).withColumn("_token", _matches(text, TOKEN, "markov"))
-    likely = F.filter("_token", lambda s: llr(s["value"], ratios) >= threshold)
-    out = out.withColumn("_token", F.when(F.size("_token") > 0, likely).otherwise(F.col("_token")))
-    return out.withColumn(
-        "found", F.array_sort(F.concat("base", _outside(F.col("_token"), F.col("base"))))
-    ).drop("_token")
+    ratios = model.column()
+
+    def scored(tokens: Column) -> Column:
+        with_score = lambda r: F.transform(tokens, lambda s: s.withField("score", llr(s["value"], r)))
+        return F.filter(_let(ratios, with_score), lambda s: s["score"] >= model.threshold)
+
+    likely = _let(_matches(text, TOKEN, "markov"), lambda t: F.when(F.size(t) > 0, scored(t)).otherwise(t))
+    together = lambda b: F.array_sort(F.concat(b, _outside(likely, b)))
+    both = _let(base_spans(text), lambda b: F.struct(b.alias("base"), together(b).alias("found")))
+    kept = [docs[f"`{c}`"] for c in docs.columns if c not in ("base", "found")]
+    spans = _unused("spans", docs.columns)
+    return docs.select(*kept, both.alias(spans)).select(*(f"`{c}`" for c in docs.columns if c not in ("base", "found")), f"{spans}.base", f"{spans}.found")
+
+
+def _unused(name: str, taken: list[str]) -> str:
+    while name in taken:
+        name += "_"
+    return name
 
 
 def joined(spans: Column) -> Column:
@@ -169,21 +276,31 @@ def joined(spans: Column) -> Column:
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
+def masked(text: Column, spans: Column, mark: str) -> Column:
+    """``text`` with ``spans``, sorted and not empty, replaced by ``mark``; overlapping ones give one."""
+
+    def block(spans_ends: Column) -> Column:
+        """Of a block of spans, each with the furthest end before it: the text from that end on, and marks."""
+        first = F.get(spans_ends, F.lit(0))["before"]
+        part = F.substring(text, first + 1, F.greatest(F.element_at(spans_ends, -1)["start"] - first, F.lit(0)))
+        piece = lambda p: lambda s: F.when(
+            s["start"] >= s["before"], F.concat(F.substring(p, s["before"] - first + 1, s["start"] - s["before"]), F.lit(mark))
+        ).otherwise("")
+        return _let(part, lambda p: F.array_join(F.transform(spans_ends, piece(p)), ""))
+
+    def over(s: Column) -> Column:
+        ends = F.transform(s, lambda x: x["end"])
+        before = _running(ends, F.lit(0), lambda a, b: F.greatest(a, b))
+        paired = _let(before, lambda m: F.transform(s, lambda x, i: F.struct(x["start"].alias("start"), F.get(m, i).alias("before"))))
+        body = _let(paired, lambda p: F.array_join(F.transform(_blocks(p), block), ""))
+        return F.concat(body, F.substring(text, F.array_max(ends) + 1, F.length(text)))
+
+    return _let(spans, over)
+
+
+def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", mark: str = "[SECRET]", **options) -> DataFrame:
     """The documents with every span replaced by ``mark``; overlapping spans give one."""
     whole = F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row")  # apart from the columns that the scan adds
-    found = scan(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), whole), "id", "text")
-    text = F.coalesce("text", F.lit(""))
-    start = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        kept = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        return F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(fresh, F.concat(state["out"], kept, F.lit(mark))).otherwise(state["out"]).alias("out"),
-        )
-
-    clean = F.aggregate("found", start, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.length(text))))
-    clean = F.when(F.size("found") > 0, clean).otherwise(F.col("text"))
+    found = scan(docs.select(docs[id_col].alias("id"), docs[text_col].alias("text"), whole), "id", "text", **options)
+    clean = F.when(F.size("found") > 0, masked(F.coalesce("text", F.lit("")), F.col("found"), mark)).otherwise(F.col("text"))
     return found.select(*((clean if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns))
