@@ -7,9 +7,11 @@ import tempfile
 import uuid
 from collections import ChainMap
 from collections.abc import Callable, Iterator, Mapping
+from contextlib import contextmanager
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 _WHITE = " \t\n\v\f\r"
 
@@ -21,16 +23,32 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share.
 
-    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset,
-    as in local tests, a folder under the system's temporary one is set.
+    A cluster names it in ``spark.checkpoint.dir``. Only where that is unset in
+    local mode, as in tests, a folder under the system's temporary one is set.
     """
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = "file://" + os.path.join(tempfile.gettempdir(), "residuum-checkpoints")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
+_scopes: list[list[Staged]] = []
+
+
+@contextmanager
+def scratch() -> Iterator[None]:
+    """Delete all tables staged inside when done; what is returned from them must have been written by then."""
+    _scopes.append([])
+    try:
+        yield
+    finally:
+        for staged in _scopes.pop():
+            staged.delete(staged.root)
+
+
 class Staged:
     """Tables written to the shared folder: they cut lineage and outlive executors."""
 
@@ -38,6 +56,8 @@ class Staged:
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
         self.count = 0
+        for scope in _scopes:
+            scope.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
         path = f"{self.root}/{self.count}"
@@ -49,11 +69,57 @@ class Staged:
 
     def drop(self, df: DataFrame) -> None:
         """Delete a table that no later plan reads."""
-        jvm = self.spark._jvm
-        path = jvm.org.apache.hadoop.fs.Path(df.staged_path)
+        self.delete(df.staged_path)
+
+    def delete(self, where: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(where)
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def is_few(rows: DataFrame, limit: int) -> bool:
+    return rows.limit(limit + 1).count() <= limit
+
+
+def _with_keys(docs: DataFrame, keys: dict[str, Column]) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with key columns under names that it does not have."""
+    names = {}
+    for key in keys:
+        name = f"_{key}"
+        while name in docs.columns or name in names.values():
+            name += "_"
+        names[key] = name
+    return docs.select("*", *(c.alias(names[k]) for k, c in keys.items())), names
+
+
+def _columns(docs: DataFrame) -> list[str]:
+    return [f"`{c}`" for c in docs.columns]
+
+
+def without(docs: DataFrame, gone: DataFrame, keys: dict[str, Column], broadcast_rows: int = 200_000) -> DataFrame:
+    """The rows of ``docs`` whose ``keys`` are not in ``gone``, which has columns named like them.
+
+    Few keys are broadcast; many are joined by a shuffle, where AQE splits a hot key.
+    """
+    rows, names = _with_keys(docs, keys)
+    gone = gone.select(*(F.col(k).alias(n) for k, n in names.items()))
+    few = is_few(gone, broadcast_rows)
+    return rows.join(F.broadcast(gone) if few else gone, list(names.values()), "left_anti").select(_columns(docs))
+
+
+def one_of_each(docs: DataFrame, repeated: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """``docs`` with one row of those that share ``keys`` that are in ``repeated``; all others stay.
+
+    A hot key is reduced before the shuffle.
+    """
+    if repeated.isEmpty():
+        return docs
+    rows, names = _with_keys(docs, keys)
+    again = repeated.select(*(F.col(k).alias(n) for k, n in names.items()))
+    among = rows.join(F.broadcast(again) if is_few(again, 200_000) else again, list(names.values()), "left_semi")
+    first = among.groupBy(*names.values()).agg(F.first(F.struct(_columns(docs))).alias("row"))
+    return without(docs, repeated, keys).unionByName(first.select("row.*"))
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str
 ) -> DataFrame:

@@ -11,7 +11,8 @@ with the text's byte length and a second 64-bit hash.
 Nulls: a null text equals the empty text; a null identifier loses against any
 other. Repeated rows (same identifier and text) count in ``group_size`` and just
 one of them is kept. An empty table gives an empty result. Extra columns are
-ignored by :func:`duplicate_groups` and kept by :func:`deduplicate`.
+ignored by :func:`duplicate_groups` and kept by :func:`deduplicate`, whatever their
+names. Very long texts are hashed whole; only digests move.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import Staged
+from residuum.llm.common import Staged, one_of_each, without
 
 _RUN = "digest binary, check long, n_bytes long, rank long, row long, keep_id long, n long, node long"
 _SAME = ["digest", "check", "n_bytes"]
@@ -121,21 +122,17 @@ def deduplicate(
     """The rows of ``docs`` that stay, all columns as they were.
 
     Rows are found again by identifier and text digest; of rows repeated with
-    both equal, one stays.
+    both equal, one stays. Texts are shuffled only where the digests that go are too many
+    to broadcast.
     """
-    key = F.coalesce(F.col("_key"), F.lit("none"))
-    groups = duplicate_groups(docs, id_col, text_col, keep).filter("NOT kept")
-    marks = (
-        groups.select(
-            F.col("doc_id").cast("string").alias("_key"),
-            F.col("text_sha256").alias("_sha"),
-            F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("_again"),
-        )
-        .withColumn("_key", key)
-        .distinct()
+    staged = Staged(docs.sparkSession, "exact-dedup-rows")
+    name = lambda c: F.coalesce(c.cast("long").cast("string"), F.lit("none"))
+    keys = {"id": name(docs[id_col]), "sha": F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256)}
+    groups = duplicate_groups(docs, id_col, text_col, keep).filter("group_size > 1")
+    marks = staged.write(
+        groups.groupBy(name(F.col("doc_id")).alias("id"), F.col("text_sha256").alias("sha"))
+        .agg(F.count("*").alias("n"), F.first(F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("stays"))
+        .filter("NOT stays OR n > 1")
     )
-    rows = docs.withColumn("_key", docs[id_col].cast("long").cast("string")).withColumn("_key", key)
-    rows = rows.withColumn("_sha", F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
-    rows = rows.join(marks, ["_key", "_sha"], "left").filter("_again IS NULL OR _again")
-    first = F.row_number().over(Window.partitionBy("_key", "_sha").orderBy("_again"))
-    return rows.withColumn("_nth", first).filter("_again IS NULL OR _nth = 1").select(docs.columns)
+    rows = without(docs, marks.filter("NOT stays"), keys)
+    return one_of_each(rows, marks.filter("stays"), keys)

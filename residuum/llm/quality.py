@@ -3,14 +3,18 @@
 Each document gets counts and rule failures. Failures are summed by host; each
 host's failure rate is shrunk towards the rate of all hosts with an empirical
 beta prior (moments of the hosts' rates), so that a host with two documents is
-not judged by them alone. A host whose shrunk rate of a rule reaches
-``host_rate`` gets a verdict on that rule, and the verdicts are joined back: a
+not judged by them alone. Where hosts differ no more than chance allows, all have
+the rate of all. A host whose shrunk rate of a rule is ``excess`` times the rate of
+all or more gets a verdict on that rule, and the verdicts are joined back: a
 document goes if it fails the base rules, or fails a rule on which its host has
-a verdict. A document that fails nothing always stays.
+a verdict. So of two equal texts from different hosts one may go and one stay; a
+document that fails nothing always stays.
 
 Null text counts as no text (it fails the base rules). Rows with a null host
-form one host of their own. Repeated rows are judged alike; an empty table gives
-an empty result; extra columns are kept by :func:`keep_good`.
+form one host of their own. Rows with a null or repeated identifier are judged
+like others, each by its own text. Very long texts are counted whole. An empty
+table gives an empty result; extra columns, whatever their names, are ignored by
+:func:`judge` and kept by :func:`keep_good`.
 """
 
 from __future__ import annotations
@@ -19,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import Staged, count_white, map_batches, text_bytes
+from residuum.llm.common import Staged, count_white, is_few, map_batches, text_bytes, without
 
 _SYMBOLS = "#*$%&|<>"
 _COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines")
@@ -56,20 +60,30 @@ def text_counts(text: str | None) -> tuple[int, ...]:
     )
 
 
+def _host(docs: DataFrame, host_col: str) -> Column:
+    return F.coalesce(F.concat(F.lit("h:"), docs[host_col].cast("string")), F.lit("none"))
+
+
+def _digest(docs: DataFrame, text_col: str) -> Column:
+    return F.unhex(F.sha2(F.coalesce(docs[text_col], F.lit("")).cast("binary"), 256))
+
+
 def document_counts(docs: DataFrame, id_col: str, text_col: str, host_col: str) -> DataFrame:
-    """``doc_id, host`` and the counts of each document."""
+    """``doc_id, host, digest`` (of the text) and the counts of each document."""
     rows = docs.select(
         docs[id_col].cast("long").alias("doc_id"),
-        F.coalesce(F.concat(F.lit("h:"), docs[host_col].cast("string")), F.lit("none")).alias("host"),
+        _host(docs, host_col).alias("host"),
+        _digest(docs, text_col).alias("digest"),
         docs[text_col].alias("text"),
     )
+    own = ["doc_id", "host", "digest"]
 
     def count(batch: pa.RecordBatch) -> pa.RecordBatch:
         found = [text_counts(x) for x in batch["text"].to_pylist()]
         columns = [pa.array(x, pa.int64()) for x in zip(*found)] if found else [pa.array([], pa.int64())] * len(_COUNTS)
-        return pa.RecordBatch.from_arrays([batch["doc_id"], batch["host"], *columns], ["doc_id", "host", *_COUNTS])
+        return pa.RecordBatch.from_arrays([*(batch[c] for c in own), *columns], [*own, *_COUNTS])
 
-    return map_batches(rows, count, "doc_id long, host string, " + ", ".join(f"{c} long" for c in _COUNTS))
+    return map_batches(rows, count, "doc_id long, host string, digest binary, " + ", ".join(f"{c} long" for c in _COUNTS))
 
 
 def rules() -> dict[str, Column]:
@@ -82,60 +96,87 @@ def rules() -> dict[str, Column]:
     }
 
 
-def host_verdicts(flags: DataFrame, names: list[str], host_rate: float) -> DataFrame:
+def host_verdicts(flags: DataFrame, names: list[str], excess: float) -> DataFrame:
     """Per host: documents, and for each rule the shrunk rate and the verdict."""
     hosts = flags.groupBy("host").agg(
         F.count("*").alias("n_docs"), *(F.sum(F.col(f"fail_{r}").cast("long")).alias(f"n_{r}") for r in names)
     )
-    moments = [F.sum("n_docs").alias("all_docs"), F.avg(1 / F.col("n_docs")).alias("inverse_n")]
+    square = F.col("n_docs").cast("double") * F.col("n_docs")
+    moments = [F.sum("n_docs").alias("all_docs"), F.sum(square).alias("squares"), F.count("*").alias("hosts")]
     for r in names:
-        rate = F.col(f"n_{r}") / F.col("n_docs")
-        moments += [F.sum(f"n_{r}").alias(f"all_{r}"), F.var_pop(rate).alias(f"var_{r}")]
+        moments += [F.sum(f"n_{r}").alias(f"all_{r}"), F.sum(F.col(f"n_{r}").cast("double") * F.col(f"n_{r}") / F.col("n_docs")).alias(f"var_{r}")]
     judged = hosts.crossJoin(hosts.agg(*moments))  # one row of moments
-    columns = ["host", "n_docs"]
+    columns = ["host", "n_docs", "all_docs"]
     for r in names:
-        mean = F.least(F.greatest(F.col(f"all_{r}") / F.col("all_docs"), F.lit(1e-6)), F.lit(1 - 1e-6))
+        mean = F.col(f"all_{r}") / F.col("all_docs")
         spread = mean * (1 - mean)
-        # variance between hosts beyond that of drawing n documents
-        between = F.greatest(F.col(f"var_{r}") - spread * F.col("inverse_n"), spread * 1e-3)
-        strength = F.greatest(spread / between - 1, F.lit(1.0))
-        judged = judged.withColumn(
-            f"rate_{r}", (F.col(f"n_{r}") + mean * strength) / (F.col("n_docs") + strength)
-        ).withColumn(f"bad_{r}", F.col(f"rate_{r}") >= host_rate)
+        # variance of the hosts' rates, weighted by documents, beyond that of drawing so many documents
+        apart = 1 - F.col("squares") / F.col("all_docs") / F.col("all_docs")
+        between = F.col(f"var_{r}") / F.col("all_docs") - mean * mean - spread * (F.col("hosts") - 1) / F.col("all_docs")
+        strength = F.when((between > 1e-12) & (apart > 1e-12), F.greatest(spread * apart / between - 1, F.lit(1.0)))
+        shrunk = (F.col(f"n_{r}") + mean * strength) / (F.col("n_docs") + strength)
+        judged = judged.withColumn(f"rate_{r}", F.coalesce(shrunk, mean))
+        judged = judged.withColumn(f"bad_{r}", F.col(f"rate_{r}") >= excess * mean)
         columns += [f"rate_{r}", f"bad_{r}"]
     return judged.select(columns)
 
 
-def judge(
-    docs: DataFrame,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    host_col: str = "source",
-    min_words: int = 50,
-    host_rate: float = 0.02,
+def _with_hosts(flags: DataFrame, hosts: DataFrame, broadcast_hosts: int) -> DataFrame:
+    """Verdicts joined back: broadcast if the hosts are few; else only those of a thousandth of all rows or more are."""
+    if is_few(hosts, broadcast_hosts):
+        return flags.join(F.broadcast(hosts), "host")
+    hot = hosts.filter("n_docs * 1000 >= all_docs")  # 1000 at most
+    rest = flags.join(F.broadcast(hot.select("host")), "host", "left_anti").join(hosts, "host")
+    return flags.join(F.broadcast(hot), "host").unionByName(rest)
+
+
+def _judged(
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, excess: float, broadcast_hosts: int
 ) -> DataFrame:
-    """One row per document: counts, ``base_failed`` and ``kept``."""
     staged = Staged(docs.sparkSession, "quality")
     counts = staged.write(document_counts(docs, id_col, text_col, host_col))
     found = rules()
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     flags = counts.withColumn("base_failed", base).withColumns({f"fail_{r}": c for r, c in found.items()})
-    hosts = host_verdicts(flags, list(found), host_rate)
+    hosts = staged.write(host_verdicts(flags, list(found), excess))
     failed = F.lit(False)
     for r in found:
         failed = failed | (F.col(f"fail_{r}") & F.col(f"bad_{r}"))
-    # AQE broadcasts the hosts only if they measure small, and splits a hot host otherwise.
-    return flags.join(hosts.drop("n_docs"), "host").select(
-        "doc_id", *_COUNTS, "base_failed", (~F.col("base_failed") & ~failed).alias("kept"), *(f"rate_{r}" for r in found)
-    )
+    return _with_hosts(flags, hosts, broadcast_hosts).withColumn("kept", ~F.col("base_failed") & ~failed)
+
+
+def judge(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_words: int = 50,
+    excess: float = 2.0,
+    broadcast_hosts: int = 100_000,
+) -> DataFrame:
+    """One row per document: counts, ``base_failed``, ``kept``, and its host's shrunk rate of each rule.
 
+    :param excess: a host is bad on a rule from this multiple of the rate of all.
+    :param broadcast_hosts: verdicts of at most so many hosts are broadcast.
+    """
+    judged = _judged(docs, id_col, text_col, host_col, min_words, excess, broadcast_hosts)
+    return judged.select("doc_id", *_COUNTS, "base_failed", "kept", *(f"rate_{r}" for r in rules()))
 
-def keep_good(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
+
+def keep_good(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    host_col: str = "source",
+    min_words: int = 50,
+    excess: float = 2.0,
+    broadcast_hosts: int = 100_000,
+) -> DataFrame:
     """The documents that stay, with all their columns.
 
-    A document is found again by its identifier and so by all its rows: of
-    repeated identifiers with unlike texts every one must pass. Rows without an
-    identifier cannot be found again and stay.
+    Text and host decide about a document, so it is found again by the digest of the one and
+    the other, whatever its identifier is.
     """
-    gone = judge(docs, id_col, text_col, host_col).filter("NOT kept").select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    judged = _judged(docs, id_col, text_col, host_col, min_words, excess, broadcast_hosts)
+    gone = judged.filter("NOT kept").select("digest", "host").distinct()
+    return without(docs, gone, {"digest": _digest(docs, text_col), "host": _host(docs, host_col)})
