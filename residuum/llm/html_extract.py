@@ -3,11 +3,15 @@
 A scanner yields tags and text; a tree builder closes what HTML lets authors
 leave open (paragraphs, list items, cells, rows) and drops stray end tags; a
 renderer walks the tree and writes all visible text. Hidden are elements that
-browsers do not show (head matter, scripts, templates), ``hidden`` attributes,
-``display:none`` and ``visibility:hidden`` styles, and closed ``details`` apart
-from their summary. Block elements start new lines, paragraphs and headings are
-set apart by an empty line, list items get bullets or numbers with indentation,
-and the cells of a table are padded to common column widths. Formulas, labels of
+browsers do not show (head matter, scripts, templates, closed dialogs), ``hidden``
+attributes, ``display:none``, and closed ``details`` apart from their summary;
+``visibility:hidden`` hides text down to where it is set visible again. Styles come
+from ``style`` attributes and from the rules of ``style`` elements whose selectors
+name tags, classes and identifiers of one element (others, as those with
+combinators, are not looked at), in the order of the cascade. Block elements start
+new lines, paragraphs and headings are set apart by an empty line, list items get
+bullets or numbers with indentation, and the cells of a table, spans over columns
+and rows included, are padded to common column widths. Formulas, labels of
 drawings, all options of choices and the contents of text areas are text.
 
 Elements may be nested to any depth. Inside 100 quotes, list items and tables
@@ -16,15 +20,16 @@ indentation and columns stop growing; text, marks, lines and cells stay apart.
 Null or empty pages give an empty text. Pages of any length are read whole, in
 time linear in their length apart from tables. Repeated rows and null
 identifiers are rendered like others; an empty table gives an empty result;
-extra columns do not matter.
+extra columns do not matter, whatever their names.
 """
 
 from __future__ import annotations
 
 import re
 import unicodedata
-from collections import Counter
-from collections.abc import Generator
+from bisect import bisect_right
+from collections import defaultdict
+from collections.abc import Generator, Iterator
 from html import unescape
 from typing import Any
 
@@ -72,6 +77,7 @@ ENDS = {
     "rt": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
     "rp": (frozenset(["rt", "rp"]), frozenset(["ruby"])),
 }
+MOST_COLUMNS, MOST_ROWS = 1000, 65534  # of one cell
 CLOSES_P = BLOCK - {"html", "body", "caption", "tr", "legend"}
 _SCOPE = frozenset("table td th caption button template html foreignobject".split())
 
@@ -80,21 +86,24 @@ _SCOPE = frozenset("table td th caption button template html foreignobject".spli
 _PAIR = r"([^\s/>][^\s/>=]*+)(?:\s*+=\s*+(?:\"([^\"]*+)(?:\"|\Z)|'([^']*+)(?:'|\Z)|([^\s>\"'][^\s>]*+))?+)?+"
 _PAIRS = "((?:[\\s/]++|" + re.sub(r"\((?=\[)", "(?:", _PAIR) + ")*+)"
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|--!>|\Z)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*+)" + re.sub(r"^\(", "(?:", _PAIRS) + r"(?:>|\Z)|"
+    r"<!--(?:-?>|.*?(?:-->|--!>|\Z))|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*+)" + re.sub(r"^\(", "(?:", _PAIRS) + r"(?:>|\Z)|"
     r"<([a-zA-Z][^\s/>]*+)" + _PAIRS + r"(>|\Z)",
     re.S,
 )
 _ATTRIBUTE = re.compile(_PAIR)
-_HIDING = re.compile(r"display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse)", re.I)
+_DECLARATION = re.compile(r"(?:\A|;)\s*+(display|visibility)\s*+:\s*+([a-z-]++)\s*+(!\s*+important)?", re.I)
+_SELECTOR = re.compile(r"([a-z][\w-]*+|\*)?+((?:[.#][\w-]++)*+)", re.I)
+_COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
+_LAST = re.compile(r"[^\s\"'>]*+")  # of a reversed text
 _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 
 class Node:
     #: ``space``: "" for HTML, "math", "svg" where text is not drawn, "label" in a text of a drawing, "none" if unseen
-    __slots__ = ("tag", "attrs", "children", "space")
+    __slots__ = ("tag", "attrs", "children", "space", "shown")
 
     def __init__(self, tag: str, attrs: dict[str, str], space: str = ""):
-        self.tag, self.attrs, self.children, self.space = tag, attrs, [], space
+        self.tag, self.attrs, self.children, self.space, self.shown = tag, attrs, [], space, True
 
 
 def _space(tag: str, around: str) -> str:
@@ -117,25 +126,30 @@ def _attributes(text: str) -> dict[str, str]:
     return found
 
 
+def _ends_in_value(attributes: str) -> bool:
+    """The last characters, up to a quote or white space, are or hold the value of an attribute."""
+    run = _LAST.match(attributes[::-1])[0]
+    return "=" in run[1:] or attributes[: len(attributes) - len(run)].rstrip().endswith("=")
+
+
 def parse(html: str) -> Node:
     """The tree of a page."""
     root = Node("html", {})
     stack = [root]
-    opened: Counter[str] = Counter()  # tags on the stack, to look only for those that are there
+    opened: defaultdict[str, list[int]] = defaultdict(list)  # where the stack holds a tag, so that nothing is searched
 
     def cut(i: int) -> None:
-        opened.subtract(n.tag for n in stack[i:])
+        for n in stack[i:]:
+            opened[n.tag].pop()
         del stack[i:]
 
+    def last(tags: frozenset) -> int:
+        return max((opened[t][-1] for t in tags if opened.get(t)), default=-1)
+
     def close_to(tags: frozenset, boundaries: frozenset) -> None:
-        if not any(opened[t] for t in tags):
-            return
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in tags:
-                cut(i)
-                return
-            if stack[i].tag in boundaries:
-                return
+        i = last(tags)
+        if i > 0 and i >= last(boundaries):
+            cut(i)
 
     def text(value: str) -> None:
         if stack[-1].space != "svg":
@@ -144,7 +158,7 @@ def parse(html: str) -> Node:
     def start(tag: str, attrs: dict[str, str], closed: bool = False) -> None:
         if tag in BREAKS_OUT:
             while stack[-1].space:
-                cut(-1)
+                cut(len(stack) - 1)
         if tag in ("html", "body"):
             root.attrs.update({k: v for k, v in attrs.items() if k not in root.attrs})
             return
@@ -153,16 +167,15 @@ def parse(html: str) -> Node:
         if tag in ENDS:
             close_to(*ENDS[tag])
         if tag in ("td", "th"):  # implied row
-            inside = next((n.tag for n in reversed(stack) if n.tag in ("tr", "table")), None) if opened["table"] else None
-            if inside == "table":
+            if last(frozenset(["table"])) > last(frozenset(["tr"])):
                 start("tr", {})
         if tag[0] == "h" and tag[1:].isdigit() and stack[-1].tag[0] == "h" and stack[-1].tag[1:].isdigit():
-            cut(-1)
+            cut(len(stack) - 1)
         node = Node(tag, attrs, _space(tag, stack[-1].space))
         stack[-1].children.append(node)
         if tag not in VOID and not (closed and (stack[-1].space or node.space)):
+            opened[tag].append(len(stack))
             stack.append(node)
-            opened[tag] += 1
 
     at = 0
     while at < len(html):
@@ -196,7 +209,7 @@ def parse(html: str) -> Node:
             if not found[4]:
                 break
             tag = found[2].lower()
-            closed = found[3].endswith("/") and re.search(r"=\s*[^\s\"'>]+\Z", found[3]) is None
+            closed = found[3].endswith("/") and not _ends_in_value(found[3])
             start(tag, _attributes(found[3]) if found[3].strip(" /") else {}, closed)
             if tag in RAW and not (closed and stack[-1].space):
                 end = re.compile(rf"</{tag}[\s/>]", re.I).search(html, at)
@@ -207,13 +220,102 @@ def parse(html: str) -> Node:
     return root
 
 
+def _for_screens(media: str) -> bool:
+    """A list of media, of which one is for screens."""
+    return not media.strip() or any(m.split(None, 1)[:1] and m.split()[0].lower() in ("all", "screen", "only") or m.strip().startswith("(") for m in media.split(","))
+
+
+def _rules(css: str) -> Iterator[tuple[str, str]]:
+    """Selectors and declarations of a style sheet, those of media rules for screens included."""
+    css = _COMMENT.sub(" ", css)
+    at = 0
+    while (brace := css.find("{", at)) >= 0:
+        prelude = css[at:brace].replace("}", " ").rsplit(";", 1)[-1].strip()
+        if prelude.startswith("@") and not (prelude.lower().startswith("@media") and _for_screens(prelude[6:])):
+            depth, at = 1, brace + 1  # skip the block and all inside
+            for found in re.compile("[{}]").finditer(css, at):
+                depth += 1 if found[0] == "{" else -1
+                at = found.end()
+                if not depth:
+                    break
+            else:
+                return
+            continue
+        at = brace + 1
+        if not prelude.startswith("@"):
+            end = css.find("}", at)
+            end = len(css) if end < 0 else end
+            yield prelude, css[at:end]
+            at = end + 1
+
+
+class Styles:
+    """The rules of a page's style sheets on ``display`` and ``visibility`` of single elements."""
+
+    def __init__(self) -> None:
+        self.by: defaultdict[str, list[tuple]] = defaultdict(list)  # "#id", ".class", tag or "*"
+        self.count = 0
+
+    def add(self, css: str) -> None:
+        for prelude, body in _rules(css):
+            found = _DECLARATION.findall(body)
+            for selector in prelude.split(",") if found else ():
+                m = _SELECTOR.fullmatch(selector.strip())
+                if m is None or not m[0]:
+                    continue
+                tag = (m[1] or "*").lower()
+                marks = frozenset(re.findall(r"[.#][\w-]+", m[2]))
+                ids = sum(x[0] == "#" for x in marks)
+                key = max(marks, key=lambda x: x[0] == "#") if marks else tag
+                for name, value, important in found:
+                    self.count += 1
+                    weight = (bool(important), 0, ids, len(marks) - ids, tag != "*", self.count)
+                    self.by[key].append((weight, tag, marks, name.lower(), value.lower()))
+
+    def of(self, node: Node) -> dict[str, str]:
+        """What holds for an element by its own style and the rules."""
+        attrs, found = node.attrs, {}
+        if self.count:
+            marks = {"." + c for c in attrs.get("class", "").split()} | ({"#" + attrs["id"]} if "id" in attrs else set())
+            rules = [r for key in (*marks, node.tag, "*") for r in self.by.get(key, ()) if r[1] in ("*", node.tag) and r[2] <= marks]
+        else:
+            rules = []
+        if "style" in attrs:
+            own = _DECLARATION.findall(attrs["style"])
+            rules += [((bool(i), 1, 0, 0, 0, n), "", "", name.lower(), value.lower()) for n, (name, value, i) in enumerate(own)]
+        for _, _, _, name, value in sorted(rules, key=lambda r: r[0]):
+            found[name] = value
+        return found
+
+
+def apply_styles(root: Node) -> None:
+    """Sets ``shown`` of all elements, and takes the text out of those that are not visible."""
+    styles, stack = Styles(), [root]
+    while stack:
+        node = stack.pop()
+        if node.tag == "style" and node.space == "" and _for_screens(node.attrs.get("media", "")):
+            styles.add("".join(c for c in node.children if isinstance(c, str)))
+        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+    walk = [(root, False)]
+    while walk:
+        node, hidden = walk.pop()
+        held = styles.of(node) if styles.count or "style" in node.attrs else {}
+        unseen = node.tag in UNSEEN or node.space == "none" or node.tag in ("input", "img")
+        closed = "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs
+        node.shown = not unseen and (held["display"] != "none" if "display" in held else not closed)
+        if not node.shown:
+            continue
+        if held.get("visibility") in ("hidden", "collapse", "visible"):
+            hidden = held["visibility"] != "visible"
+        if hidden:
+            node.shown = node.tag != "hr"
+            node.children = [c for c in node.children if isinstance(c, Node)]
+            node.attrs = {k: v for k, v in node.attrs.items() if k != "label"}
+        walk.extend((c, hidden) for c in node.children if isinstance(c, Node))
+
+
 def visible(node: Node) -> bool:
-    attrs = node.attrs
-    if node.tag in UNSEEN or node.space == "none" or "hidden" in attrs:
-        return False
-    if node.tag == "input" or node.tag == "img":
-        return False
-    return not ("style" in attrs and _HIDING.search(attrs["style"]))
+    return node.shown
 
 
 def _width(text: str) -> int:
@@ -240,10 +342,6 @@ class _Lines:
         if line:
             self._add([line])
 
-    def forced_break(self) -> None:
-        if _WHITE.sub("", "".join(self.now)):
-            self.end_line()
-
     def block(self, lines: list[str]) -> None:
         """Lines that are ready."""
         self.end_line()
@@ -264,28 +362,63 @@ class _Lines:
         self.gap = True
 
 
-def _rows(table: Node) -> tuple[list[Node], list[list[Node]]]:
-    """Captions and rows of cells; contents outside of rows and cells count as captions."""
+def _rows(table: Node) -> tuple[list[Node | str], list[tuple[int, list[Node]]]]:
+    """Captions, and rows of cells with the number of their section; contents outside of rows and cells count as captions."""
     captions, rows = [], []
-    stack = list(reversed(table.children))
+    stack = [(c, 0) for c in reversed(table.children)]
+    sections = 0
     while stack:
-        child = stack.pop()
+        child, section = stack.pop()
         if isinstance(child, str):
             if child.strip():
                 captions.append(child)
         elif not visible(child):
             continue
         elif child.tag in ("tbody", "thead", "tfoot"):
-            stack.extend(reversed(child.children))
+            sections += 1
+            stack.extend((c, sections) for c in reversed(child.children))
         elif child.tag == "tr":
-            cells = [c for c in child.children if isinstance(c, Node) and c.tag in ("td", "th") and visible(c)]
-            captions += [c for c in child.children if c not in cells and (isinstance(c, Node) and visible(c) or isinstance(c, str) and c.strip())]
-            rows.append(cells)
+            cells = []
+            for c in child.children:
+                if isinstance(c, str):
+                    if c.strip():
+                        captions.append(c)
+                elif visible(c):
+                    (cells if c.tag in ("td", "th") else captions).append(c)
+            rows.append((section, cells))
         elif child.tag not in ("colgroup", "col"):
             captions.append(child)
     return captions, rows
 
 
+def _span(cell: Node, name: str, most: int) -> int:
+    value = cell.attrs.get(name, "").strip()
+    if not (value.isascii() and value.isdigit()):
+        return 1
+    number = int(value[:9])
+    return most if not number and name == "rowspan" else min(max(number, 1), most)
+
+
+def _places(rows: list[tuple[int, list[Node]]]) -> list[list[tuple[int, Node]]]:
+    """The cells of each row with their columns, beside the cells that reach down from rows above."""
+    out, taken, before = [], {}, None  # column -> rows that it is still taken for
+    for section, cells in rows:
+        if section != before:
+            taken, before = {}, section
+        line, column, new = [], 0, {}
+        for cell in cells:
+            while column in taken:
+                column += 1
+            line.append((column, cell))
+            wide, high = _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", MOST_ROWS)
+            if high > 1:
+                new.update((c, high - 1) for c in range(column, column + wide))
+            column += wide
+        taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
+        out.append(line)
+    return out
+
+
 # The walk: each step yields the steps it needs done first, and ``_walk`` keeps them on a stack of its own,
 # so that no depth of a page exhausts Python's. ``level`` counts quotes, list items and tables around.
 Step = Generator[Any, list[str] | None, list[str] | None]
@@ -318,19 +451,22 @@ def _table(table: Node, level: int) -> Step:
         part.end_line()
         out += part.lines
     grid = []
-    for cells in rows:
-        line: list[list[str]] = []
-        for c in cells:
-            line.append((yield _children(c, level)))
-            span = c.attrs.get("colspan", "")
-            line += [[]] * (min(int(span), 100) - 1 if span.isdigit() and int(span) > 1 else 0)
+    for places in _places(rows):
+        line = []
+        for column, c in places:
+            line.append((column, (yield _children(c, level))))
         grid.append(line)
-    columns = max(map(len, grid), default=0)
-    widths = [max((_width(x) for line in grid if k < len(line) for x in line[k]), default=0) for k in range(columns)]
+    widths: dict[int, int] = {}  # of the columns in which a cell begins
+    for line in grid:
+        for column, cell in line:
+            widths[column] = max(widths.get(column, 0), *map(_width, cell), 0)
+    columns = sorted(widths)
     for line in grid:
-        for i in range(max((len(cell) for cell in line), default=0)):
-            parts = [cell[i] if i < len(cell) else "" for cell in line]
-            row = "  ".join(x + " " * (widths[k] - _width(x)) for k, x in enumerate(parts)).rstrip()
+        cells = dict(line)
+        upto = columns[: bisect_right(columns, line[-1][0])] if line else []
+        for i in range(max((len(cell) for cell in cells.values()), default=0)):
+            parts = [cells[c][i] if c in cells and i < len(cells[c]) else "" for c in upto]
+            row = "  ".join(x + " " * (widths[c] - _width(x)) for c, x in zip(upto, parts)).rstrip()
             if row:
                 out.append(row)
     return out
@@ -453,6 +589,7 @@ def render(html: str | None) -> str:
     if not html:
         return ""
     root = parse(html)
+    apply_styles(root)
     if not visible(root):
         return ""
     lines = _walk(_children(root, 0))

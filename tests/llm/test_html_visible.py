@@ -45,3 +45,53 @@ def test_many_levels_keep_all_text():
         text = render("".join(f"{tag}w{n} " for n in range(20_000)) + "<table><tr><td>a<td>b</table>")
         assert [x for x in text.split() if x not in (">", "-")] == [f"w{n}" for n in range(20_000)] + ["a", "b"]
     assert time.time() - start < 60
+
+
+def test_empty_comments():
+    assert render("before<!-->after") == render("before<!--->after") == render("before<!----><!-- x -->after") == "beforeafter"
+    assert render("a<!-- b --!>c<!-- d") == "ac"
+
+
+def test_visibility_is_inherited_and_set_again():
+    assert render("<p style='visibility:hidden'>a<b style='visibility: visible'>b</b>c</p>d").split() == ["b", "d"]
+    assert render("<div style='display:none'>a<b style='display:block;visibility:visible'>b</b></div>c") == "c"
+    assert render("<ul style='visibility:hidden'><li>a<li style='visibility:visible'>b</ul>") == "- b"
+    assert render("<dialog>no</dialog><dialog open>yes</dialog><p hidden style='display:block'>shown") == "yes\n\nshown"
+
+
+def test_rules_of_style_sheets():
+    page = lambda css, body: render(f"<style>{css}</style>{body}")
+    assert page(".h{display:none}", "<p class='a h'>no<p>yes") == "yes"
+    assert page("/* .x{} */ p.h, #k , aside {color:red; DISPLAY : none }", "<p class=h>no<div class=h>yes</div><b id=k>no</b><aside>no</aside>") == "yes"
+    assert page(".h{display:none} .h{display:block}", "<p class=h>yes") == "yes"
+    assert page("#k{display:block} .h{display:none}", "<p class=h id=k>yes") == "yes"
+    assert page("#k{display:block} .h{display:none!important}", "<p class=h id=k>no") == ""
+    assert page(".h{display:none}", "<p class=h style='display:inline'>yes") == "yes"
+    assert page(".h{display:none !important}", "<p class=h style='display:inline'>no") == ""
+    assert page("@import 'x'; @media print{.a{display:none}} @media screen{.b{display:none}} .c{visibility:hidden}", "<p class=a>yes<p class=b>no<p class=c>no<i style='visibility:visible'>in</i>") == "yes\n\nin"
+    assert page("div .h, .h > p, p:hover{display:none}", "<div><p class=h>yes") == "yes"
+    assert page("@font-face{a:b} .h{display:none", "<p class=h>no<p>yes") == "yes"
+    assert render("<style media=print>p{display:none}</style><p>yes") == "yes"
+
+
+def test_spans_over_rows_and_columns():
+    table = "<table><tr><th>A<th>B<th>C<tr><td rowspan=2>a1<td>b1<td>c1<tr><td>b2<td>c2<tr><td>a3<td colspan=2>b3</table>"
+    assert render(table).split("\n") == ["A   B   C", "a1  b1  c1", "    b2  c2", "a3  b3"]
+    wide = "<table><tr><td colspan=150>x<td>y<tr>" + "<td>z" * 151 + "</table>"
+    first, second = render(wide).split("\n")
+    assert first.index("y") == second.rindex("z")  # no cut at 100 columns
+    assert render("<table><tbody><tr><td rowspan=0>a<td>b<tr><td>c</tbody><tbody><tr><td>d</table>").split("\n") == ["a  b", "   c", "d"]
+    assert render("<table><tr><td colspan=999999999999>a<td>b<tr><td rowspan=x>c</table>") == "a  b\nc"
+
+
+def test_odd_pages_of_a_megabyte_take_seconds():
+    start = time.time()
+    assert render("<a " * 350_000) == ""
+    assert render("<" + "a" * 1_000_000) == ""
+    assert render("<" + "a" * 1_000_000 + ">x") == "x"
+    assert render("<div>" * 200_000 + "x") == "x"
+    assert render("<p><button>" + "<b>" * 150_000 + "</p>" * 100_000 + "x").split() == ["x"]
+    assert render("<a " + "=x" * 400_000 + " />y") == "y"
+    assert render("<table><tr>" + "<td>c" * 150_000 + "</table>").count("c") == 150_000
+    assert render("<style>" + ".a{display:none}" * 50_000 + "@media x{" * 1000 + "</style>x") == "x"
+    assert time.time() - start < 60
