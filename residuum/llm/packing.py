@@ -9,8 +9,10 @@ from its number among the pieces of equal length, a prefix sum over partitions;
 no length's pieces are gathered in one place. Pieces left over are dealt into
 groups of bounded size and packed best-fit-decreasing in each.
 
-Null text counts as empty: one piece holding the end id. Null identifiers and
-repeated rows are packed like others; an empty table gives no sequences.
+Null text counts as empty: one piece holding the end id. Very long texts are cut
+into windows and never dropped. Null identifiers and repeated rows are packed like
+others, and dealt over the groups like others; an empty table gives no sequences;
+extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -202,11 +204,12 @@ def pack(
                     k = np.searchsorted(starts[b], number[rows], "right") - 1
                     sequence[rows] = firsts[b][k] + number[rows] - starts[b][k]
                     slot[rows] = places[b][k]
-            yield pdf[columns].assign(sequence_id=sequence, slot=slot)
+            yield pdf[columns].assign(sequence_id=sequence, slot=slot, turn=pdf["part"] * 7919 + pdf["nth"])
 
     columns = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
     kinds = ", ".join(f"{c} long" for c in columns)
-    placed = staged.write(numbered.mapInPandas(place, f"{kinds}, sequence_id long, slot long"))
+    placed = staged.write(numbered.mapInPandas(place, f"{kinds}, sequence_id long, slot long, turn long"))
+    staged.drop(pieces)
     earlier = Window.partitionBy("sequence_id").orderBy("slot").rowsBetween(Window.unboundedPreceding, -1)
     filled = placed.filter("sequence_id >= 0").select(
         *columns, "sequence_id", F.coalesce(F.sum("length").over(earlier), F.lit(0)).alias("offset")
@@ -220,6 +223,6 @@ def pack(
         return pdf[columns].assign(sequence_id=sequences + (int(key[0]) << 32) + number, offset=offset)
 
     rest = placed.filter("sequence_id < 0").withColumn(
-        "deal", F.pmod(F.xxhash64("doc_id", "start", "ids_crc32"), F.lit(groups))
+        "deal", F.pmod(F.xxhash64("turn", "length"), F.lit(groups))  # equal rows have unequal turns
     )
     return filled.unionByName(rest.groupBy("deal").applyInPandas(pack_rest, f"{kinds}, sequence_id long, offset long"))

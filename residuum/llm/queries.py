@@ -42,7 +42,7 @@ def op4_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_ids.pack_digests(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
+    return token_ids.written_digests(read_table(spark, sf_dir, "documents"), tokenizer_file("word_bpe_49k.json"))
 
 
 def op6_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:

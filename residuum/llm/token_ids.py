@@ -8,8 +8,12 @@ still holds a piece in ``log2(window)`` steps.
 
 Every window gives a row of exactly ``window`` ids (``pad_id`` behind the last
 segment), its cumulative segment lengths (from 0) and positions that restart at
-each segment. Null text counts as empty and gives its end id; repeated rows and
-null identifiers are written like others; an empty table gives no rows.
+each segment. Ids and positions are little-endian unsigned numbers of 16 bits
+where the vocabulary and the window allow it, else of 32. :func:`write_packed`
+writes the rows as Parquet; the registered query digests what it has written and
+read back. Null text counts as empty and gives its end id; very long texts are cut,
+never dropped; repeated rows and null identifiers are written like others; an
+empty table gives no rows; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -23,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import slices
+from residuum.llm.common import Staged, slices
 from residuum.llm.word_tokens import word_tokenizer
 
 _ROWS = (
@@ -79,10 +83,23 @@ def fill_windows(lengths: list[int], window: int) -> list[list[int]]:
     return windows
 
 
-def _windows(tokenizer_path: str, window: int, end_id: int, pad_id: int, group_tokens: int):
+def id_type(tokenizer_path: str, *others: int) -> str:
+    """The type of the packed ids: 16 bits if the vocabulary and ``others`` fit, else 32."""
+    from tokenizers import Tokenizer
+
+    most = max([Tokenizer.from_file(tokenizer_path).get_vocab_size(with_added_tokens=True), *others])
+    return "<u2" if most <= 1 << 16 else "<u4"
+
+
+def position_type(window: int) -> str:
+    return "<u2" if window <= 1 << 16 else "<u4"
+
+
+def _windows(tokenizer_path: str, window: int, end_id: int, pad_id: int, group_tokens: int, kind: str):
     """The work of a task: Arrow batches of texts to Arrow batches of windows."""
 
-    count, padding = np.arange(window, dtype="<u4").tobytes(), np.full(window, pad_id, "<u4").tobytes()
+    count, padding = np.arange(window, dtype=position_type(window)).tobytes(), np.full(window, pad_id, "<u4").tobytes()
+    size = np.dtype(position_type(window)).itemsize
 
     def emit(pieces: list[tuple], first: int) -> pa.RecordBatch:
         rows = []
@@ -90,8 +107,8 @@ def _windows(tokenizer_path: str, window: int, end_id: int, pad_id: int, group_t
             parts = [pieces[i] for i in members]
             lengths = [len(p[2]) // 4 for p in parts]
             pad = window - sum(lengths)
-            ids = b"".join([p[2] for p in parts]) + padding[: 4 * pad]
-            positions = b"".join([count[: 4 * n] for n in [*lengths, pad]])
+            ids = np.frombuffer(b"".join([p[2] for p in parts]) + padding[: 4 * pad], "<u4").astype(kind).tobytes()
+            positions = b"".join([count[: size * n] for n in [*lengths, pad]])
             ends = [0, *accumulate(lengths)]
             rows.append((first + len(rows), [p[0] for p in parts], [p[1] for p in parts], ends, ids, positions))
         kinds = [pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.binary(), pa.binary()]
@@ -131,8 +148,8 @@ def pack_ids(
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """One row per window: ``row_id``, segments, ids and positions (little-endian 32-bit)."""
-    run = _windows(tokenizer_path, window, end_id, pad_id, group_tokens)
+    """One row per window: ``row_id``, segments, ids (as :func:`id_type`) and positions (as :func:`position_type`)."""
+    run = _windows(tokenizer_path, window, end_id, pad_id, group_tokens, id_type(tokenizer_path, end_id + 1, pad_id + 1))
     return _source(docs, id_col, text_col).mapInArrow(run, _ROWS)
 
 
@@ -141,10 +158,13 @@ def write_packed(docs: DataFrame, path: str, tokenizer_path: str, **options) ->
     pack_ids(docs, tokenizer_path, **options).write.parquet(path)
 
 
-def read_matrix(packed: DataFrame, window: int = 2048):
-    """Batches of ``(row ids, id matrix)`` of a packed table, as numpy arrays, without holding it whole."""
+def read_matrix(packed: DataFrame, kind: str, window: int = 2048):
+    """Pairs of row id and row of the id matrix of a packed table, as numpy arrays.
+
+    For a reader on one machine: partitions stream through the driver one at a time.
+    """
     for row in packed.select("row_id", "ids").toLocalIterator(prefetchPartitions=False):
-        yield row["row_id"], np.frombuffer(row["ids"], "<u4").reshape(window)
+        yield row["row_id"], np.frombuffer(row["ids"], kind).reshape(window)
 
 
 _DIGESTS = "row_id long, doc_ids array<long>, starts array<long>, cu_seqlens array<int>, ids_crc32 long, positions_crc32 long"
@@ -157,16 +177,13 @@ def _digest(batches):
         yield pa.RecordBatch.from_arrays([b["row_id"], b["doc_ids"], b["starts"], b["cu_seqlens"], *crc], names)
 
 
-def _with_length(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("n_tokens", F.element_at("cu_seqlens", -1).cast("long"))
-
-
 def digests(packed: DataFrame) -> DataFrame:
     """The windows with the two matrices replaced by their CRC-32."""
-    return _with_length(packed.mapInArrow(_digest, _DIGESTS))
+    return packed.mapInArrow(_digest, _DIGESTS).withColumn("n_tokens", F.element_at("cu_seqlens", -1).cast("long"))
 
 
-def pack_digests(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """:func:`digests` of :func:`pack_ids`, in the task that packs, so the matrices need not leave it."""
-    run = _windows(tokenizer_path, 2048, 1, 0, 2_000_000)
-    return _with_length(_source(docs, id_col, text_col).mapInArrow(lambda batches: _digest(run(batches)), _DIGESTS))
+def written_digests(docs: DataFrame, tokenizer_path: str, **options) -> DataFrame:
+    """:func:`digests` of the table that :func:`write_packed` left in the shared folder."""
+    path = f"{Staged(docs.sparkSession, 'token-ids').root}/packed"
+    write_packed(docs, path, tokenizer_path, **options)
+    return digests(docs.sparkSession.read.parquet(path))

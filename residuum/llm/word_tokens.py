@@ -34,15 +34,34 @@ class WordTokenizer:
             raise ValueError("the tokenizer does not cut between letters and marks")
         self.lower = upper == lower
         self.end = np.array([end_id], "<u4").tobytes()
+        self._ends = None  # ids that end a word, if the vocabulary marks them
+        if suffix := getattr(self.tokenizer.model, "end_of_word_suffix", None):
+            vocabulary = self.tokenizer.get_vocab()
+            self._ends = np.zeros(max(vocabulary.values()) + 1, bool)
+            self._ends[[i for piece, i in vocabulary.items() if piece.endswith(suffix)]] = True
         self._cores = BoundedCache(cache_words, self._encode_words)
         self._known = BoundedCache(cache_words, self._encode_parts)
 
     def _ids(self, text: str) -> list[int]:
         return self.tokenizer.encode(text, add_special_tokens=False).ids
 
+    def _batch(self, texts: list[str]) -> list[bytes]:
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
     def _encode_words(self, words: list[bytes]) -> list[bytes]:
-        found = self.tokenizer.encode_batch([w.decode() for w in words], add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+        """Ids of each word; many words of Latin letters at a time, which the marks of word ends tell apart."""
+        texts = [w.decode() for w in words]
+        out: dict[int, bytes] = {}
+        if self._ends is not None:
+            plain = [i for i, t in enumerate(texts) if t.isalpha() and (t.isascii() or max(t) < "\u0250" and t.lower().isalpha())]
+            groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
+            for group, raw in zip(groups, self._batch([" ".join([texts[i] for i in g]) for g in groups])):
+                ends = (4 * np.flatnonzero(self._ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
+                if len(ends) == len(group):
+                    out.update(zip(group, [raw[b:e] for b, e in zip([0, *ends], ends)]))
+        rest = [i for i in range(len(texts)) if i not in out]
+        out.update(zip(rest, self._batch([texts[i] for i in rest])))
+        return [out[i] for i in range(len(texts))]
 
     def _encode_parts(self, words: list[bytes]) -> list[bytes]:
         """Words with the marks behind them encoded apart, since the pre-tokenizer always cuts there."""

@@ -42,13 +42,26 @@ def test_pack(docs, corpus, window, bins):
 
 
 def test_pack_edges(odd, nothing):
-    rows = packing.pack(odd, WORDS).collect()
+    for group in (10_000, 2):
+        rows = packing.pack(odd, WORDS, group_pieces=group).collect()
+        assert len(rows) == 6 and sum(r.length for r in rows if r.doc_id == 9) == 1
     assert len(rows) == 6 and sum(r.length for r in rows if r.doc_id == 9) == 1
     assert packing.pack(nothing, WORDS).count() == 0
     with pytest.raises(ValueError):
         packing.pack(nothing, WORDS, window=100, bins=64)
 
 
+def test_equal_rows_are_dealt_over_groups(spark):
+    """Rows repeated entire do not meet in one group."""
+    frame = spark.createDataFrame([(None, "")] * 3000, "doc_id long, text string").repartition(6)
+    rows = packing.pack(frame, WORDS, window=64, bins=64, group_pieces=100)
+    at = {}
+    for r in rows.collect():
+        at.setdefault(r.sequence_id, []).append(r.offset)
+    assert sum(map(len, at.values())) == 3000 and all(sorted(x) == list(range(len(x))) for x in at.values())
+    assert len(at) <= 3000 // 64 + 40
+
+
 def test_plan_uses_no_more_than_there_is_and_pads_little():
     rng = np.random.default_rng(0)
     lengths = np.clip(rng.gamma(1.2, 60, 20000).astype(int) + 1, 1, 256)
@@ -72,10 +85,11 @@ def test_least_squares_on_known_answer():
 def test_packed_ids_round_trip(docs, corpus, odd, nothing, spark, tmp_path):
     path = str(tmp_path / "packed")
     token_ids.write_packed(docs, path, WORDS, window=256, group_tokens=4000)
-    packed = spark.read.parquet(path)
+    packed, kind = spark.read.parquet(path), token_ids.id_type(WORDS)
+    assert kind == "<u2" and token_ids.id_type(WORDS, 1 << 17) == "<u4" and token_ids.position_type(1 << 17) == "<u4"
     found = defaultdict(dict)
     for r in packed.collect():
-        ids, positions = np.frombuffer(r.ids, "<u4"), np.frombuffer(r.positions, "<u4")
+        ids, positions = np.frombuffer(r.ids, kind), np.frombuffer(r.positions, "<u2")
         assert len(ids) == len(positions) == 256 and r.cu_seqlens[0] == 0
         for k, (doc, start) in enumerate(zip(r.doc_ids, r.starts)):
             b, e = r.cu_seqlens[k], r.cu_seqlens[k + 1]
@@ -85,11 +99,11 @@ def test_packed_ids_round_trip(docs, corpus, odd, nothing, spark, tmp_path):
     for i, text, *_ in corpus:
         assert np.concatenate([found[i][s] for s in sorted(found[i])]).tolist() == ids_of(text).tolist()
     assert sum(r.n_tokens for r in token_ids.digests(packed).collect()) == sum(len(ids_of(c[1])) for c in corpus)
-    both = [token_ids.digests(token_ids.pack_ids(docs, WORDS)), token_ids.pack_digests(docs, WORDS)]
+    both = [token_ids.digests(token_ids.pack_ids(docs, WORDS)), token_ids.written_digests(docs, WORDS)]
     assert sorted(map(str, both[0].collect())) == sorted(map(str, both[1].collect()))
     assert token_ids.pack_ids(nothing, WORDS).count() == 0
     assert sum(len(r.doc_ids) for r in token_ids.pack_ids(odd, WORDS).collect()) == odd.count()
-    assert len(list(token_ids.read_matrix(packed, 256))) == packed.count()
+    assert len(list(token_ids.read_matrix(packed, kind, 256))) == packed.count()
 
 
 def test_fill_windows_is_best_fit():
