@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _WHITE = " \t\n\v\f\r"
+_CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_NO_ID = 1 << 62  # keys from here on stand for rows without an identifier of their own
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -60,9 +62,15 @@ class Staged:
             scope.append(self)
 
     def write(self, df: DataFrame) -> DataFrame:
+        """Write a table and read it; Spark deletes the shuffle files behind it at once."""
         path = f"{self.root}/{self.count}"
         self.count += 1
-        df.write.option("compression", "zstd").parquet(path)
+        before = self.spark.conf.get(_CLEAN_UP, "false")
+        self.spark.conf.set(_CLEAN_UP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.set(_CLEAN_UP, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_path = path
         return out
@@ -76,6 +84,26 @@ class Staged:
         path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def keyed(docs: DataFrame, id_col: str, text_col: str, staged: Staged) -> tuple[DataFrame, bool]:
+    """``doc_id, own, text`` with a key ``doc_id`` for every row, and whether it differs from the identifier ``own`` anywhere.
+
+    The key is the identifier where that stands for one row. Rows without one, or
+    with one that others have too, get a key beyond all identifiers from the hash
+    of identifier and text, so that rows repeated entire share it and others do not.
+    """
+    rows = docs.select(docs[id_col].cast("long").alias("own"), docs[text_col].alias("text"))
+    name = F.coalesce(F.col("own").cast("string"), F.lit("none")).alias("name")
+    many = F.count("*") > 1
+    odd = rows.groupBy("own").agg(many.alias("many")).filter(f"many OR own IS NULL OR own >= {_NO_ID}")
+    odd = staged.write(odd.select(name, F.lit(True).alias("odd")))
+    if odd.isEmpty():
+        return rows.select(F.col("own").alias("doc_id"), "own", "text"), False
+    few = is_few(odd, 100_000)
+    marked = rows.withColumn("name", name).join(F.broadcast(odd) if few else odd, "name", "left")
+    hashed = F.xxhash64(F.lit("key"), "own", "text").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
+    return marked.select(F.when(F.col("odd"), hashed).otherwise(F.col("own")).alias("doc_id"), "own", "text"), True
+
+
 def is_few(rows: DataFrame, limit: int) -> bool:
     return rows.limit(limit + 1).count() <= limit
 

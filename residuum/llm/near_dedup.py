@@ -21,8 +21,12 @@ made of little else, so the inverted lists stay short.
 
 All bounds are lossless, so the result equals that of comparing all pairs. Null
 and empty texts, and texts without words, have no shingles and stand alone. Rows
-without an identifier stand alone and get a null group; rows that repeat an
-identifier count as one document. An empty table gives an empty result.
+without an identifier, and rows that repeat one with another text, are documents of
+their own: a group is named by the smallest identifier in it, by null if it has
+none, and just one text of it is kept. Rows repeated entire are one document, of
+which :func:`keep_one` leaves one row. Very long texts are hashed whole. Extra
+columns are ignored by :func:`near_groups` and kept by :func:`keep_one`, whatever
+their names. An empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import Staged, slices, text_bytes
+from residuum.llm.common import Staged, keyed, one_of_each, slices, text_bytes, without
 from residuum.llm.components import components
 from residuum.llm.rolling import MULTIPLIER, Rolling, mix
 
@@ -84,16 +88,12 @@ def shingles(text: str | None, size: int) -> np.ndarray:
     return next(shingle_sets([text], size))
 
 
-def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    return docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
-
-
 def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """One row per document (``n``, ``digest``, bucket counts) and the parts of each task's counting sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.zeros(1 << bits, np.uint32)
-        names = ["doc_id", "n", "digest", "buckets", "part", "counts"]
+        names = ["doc_id", "own", "n", "digest", "buckets", "part", "counts"]
         empty = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             ns, digests, buckets = [], [], []
@@ -105,17 +105,17 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 buckets.append(np.minimum(held, 255).astype(np.uint8).tobytes())
             n = len(ns)
             yield pa.RecordBatch.from_arrays(
-                [batch["doc_id"], pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.binary()),
+                [batch["doc_id"], batch["own"], pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.binary()),
                  empty(n, pa.int32()), empty(n, pa.binary())], names)
         parts = [p for p in range(len(counts) // _PART) if counts[p * _PART : (p + 1) * _PART].any()]
         small = np.minimum(counts, 255).astype(np.uint8)  # what is common stays common
         blocks = [small[p * _PART : (p + 1) * _PART].tobytes() for p in parts]
         n = len(parts)
         yield pa.RecordBatch.from_arrays(
-            [empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary()), empty(n, pa.binary()),
+            [empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary()), empty(n, pa.binary()),
              pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, n long, digest binary, buckets binary, part int, counts binary")
+    return docs.mapInArrow(run, "doc_id long, own long, n long, digest binary, buckets binary, part int, counts binary")
 
 
 def _classes(survey: DataFrame, bits: int) -> np.ndarray:
@@ -306,7 +306,7 @@ def _only(docs: DataFrame, ids: DataFrame, broadcast_rows: int) -> DataFrame:
     return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_semi")
 
 
-def near_groups(
+def _groups(
     docs: DataFrame,
     shingle_words: int = 5,
     percent: int = 80,
@@ -314,23 +314,17 @@ def near_groups(
     text_col: str = "text",
     sketch_bits: int = 24,
     block_rows: int = 1024,
-    broadcast_rows: int = 1_000_000,
-) -> DataFrame:
-    """One row per document: ``doc_id, n_shingles, component_id, kept``.
-
-    :param percent: documents link from this Jaccard similarity.
-    :param sketch_bits: ``2 ** sketch_bits`` counters of the fixed counting sketch.
-    :param block_rows: longer lists are compared in blocks of about this size.
-    :param broadcast_rows: at most so many ids are broadcast.
-    """
+    broadcast_rows: int = 250_000,
+) -> tuple[DataFrame, bool]:
+    """``key, doc_id, n_shingles, component_id, kept`` of each row, and whether keys differ from identifiers anywhere."""
     spark = docs.sparkSession
     staged = Staged(spark, "near-dedup")
-    rows = _rows(docs, id_col, text_col)
+    rows, odd = keyed(docs, id_col, text_col, staged)
 
     survey = staged.write(_survey(rows, shingle_words, sketch_bits))
     classes = spark.sparkContext.broadcast(_classes(survey, sketch_bits))
-    surveyed = survey.filter("part IS NULL").select("doc_id", "n", "digest", "buckets")
-    usable = surveyed.filter("doc_id IS NOT NULL AND n > 0")
+    surveyed = survey.filter("part IS NULL").select("doc_id", "own", "n", "digest", "buckets")
+    usable = surveyed.filter("n > 0")
     standing = usable.groupBy("digest").agg(F.min("doc_id").alias("standing"), F.count("*").alias("copies"))
     copies = staged.write(
         usable.select("doc_id", "digest").join(standing.filter("copies > 1"), "digest").filter("doc_id <> standing")
@@ -361,7 +355,7 @@ def near_groups(
 
     gone = copies.select("doc_id").distinct()
     few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
-    singles = rows.filter("doc_id IS NOT NULL").join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
+    singles = rows.drop("own").join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     lists = staged.write(
         singles.mapInArrow(postings, "value long, doc_id long, n long, pos long")
         .repartition("value")
@@ -376,7 +370,7 @@ def near_groups(
 
     def checked(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = staged.write(_only(rows, ids, broadcast_rows).mapInArrow(ordered_sets, "doc_id long, values binary"))
+        sets = staged.write(_only(rows.drop("own"), ids, broadcast_rows).mapInArrow(ordered_sets, "doc_id long, values binary"))
         linked = staged.write(verify(pairs, sets, percent))
         staged.drop(sets)
         return linked
@@ -415,18 +409,31 @@ def near_groups(
         groups = components(links, staged)
 
     where = groups.select(F.col("node").alias("standing"), "root")
-    return (
-        surveyed.select("doc_id", "n")
+    found = (
+        surveyed.select("doc_id", "own", "n")
         .join(copies.dropDuplicates(["doc_id"]), "doc_id", "left")
         .withColumn("standing", F.coalesce("standing", "doc_id"))
         .join(where, "standing", "left")
-        .select(
-            "doc_id",
-            F.col("n").alias("n_shingles"),
-            F.coalesce("root", "standing").alias("component_id"),
-            F.coalesce(F.col("doc_id") == F.coalesce("root", "standing"), F.lit(True)).alias("kept"),
-        )
+        .select(F.col("doc_id").alias("key"), F.col("own").alias("doc_id"), F.col("n").alias("n_shingles"), F.coalesce("root", "standing").alias("root"))
     )
+    if not odd:
+        return found.withColumn("component_id", F.col("root")).withColumn("kept", F.col("key") == F.col("root")), False
+    # of each group the smallest identifier, and of the rows that have it (or of all, if none has any) the smallest key
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "key")).alias("first")
+    least = found.groupBy("root").agg(first).select("root", F.col("first.doc_id").alias("component_id"), F.col("first.key").alias("kept_key"))
+    return found.join(least, "root").withColumn("kept", F.col("key") == F.col("kept_key")), True
+
+
+def near_groups(docs: DataFrame, **options) -> DataFrame:
+    """One row per document: ``doc_id, n_shingles, component_id, kept``.
+
+    :param shingle_words: words of a shingle, 5 unless given.
+    :param percent: documents link from this Jaccard similarity, 80 unless given.
+    :param sketch_bits: ``2 ** sketch_bits`` counters of the fixed counting sketch.
+    :param block_rows: longer lists are compared in blocks of about this size.
+    :param broadcast_rows: at most so many ids are broadcast.
+    """
+    return _groups(docs, **options)[0].select("doc_id", "n_shingles", "component_id", "kept")
 
 
 def _within_buckets(percent: int):
@@ -446,6 +453,16 @@ def _within_buckets(percent: int):
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The documents that stay, one of each group, all columns as they were."""
-    gone = near_groups(docs, id_col=id_col, text_col=text_col, **options).filter("NOT kept")
-    gone = gone.select(F.col("doc_id").alias("_gone")).distinct()
-    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
+    groups, odd = _groups(docs, id_col=id_col, text_col=text_col, **options)
+    if not odd:
+        gone = groups.filter("NOT kept").select("doc_id")
+        return without(docs, gone, {"doc_id": docs[id_col].cast("long")})
+    staged = Staged(docs.sparkSession, "near-dedup-rows")
+    own = docs[id_col].cast("long")
+    keys = {"name": F.coalesce(own.cast("string"), F.lit("none")), "hash": F.xxhash64(own, docs[text_col])}
+    rows, _ = keyed(docs, id_col, text_col, staged)
+    hashes = rows.select("doc_id", F.coalesce(F.col("own").cast("string"), F.lit("none")).alias("name"), F.xxhash64("own", "text").alias("hash"))
+    hashes = hashes.groupBy(F.col("doc_id").alias("key")).agg(F.first("name").alias("name"), F.first("hash").alias("hash"), F.count("*").alias("n"))
+    marks = staged.write(groups.select("key", "kept").distinct().join(hashes, "key"))
+    kept = without(docs, marks.filter("NOT kept").select("name", "hash"), keys)
+    return one_of_each(kept, marks.filter("kept AND n > 1").select("name", "hash"), keys)

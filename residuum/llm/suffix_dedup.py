@@ -20,29 +20,28 @@ Ranks are 64-bit hashes, and rows are equal only if both ranks of a pair are.
 Before each shuffle a task settles what its own rows show, so a string that a
 third of all documents share reaches a later task as one row per earlier task.
 
-Null text is empty. Documents without an identifier lose nothing and give nothing
-to others. Rows that repeat an identifier are taken as copies of one text; a text has less
-than 1 GB. An
-empty table gives an empty result; extra columns are ignored.
+Null text is empty. Rows without an identifier, and rows that repeat one, come
+after all other documents in an order of their hash, each with its own text; rows
+repeated entire are one document and get the same result. Texts may have any
+length that Spark can hold. An empty table gives an empty result; extra columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-import gc
 import hashlib
-import time
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import Staged, text_bytes
+from residuum.llm.common import Staged, keyed, text_bytes
 from residuum.llm.rolling import Rolling
 
 GRAM = 24
-_LOW = (1 << 32) - 1
+_LOW = (1 << 31) - 1
 _CHUNK = 2_000_000  # rows that a task settles among themselves before it passes them on
 
 
@@ -255,8 +254,8 @@ def _settle_spans(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 def _string_rows(length: int):
     """Of texts with their open spans: ``string, doc, pack`` of each string.
 
-    ``pack`` holds 32 bits of the gram's rank, the start (30 bits) and the kind,
-    in that order, so that the shuffle carries three numbers a row.
+    ``pack`` holds 31 bits of the gram's rank, the start (31 bits, as no text of
+    Spark's is longer) and the kind, in that order, so that the shuffle carries three numbers a row.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -274,7 +273,7 @@ def _string_rows(length: int):
             string, gram, doc, at = string[order], gram[order], doc[order], at[order]
             start = _runs(string, gram)
             covered = doc > doc[start][_spread(start, len(doc))]
-            yield _batch(string=string, doc=doc, pack=(gram & _LOW) << 31 | at << 1 | ~covered)
+            yield _batch(string=string, doc=doc, pack=(gram & _LOW) << 32 | at << 1 | ~covered)
 
     return run
 
@@ -285,10 +284,10 @@ def _settle_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
     for batch in batches:
         rows = _columns(batch, "string", "doc", "pack")
         known = rows[2] & 1 == 0
-        start = rows[2] >> 1 & (1 << 30) - 1
+        start = rows[2] >> 1 & _LOW
         if known.any():
             yield _batch(doc=rows[1, known], a=start[known] * 64 + 1)
-        string, doc, gram = rows[0, ~known], rows[1, ~known], rows[2, ~known] >> 31
+        string, doc, gram = rows[0, ~known], rows[1, ~known], rows[2, ~known] >> 32
         at = start[~known]
         if not len(doc):
             continue
@@ -314,64 +313,49 @@ def removed_runs(at: np.ndarray, length: int) -> np.ndarray:
     return np.stack([first[begin], end[np.append(begin[1:], len(end)) - 1]], 1)
 
 
-def _release(spark: SparkSession) -> None:
-    """Let Spark delete the shuffle files of finished steps now, not when the driver happens to collect garbage.
-
-    The first collection may come while listeners still hold the step's plan.
-    """
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(1)
-
-
 def covered_strings(docs: DataFrame, staged: Staged, length: int) -> list[DataFrame]:
     """Tables ``doc, a`` of covered strings, ``a`` being ``first * 64 + count``."""
-    spark = docs.sparkSession
-    known = docs.filter("doc IS NOT NULL")
-
-    def step(df: DataFrame) -> DataFrame:
-        out = staged.write(df)
-        _release(spark)
-        return out
-
+    known = docs.filter(F.octet_length("text") >= length)
     grams = known.mapInArrow(_gram_rows(length), "kind int, rank long, doc long")
-    repeated = step(_dealt(grams, "rank").mapInArrow(_answer_grams, "doc long, a long").withColumn("b", F.lit(0).cast("long")))
+    repeated = staged.write(_dealt(grams, "rank").mapInArrow(_answer_grams, "doc long, a long").withColumn("b", F.lit(0).cast("long")))
 
     spans = _with_texts(known, repeated).mapInArrow(_span_rows(length), "kind int, gram long, span long, doc long, at long")
-    settled = step(_dealt(spans, "gram", "span", "doc").mapInArrow(_settle_spans, "kind int, doc long, a long, b long"))
+    settled = staged.write(_dealt(spans, "gram", "span", "doc").mapInArrow(_settle_spans, "kind int, doc long, a long, b long"))
     staged.drop(repeated)
 
     opened = settled.filter("kind = 1").select("doc", "a", "b")
     strings = _with_texts(known, opened).mapInArrow(_string_rows(length), "string long, doc long, pack long")
     place = F.when(F.col("pack") % 2 == 0, F.xxhash64("doc")).otherwise(F.col("string"))
-    dealt = strings.repartition(place).sortWithinPartitions("string", F.shiftright("pack", 31), "doc")
-    late = step(dealt.mapInArrow(_settle_strings, "doc long, a long"))
+    dealt = strings.repartition(place).sortWithinPartitions("string", F.shiftright("pack", 32), "doc")
+    late = staged.write(dealt.mapInArrow(_settle_strings, "doc long, a long"))
     return [settled.filter("kind = 0").select("doc", "a"), late]
 
 
 def remove_repeats(
     docs: DataFrame,
-    finish: Callable[[int | None, bytes, np.ndarray], tuple],
+    finish: Callable[[bytes, np.ndarray], tuple],
     schema: str,
     length: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
 ) -> DataFrame:
-    """Apply ``finish(doc, text, removed runs)`` to every document; its tuples are rows of ``schema``."""
+    """``doc_id`` and what ``finish(text, removed runs)`` gives for every document, columns of ``schema``."""
     if not GRAM < length <= GRAM + 62:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 62}")
-    rows = docs.select(docs[id_col].cast("long").alias("doc"), docs[text_col].alias("text"))
     staged = Staged(docs.sparkSession, "suffix-dedup")
-    parts = covered_strings(rows, staged, length)
+    rows, odd = keyed(docs, id_col, text_col, staged)
+    rows = rows.withColumnRenamed("doc_id", "doc")
+    texts = rows.groupBy("doc").agg(F.first("text").alias("text")) if odd else rows.select("doc", "text")
+    parts = covered_strings(texts, staged, length)
     side = parts[0].unionByName(parts[1]).withColumn("b", F.lit(0).cast("long"))
+    schema = f"doc long, {schema}"
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple] = []
         weight = 0
         for doc, raw, at, _ in _each_text(batches):
-            held.append(finish(doc, raw, removed_runs(at, length)))
+            held.append((doc, *finish(raw, removed_runs(at, length))))
             weight += 1000 + len(raw)
             if weight > 8_000_000:
                 yield pa.RecordBatch.from_pylist([dict(zip(names, r)) for r in held], schema=arrow)
@@ -381,7 +365,10 @@ def remove_repeats(
 
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     arrow = pa.schema([(c.split()[0], kinds[c.split()[1]]) for c in schema.split(", ")])
-    return _with_texts(rows, side).mapInArrow(run, schema)
+    done = _with_texts(texts, side).mapInArrow(run, schema)
+    if not odd:
+        return done.withColumnRenamed("doc", "doc_id")
+    return rows.select("doc", "own").join(done, "doc").select(F.col("own").alias("doc_id"), *names[1:])
 
 
 def kept_parts(raw: bytes, runs: np.ndarray) -> bytes:
@@ -391,16 +378,15 @@ def kept_parts(raw: bytes, runs: np.ndarray) -> bytes:
 
 def deduplicate(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, kept`` with the bytes that remain (a cut may fall inside a character)."""
-    finish = lambda doc, raw, runs: (doc, kept_parts(raw, runs))
-    return remove_repeats(docs, finish, "doc_id long, kept binary", length, id_col, text_col)
+    finish = lambda raw, runs: (kept_parts(raw, runs),)
+    return remove_repeats(docs, finish, "kept binary", length, id_col, text_col)
 
 
 def removal_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each document."""
 
-    def finish(doc: int | None, raw: bytes, runs: np.ndarray) -> tuple:
+    def finish(raw: bytes, runs: np.ndarray) -> tuple:
         removed = int((runs[:, 1] - runs[:, 0]).sum())
-        return doc, len(raw), removed, len(runs), hashlib.sha256(kept_parts(raw, runs)).hexdigest()
+        return len(raw), removed, len(runs), hashlib.sha256(kept_parts(raw, runs)).hexdigest()
 
-    schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string"
-    return remove_repeats(docs, finish, schema, length, id_col, text_col)
+    return remove_repeats(docs, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, id_col, text_col)

@@ -79,11 +79,24 @@ def test_list_rows_do_not_depend_on_batches():
 def test_edges(odd, nothing):
     rows = near_dedup.near_groups(odd).collect()
     assert len(rows) == odd.count()
-    assert all(r.kept and r.component_id is None for r in rows if r.doc_id is None)
-    assert all(r.kept and r.component_id == r.doc_id for r in rows if r.doc_id is not None)
+    assert all(r.kept and r.component_id == r.doc_id for r in rows)
     assert near_dedup.near_groups(nothing).count() == 0
     kept = near_dedup.keep_one(odd)
-    assert kept.columns == odd.columns and kept.count() == odd.count()
+    assert kept.columns == odd.columns
+    assert sorted(str(r.doc_id) for r in kept.collect()) == ["4", "9", "None"]  # one of those repeated entire
+
+
+def test_rows_without_or_with_repeated_ids(spark):
+    """They link and go like others; the smallest identifier names the group."""
+    base = [f"v{i}" for i in range(60)]
+    near = lambda k: " ".join(base[:k] + ["x"] + base[k + 1 :])
+    other = " ".join(f"z{i}" for i in range(60))
+    rows = [(None, near(5), 1), (None, near(50), 2), (7, near(30), 3), (3, near(20), 4), (3, other, 5), (None, other, 6), (None, "q w e r t y", 7), (None, None, 8), (8, "", 9), (None, near(5), 1)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, _key long").repartition(3)
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_dedup.near_groups(frame, shingle_words=2).collect()}
+    assert {(i, c) for i, c, _ in got} == {(None, 3), (7, 3), (3, 3), (None, None), (8, 8)}
+    kept = sorted((r._key for r in near_dedup.keep_one(frame, shingle_words=2).collect()))
+    assert kept == [4, 5, 7, 8, 9]
 
 
 def test_components_of_long_path(spark):

@@ -76,6 +76,22 @@ def test_streams_do_not_depend_on_batches():
     assert kinds == [0] * 8
 
 
+def test_rows_without_or_with_repeated_ids(spark):
+    """They lose what others have, and what one of their own kind has."""
+    rnd = random.Random(5)
+    noise = lambda n: "".join(rnd.choice("abcdefgh é") for _ in range(n))
+    a, b = noise(80), noise(90)
+    rows = [(2, noise(20) + a), (None, a + noise(30)), (None, noise(9) + b), (None, b), (6, b + "one"), (6, "two" + a), (None, None), (None, b)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got_rows = sorted(((r.doc_id or 0, r.n_bytes, r.n_removed) for r in removal_digests(frame).collect()))
+    size = lambda t: len((t or "").encode())
+    full = {(i or 0, size(t)) for i, t in rows}
+    assert {x[:2] for x in got_rows} == full and len(got_rows) == len(rows)
+    lost = {x[:2]: x[2] for x in got_rows}
+    assert lost[2, size(rows[0][1])] == 0 and lost[0, size(rows[1][1])] >= size(a) and lost[6, size(rows[5][1])] >= size(a)
+    assert sum(n >= size(b) for (_, total), n in lost.items() if total in {size(rows[k][1]) for k in (2, 3, 4)}) == 2
+
+
 def test_edges(odd, nothing, docs):
     rows = {r.doc_id: r for r in removal_digests(odd).collect()}
     assert rows[9].n_bytes == 0 and rows[4].n_removed == 0 and removal_digests(odd).count() == odd.count()
