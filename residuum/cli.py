@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import argparse
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residuum.config import SAMPLERS, TestSettings
+from residuum.functions import columns as C
 from residuum.operators import mapping, nullmodel, spectra, structure, summarize
 from residuum.sources import readers, writers
 
@@ -26,7 +27,12 @@ def parser() -> argparse.ArgumentParser:
     test.add_argument("--weights")
     test.add_argument("--ttype")
     test.add_argument("--classes", default="M")
-    test.add_argument("--sampler", choices=SAMPLERS[:1] + SAMPLERS[3:], default="uniform")
+    test.add_argument("--no-sample-weights", action="store_true", help="every mutation counts one, whatever --weights holds")
+    test.add_argument("--hill", default="2,4", help="threshold and exponent of the weights' Hill function, or none")
+    test.add_argument("--sampler", choices=SAMPLERS, default="uniform")
+    for name, text in (("gene-map", "coverage, spectrum"), ("coverage", "coverage, spectrum"), ("genome", "spectrum"), ("proteins", "spectrum"), ("spectra", "spectrum")):
+        test.add_argument(f"--{name}", help=f"for the samplers: {text}")
+    test.add_argument("--max-seconds", type=float, help="of one structure")
     test.add_argument("--scales", default="3,4.5,6,8,10")
     test.add_argument("--max-draws", type=int, default=10_000)
     test.add_argument("--seed", type=int, default=0)
@@ -34,6 +40,7 @@ def parser() -> argparse.ArgumentParser:
     total = steps.add_parser("summarize", help="one table of structures with false discovery rates")
     for name in ("results", "sites", "maps", "metadata", "genes", "out"):
         total.add_argument(f"--{name}", required=True)
+    total.add_argument("--atoms", help="structure files, for the names of fragments")
     return top
 
 
@@ -51,33 +58,77 @@ def prep(spark: SparkSession, a: argparse.Namespace) -> None:
     writers.by_protein(mapping.site_rows(mapped), f"{a.out}/sites")
     samples = spectra.coding(muts).withColumnRenamed("Tumor_Sample_Barcode", "sample")
     spectra.frequency_weights(spectra.sample_counts(samples)).write.parquet(f"{a.out}/weights")
-    spectra.spectrum_pivot(spectra.channel_counts(muts, genome)).write.parquet(f"{a.out}/spectra")
+    writers.mapped(mapping.changes_by_mutation(mapped), f"{a.out}/mapped")
+    writers.tsv(spectra.spectrum_pivot(spectra.channel_counts(muts, genome)), f"{a.out}/spectra")
 
 
 def test(spark: SparkSession, a: argparse.Namespace) -> None:
     settings = TestSettings(
         ttype=a.ttype, classes=tuple(a.classes), sampler=a.sampler, max_draws=a.max_draws, seed=a.seed,
-        scales=tuple(map(float, a.scales.split(","))),
+        scales=tuple(map(float, a.scales.split(","))), sample_weights=not a.no_sample_weights,
+        hill=None if a.hill == "none" else tuple(map(float, a.hill.split(","))),
     )
-    sites = spark.read.parquet(a.sites)
-    weights = spark.read.parquet(a.weights) if a.weights else None
+    sites = readers.protein_sites(spark, a.sites)
+    weights = spark.read.parquet(a.weights) if a.weights and settings.sample_weights else None
     residues = structure.usable_maps(readers.residue_maps(spark, a.maps), sites)
-    found = structure.mutated(residues, structure.site_weights(sites, weights, list(settings.classes), settings.ttype))
+    found = structure.mutated(residues, structure.site_weights(sites, weights, list(settings.classes), settings.ttype), settings.hill)
     centres = structure.residue_centroids(residues, readers.atoms(spark, a.atoms))
     points = centres.join(found.select("structure", "i", "v"), ["structure", "i"], "left")
     points = points.join(found.select("structure").distinct(), "structure", "left_semi")
     names = {"lysine": ("LYS",), "phospho": ("SER", "TYR", "THR")}.get(settings.sampler)
-    draws = nullmodel.Draws(max_draws=settings.max_draws, scales=settings.scales, seed=settings.seed)
-    writers.append_results(nullmodel.structure_test(points, names=names, options=draws), a.out, a.run)
+    draws = nullmodel.Draws(max_draws=settings.max_draws, scales=settings.scales, seed=settings.seed, max_seconds=a.max_seconds)
+    vectors = None
+    if settings.sampler in ("coverage", "spectrum"):
+        if not a.gene_map or settings.sampler == "coverage" and not a.coverage:
+            raise SystemExit("the coverage sampler needs --gene-map and --coverage")
+        genes = readers.gene_map(spark, a.gene_map)
+        covered = _coverage_weights(spark, a, residues, genes)
+        if settings.sampler == "coverage":
+            points = points.join(covered, ["structure", "i"], "left").fillna(0.0, ["weight"])
+        else:
+            if not (a.genome and a.proteins and a.spectra):
+                raise SystemExit("the spectrum sampler needs --gene-map, --genome, --proteins and --spectra")
+            hits = _hits(residues, sites, settings)
+            vectors = _mutation_vectors(spark, a, residues, genes, covered, hits)
+    writers.append_results(nullmodel.structure_test(points, names=names, options=draws, vectors=vectors), a.out, a.run)
+
+
+def _coverage_weights(spark: SparkSession, a: argparse.Namespace, residues: DataFrame, genes: DataFrame) -> DataFrame:
+    """``structure, i, weight``: by sequencing coverage, or alike for all residues of a structure without a table of it."""
+    if not a.coverage:
+        n = residues.groupBy("structure").agg(F.count("*").alias("n"))
+        return residues.join(n, "structure").select("structure", "i", (1 / F.col("n")).alias("weight"))
+    at = mapping.first_gene(mapping.residue_positions(genes))
+    at = at.select(F.col("uniprot").alias("u1"), F.col("site").alias("u"), C.chromosome_number(F.col("chrom")).alias("chrn"), "pos")
+    return nullmodel.coverage_weights(residues.select("structure", "i", "u1", "u").join(at, ["u1", "u"], "left"), readers.coverage(spark, a.coverage))
+
+
+def _hits(residues: DataFrame, sites: DataFrame, settings: TestSettings) -> DataFrame:
+    """``structure, patient, i`` of the mutations that count."""
+    rows = sites.filter(F.col("site").isNotNull() & F.substring("mtype", 1, 1).isin(list(settings.classes)))
+    rows = rows.filter(F.col("ttype").startswith(settings.ttype)) if settings.ttype else rows
+    return residues.join(rows.select(F.col("uniprot").alias("u1"), F.col("site").alias("u"), F.col("sample").alias("patient")), ["u1", "u"]).select("structure", "patient", "i").distinct()
+
+
+def _mutation_vectors(spark: SparkSession, a: argparse.Namespace, residues: DataFrame, genes: DataFrame, covered: DataFrame, hits: DataFrame) -> DataFrame:
+    """``structure, site, i, w``: where each mutation may fall by the spectra of its patients."""
+    positions = mapping.first_gene(mapping.residue_positions(genes))
+    codons = mapping.residue_codons(positions, readers.genome(spark, a.genome), readers.proteins(spark, a.proteins))
+    own = codons.withColumnsRenamed({"uniprot": "u1", "site": "u"}).join(residues.select("structure", "i", "u1", "u"), ["u1", "u"])
+    channels = nullmodel.residue_channels(own.select("structure", "i", "strand", "codon", "ctx"))
+    spectrum = readers.spectra(spark, a.spectra).groupBy("patient", "channel").agg(F.sum("n").alias("n"))
+    q = nullmodel.patient_probabilities(residues, channels, spectrum, hits)
+    return nullmodel.mutation_probabilities(hits, q, covered)
 
 
 def summary(spark: SparkSession, a: argparse.Namespace) -> None:
-    sites = spark.read.parquet(a.sites)
-    residues = structure.usable_maps(readers.residue_maps(spark, a.maps), sites)
+    sites, maps = readers.protein_sites(spark, a.sites), readers.residue_maps(spark, a.maps)
+    residues = structure.usable_maps(maps, sites)
     covered = summarize.coverage_summary(residues, sites)
     genes = readers.gene_list(spark, a.genes)
     table = summarize.summarize(spark.read.parquet(a.results), covered, readers.gene_metadata(spark, a.metadata), genes)
-    writers.tsv(table.withColumn("structure", F.col("structure").cast("string")), a.out)
+    fragments = readers.fragments(spark, a.atoms) if a.atoms else None
+    writers.summary(summarize.summary_table(table, maps, fragments), a.out)
 
 
 def main(argv: list[str] | None = None) -> None:

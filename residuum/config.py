@@ -18,7 +18,7 @@ class TestSettings:
     classes: tuple[str, ...] = ("M",)
     sampler: str = "uniform"
     sample_weights: bool = True
-    hill: tuple[float, float] = (2.0, 4.0)
+    hill: tuple[float, float] | None = (2.0, 4.0)
     scales: tuple[float, ...] = K.SCALES
     max_draws: int = 10_000
     seed: int = 0

@@ -25,10 +25,6 @@ def kernel(d2: Column, scale: Column | float) -> Column:
     return F.exp(-d2 / (2 * s * s))
 
 
-def kernels(d2: Column, scales=K.SCALES) -> Column:
-    return F.transform(F.array(*map(F.lit, scales)), lambda s: kernel(d2, s))
-
-
 def squared_distance(a: list[Column], b: list[Column]) -> Column:
     return reduce(lambda x, y: x + y, [(p - q) * (p - q) for p, q in zip(a, b)])
 

@@ -18,13 +18,19 @@ EDGE = ["pdb", "kind", "c1", "c2", "side"]
 
 def largest_map(maps: DataFrame) -> DataFrame:
     """The map with most residues of each chain; of equal ones the last line."""
-    return maps.groupBy("pdb_chain").agg(F.max_by(F.struct(*maps.columns), F.struct(F.size("resmap"), "line")).alias("m")).select("m.*")
+    return _chosen_line(maps, F.size("resmap"), F.col("line"))
 
 
 def best_map(maps: DataFrame) -> DataFrame:
     """The map with the largest size times identity; the first of equal ones. No identity counts 0."""
     score = F.size("resmap") * F.coalesce("identity", F.lit(0.0))
-    return maps.groupBy("pdb_chain").agg(F.max_by(F.struct(*maps.columns), F.struct(score, -F.col("line"))).alias("m")).select("m.*")
+    return _chosen_line(maps, score, -F.col("line"))
+
+
+def _chosen_line(maps: DataFrame, score: Column, tie: Column) -> DataFrame:
+    """The rows of the best line of each chain; lines are chosen before any residues move."""
+    line = maps.groupBy("pdb_chain").agg(F.max_by("line", F.struct(score, tie)).alias("line"))
+    return maps.join(line, ["pdb_chain", "line"], "left_semi")
 
 
 def last_identity(maps: DataFrame) -> DataFrame:
@@ -129,7 +135,9 @@ def interface_test(residues: DataFrame, edges: DataFrame, options: Draws = Draws
                     with np.errstate(divide="ignore"):
                         keys = -np.log(keys) / own["weight"].to_numpy(float)[members]
                 chosen = members[np.argsort(keys, axis=1)[:, : len(masses)]]
-                np.put_along_axis(drawn, chosen, np.broadcast_to(masses, chosen.shape), axis=1)
+                # heavy residues come first among the chosen, so the masses must not keep their order
+                laid = rng.permuted(np.broadcast_to(masses, chosen.shape), axis=1)
+                np.put_along_axis(drawn, chosen, laid, axis=1)
             exceed += (drawn @ masks.T >= observed - 1e-12).sum(0)
             done += n
             if may_stop(exceed, done, options.threshold):
@@ -281,7 +289,9 @@ def chain_mutations(residues: DataFrame, sites: DataFrame, weights: DataFrame |
     rows = sites.filter(F.col("site").isNotNull()).withColumn("ttype", C.type_prefix(F.col("ttype")))
     if weights is not None:
         missing = F.raise_error(F.concat_ws(" ", F.lit("no weight for"), "ttype", "sample")).cast("double")
-        rows = rows.join(weights.select("ttype", "sample", "zlog_score"), ["ttype", "sample"], "left").withColumn("w", F.coalesce("zlog_score", missing))
+        keys = [c for c in ("ttype", "sample") if c in weights.columns]
+        rows = rows.join(weights.select(*keys, "zlog_score", F.lit(True).alias("_has")), keys, "left")
+        rows = rows.withColumn("w", F.when(F.col("_has"), F.coalesce("zlog_score", F.lit(0.0))).otherwise(missing))
     else:
         rows = rows.withColumn("w", F.lit(1.0))
     mass = rows.groupBy("uniprot", F.col("site").alias("u")).agg(F.sum("w").alias("w"))

@@ -91,6 +91,13 @@ def to_residues(muts: DataFrame, genes: DataFrame, genome: DataFrame, proteins:
     )
 
 
+def changes_by_mutation(mapped: DataFrame) -> DataFrame:
+    """One row per mutation with all its protein changes, in the order of proteins."""
+    keys = ["sample", "ttype", "chrom", "pos", "Reference_Allele", "Tumor_Seq_Allele2"]
+    changes = F.array_sort(F.collect_set(F.struct("uniprot", "site", "aa_ref", "aa_alt")))
+    return mapped.groupBy(*keys).agg(changes.alias("uniprot_changes"))
+
+
 def site_rows(mapped: DataFrame, classes: list[str] | None = None) -> DataFrame:
     """Rows of the per-protein table, of all classes unless some are named."""
     kind = C.mutation_class(F.col("aa_ref"), F.col("aa_alt"))

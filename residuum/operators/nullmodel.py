@@ -8,6 +8,7 @@ structure with many draws can be split over blocks whose counts are summed.
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable
 from dataclasses import dataclass
 from functools import partial
@@ -42,6 +43,16 @@ def draw(residues: DataFrame, sizes: DataFrame, reps: DataFrame, group: str, ind
     return rows.withColumn("_rank", F.row_number().over(order)).filter("_rank <= k").drop("_key", "k")
 
 
+def draw_in_strata(residues: DataFrame, sizes: DataFrame, reps: DataFrame, group: str, index: str, stratum: str = "stratum") -> DataFrame:
+    """As :func:`draw`, but each stratum of a group keeps its own number of residues.
+
+    ``sizes`` holds ``group, stratum, k``.
+    """
+    rows = residues.withColumn("unit", F.concat_ws("/", F.col(group).cast("string"), F.col(stratum).cast("string")))
+    sized = sizes.select(F.concat_ws("/", F.col(group).cast("string"), F.col(stratum).cast("string")).alias("unit"), "k")
+    return draw(rows, sized, reps, "unit", index).drop("unit")
+
+
 def restricted(residues: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Only residues of the named kinds can be drawn."""
     return residues.filter(F.col("resname").isin(*names))
@@ -141,6 +152,7 @@ class Draws:
     threshold: float = K.STOP_THRESHOLD
     scales: tuple[float, ...] = K.SCALES
     seed: int = 0
+    max_seconds: float | None = None  # of one structure
 
 
 def may_stop(exceed: np.ndarray, draws: int, threshold: float) -> bool:
@@ -230,7 +242,7 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
     ``weight`` for weighted draws, ``resname`` for restricted ones. With
     ``vectors`` (``group, site, i, w``) each mutation is drawn from its own
     distribution and keeps its weight; else weights are permuted. Status 1: the
-    budget ended before the stop rule; 2: no draw was possible. The seed follows
+    budget of draws or seconds ended before the stop rule; 2: no draw was possible. The seed follows
     the structure's name, so results do not depend on partitions.
 
     One structure is one task, which holds its residues, but the pairs of all of
@@ -274,7 +286,8 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
             return out(observed, 0, 0, 2)
         draw_ = _sampler(weights, allowed, k)
         exceed, done, status = np.zeros(len(options.scales), np.int64), 0, 1
-        while done < options.max_draws:
+        late = time.monotonic() + (options.max_seconds if options.max_seconds is not None else float("inf"))
+        while done < options.max_draws and (not done or time.monotonic() < late):
             n = min(options.batch, options.max_draws - done)
             if p is not None:
                 index = _collision_free(rng, p, n)

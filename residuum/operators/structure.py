@@ -27,8 +27,9 @@ def usable_maps(maps: DataFrame, sites: DataFrame | None = None) -> DataFrame:
 def site_weights(sites: DataFrame, weights: DataFrame | None = None, classes: list[str] = ["M"], ttype: str | None = None, values: bool = False) -> DataFrame:
     """``uniprot, site, weight, ttypes, samples``.
 
-    ``weights`` holds ``ttype, sample, zlog_score``; a sample without one is an
-    error. With ``values`` the given values are averaged over samples.
+    ``weights`` holds ``ttype, sample, zlog_score`` (no ``ttype`` where samples are
+    weighed over all types, as for modification sites); a sample without a row is an
+    error, one with an undefined score weighs nothing. With ``values`` the given values are averaged over samples.
     """
     rows = sites.filter(F.col("site").isNotNull() & F.substring("mtype", 1, 1).isin(classes))
     if ttype:
@@ -37,18 +38,19 @@ def site_weights(sites: DataFrame, weights: DataFrame | None = None, classes: li
     if values:
         total = F.sum("value") / F.greatest(F.lit(1), F.count_distinct("sample", "ttype"))
     elif weights is not None:
-        rows = rows.join(weights.select("ttype", "sample", "zlog_score"), ["ttype", "sample"], "left")
+        keys = [c for c in ("ttype", "sample") if c in weights.columns]
+        rows = rows.join(weights.select(*keys, "zlog_score", F.lit(True).alias("_has")), keys, "left")
         missing = F.raise_error(F.concat_ws(" ", F.lit("no weight for"), "ttype", "sample")).cast("double")
-        total = F.sum(F.coalesce("zlog_score", missing))
+        total = F.sum(F.when(F.col("_has"), F.coalesce("zlog_score", F.lit(0.0))).otherwise(missing))
     else:
         total = F.count("*").cast("double")
     return rows.groupBy("uniprot", "site").agg(total.alias("weight"), F.collect_set("ttype").alias("ttypes"), people.alias("samples"))
 
 
-def mutated(residues: DataFrame, weights: DataFrame, use_hill: bool = True) -> DataFrame:
-    """The mutated residues of each structure with their weights."""
+def mutated(residues: DataFrame, weights: DataFrame, hill: tuple[float, float] | None = (2.0, 4.0)) -> DataFrame:
+    """The mutated residues of each structure with their weights, through a Hill function unless None."""
     rows = residues.join(weights.select(F.col("uniprot").alias("u1"), F.col("site").alias("u"), "weight", "ttypes"), ["u1", "u"])
-    value = C.hill(F.col("weight")) if use_hill else F.col("weight")
+    value = C.hill(F.col("weight"), *hill) if hill else F.col("weight")
     return rows.select("structure", "i", value.alias("v"), "ttypes")
 
 

@@ -48,11 +48,11 @@ def coverage_summary(residues: DataFrame, sites: DataFrame, minimum: int = 3) ->
         F.min("u").alias("start"), F.max("u").alias("end"), F.first("u1").alias("u1")
     )
     hit = residues.join(sites.select(F.col("uniprot").alias("u1"), F.col("site").alias("u"), "sample").distinct(), ["u1", "u"])
-    found = hit.groupBy("structure").agg(
-        F.count_distinct("u").alias("n_sites"),
-        F.count_distinct("sample").alias("n_samples"),
-        F.array_join(F.array_sort(F.collect_set("u")), "+").alias("sites"),
-    )
+    sets = hit.groupBy("structure").agg(F.collect_set("u").alias("u"), F.collect_set("sample").alias("samples"))
+    found = sets.select(
+        "structure", F.size("u").cast("long").alias("n_sites"), F.size("samples").cast("long").alias("n_samples"),
+        F.array_join(F.array_sort("u"), "+").alias("sites"),
+    )
     return ends.join(found.filter(F.col("n_sites") >= minimum), "structure")
 
 
@@ -105,7 +105,9 @@ def representatives(rows: DataFrame, group: str = "uniprot", similar: float = 0.
 
     columns = [*rows.columns, "cluster", "kept"]
     schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", cluster int, kept boolean"
-    return rows.groupBy(group).applyInPandas(pick, schema)
+    several = rows.groupBy(group).agg(F.count("*").alias("_m")).filter("_m > 1").select(group)
+    alone = rows.join(several, group, "left_anti").select(*rows.columns, F.lit(0).alias("cluster"), F.lit(True).alias("kept"))
+    return rows.join(several, group, "left_semi").groupBy(group).applyInPandas(pick, schema).unionByName(alone)
 
 
 def gene_symbols(metadata: DataFrame, genes: DataFrame, first: bool = False) -> DataFrame:
@@ -128,6 +130,33 @@ def annotate(rows: DataFrame, metadata: DataFrame, genes: DataFrame, min_samples
     return out.withColumn("gene", F.coalesce(name, F.lit("NA"))).filter(F.col("n_samples") >= min_samples)
 
 
+def best_by_protein(rows: DataFrame, key: str = "key") -> DataFrame:
+    """The row of least p of each protein (ties by ``key``), with q over the proteins."""
+    first = best(rows, ["uniprot"], [F.col("p").asc(), F.col(key).asc()])
+    return bh_fdr(first, "p", "uniprot")
+
+
+def summary_table(table: DataFrame, maps: DataFrame, fragments: DataFrame | None = None) -> DataFrame:
+    """The sixteen columns of the final table from :func:`summarize`'s rows and the structures' maps.
+
+    ``fragments`` holds ``pdb, chain, fragment``; structures without one have ``NA``.
+    """
+    own = maps.select("structure", "u2", "pdb_chain", "identity")
+    rows = table.join(own, "structure")
+    if fragments is not None:
+        parts = F.split(F.col("pdb_chain"), "-")
+        rows = rows.withColumns({"pdb": F.get(parts, F.lit(0)), "chain": F.get(parts, F.lit(1))}).join(fragments, ["pdb", "chain"], "left")
+    else:
+        rows = rows.withColumn("fragment", F.lit(None).cast("string"))
+    return rows.select(
+        F.col("gene").alias("GENE_NAMES"), F.col("p").alias("P"), F.col("q_full").alias("Q_FULL"), F.col("n_samples").alias("NSAMPLES"),
+        F.col("n_sites").alias("NSITES"), F.col("sites").alias("SITES"), F.col("u1").alias("UNIPROT_ID"), F.col("u2").alias("MAPPED_UNIPROT_ID"),
+        F.col("pdb_chain").alias("PDBID-CHAIN"), F.col("identity").alias("PERCENT_IDENTITY"), F.coalesce("fragment", F.lit("NA")).alias("PDB_FRAGMENT"),
+        F.col("length").alias("UNIPROT_SEQ_LENGTH"), F.col("start").alias("MAP_START"), F.col("end").alias("MAP_END"),
+        F.col("symbol").isNotNull().alias("IN_CANCER_GENE_LISTS"), F.col("q_restricted").alias("Q_RESTRICTED"),
+    )
+
+
 def summarize(results: DataFrame, coverage: DataFrame, metadata: DataFrame, genes: DataFrame) -> DataFrame:
     """The final table, by p.
 

@@ -28,10 +28,14 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 def queries() -> dict[str, Query]:
+    from residuum.plans import library  # noqa: F401  registers its own
+
     return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
+    from residuum.plans import library  # noqa: F401
+
     return dict(_SQL)
 
 
@@ -72,30 +76,36 @@ _ATOMS = """atoms AS (SELECT label, vec_id AS i, embedding[k*3+1]::DOUBLE AS x,
   FROM embeddings, (VALUES (0), (1), (2), (3)) t(k))"""
 
 
+def _as_structures(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Residues and atoms of the labels, as structures of one chain."""
+    name = F.col("label").cast("string")
+    atoms = _atoms(spark, d).select(name.alias("pdb"), F.lit("A").alias("chain"), F.col("i").alias("resnum"), F.lit("ALA").alias("resname"), "x", "y", "z")
+    residues = T.table(spark, d, "embeddings").select(
+        F.col("label").alias("structure"), F.concat(name, F.lit("-A")).alias("pdb_chain"), F.col("vec_id").alias("p"), F.col("vec_id").alias("i"), F.col("vec_id").alias("u")
+    )
+    return residues.distinct(), atoms
+
+
 @query(f"WITH {_ATOMS} SELECT label, i, round(avg(x), 6) AS x, round(avg(y), 6) AS y, round(avg(z), 6) AS z FROM atoms GROUP BY label, i")
 def centroids(spark: SparkSession, d: str) -> DataFrame:
-    return _atoms(spark, d).groupBy("label", "i").agg(*(F.round(F.avg(c), 6).alias(c) for c in "xyz"))
+    found = structure.residue_centroids(*_as_structures(spark, d))
+    return found.select(F.col("structure").alias("label"), "i", *(F.round(c, 6).alias(c) for c in "xyz"))
 
 
-@query(f"""WITH {_ATOMS}, s AS (SELECT * FROM atoms WHERE label = 0)
-SELECT a.i, b.i AS j, round(min({_D2}), 6) AS d2 FROM s a JOIN s b ON a.i > b.i GROUP BY ALL""")
+@query(f"""WITH {_ATOMS}, p AS (SELECT a.label, a.i, b.i AS j, min({_D2}) AS d2 FROM atoms a JOIN atoms b ON a.label = b.label AND a.i > b.i GROUP BY ALL)
+SELECT label, i, count(*) AS n, round(min(d2), 6) AS d2 FROM p GROUP BY ALL""")
 def min_atom_distance(spark: SparkSession, d: str) -> DataFrame:
-    atoms = _atoms(spark, d).filter("label = 0").select(F.lit("s").alias("pdb"), F.lit("A").alias("chain"), F.col("i").alias("resnum"), "x", "y", "z")
-    residues = atoms.select(F.lit("s").alias("structure"), F.lit("s-A").alias("pdb_chain"), "resnum").distinct()
-    residues = residues.select("structure", "pdb_chain", F.col("resnum").alias("p"), F.col("resnum").alias("i"))
-    return structure.least_atom_distance(residues, atoms).select("i", "j", F.round("d2", 6).alias("d2"))
+    """The least distance of each residue to one before it, in every structure."""
+    pairs = structure.least_atom_distance(*_as_structures(spark, d))
+    return pairs.groupBy(F.col("structure").alias("label"), "i").agg(F.count("*").alias("n"), F.round(F.min("d2"), 6).alias("d2"))
 
 
 @query(f"""WITH {_ATOMS}
 SELECT a.label, a.i, b.i AS j, round(min({_D2}), 6) AS d2 FROM atoms a JOIN atoms b ON a.label = b.label AND a.i > b.i GROUP BY ALL""")
 def min_atom_distance_all(spark: SparkSession, d: str) -> DataFrame:
     """The least distances inside every structure."""
-    name = F.col("label").cast("string")
-    atoms = _atoms(spark, d).select(name.alias("pdb"), F.lit("A").alias("chain"), F.col("i").alias("resnum"), "x", "y", "z")
-    residues = T.table(spark, d, "embeddings").select(
-        F.col("label").alias("structure"), F.concat(name, F.lit("-A")).alias("pdb_chain"), F.col("vec_id").alias("p"), F.col("vec_id").alias("i")
-    )
-    return structure.least_atom_distance(residues.distinct(), atoms).select(F.col("structure").alias("label"), "i", "j", F.round("d2", 6).alias("d2"))
+    found = structure.least_atom_distance(*_as_structures(spark, d))
+    return found.select(F.col("structure").alias("label"), "i", "j", F.round("d2", 6).alias("d2"))
 
 
 @query("""SELECT l_partkey, count(*) AS n, round(pow(count(*), 4) / (16e0 + pow(count(*), 4)), 9) AS weight FROM lineitem GROUP BY 1""")
@@ -206,8 +216,9 @@ scores AS (SELECT a.label, a.rep, sum(exp(-({_D2}) / 72e0)) AS score FROM (SELEC
 SELECT label, count(*) FILTER (score >= observed - 1e-12) AS exceed, count(*) AS draws FROM scores JOIN obs USING (label) GROUP BY 1"""
 
 
-def _null(spark: SparkSession, d: str, weighted: bool = False, where: str = "true") -> DataFrame:
-    points = T.points(spark, d).filter(where)
+def _null(spark: SparkSession, d: str, weighted: bool = False, names: tuple[str, ...] | None = None) -> DataFrame:
+    points = T.points(spark, d).withColumn("resname", F.element_at(F.array(*map(F.lit, ("SER", "TYR", "THR", "ALA", "LYS"))), (F.col("i") % 5 + 1).cast("int")))
+    points = nullmodel.restricted(points, names) if names else points
     hits = points.filter("i % 10 = 0")
     sizes = hits.groupBy("label").agg(F.count("*").alias("k"))
     score = F.sum(C.kernel(F.col("d2"), 6.0)).alias("score")
@@ -230,7 +241,13 @@ def weighted_null(spark: SparkSession, d: str) -> DataFrame:
 
 @query(_null_sql("{u}", "i % 5 < 3"))
 def restricted_null(spark: SparkSession, d: str) -> DataFrame:
-    return _null(spark, d, where="i % 5 < 3")
+    return _null(spark, d, names=K.PHOSPHO)
+
+
+@query(_null_sql("{u}", "(i % 5 = 0 OR i % 5 = 4)"))
+def lysine_null(spark: SparkSession, d: str) -> DataFrame:
+    """Lysines and serines can be drawn."""
+    return _null(spark, d, names=(*K.LYSINE, "SER"))
 
 
 @query("""SELECT l_suppkey, sum(e)::BIGINT AS exceed, sum(n)::BIGINT AS draws, round(sum(e) / sum(n)::DOUBLE, 9) AS p,
@@ -413,39 +430,42 @@ _CODON_VALUES = ", ".join(f"('{c}', '{a}')" for c, a in K.CODONS.items())
 SELECT doc_id, aa, count(*) AS n FROM c JOIN (VALUES {_CODON_VALUES}) t(codon, aa) USING (codon) GROUP BY ALL""")
 def codon_translate(spark: SparkSession, d: str) -> DataFrame:
     codons = F.explode(F.regexp_extract_all(F.expr(_FOLD.format(g="")), F.lit("..."), F.lit(0))).alias("codon")
-    counted = T.table(spark, d, "documents").select("doc_id", codons).groupBy("doc_id", "codon").agg(F.count("*").alias("n"))
-    return counted.withColumn("aa", C.translate_codon(F.col("codon"))).groupBy("doc_id", "aa").agg(F.sum("n").alias("n"))
+    found = T.table(spark, d, "documents").select("doc_id", codons).select("doc_id", C.translate_codon(F.col("codon")).alias("aa"))
+    return found.groupBy("doc_id", "aa").agg(F.count("*").alias("n"))
 
 
-@query("""SELECT doc_id, substr(text, (pos - 1)::INT, 3) AS abc, count(*) AS n FROM documents JOIN (SELECT l_orderkey % 200 AS doc_id, 5 + l_partkey % 40 AS pos FROM lineitem) USING (doc_id)
-WHERE n_chars >= 50 AND length(text) >= 50 AND regexp_matches(substr(text, 1, 50), '^[a-zA-Z ,.]*$') GROUP BY ALL""".replace("AS abc", "AS raw"))
-def genome_context(spark: SparkSession, d: str) -> DataFrame:
-    chunk = 16
-    docs = T.table(spark, d, "documents").filter("n_chars >= 50 AND length(text) >= 50").filter(F.substring("text", 1, 50).rlike("^[a-zA-Z ,.]*$"))
-    pieces = docs.select(F.col("doc_id").alias("chrom"), "text", F.explode(F.sequence(F.lit(0), F.lit(3))).alias("chunk_id"))
-    genome = pieces.select("chrom", "chunk_id", F.substring("text", F.col("chunk_id") * chunk + 1, F.lit(chunk + 2)).alias("seq"))
-    muts = T.table(spark, d, "lineitem").select((F.col("l_orderkey") % 200).alias("chrom"), (5 + F.col("l_partkey") % 40).alias("pos"))
-    rows = mapping.context(muts, genome, F.col("pos") - 2, 3, "abc", chunk)
-    return rows.join(docs.select(F.col("doc_id").alias("chrom"), "text"), "chrom").select(
-        F.col("chrom").alias("doc_id"), F.substring("text", (F.col("pos") - 1).cast("int"), F.lit(3)).alias("raw"), "abc"
-    ).filter(F.lower("raw") == F.col("abc")).groupBy("doc_id", "raw").agg(F.count("*").alias("n"))
-
-
-@query("""WITH r AS (SELECT min(doc_id) AS lo, max(doc_id) - min(doc_id) + 1 AS n_ids FROM documents),
-m AS (SELECT lo + l_orderkey % n_ids AS doc_id, l_orderkey * 7919 + l_partkey * 104729 + l_linenumber AS h FROM lineitem, r)
-SELECT doc_id, lower(substr(text, (h % (length(text) - 2) + 1)::INT, 3)) AS abc, count(*) AS n FROM documents JOIN m USING (doc_id) WHERE length(text) >= 3 GROUP BY ALL""")
-def genome_context_whole(spark: SparkSession, d: str) -> DataFrame:
-    """Whole texts as chromosomes, and mutations over all of their ids and positions."""
-    chunk = 4096
-    docs = T.table(spark, d, "documents").filter(F.length("text") >= 3).select(F.col("doc_id").alias("chrom"), "text", F.length("text").alias("size"))
+_PLACED = """WITH r AS (SELECT min(doc_id) AS lo, max(doc_id) - min(doc_id) + 1 AS n_ids FROM documents),
+m AS (SELECT lo + l_orderkey % n_ids AS doc_id, l_orderkey * 7919 + l_partkey * 104729 + l_linenumber AS h FROM lineitem, r)"""
+
+
+def _placed_in_texts(spark: SparkSession, d: str, chunk: int, span: int) -> tuple[DataFrame, DataFrame]:
+    """Positions of mutations over all ids and whole texts, and the texts in chunks like chromosomes."""
+    docs = T.table(spark, d, "documents").filter(F.length("text") >= span).select(F.col("doc_id").alias("chrom"), "text", F.length("text").alias("size"))
     pieces = docs.select("chrom", "text", F.explode(F.sequence(F.lit(0), F.floor((F.col("size") - 1) / chunk))).alias("chunk_id"))
     genome = pieces.select("chrom", "chunk_id", F.substring("text", (F.col("chunk_id") * chunk + 1).cast("int"), F.lit(chunk + 2)).alias("seq"))
     ids = T.table(spark, d, "documents").agg(F.min("doc_id").alias("lo"), (F.max("doc_id") - F.min("doc_id") + 1).alias("n_ids"))
     drawn = F.col("l_orderkey") * 7919 + F.col("l_partkey") * 104729 + F.col("l_linenumber")
     muts = T.table(spark, d, "lineitem").crossJoin(F.broadcast(ids))  # one row
     muts = muts.select((F.col("lo") + F.col("l_orderkey") % F.col("n_ids")).alias("chrom"), drawn.alias("h"))
-    muts = muts.join(docs.select("chrom", "size"), "chrom").select("chrom", (F.col("h") % (F.col("size") - 2)).alias("at"))
-    rows = mapping.context(muts, genome, F.col("at"), 3, "abc", chunk)
+    muts = muts.join(docs.select("chrom", "size"), "chrom").select("chrom", (F.col("h") % (F.col("size") - span + 1)).alias("at"))
+    return muts, genome
+
+
+@query(f"""{_PLACED}
+SELECT doc_id, lower(substr(text, (h % length(text) + 1)::INT, 1)) AS base, count(*) AS n FROM documents JOIN m USING (doc_id) WHERE length(text) >= 1 GROUP BY ALL""")
+def genome_context(spark: SparkSession, d: str) -> DataFrame:
+    """The base of each mutation, with whole texts as chromosomes."""
+    muts, genome = _placed_in_texts(spark, d, 1024, 1)
+    rows = mapping.context(muts, genome, F.col("at"), 1, "base", 1024)
+    return rows.groupBy(F.col("chrom").alias("doc_id"), "base").agg(F.count("*").alias("n"))
+
+
+@query(f"""{_PLACED}
+SELECT doc_id, lower(substr(text, (h % (length(text) - 2) + 1)::INT, 3)) AS abc, count(*) AS n FROM documents JOIN m USING (doc_id) WHERE length(text) >= 3 GROUP BY ALL""")
+def genome_context_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The base of each mutation and its neighbours, with whole texts as chromosomes."""
+    muts, genome = _placed_in_texts(spark, d, 4096, 3)
+    rows = mapping.context(muts, genome, F.col("at"), 3, "abc", 4096)
     return rows.groupBy(F.col("chrom").alias("doc_id"), "abc").agg(F.count("*").alias("n"))
 
 

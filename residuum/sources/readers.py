@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
+from residuum.functions import constants as K
+from residuum.sources.writers import protein_shard
 
 MUTATIONS = (
     "Chromosome string, Start_position long, Reference_Allele string, Tumor_Seq_Allele2 string, "
@@ -44,6 +46,16 @@ def sites(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, False, SITES)
 
 
+def protein_sites(spark: SparkSession, path: str, uniprots: list[str] | None = None) -> DataFrame:
+    """What :func:`writers.by_protein` wrote; with ``uniprots`` only their partitions are read."""
+    found = spark.read.parquet(path)
+    if uniprots is not None:
+        names = spark.createDataFrame([(u,) for u in uniprots], "uniprot string")
+        shards = [r[0] for r in names.select(protein_shard(F.col("uniprot"))).distinct().collect()]  # of the given names
+        found = found.filter(F.col("protein_shard").isin(shards)).filter(F.col("uniprot").isin(uniprots))
+    return found.drop("protein_shard")
+
+
 def proteins(spark: SparkSession, path: str) -> DataFrame:
     """``uniprot, seq`` of a FASTA file, the last record too."""
     records = spark.read.option("lineSep", "\n>").text(path)
@@ -95,11 +107,14 @@ def weights(spark: SparkSession, path: str) -> DataFrame:
 
 
 def spectra(spark: SparkSession, path: str) -> DataFrame:
-    """Long form ``patient, ttype, channel, n``."""
+    """Long form ``patient, ttype, name, channel, n``; ``channel`` is the number of the header's ``abc-n``."""
     wide = _tsv(spark, path)
     counts = [c for c in wide.columns if c not in ("patient", "ttype")]
+    if unknown := set(counts) - set(K.channels()):
+        raise ValueError(f"unknown channels: {', '.join(sorted(unknown))}")
     wide = wide.withColumns({c: F.col(f"`{c}`").cast("long") for c in counts})
-    return wide.unpivot(["patient", "ttype"], counts, "channel", "n")
+    number = F.element_at(C.literal_map({c: i for i, c in enumerate(K.channels())}), F.col("name"))
+    return wide.unpivot(["patient", "ttype"], counts, "name", "n").withColumn("channel", number)
 
 
 def genome(spark: SparkSession, path: str, chunk: int = 65536) -> DataFrame:
@@ -188,6 +203,15 @@ def nucleic_pairs(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("pdb", "chain", "type", "a").agg(F.max_by("b", "i").alias("b"))
 
 
+def structure_maps(spark: SparkSession, path: str, pdbs: list[str] | None = None) -> DataFrame:
+    """What :func:`writers.by_structure` wrote; with ``pdbs`` only their partitions are read."""
+    found = spark.read.parquet(path)
+    if pdbs is None:
+        return found.drop("shard")
+    shards = sorted({p[1:3] for p in pdbs})
+    return found.filter(F.col("shard").isin(shards)).filter(F.split_part("pdb_chain", F.lit("-"), F.lit(1)).isin(pdbs)).drop("shard")
+
+
 def contacts(spark: SparkSession, path: str) -> DataFrame:
     """Interface residues ``pdb, kind, c1, c2, side, resnum``."""
     return _tsv(spark, path, True, "pdb string, kind string, c1 string, c2 string, side int, resnum int")
@@ -210,7 +234,8 @@ def ligands(spark: SparkSession, path: str) -> DataFrame:
 def complexes(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
     """Sorted pairs of proteins that share a complex of up to five known members.
 
-    ``names`` maps ``entry`` to ``uniprot``. Two lines of header are skipped by content.
+    ``names`` maps ``entry`` to ``uniprot``. The two lines of header need no care: the first is a comment,
+    and the second names no known entry.
     """
     raw = _tsv(spark, path, False, "a string, b string, members string").filter("NOT startswith(a, '#')")
     entries = F.split("members", ",")
@@ -221,6 +246,15 @@ def complexes(spark: SparkSession, path: str, names: DataFrame) -> DataFrame:
     return left.join(right, "complex").filter("ua < ub").select("ua", "ub").distinct()
 
 
+def summary(spark: SparkSession, path: str) -> DataFrame:
+    """The final table with its types."""
+    return _tsv(
+        spark, path, True,
+        "GENE_NAMES string, P double, Q_FULL double, NSAMPLES int, NSITES int, SITES string, UNIPROT_ID string, MAPPED_UNIPROT_ID string, `PDBID-CHAIN` string, "
+        "PERCENT_IDENTITY double, PDB_FRAGMENT string, UNIPROT_SEQ_LENGTH int, MAP_START int, MAP_END int, IN_CANCER_GENE_LISTS boolean, Q_RESTRICTED double",
+    )
+
+
 def summary_row(summary: DataFrame, gene: str, pdb_chain: str | None = None) -> DataFrame:
     """The row of a gene to be drawn, the best by p unless a chain is named."""
     rows = summary.filter(F.col("GENE_NAMES") == gene)

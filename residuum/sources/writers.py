@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 SUMMARY_COLUMNS = [
@@ -12,13 +12,28 @@ SUMMARY_COLUMNS = [
 
 
 def tsv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Tab-separated text with a header."""
-    df.write.mode(mode).option("sep", "\t").option("header", True).csv(path)
+    """Tab-separated text with a header; nothing is quoted, and empty text is empty."""
+    writer = df.write.mode(mode).option("sep", "\t").option("header", True)
+    writer.option("quote", "").option("emptyValue", "").csv(path)
 
 
 def by_protein(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Partitioned by protein; a bounded number of files for each."""
-    df.repartition("uniprot").write.mode(mode).partitionBy("uniprot").parquet(path)
+    """Proteins in a fixed number of partitions by hash, in order inside, so that one protein is found without
+    a folder for each.
+    """
+    sharded = df.withColumn("protein_shard", protein_shard(F.col("uniprot")))
+    sorted_ = sharded.repartition("protein_shard").sortWithinPartitions("protein_shard", "uniprot")
+    sorted_.write.mode(mode).partitionBy("protein_shard").parquet(path)
+
+
+def protein_shard(uniprot: Column) -> Column:
+    return F.pmod(F.hash(uniprot), F.lit(64))
+
+
+def by_structure(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
+    """Rows with a ``pdb_chain``, partitioned by the two middle characters of the structure's name."""
+    sharded = df.withColumn("shard", F.substring("pdb_chain", 2, 2))
+    sharded.repartition("shard").write.mode(mode).partitionBy("shard").option("compression", "zstd").parquet(path)
 
 
 def append_results(df: DataFrame, path: str, run: str) -> None:

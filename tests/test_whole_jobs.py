@@ -1,10 +1,12 @@
 """Cases where queries once did less than the whole job."""
 
+import itertools
+
 import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from residuum.operators import nullmodel, spectra
+from residuum.operators import interface, nullmodel, spectra
 from residuum.plans import registry
 
 
@@ -76,3 +78,59 @@ def test_large_structure_needs_no_table_of_all_pairs(spark):
                                      F.when(F.col("id") % 1000 == 0, F.col("id") % 5 + 1.0).alias("v"))
     got = nullmodel.structure_test(rows, options=nullmodel.Draws(max_draws=200, batch=100)).collect()
     assert len(got) == len(nullmodel.Draws().scales) and all(r.draws > 0 and r.score > 0 for r in got)
+
+
+def test_weighted_interface_draws_shuffle_masses(spark):
+    """Heavy residues are drawn first, but the first mutation's mass is not theirs."""
+    weights, masses = [8.0, 1.0, 1.0, 1.0], {0: 5.0, 1: 1.0}
+    residues = spark.createDataFrame([("s", "A", i, masses.get(i), w) for i, w in enumerate(weights)], "pdb string, chain string, resnum int, w double, weight double")
+    edges = spark.createDataFrame([("s", "L", "A", "x", 0, "A", 0, True)], "pdb string, kind string, c1 string, c2 string, side int, chain string, resnum int, direct boolean")
+    row = interface.interface_test(residues, edges, nullmodel.Draws(max_draws=40_000, batch=10_000, threshold=0.0)).first()
+    total, exact = sum(weights), 0.0  # mass 5 or more at the heavy residue
+    for first in range(4):
+        for second in range(4):
+            if first != second and 0 in (first, second):
+                exact += weights[first] / total * weights[second] / (total - weights[first]) / 2
+    assert row.mass == 5 and row.draws == 40_000
+    assert abs(row.exceed / row.draws - exact) < 4 * (exact * (1 - exact) / row.draws) ** 0.5
+
+
+def test_structure_test_agrees_with_enumeration(spark):
+    """All subsets and orders of the weights of a small structure, uniform and weighted."""
+    rng = np.random.default_rng(3)
+    xyz, values, weights = rng.normal(size=(7, 3)) * 4, {1: 1.0, 2: 0.4, 5: 0.7}, [1.0, 2.0, 0.5, 1.5, 3.0, 1.0, 0.2]
+    kernel = np.exp(-((xyz[:, None] - xyz[None]) ** 2).sum(-1) / 72)
+    score = lambda at, v: sum(v[a] * v[b] * kernel[at[a], at[b]] for a in range(3) for b in range(a))
+    observed = score(list(values), list(values.values()))
+    for weighted in (False, True):
+        exact = 0.0
+        for drawn in itertools.permutations(range(7), 3):
+            p, left = 1.0, sum(weights)
+            for i in drawn:
+                p *= weights[i] / left if weighted else 1 / (7 - drawn.index(i))
+                left -= weights[i]
+            orders = list(itertools.permutations(values.values()))
+            exact += p * sum(score(drawn, v) >= observed - 1e-12 for v in orders) / len(orders)
+        rows = [("s", i, *map(float, xyz[i]), values.get(i), weights[i]) for i in range(7)]
+        points = spark.createDataFrame(rows, "structure string, i int, x double, y double, z double, v double, weight double")
+        points = points if weighted else points.drop("weight")
+        got = nullmodel.structure_test(points, options=nullmodel.Draws(max_draws=40_000, threshold=0.0, scales=(6.0,))).first()
+        assert got.draws == 40_000 and abs(got.exceed / 40_000 - exact) < 4 * (exact * (1 - exact) / 40_000) ** 0.5
+
+
+def test_spectrum_draws_agree_with_enumeration(spark):
+    """Each mutation from its own distribution, none twice."""
+    xyz = np.array([[0.0, 0, 0], [3, 0, 0], [9, 0, 0], [9, 4, 0]])
+    own = {0: [0.1, 0.2, 0.3, 0.4], 1: [0.25, 0.25, 0.4, 0.1]}
+    kernel = np.exp(-((xyz[:, None] - xyz[None]) ** 2).sum(-1) / 72)
+    exact = total = 0.0
+    for order in ((0, 1), (1, 0)):  # mutations are placed in a random order; the later one avoids the earlier
+        for a, b in itertools.permutations(range(4), 2):
+            p, q = own[order[0]][a], own[order[1]][b] / (1 - own[order[1]][a])
+            total += p * q / 2
+            exact += p * q / 2 * (kernel[a, b] >= kernel[0, 1] - 1e-12)
+    assert abs(total - 1) < 1e-9
+    points = spark.createDataFrame([("s", i, *map(float, x), 1.0 if i < 2 else None) for i, x in enumerate(xyz)], "structure string, i int, x double, y double, z double, v double")
+    vectors = spark.createDataFrame([("s", m, i, w) for m, ws in own.items() for i, w in enumerate(ws)], "structure string, site int, i int, w double")
+    got = nullmodel.structure_test(points, options=nullmodel.Draws(max_draws=4000, threshold=0.0, scales=(6.0,)), vectors=vectors).first()
+    assert abs(got.exceed / got.draws - exact) < 4 * (exact * (1 - exact) / got.draws) ** 0.5
