@@ -38,6 +38,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from residuum.llm.common import Staged, keyed, text_bytes
+from residuum.llm.prefix_doubling import covered_positions
 from residuum.llm.rolling import Rolling
 
 GRAM = 24
@@ -338,16 +339,24 @@ def remove_repeats(
     length: int = 50,
     id_col: str = "doc_id",
     text_col: str = "text",
+    method: str = "anchors",
 ) -> DataFrame:
-    """``doc_id`` and what ``finish(text, removed runs)`` gives for every document, columns of ``schema``."""
-    if not GRAM < length <= GRAM + 62:
+    """``doc_id`` and what ``finish(text, removed runs)`` gives for every document, columns of ``schema``.
+
+    :param method: ``anchors`` as above, or ``doubling`` over all positions (:mod:`residuum.llm.prefix_doubling`).
+    """
+    if method == "anchors" and not GRAM < length <= GRAM + 62:
         raise ValueError(f"length must be from {GRAM + 1} to {GRAM + 62}")
     staged = Staged(docs.sparkSession, "suffix-dedup")
     rows, odd = keyed(docs, id_col, text_col, staged)
     rows = rows.withColumnRenamed("doc_id", "doc")
     texts = rows.groupBy("doc").agg(F.first("text").alias("text")) if odd else rows.select("doc", "text")
-    parts = covered_strings(texts, staged, length)
-    side = parts[0].unionByName(parts[1]).withColumn("b", F.lit(0).cast("long"))
+    if method == "doubling":
+        side = covered_positions(texts, staged, length).select("doc", (F.col("at") * 64 + 1).alias("a"))
+    else:
+        parts = covered_strings(texts, staged, length)
+        side = parts[0].unionByName(parts[1])
+    side = side.withColumn("b", F.lit(0).cast("long"))
     schema = f"doc long, {schema}"
     names = [c.split()[0] for c in schema.split(", ")]
 
@@ -382,11 +391,13 @@ def deduplicate(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_
     return remove_repeats(docs, finish, "kept binary", length, id_col, text_col)
 
 
-def removal_digests(docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def removal_digests(
+    docs: DataFrame, length: int = 50, id_col: str = "doc_id", text_col: str = "text", method: str = "anchors"
+) -> DataFrame:
     """``doc_id, n_bytes, n_removed, n_spans, kept_sha256`` of each document."""
 
     def finish(raw: bytes, runs: np.ndarray) -> tuple:
         removed = int((runs[:, 1] - runs[:, 0]).sum())
         return len(raw), removed, len(runs), hashlib.sha256(kept_parts(raw, runs)).hexdigest()
 
-    return remove_repeats(docs, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, id_col, text_col)
+    return remove_repeats(docs, finish, "n_bytes long, n_removed long, n_spans long, kept_sha256 string", length, id_col, text_col, method)

@@ -35,6 +35,11 @@ def test_removals_match_brute_force(docs, corpus, length):
     assert got(docs, length=length) == brute(corpus, length)
 
 
+@pytest.mark.parametrize("length", [50, 16, 70])
+def test_doubling_matches_brute_force(docs, corpus, length):
+    assert got(docs, length=length, method="doubling") == brute(corpus, length)
+
+
 def test_repetitive_texts(spark):
     """Periodic strings, many hosts of one passage, offsets of one byte, overlaps."""
     rnd = random.Random(4)
@@ -52,7 +57,7 @@ def test_repetitive_texts(spark):
         }[kind]
         rows.append((i, text))
     frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
-    assert got(frame) == brute(rows, 50)
+    assert got(frame) == got(frame, method="doubling") == brute(rows, 50)
 
 
 def test_streams_do_not_depend_on_batches():
