@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
 from residuum.functions import constants as K
-from residuum.operators.nullmodel import Draws, _fresh, may_stop
+from residuum.operators.nullmodel import _HELD, Draws, _fresh, may_stop
 
 EDGE = ["pdb", "kind", "c1", "c2", "side"]
 
@@ -125,20 +125,22 @@ def interface_test(residues: DataFrame, edges: DataFrame, options: Draws = Draws
         exceed, done = np.zeros(len(masks), np.int64), 0
         while done < options.max_draws:
             n = min(options.batch, options.max_draws - done)
-            drawn = np.zeros((n, len(own)))
-            for members in chains:
-                masses = w[members][own["w"].notna().to_numpy()[members]]
-                if not len(masses):
-                    continue
-                keys = rng.random((n, len(members)))
-                if weighted:
-                    with np.errstate(divide="ignore"):
-                        keys = -np.log(keys) / own["weight"].to_numpy(float)[members]
-                chosen = members[np.argsort(keys, axis=1)[:, : len(masses)]]
-                # heavy residues come first among the chosen, so the masses must not keep their order
-                laid = rng.permuted(np.broadcast_to(masses, chosen.shape), axis=1)
-                np.put_along_axis(drawn, chosen, laid, axis=1)
-            exceed += (drawn @ masks.T >= observed - 1e-12).sum(0)
+            some = max(1, _HELD // len(own))
+            for m in (min(some, n - at) for at in range(0, n, some)):  # a bounded table of draws at a time
+                drawn = np.zeros((m, len(own)))
+                for members in chains:
+                    masses = w[members][own["w"].notna().to_numpy()[members]]
+                    if not len(masses):
+                        continue
+                    keys = rng.random((m, len(members)))
+                    if weighted:
+                        with np.errstate(divide="ignore"):
+                            keys = -np.log(keys) / own["weight"].to_numpy(float)[members]
+                    chosen = members[np.argsort(keys, axis=1)[:, : len(masses)]]
+                    # heavy residues come first among the chosen, so the masses must not keep their order
+                    laid = rng.permuted(np.broadcast_to(masses, chosen.shape), axis=1)
+                    np.put_along_axis(drawn, chosen, laid, axis=1)
+                exceed += (drawn @ masks.T >= observed - 1e-12).sum(0)
             done += n
             if may_stop(exceed, done, options.threshold):
                 break

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
@@ -118,16 +118,37 @@ def spectra(spark: SparkSession, path: str) -> DataFrame:
 
 
 def genome(spark: SparkSession, path: str, chunk: int = 65536) -> DataFrame:
-    """``chrom, chunk_id, seq`` from FASTA; each chunk holds two bases more than its step."""
-    records = spark.read.option("lineSep", "\n>").text(path)
-    lines = F.split(F.regexp_replace(F.col("value"), "^>", ""), "\n")
-    whole = records.select(
-        F.get(F.split(F.get(lines, F.lit(0)), r"\s"), F.lit(0)).alias("chrom"),
-        F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("seq"),
-    )
-    last = F.floor((F.length("seq") - 1) / chunk)
-    cut = whole.withColumn("chunk_id", F.explode(F.sequence(F.lit(0), last)))
-    return cut.select("chrom", "chunk_id", F.substring(F.col("seq"), (F.col("chunk_id") * chunk + 1).cast("int"), F.lit(chunk + 2)).alias("seq"))
+    """``chrom, chunk_id, seq`` from FASTA; each chunk holds two bases more than its step.
+
+    Lines stay apart: each finds its place from sums inside its split of the file and over the
+    splits before, of which there are few, so no row or task holds a chromosome.
+    """
+    raw = spark.read.text(path).select(
+        F.regexp_replace("value", r"\s+$", "").alias("line"), F.col("_metadata.file_path").alias("file"),
+        F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("at"),
+    )
+    head = F.when(F.col("line").startswith(">"), F.get(F.split(F.substring("line", 2, 1 << 30), r"\s"), F.lit(0)))
+    rows = raw.withColumn("head", head).withColumn("n", F.when(F.col("head").isNull(), F.length("line")).otherwise(0))
+    inside = Window.partitionBy("file", "block").orderBy("at")
+    rows = rows.withColumn("record", F.count("head").over(inside.rowsBetween(Window.unboundedPreceding, 0)))
+    earlier = Window.partitionBy("file", "block", "record").orderBy("at").rowsBetween(Window.unboundedPreceding, -1)
+    rows = rows.withColumn("offset", F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+    # the parts of records in each split, in the order of the file
+    parts = rows.groupBy("file", "block", "record").agg(F.sum("n").alias("n"), F.max("head").alias("head"))
+    along = Window.partitionBy("file").orderBy("block", "record")
+    parts = parts.withColumn("whole", F.count("head").over(along.rowsBetween(Window.unboundedPreceding, 0)))
+    of_record = Window.partitionBy("file", "whole")
+    before = F.coalesce(F.sum("n").over(of_record.orderBy("block", "record").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select("file", "block", "record", F.max("head").over(of_record).alias("chrom"), before.alias("before"))
+    placed = rows.filter("n > 0").join(parts, ["file", "block", "record"]).withColumn("start", F.col("offset") + F.col("before"))
+    first = F.greatest(F.floor((F.col("start") - 2) / chunk), F.lit(0))  # the two bases that go to the chunk before, too
+    chunks = F.explode(F.sequence(first, F.floor((F.col("start") + F.col("n") - 1) / chunk)))
+    cut = placed.withColumn("chunk_id", chunks).withColumn("from", F.greatest(F.col("chunk_id") * chunk - F.col("start"), F.lit(0)))
+    upto = F.least(F.col("n"), (F.col("chunk_id") + 1) * chunk + 2 - F.col("start"))
+    piece = F.substring(F.col("line"), (F.col("from") + 1).cast("int"), (upto - F.col("from")).cast("int"))
+    cut = cut.withColumn("piece", F.struct("start", piece.alias("bases"))).filter(upto > F.col("from"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list("piece")), lambda x: x["bases"]), "")
+    return cut.groupBy("chrom", "chunk_id").agg(whole.alias("seq"))
 
 
 def atoms(spark: SparkSession, path: str, chains: list[str] | None = None) -> DataFrame:

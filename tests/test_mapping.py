@@ -1,3 +1,5 @@
+import random
+
 import pytest
 
 from residuum.functions import constants as K
@@ -158,3 +160,29 @@ def test_two_bit_source(spark, tmp_path):
     rows = spark.read.format("twobit").option("chunk", 5).option("per_task", 2).load(str(tmp_path / "g.2bit")).collect()
     got = {(r.chrom, r.chunk_id): r.seq for r in rows}
     assert got == {(n, k): s[5 * k : 5 * k + 7] for n, s in sequences.items() for k in range(-(-len(s) // 5))}
+
+
+def test_genome_over_many_splits(spark, tmp_path):
+    """Records that begin and end anywhere in the splits of a file, short lines and empty ones."""
+    rnd = random.Random(6)
+    bases = lambda n: "".join(rnd.choice("ACGTacgtN") for _ in range(n))
+    records, text = {}, ""
+    for k, size in enumerate([0, 1, 61, 5000, 12000, 3]):
+        seq = bases(size)
+        records[f"c{k}"] = seq
+        text += f">c{k} and more\n"
+        at = 0
+        while at < size:
+            n = rnd.choice([60, 60, 60, 7, 1])
+            text += seq[at : at + n] + ("\r\n" if k == 3 else "\n") + ("\n" if rnd.random() < 0.02 else "")
+            at += n
+    (tmp_path / "a.fa").write_text(text)
+    (tmp_path / "b.fa").write_text(">other\n" + "ACGT" * 50 + "\n")
+    records["other"] = "ACGT" * 50
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        got = {(r.chrom, r.chunk_id): r.seq for r in readers.genome(spark, str(tmp_path), 256).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    wanted = {(c, k): s[k * 256 : k * 256 + 258] for c, s in records.items() for k in range((len(s) + 255) // 256)}
+    assert got == wanted
