@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
 from residuum.functions import constants as K
+from residuum.operators import summarize
 from residuum.operators.nullmodel import _HELD, Draws, _fresh, may_stop
 
 EDGE = ["pdb", "kind", "c1", "c2", "side"]
@@ -306,3 +307,57 @@ def mass_lists(edges: DataFrame, muts: DataFrame) -> DataFrame:
     text = F.format_string("%d_%.2f", "resnum", "w")
     listed = lambda k: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == k, F.struct("resnum", text.alias("t"))))), lambda x: x["t"]), ";")
     return rows.groupBy("pdb", "kind", "c1", "c2").agg(listed(0).alias("masses1"), listed(1).alias("masses2"))
+
+
+def result_rows(edges: DataFrame, residues: DataFrame, muts: DataFrame, tests: DataFrame) -> DataFrame:
+    """One row per interface with proteins, sizes, masses, p-values and residues in protein coordinates.
+
+    ``edges`` is the result of :func:`with_band`, ``residues`` of :func:`chain_residues`, ``muts`` of
+    :func:`chain_mutations`, ``tests`` of :func:`interface_test`. Partners other than proteins leave the
+    columns of the second side null.
+    """
+    keys = ["pdb", "kind", "c1", "c2"]
+    per_chain = residues.groupBy("pdb", "chain").agg(F.min("uniprot").alias("uniprot"), F.count_distinct("resnum").alias("mapped"))
+    mass = muts.groupBy("pdb", "chain", "resnum").agg(F.sum("w").alias("w"))
+    own = residues.select("pdb", "chain", "resnum", "u").distinct()
+    rows = edges.join(own, ["pdb", "chain", "resnum"]).join(mass, ["pdb", "chain", "resnum"], "left")
+
+    def listed(side: int, keep: Column, text: Column = F.col("u").cast("string")) -> Column:
+        items = F.array_sort(F.collect_set(F.when((F.col("side") == side) & keep, F.struct("u", text.alias("t")))))
+        return F.array_join(F.transform(items, lambda x: x["t"]), ";")
+
+    yes, hit = F.lit(True), F.col("w").isNotNull()
+    with_mass = F.format_string("%d_%.2f", "u", "w")
+    lists = rows.groupBy(*keys).agg(
+        *(F.count_distinct(F.when((F.col("side") == k) & F.col("direct"), F.col("u"))).alias(f"iface{k + 1}") for k in (0, 1)),
+        *(listed(k, yes).alias(f"residues{k + 1}") for k in (0, 1)),
+        *(listed(k, F.col("direct")).alias(f"direct{k + 1}") for k in (0, 1)),
+        *(listed(k, hit, with_mass).alias(f"masses{k + 1}") for k in (0, 1)),
+    )
+    wide = tests.groupBy(*keys).agg(
+        *(F.max(F.when(F.col("statistic") == name, F.col(c))).alias(f"{c}{suffix}") for name, suffix in (("total", ""), ("side1", "1"), ("side2", "2")) for c in ("mass", "p"))
+    )
+    out = wide.join(lists, keys, "left")
+    for k in "12":
+        side = per_chain.select("pdb", F.col("chain").alias(f"c{k}"), F.col("uniprot").alias(f"u{k}"), F.col("mapped").alias(f"mapped{k}"))
+        out = out.join(side, ["pdb", f"c{k}"], "left")
+    two = F.col("kind") == "P"
+    of_total = {c: F.when(two, F.col(f"{c}1")).otherwise(F.col(c)).alias(f"{c}1") for c in ("mass", "p")}  # one side is all
+    sides = ("mapped", "iface", "mass", "p", "residues", "direct", "masses")
+    return out.select(
+        *keys, "u1", F.when(two, F.col("u2")).alias("u2"), "mass", "p", *(of_total.get(c, F.col(f"{c}1")) for c in sides), *(F.when(two, F.col(f"{c}2")).alias(f"{c}2") for c in sides)
+    )
+
+
+def per_protein(rows: DataFrame, listed: DataFrame) -> DataFrame:
+    """The interface side of least p of each protein, with q over all proteins and over those in ``listed``.
+
+    ``rows`` is the result of :func:`result_rows` for kind ``P``; ``listed`` holds ``uniprot``. -1 where a protein is not listed.
+    """
+    sides = [
+        rows.select(F.col(f"u{k}").alias("uniprot"), F.concat_ws("/", "pdb", "c1", "c2", F.lit(k)).alias("key"), F.col(f"mass{k}").alias("mass"), F.col(f"p{k}").alias("p"))
+        for k in "12"
+    ]
+    first = summarize.best_by_protein(sides[0].unionByName(sides[1]).dropna(subset=["uniprot", "p"]))
+    marked = first.join(listed.select("uniprot").distinct().withColumn("_in", F.lit(True)), "uniprot", "left")
+    return summarize.bh_fdr_restricted(marked, "p", "uniprot", F.coalesce("_in", F.lit(False)), "q_restricted").drop("_in")

@@ -739,3 +739,57 @@ def residue_counts(spark: SparkSession, d: str) -> DataFrame:
     """Residues of one type's prefix that two samples or more have mutated."""
     rows = T.table(spark, d, "events").select(F.col("event_type").alias("pdb"), F.lit("A").alias("chain"), (F.col("user_id") % 50).alias("resnum"), F.lit("M").alias("mtype"), F.col("event_type").alias("ttype"), F.col("user_id").alias("sample"))
     return interface.residue_counts(rows, least=2, ttype="c").select("pdb", "resnum", "n")
+
+
+_FACES = """i AS (SELECT l_suppkey AS s, l_linenumber % 2 AS side, l_linenumber AS r, sum(l_quantity) AS w FROM lineitem GROUP BY ALL),
+e AS (SELECT s, 'P' AS kind, side, r, r % 3 <> 0 AS direct FROM i UNION ALL SELECT s, 'L', 0, r, true FROM i WHERE side = 0 AND s % 2 = 0),
+f AS (SELECT e.*, r + 100 AS u, CASE WHEN r % 4 <> 3 THEN w END AS w FROM e JOIN i USING (s, side, r)),
+t AS (SELECT s, kind, sum(w) AS mass, sum(w) FILTER (side = 0) AS m1, sum(w) FILTER (side = 1) AS m2, count(*) FILTER (side = 0 AND direct) AS f1, count(*) FILTER (side = 1 AND direct) AS f2,
+  coalesce(string_agg(u, ';' ORDER BY u) FILTER (side = 0), '') AS r1, coalesce(string_agg(u, ';' ORDER BY u) FILTER (side = 1), '') AS r2,
+  coalesce(string_agg(u, ';' ORDER BY u) FILTER (side = 0 AND direct), '') AS d1, coalesce(string_agg(u || '_' || printf('%.2f', w), ';' ORDER BY u) FILTER (side = 1 AND w IS NOT NULL), '') AS k2 FROM f GROUP BY ALL),
+n AS (SELECT s, count(*) FILTER (side = 0) AS n1, count(*) FILTER (side = 1) AS n2 FROM i GROUP BY 1),
+p AS (SELECT *, (s * 37 % 101 + 1) / 102e0 AS p, (s * 41 % 101 + 1) / 102e0 AS p1, (s * 43 % 101 + 1) / 102e0 AS p2 FROM t JOIN n USING (s))"""
+
+
+def _face_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Interfaces of two chains, and of one with a ligand, with given p-values."""
+    s, r = F.col("l_suppkey"), F.col("l_linenumber")
+    items = T.table(spark, d, "lineitem").groupBy(s.alias("s"), (r % 2).alias("side"), r.alias("resnum")).agg(F.sum("l_quantity").alias("w"))
+    items = items.withColumns({"pdb": F.col("s").cast("string"), "chain": F.when(F.col("side") == 0, "A").otherwise("B")})
+    name = lambda kind, c2, direct: [F.lit(kind).alias("kind"), F.lit("A").alias("c1"), F.lit(c2).alias("c2"), "side", "chain", "resnum", direct.alias("direct")]
+    edges = items.select("pdb", *name("P", "B", F.col("resnum") % 3 != 0))
+    edges = edges.unionByName(items.filter("side = 0 AND s % 2 = 0").select("pdb", *name("L", "A_1_X", F.lit(True))))
+    residues = items.select("pdb", "chain", "resnum", F.concat(F.lit("U"), "chain", (F.col("s") % 40).cast("string")).alias("uniprot"), (F.col("resnum") + 100).alias("u"))
+    muts = items.filter("resnum % 4 <> 3").select("pdb", "chain", "resnum", "w")
+    p = lambda k: (F.col("pdb").cast("long") * k % 101 + 1) / 102.0
+    sums = interface.interface_mass(edges, muts)
+    kinds = [("total", "mass", 37), ("side1", "mass1", 41), ("side2", "mass2", 43)]
+    tests = sums.select("pdb", "kind", "c1", "c2", F.explode(F.array(*(F.struct(F.lit(n).alias("statistic"), F.col(m).alias("mass"), p(k).alias("p")) for n, m, k in kinds))).alias("t"))
+    tests = tests.select("pdb", "kind", "c1", "c2", "t.*").filter("kind = 'P' OR statistic = 'total'")
+    return interface.result_rows(edges, residues, muts, tests)
+
+
+@query(f"""WITH {_FACES} SELECT s, kind, 'UA' || s % 40 AS u1, CASE WHEN kind = 'P' AND n2 > 0 THEN 'UB' || s % 40 ELSE '-' END AS u2, round(coalesce(mass, 0), 2) AS mass, round(p, 9) AS p,
+  n1 AS mapped1, f1 AS iface1, round(CASE WHEN kind = 'P' THEN coalesce(m1, 0) ELSE coalesce(mass, 0) END, 2) AS mass1, round(CASE WHEN kind = 'P' THEN p1 ELSE p END, 9) AS p1, r1 AS residues1, d1 AS direct1,
+  CASE WHEN kind = 'P' THEN f2 ELSE -1 END AS iface2, round(CASE WHEN kind = 'P' THEN coalesce(m2, 0) ELSE -1 END, 2) AS mass2, CASE WHEN kind = 'P' THEN k2 ELSE '-' END AS masses2 FROM p WHERE n1 > 0""")
+def interface_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The wide rows of the interface tool."""
+    rows = _face_rows(spark, d).filter("u1 IS NOT NULL")
+    two = lambda c: F.round(c, 2).alias(c)
+    return rows.fillna(-1, ["iface2", "mass2"]).fillna("-", ["u2", "masses2"]).select(
+        F.col("pdb").cast("long").alias("s"), "kind", "u1", "u2", two("mass"), F.round("p", 9).alias("p"), "mapped1", "iface1", two("mass1"), F.round("p1", 9).alias("p1"),
+        "residues1", "direct1", F.col("iface2").cast("long").alias("iface2"), two("mass2"), "masses2",
+    )
+
+
+@query(f"""WITH {_FACES}, x AS (SELECT 'UA' || s % 40 AS uniprot, s || '/A/B/1' AS key, coalesce(m1, 0) AS mass, p1 AS p FROM p WHERE kind = 'P' AND n1 > 0 UNION ALL SELECT 'UB' || s % 40, s || '/A/B/2', coalesce(m2, 0), p2 FROM p WHERE kind = 'P' AND n2 > 0),
+b AS (SELECT *, substr(uniprot, 3)::INT % 3 = 0 AS listed FROM (SELECT *, row_number() OVER (PARTITION BY uniprot ORDER BY p, key) AS r FROM x) WHERE r = 1),
+g AS (SELECT *, row_number() OVER (ORDER BY p, uniprot) AS i, count(*) OVER () AS n FROM b), q AS (SELECT uniprot, least(1e0, min(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS q FROM g),
+j AS (SELECT *, row_number() OVER (ORDER BY p, uniprot) AS i, count(*) OVER () AS n FROM b WHERE listed), z AS (SELECT uniprot, least(1e0, min(p * n / i) OVER (ORDER BY i DESC ROWS UNBOUNDED PRECEDING)) AS z FROM j)
+SELECT uniprot, key, round(mass, 2) AS mass, round(p, 9) AS p, round(q, 9) AS q, round(coalesce(z, -1e0), 9) AS q_restricted FROM b JOIN q USING (uniprot) LEFT JOIN z USING (uniprot)""")
+def interface_per_protein(spark: SparkSession, d: str) -> DataFrame:
+    """The best interface side of each protein."""
+    rows = _face_rows(spark, d).filter("kind = 'P'")
+    listed = spark.range(0, 40, 3).select(F.explode(F.array(*(F.concat(F.lit(c), F.col("id").cast("string")) for c in ("UA", "UB")))).alias("uniprot"))
+    found = interface.per_protein(rows, listed)
+    return found.select("uniprot", "key", F.round("mass", 2).alias("mass"), *(F.round(c, 9).alias(c) for c in ("p", "q", "q_restricted")))
