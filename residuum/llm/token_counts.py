@@ -57,14 +57,36 @@ class Counter:
         self.byte_fallback = byte_fallback
         self.whole = all(score == int(score) for _, score in vocabulary) and abs(self.unknown) < 1 << 20
         self._words = word_pattern(piece for piece, _ in vocabulary)
-        self._known = BoundedCache(cache_words, lambda words: [self.count_word(w) for w in words])
+        self.simple = self.whole and self.byte_fallback
+        one = self.count_word if self.simple else self.trace_word
+        self._known = BoundedCache(cache_words, lambda words: [one(w) for w in words])
 
-    def count_word(self, word: str, begin: float = 0.0) -> tuple[int, tuple[float, ...], float, bool, bool]:
+    def count_word(self, word: str) -> int:
+        """Pieces of the best path through ``word``, where sums of scores are exact."""
+        best: list[tuple[float, int]] = [(0.0, 0)]
+        ends: list[list[tuple[int, float]]] = [[] for _ in word]
+        for end, found in self.automaton.iter(word):
+            ends[end].append(found)
+        for end, found in enumerate(ends):
+            score = count = None
+            found.sort(reverse=True)  # longest first: it starts first
+            for length, value in found:
+                before, pieces = best[end + 1 - length]
+                if score is None or before + value > score:
+                    score, count = before + value, pieces + 1
+            if not found or found[-1][0] != 1:
+                before, pieces = best[end]
+                if score is None or before + self.unknown > score:
+                    score = before + self.unknown
+                    count = pieces + len(word[end].encode("utf-8", "surrogatepass"))
+            best.append((score, count))
+        return best[-1][1]
+
+    def trace_word(self, word: str, begin: float = 0.0) -> tuple[int, tuple[float, ...], float, bool, bool]:
         """Of the best path through ``word`` from the score ``begin``.
 
-        Its number of pieces, their scores (none where sums are exact anyway), how
-        close the closest choice was, and whether it begins and ends with an
-        unknown character that joins its neighbours.
+        Its number of pieces, their scores, how close the closest choice was, and
+        whether it begins and ends with an unknown character that joins its neighbours.
         """
         best: list[tuple[float, int]] = [(begin, 0)]
         path: list[tuple[int, float]] = []  # where the last piece begins, and its score
@@ -95,8 +117,6 @@ class Counter:
             best.append((score, count))
             path.append(last)
             joins.append(fused)
-        if self.whole and self.byte_fallback:
-            return best[-1][1], (), margin, False, False
         scores, end, begins = [], len(word), False
         while end:
             at, value = path[end - 1]
@@ -110,8 +130,8 @@ class Counter:
     def count(self, texts: list[str | None]) -> list[int]:
         split = [self.words(t or "") for t in texts]
         known = self._known.look_up(set().union(*split))
-        if self.whole and self.byte_fallback:
-            return [sum([known[w][0] for w in words]) for words in split]
+        if self.simple:
+            return [sum([known[w] for w in words]) for words in split]
         return [self._count_in_order([known[w] for w in words], words) for words in split]
 
     def _count_in_order(self, found: list[tuple], words: list[str]) -> int:
@@ -121,7 +141,7 @@ class Counter:
         score, total, joined = 0.0, 0, False
         for word, one in zip(words, found):
             if one[2] <= error and not self.whole:
-                one = self.count_word(word, score)
+                one = self.trace_word(word, score)
             for x in one[1]:
                 score += x
             total += one[0] - (joined and one[3])
