@@ -43,7 +43,7 @@ from residuum.llm.rolling import Rolling
 
 GRAM = 24
 _LOW = (1 << 31) - 1
-_CHUNK = 2_000_000  # rows that a task settles among themselves before it passes them on
+_CHUNK = 800_000  # rows that a task settles among themselves before it passes them on
 
 
 def _batch(**columns: np.ndarray) -> pa.RecordBatch:
