@@ -187,6 +187,10 @@ class BoundedCache:
         self.old: dict = {}
         self.held = 0
 
+    def clear(self) -> None:
+        """Forget all words, at the end of a task, so that the worker's next task has the memory."""
+        self.young, self.old, self.held = {}, {}, 0
+
     def look_up(self, wanted: set) -> Mapping:
         """A mapping that holds every wanted word."""
         if self.held + len(wanted) > self.limit:

@@ -107,13 +107,14 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["own"], pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.binary()),
                  empty(n, pa.int32()), empty(n, pa.binary())], names)
-        parts = [p for p in range(len(counts) // _PART) if counts[p * _PART : (p + 1) * _PART].any()]
-        small = np.minimum(counts, 255).astype(np.uint8)  # what is common stays common
-        blocks = [small[p * _PART : (p + 1) * _PART].tobytes() for p in parts]
-        n = len(parts)
-        yield pa.RecordBatch.from_arrays(
-            [empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary()), empty(n, pa.binary()),
-             pa.array(parts, pa.int32()), pa.array(blocks, pa.binary())], names)
+        some = 256  # parts in a batch
+        for begin in range(0, len(counts) // _PART, some):
+            held = {p: counts[p * _PART : (p + 1) * _PART] for p in range(begin, min(begin + some, len(counts) // _PART))}
+            blocks = {p: np.minimum(c, 255).astype(np.uint8).tobytes() for p, c in held.items() if c.any()}  # what is common stays common
+            n = len(blocks)
+            yield pa.RecordBatch.from_arrays(
+                [empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary()), empty(n, pa.binary()),
+                 pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary())], names)
 
     return docs.mapInArrow(run, "doc_id long, own long, n long, digest binary, buckets binary, part int, counts binary")
 

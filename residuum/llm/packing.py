@@ -60,6 +60,7 @@ def cut_pieces(
                 kinds = [pa.int64()] * 5 + [pa.int32()] + [pa.int64()] * 2
                 names = [c.split()[0] for c in _PIECE.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names)
+        tok.clear()
 
     source = docs.select(docs[id_col].cast("long").alias("doc_id"), docs[text_col].alias("text"))
     return source.mapInArrow(run, _PIECE)

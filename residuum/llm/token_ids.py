@@ -130,6 +130,7 @@ def _windows(tokenizer_path: str, window: int, end_id: int, pad_id: int, group_t
                     yield out
         if pieces:
             yield emit(pieces, first)
+        tok.clear()
 
     return run
 
@@ -155,7 +156,8 @@ def pack_ids(
 
 def write_packed(docs: DataFrame, path: str, tokenizer_path: str, **options) -> None:
     """Write the windows as a Parquet table whose ``ids`` column is the packed matrix, row by row."""
-    pack_ids(docs, tokenizer_path, **options).write.parquet(path)
+    # rows are a few kilobytes wide, so small row groups lose nothing and hold little memory
+    pack_ids(docs, tokenizer_path, **options).write.option("parquet.block.size", 16 << 20).parquet(path)
 
 
 def read_matrix(packed: DataFrame, kind: str, window: int = 2048):

@@ -19,7 +19,7 @@ _MARKS = b".,;:!?#%*$&"
 
 
 class WordTokenizer:
-    def __init__(self, path: str, end_id: int, cache_words: int = 500_000):
+    def __init__(self, path: str, end_id: int, cache_words: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -55,12 +55,16 @@ class WordTokenizer:
         if self._ends is not None:
             plain = [i for i, t in enumerate(texts) if t.isalpha() and (t.isascii() or max(t) < "\u0250" and t.lower().isalpha())]
             groups = [plain[i : i + 100] for i in range(0, len(plain), 100)]
-            for group, raw in zip(groups, self._batch([" ".join([texts[i] for i in g]) for g in groups])):
-                ends = (4 * np.flatnonzero(self._ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
-                if len(ends) == len(group):
-                    out.update(zip(group, [raw[b:e] for b, e in zip([0, *ends], ends)]))
+            for at in range(0, len(groups), 100):  # the library's results are large, so few are held
+                some = groups[at : at + 100]
+                for group, raw in zip(some, self._batch([" ".join([texts[i] for i in g]) for g in some])):
+                    ends = (4 * np.flatnonzero(self._ends[np.frombuffer(raw, "<u4")]) + 4).tolist()
+                    if len(ends) == len(group):
+                        out.update(zip(group, [raw[b:e] for b, e in zip([0, *ends], ends)]))
         rest = [i for i in range(len(texts)) if i not in out]
-        out.update(zip(rest, self._batch([texts[i] for i in rest])))
+        for at in range(0, len(rest), 5000):
+            some = rest[at : at + 5000]
+            out.update(zip(some, self._batch([texts[i] for i in some])))
         return [out[i] for i in range(len(texts))]
 
     def _encode_parts(self, words: list[bytes]) -> list[bytes]:
@@ -76,6 +80,10 @@ class WordTokenizer:
             return word, b""
         return (core.lower() if self.lower and core.isascii() else core), word[len(core) :]
 
+    def clear(self) -> None:
+        self._cores.clear()
+        self._known.clear()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, ``end_id`` last."""
         split = [text_bytes(t).split() for t in texts]
