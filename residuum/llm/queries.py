@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import exact_dedup, html_extract, near_dedup, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, token_ids
+from residuum.llm import alignment, exact_dedup, html_extract, near_dedup, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, token_ids
 from residuum.llm.common import read_table
 
 
@@ -78,6 +78,12 @@ def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = tokenizer_file("byte_bpe_50k.json"), tokenizer_file("piece_bpe_32k.model")
+    made = alignment.align(read_table(spark, sf_dir, "documents"), *files, digest=True)
+    return made.documents().withColumnRenamed("groups", "groups_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_html_extract": op1_html_extract,
@@ -90,6 +96,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_secret_scan": op8_secret_scan,
         "op9_quality_rules": op9_quality_rules,
         "op10_token_counts": op10_token_counts,
+        "op11_token_alignment": op11_token_alignment,
     }
 
 
