@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from residuum.llm import alignment, divergence, exact_dedup, html_extract, near_dedup, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, token_ids
+from residuum.llm import alignment, divergence, exact_dedup, fingerprints, html_extract, near_dedup, packing, quality, secrets, sentencepiece_codec, suffix_dedup, token_counts, token_ids
 from residuum.llm.common import read_table
 
 
@@ -84,6 +84,10 @@ def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.documents().withColumnRenamed("groups", "groups_sha256")
 
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(read_table(spark, sf_dir, "documents"))
+
+
 def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return divergence.audit(read_table(spark, sf_dir, "documents"))
 
@@ -139,6 +143,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_quality_rules": op9_quality_rules,
         "op10_token_counts": op10_token_counts,
         "op11_token_alignment": op11_token_alignment,
+        "op12_simhash": op12_simhash,
         "op13_source_divergence": op13_source_divergence,
     }
 
