@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from zlib import crc32
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -12,7 +10,8 @@ from pyspark.sql import functions as F
 from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators import summarize
-from residuum.operators.nullmodel import _HELD, Draws, _fresh, may_stop
+from residuum.operators.draws import Draws, Prepared, in_rounds
+from residuum.operators.nullmodel import _HELD, Spots, _fresh, own_distributions, whole_draws
 
 EDGE = ["pdb", "kind", "c1", "c2", "side"]
 
@@ -92,63 +91,117 @@ def listed_mass(text: Column) -> Column:
     return F.aggregate(parts, F.lit(0.0), lambda s, x: s + F.split_part(x, F.lit("_"), F.lit(2)).cast("double"))
 
 
-def interface_test(residues: DataFrame, edges: DataFrame, options: Draws = Draws(batch=10_000)) -> DataFrame:
+def interface_test(residues: DataFrame, edges: DataFrame, options: Draws = Draws(batch=10_000), vectors: DataFrame | None = None) -> DataFrame:
     """Exceedances of the interface masses, all interfaces of a structure on the same draws.
 
     ``residues`` holds ``pdb, chain, resnum, w`` (null where not mutated) and may
     hold ``weight`` for weighted draws; ``edges`` is the result of :func:`with_band`.
     Each replicate moves every chain's mutations, weights whole, to residues of
-    that chain.
+    that chain. With ``vectors`` (``pdb, chain, site, resnum, w``) each mutation, known by its
+    residue ``site``, is drawn from its own distribution over its chain and keeps its weight, no
+    residue twice; a replicate in which one chain finds no room is discarded as a whole and drawn
+    again. Gives ``pdb, kind, c1, c2, statistic, mass, exceed, draws, p, status``.
     """
-    weighted = "weight" in residues.columns
-    schema = "pdb string, kind string, c1 string, c2 string, statistic string, mass double, exceed long, draws long, p double"
-
-    def test(key: tuple, own: pd.DataFrame, sides: pd.DataFrame) -> pd.DataFrame:
-        names = [c.split()[0] for c in schema.split(", ")]
-        if not len(own) or not len(sides):
-            return pd.DataFrame(columns=names)
-        own = own.sort_values(["chain", "resnum"]).reset_index(drop=True)
-        place = {x: n for n, x in enumerate(zip(own["chain"], own["resnum"]))}
-        rows, labels = [], []
-        for label, part in sides.sort_values(["kind", "c1", "c2"]).groupby(["kind", "c1", "c2"]):
-            masks = np.zeros((3, len(own)))
-            for side, chain, resnum in zip(part["side"], part["chain"], part["resnum"]):
-                if (chain, resnum) in place:
-                    masks[[int(side), 2], place[chain, resnum]] = 1
-            wanted = (("side1", 0), ("side2", 1), ("total", 2)) if label[0] == "P" else (("total", 2),)
-            for name, k in wanted:
-                rows.append(masks[k])
-                labels.append((*label, name))
-        masks, w = np.array(rows), own["w"].fillna(0).to_numpy(float)
+    weighted, by_site = "weight" in residues.columns, vectors is not None
+
+    def prepare(name: object, own: dict[str, pd.DataFrame]) -> Prepared:
+        points = own["residues"].sort_values(["chain", "resnum"]).reset_index(drop=True)
+        masks, labels = _masks(points, own["edges"])
+        w = points["w"].fillna(0).to_numpy(float)
         observed = masks @ w
-        rng = np.random.default_rng([options.seed, crc32(str(key[0]).encode())])
-        chains = [np.flatnonzero((own["chain"] == c).to_numpy()) for c in own["chain"].unique()]
-        exceed, done = np.zeros(len(masks), np.int64), 0
-        while done < options.max_draws:
-            n = min(options.batch, options.max_draws - done)
-            some = max(1, _HELD // len(own))
+        hit = points["w"].notna().to_numpy()
+        chains = [np.flatnonzero((points["chain"] == c).to_numpy()) for c in points["chain"].unique()]
+        chains = [members for members in chains if hit[members].any()]
+        if by_site:
+            draw = _by_spectra(points, chains, hit, own["vectors"])
+        else:
+            draw = _by_weight(chains, hit, points["weight"].to_numpy(float) if weighted else None)
+        masses = np.concatenate([w[members[hit[members]]] for members in chains]) if chains else np.empty(0)
+        bounds = np.cumsum([0, *(hit[members].sum() for members in chains)])
+
+        def add(rng: np.random.Generator, n: int) -> np.ndarray | None:
+            exceed, some = np.zeros(len(labels), np.int64), max(1, _HELD // max(1, len(points)))
             for m in (min(some, n - at) for at in range(0, n, some)):  # a bounded table of draws at a time
-                drawn = np.zeros((m, len(own)))
-                for members in chains:
-                    masses = w[members][own["w"].notna().to_numpy()[members]]
-                    if not len(masses):
-                        continue
-                    keys = rng.random((m, len(members)))
-                    if weighted:
-                        with np.errstate(divide="ignore"):
-                            keys = -np.log(keys) / own["weight"].to_numpy(float)[members]
-                    chosen = members[np.argsort(keys, axis=1)[:, : len(masses)]]
-                    # heavy residues come first among the chosen, so the masses must not keep their order
-                    laid = rng.permuted(np.broadcast_to(masses, chosen.shape), axis=1)
-                    np.put_along_axis(drawn, chosen, laid, axis=1)
+                chosen = whole_draws(draw, rng, m) if draw else None
+                if chosen is None:
+                    return None
+                drawn = np.zeros((m, len(points)))
+                for at, b, e in zip(chosen, bounds, bounds[1:]):
+                    laid = np.broadcast_to(masses[b:e], at.shape)
+                    # heavy residues come first among the chosen, so by weight the masses must not keep their order
+                    np.put_along_axis(drawn, at, laid if by_site else rng.permuted(laid, axis=1), axis=1)
                 exceed += (drawn @ masks.T >= observed - 1e-12).sum(0)
-            done += n
-            if may_stop(exceed, done, options.threshold):
-                break
-        p = np.maximum(1, exceed) / done
-        return pd.DataFrame([(key[0], *lab, m, e, done, q) for lab, m, e, q in zip(labels, observed, exceed, p)], columns=names)
-
-    return _fresh(residues).groupBy("pdb").cogroup(_fresh(edges).groupBy("pdb")).applyInPandas(test, schema)
+            return exceed
+
+        return labels, observed, add
+
+    needed = ["pdb", "chain", "resnum", "w", *(["weight"] if weighted else [])]
+    tables = {"residues": residues.select(*needed), "edges": _fresh(edges.select(*EDGE, "chain", "resnum"))}
+    if vectors is not None:
+        tables["vectors"] = _fresh(vectors.select("pdb", "chain", "site", "resnum", "w"))
+    both = [tables[t].select(F.col("pdb").alias("pdb")).distinct() for t in ("residues", "edges")]
+    common = _fresh(both[0].join(both[1], "pdb", "left_semi"))
+    tables = {t: df.join(_fresh(common), "pdb", "left_semi") for t, df in tables.items()}
+    found = in_rounds(tables, "pdb", "kind string, c1 string, c2 string, statistic string", prepare, options)
+    p = C.p_floor(F.col("exceed"), F.col("draws"))
+    return found.select("pdb", "kind", "c1", "c2", "statistic", F.col("score").alias("mass"), "exceed", "draws", F.when(F.col("draws") > 0, p).alias("p"), "status")
+
+
+def _masks(points: pd.DataFrame, sides: pd.DataFrame) -> tuple[np.ndarray, list[tuple]]:
+    """The residues of each statistic, and its interface and name."""
+    place = {x: n for n, x in enumerate(zip(points["chain"], points["resnum"]))}
+    rows, labels = [], []
+    for label, part in sides.sort_values(["kind", "c1", "c2"]).groupby(["kind", "c1", "c2"]):
+        masks = np.zeros((3, len(points)))
+        for side, chain, resnum in zip(part["side"], part["chain"], part["resnum"]):
+            if (chain, resnum) in place:
+                masks[[int(side), 2], place[chain, resnum]] = 1
+        wanted = (("side1", 0), ("side2", 1), ("total", 2)) if label[0] == "P" else (("total", 2),)
+        for name, k in wanted:
+            rows.append(masks[k])
+            labels.append((*label, name))
+    return np.array(rows).reshape(len(rows), len(points)), labels
+
+
+def _by_weight(chains: list[np.ndarray], hit: np.ndarray, weight: np.ndarray | None):
+    """Draws of each chain's number of residues, uniform or by weight; residues without weight are never drawn."""
+    allowed = [m if weight is None else m[weight[m] > 0] for m in chains]
+    sizes = [int(hit[m].sum()) for m in chains]
+    if any(len(a) < k for a, k in zip(allowed, sizes)):
+        return None
+
+    def draw(rng: np.random.Generator, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+        out = []
+        for members, k in zip(allowed, sizes):
+            keys = rng.random((n, len(members)))
+            if weight is not None:
+                keys = -np.log(keys) / weight[members]
+            out.append(members[np.argsort(keys, axis=1)[:, :k]])
+        return out, np.ones(n, bool)
+
+    return draw
+
+
+def _by_spectra(points: pd.DataFrame, chains: list[np.ndarray], hit: np.ndarray, vectors: pd.DataFrame):
+    """Joint draws of all chains, each mutation from its own distribution; whole only if every chain's is."""
+    spots = []
+    for members in chains:
+        numbers = points["resnum"].to_numpy()[members]
+        own = vectors[vectors["chain"] == points["chain"].iat[members[0]]].rename(columns={"resnum": "i"})
+        p = own_distributions(own, pd.Series(numbers), numbers[hit[members]])
+        if (p.sum(1) <= 0).any():
+            return None
+        spots.append((members, Spots(p)))
+
+    def draw(rng: np.random.Generator, n: int) -> tuple[list[np.ndarray], np.ndarray]:
+        out, whole = [], np.ones(n, bool)
+        for members, spot in spots:
+            at, good = spot.draw(rng, n)
+            out.append(members[at])
+            whole &= good
+        return out, whole
+
+    return draw
 
 
 def pair_candidates(chains: DataFrame, contacts: DataFrame) -> DataFrame:

@@ -2,17 +2,14 @@
 
 Two forms. The SQL form orders residues by a hash of group, replicate and
 residue: any engine draws the same subsets, at the price of one row per residue
-and replicate. The Arrow form draws batches in NumPy with an adaptive stop; a
-structure with many draws can be split over blocks whose counts are summed.
+and replicate. The Arrow form draws blocks in NumPy with an adaptive stop; the
+blocks of a structure are dealt over tasks (:mod:`residuum.operators.draws`).
 """
 
 from __future__ import annotations
 
-import time
 from collections.abc import Callable
-from dataclasses import dataclass
 from functools import partial
-from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -21,6 +18,7 @@ from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
 from residuum.functions import constants as K
+from residuum.operators.draws import Draws, Prepared, in_rounds, settled
 
 
 def replicates(spark: SparkSession, n: int) -> DataFrame:
@@ -143,21 +141,9 @@ def mutation_probabilities(hits: DataFrame, probabilities: DataFrame, coverage:
 # Arrow form
 
 
-@dataclass(frozen=True)
-class Draws:
-    """How long to draw."""
-
-    max_draws: int = 10_000
-    batch: int = 1000
-    threshold: float = K.STOP_THRESHOLD
-    scales: tuple[float, ...] = K.SCALES
-    seed: int = 0
-    max_seconds: float | None = None  # of one structure
-
-
 def may_stop(exceed: np.ndarray, draws: int, threshold: float) -> bool:
     """The p-values are known well enough on every scale."""
-    return bool((((draws - exceed + 1) / ((draws + 3) * (exceed + 1))) < threshold).all())
+    return bool((settled(exceed, draws) < threshold).all())
 
 
 #: Structures of up to so many residues keep the kernels of all their pairs, and so many numbers are held at once in larger ones.
@@ -211,28 +197,65 @@ def _sampler(weights: np.ndarray | None, allowed: np.ndarray, k: int) -> Callabl
     return sample
 
 
-def _collision_free(rng: np.random.Generator, p: np.ndarray, n: int, tries: int = 1000) -> np.ndarray | None:
-    """A residue for each mutation from its own distribution, none twice; redraws on a clash."""
-    k, size = p.shape
-    steps = np.cumsum(p, axis=1)
-    out = np.empty((n, k), np.int64)
-    for r in range(n):
-        for _ in range(50):  # N14: start over when all redraws clash
-            taken: set[int] = set()
-            for m in rng.permutation(k):
-                for u in rng.random(tries):
-                    j = min(int(np.searchsorted(steps[m], u * steps[m, -1], "right")), size - 1)
-                    if j not in taken:
-                        taken.add(j)
-                        out[r, m] = j
-                        break
-                else:
+class Spots:
+    """A residue for each mutation from its own distribution, the row of ``p``."""
+
+    def __init__(self, p: np.ndarray):
+        self.k, self.size = p.shape
+        steps = np.cumsum(p, axis=1)
+        self._steps = (steps / steps[:, -1:] + np.arange(self.k)[:, None]).ravel()
+
+    def _at(self, rng: np.random.Generator, m: np.ndarray) -> np.ndarray:
+        found = np.searchsorted(self._steps, m + rng.random(len(m)), "right") - m * self.size
+        return np.clip(found, 0, self.size - 1)
+
+    def draw(self, rng: np.random.Generator, n: int, tries: int = 1000) -> tuple[np.ndarray, np.ndarray]:
+        """``n`` draws, and which of them are whole: mutations come in random order, and one that hits
+        a taken residue draws again, up to ``tries`` times.
+        """
+        order = rng.permuted(np.broadcast_to(np.arange(self.k), (n, self.k)), axis=1)
+        out, whole = np.zeros((n, self.k), np.int64), np.ones(n, bool)
+        taken = np.zeros((n, self.size), bool)
+        for m in order.T:
+            todo = np.flatnonzero(whole)
+            for _ in range(tries):
+                at = self._at(rng, m[todo])
+                free = ~taken[todo, at]
+                done = todo[free]
+                out[done, m[done]] = at[free]
+                taken[done, at[free]] = True
+                todo = todo[~free]
+                if not len(todo):
                     break
-            if len(taken) == k:
-                break
-        else:
+            whole[todo] = False
+        return out, whole
+
+
+def whole_draws(some: Callable[[np.random.Generator, int], tuple[list[np.ndarray], np.ndarray]], rng: np.random.Generator, n: int, starts: int = 50) -> list[np.ndarray] | None:
+    """``n`` draws that are whole; others start over, None after ``starts`` in vain."""
+    out: list[np.ndarray] | None = None
+    todo = np.arange(n)
+    for _ in range(starts):
+        tables, whole = some(rng, len(todo))
+        if out is None:
+            out = [np.empty((n, t.shape[1]), t.dtype) for t in tables]
+        for o, t in zip(out, tables):
+            o[todo[whole]] = t[whole]
+        todo = todo[~whole]
+        if not len(todo):
+            return out
+    return None
+
+
+def _collision_free(rng: np.random.Generator, p: np.ndarray, n: int) -> np.ndarray | None:
+    """Residues of ``n`` draws without collisions, a bounded table at a time."""
+    spots, parts, some = Spots(p), [], max(1, _HELD // p.shape[1])
+    for at in range(0, n, some):
+        drawn = whole_draws(lambda r, m: ((x := spots.draw(r, m))[:1], x[1]), rng, min(some, n - at))
+        if drawn is None:
             return None
-    return out
+        parts.append(drawn[0])
+    return np.concatenate(parts) if parts else np.empty((0, spots.k), np.int64)
 
 
 def structure_test(points: DataFrame, group: str = "structure", names: tuple[str, ...] | None = None, options: Draws = Draws(), vectors: DataFrame | None = None) -> DataFrame:
@@ -242,76 +265,64 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
     ``weight`` for weighted draws, ``resname`` for restricted ones. With
     ``vectors`` (``group, site, i, w``) each mutation is drawn from its own
     distribution and keeps its weight; else weights are permuted. Status 1: the
-    budget of draws or seconds ended before the stop rule; 2: no draw was possible. The seed follows
-    the structure's name, so results do not depend on partitions.
+    budget of draws or seconds ended before the stop rule; 2: no draw was possible. Seeds follow
+    the structure's name and the block, so results do not depend on partitions or rounds.
 
-    One structure is one task, which holds its residues, but the pairs of all of
-    them only in a chain of common size; in larger ones pairs are made in tiles.
+    A task holds the residues of one structure and draws some of its blocks. The pairs of all
+    residues are held only for a chain of common size; in larger ones pairs are made in tiles.
     """
-    has_weight = "weight" in points.columns
+    has_weight, by_site = "weight" in points.columns, vectors is not None
 
-    def test(key: tuple, pdf: pd.DataFrame, own: pd.DataFrame | None = None) -> pd.DataFrame:
-        pdf = pdf.sort_values("i").reset_index(drop=True)
-        place = {i: n for n, i in enumerate(pdf["i"])}
+    def prepare(name: object, own: dict[str, pd.DataFrame]) -> Prepared:
+        pdf = own["points"].sort_values("i").reset_index(drop=True)
+        labels = [(s,) for s in range(len(options.scales))]
+        impossible = lambda observed: (labels, observed, lambda rng, n: None)
         mutated = np.flatnonzero(pdf["v"].notna())
+        k = len(mutated)
+        if not k:
+            return impossible(np.zeros(len(labels)))
         values = pdf["v"].to_numpy(float)[mutated]
         xyz = pdf[["x", "y", "z"]].to_numpy(float)
         if len(pdf) <= _DENSE:
             score = partial(_score, _kernels(xyz, options.scales))
         else:
             score = partial(_score_apart, xyz, options.scales)
-        k = len(mutated)
-        out = lambda observed, e, n, status: pd.DataFrame(
-            {group: key[0], "scale_idx": range(len(options.scales)), "score": observed, "exceed": e, "draws": n, "status": status}
-        )
-        zero = np.zeros(len(options.scales))
-        if not k:
-            return out(zero, 0, 0, 2)
         observed = score(mutated[None], values[None])[:, 0]
         allowed = np.flatnonzero(pdf["resname"].isin(names)) if names else np.arange(len(pdf))
         weights = pdf["weight"].to_numpy(float) if has_weight else None
         if weights is not None:
             allowed = allowed[weights[allowed] > 0]
-        rng = np.random.default_rng([options.seed, crc32(str(key[0]).encode())])
-        p = None
-        if own is not None:
-            p = np.zeros((k, len(pdf)))
-            row = {int(pdf["i"][m]): n for n, m in enumerate(mutated)}
-            for site, i, w in zip(own["site"], own["i"], own["w"]):
-                if site in row and i in place:
-                    p[row[site], place[i]] = w
+        reached = lambda index, mass: (score(index, mass) >= observed[:, None] - 1e-12).sum(1)
+        if by_site:
+            p = own_distributions(own["vectors"], pdf["i"], pdf["i"].to_numpy()[mutated])
             if (p.sum(1) <= 0).any():
-                return out(observed, 0, 0, 2)
-        elif len(allowed) < k:
-            return out(observed, 0, 0, 2)
-        draw_ = _sampler(weights, allowed, k)
-        exceed, done, status = np.zeros(len(options.scales), np.int64), 0, 1
-        late = time.monotonic() + (options.max_seconds if options.max_seconds is not None else float("inf"))
-        while done < options.max_draws and (not done or time.monotonic() < late):
-            n = min(options.batch, options.max_draws - done)
-            if p is not None:
+                return impossible(observed)
+
+            def by_spectrum(rng: np.random.Generator, n: int) -> np.ndarray | None:
                 index = _collision_free(rng, p, n)
-                if index is None:
-                    return out(observed, exceed, done, 2)
-                mass = np.broadcast_to(values, index.shape)
-            else:
-                index, mass = draw_(rng, n), rng.permuted(np.broadcast_to(values, (n, k)), axis=1)
-            exceed += (score(index, mass) >= observed[:, None] - 1e-12).sum(1)
-            done += n
-            if may_stop(exceed, done, options.threshold):
-                status = 0
-                break
-        return out(observed, exceed, done, status)
-
-    kind = dict(points.dtypes)[group]
-    schema = f"{group} {kind}, scale_idx int, score double, exceed long, draws long, status int"
-    if vectors is None:
-        return points.groupBy(group).applyInPandas(lambda key, pdf: test(key, pdf), schema)
-
-    def both(key: tuple, pdf: pd.DataFrame, own: pd.DataFrame) -> pd.DataFrame:
-        return test(key, pdf, own) if len(pdf) else pd.DataFrame({c.split()[0]: [] for c in schema.split(", ")})
-
-    return _fresh(points).groupBy(group).cogroup(_fresh(vectors).groupBy(group)).applyInPandas(both, schema)
+                return None if index is None else reached(index, np.broadcast_to(values, index.shape))
+
+            return labels, observed, by_spectrum
+        if len(allowed) < k:
+            return impossible(observed)
+        draw_ = _sampler(weights, allowed, k)
+        return labels, observed, lambda rng, n: reached(draw_(rng, n), rng.permuted(np.broadcast_to(values, (n, k)), axis=1))
+
+    needed = [group, "i", "x", "y", "z", "v", *(["weight"] if has_weight else []), *(["resname"] if names else [])]
+    tables = {"points": points.select(*needed)}
+    if vectors is not None:
+        tables["vectors"] = _fresh(vectors.select(group, "site", "i", "w")).join(_fresh(points.select(group)).distinct(), group, "left_semi")
+    return in_rounds(tables, group, "scale_idx int", prepare, options)
+
+
+def own_distributions(vectors: pd.DataFrame, residues: pd.Series, mutated: np.ndarray) -> np.ndarray:
+    """The weights ``site, i, w`` of ``vectors`` as a table of mutated sites by residues."""
+    p = np.zeros((len(mutated), len(residues)))
+    row, place = ({int(x): n for n, x in enumerate(xs)} for xs in (mutated, residues))
+    for site, i, w in zip(vectors["site"], vectors["i"], vectors["w"]):
+        if site in row and i in place:
+            p[row[site], place[i]] = w
+    return p
 
 
 def _fresh(df: DataFrame) -> DataFrame:

@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -101,11 +105,59 @@ def residue_pairs(points: DataFrame, group: str, index: str, coordinates: list[s
     )
 
 
+def pair_sums(points: DataFrame, group: str, index: str, coordinates: list[str], weight: str | None, scales: tuple[float, ...] = K.SCALES, block: int = 512) -> DataFrame:
+    """``group, n_pairs, s0, s1, ..``: sums over the pairs ``i > j`` of a group, of weights and kernels by scale.
+
+    The points of a group are dealt into blocks of about ``block``, and two blocks are a tile, so a
+    group of any size is spread over tasks, no pair is a row, and a point is copied once for each
+    block of its group.
+    """
+    number = points.groupBy(group).agg(F.ceil(F.count("*") / block).cast("int").alias("_blocks"))
+    own = F.struct(F.col(index).cast("long").alias("i"), *(F.col(c).cast("double").alias(f"c{k}") for k, c in enumerate(coordinates)), (F.col(weight).cast("double") if weight else F.lit(1.0)).alias("w"))
+    dealt = points.join(number, group).withColumn("_block", F.pmod(F.xxhash64(index), F.col("_blocks")).cast("int"))
+    packed = dealt.groupBy(group, "_blocks", "_block").agg(F.collect_list(own).alias("a"))
+    alone = packed.filter("_blocks = 1").select(group, "a", F.lit(None).cast(packed.schema["a"].dataType).alias("b"))
+    several = packed.filter("_blocks > 1")
+    left = several.select(group, "_block", "a", F.explode(F.sequence(F.lit(0), F.col("_block"))).alias("_other"))
+    right = several.select(F.col(group).alias("_g"), F.col("_block").alias("_o"), F.col("a").alias("b"))
+    tiles = left.join(right, (F.col(group) == F.col("_g")) & (F.col("_other") == F.col("_o")))
+    tiles = tiles.select(group, "a", F.when(F.col("_block") != F.col("_other"), F.col("b")).alias("b"))
+    sums = [f"s{k}" for k in range(len(scales))]
+    schema = f"`{group}` {dict(points.dtypes)[group]}, n_pairs long, " + ", ".join(f"{s} double" for s in sums)
+    parts = alone.unionByName(tiles).mapInArrow(_tiles(len(coordinates), scales), schema)
+    return parts.groupBy(group).agg(*(F.sum(c).alias(c) for c in ("n_pairs", *sums))).filter("n_pairs > 0")
+
+
+def _tiles(dimensions: int, scales: tuple[float, ...]):
+    """Number of pairs and sums of each tile; a tile without a second side holds the pairs of its own points."""
+
+    def sides(column: pa.ListArray) -> list[tuple[np.ndarray, np.ndarray, np.ndarray] | None]:
+        flat, ends = column.values, column.offsets.to_numpy()
+        i, w = (flat.field(c).to_numpy() for c in ("i", "w"))
+        at = np.stack([flat.field(f"c{k}").to_numpy() for k in range(dimensions)])
+        given = column.is_valid().to_numpy(zero_copy_only=False)
+        return [(i[b:e], at[:, b:e], w[b:e]) if g else None for b, e, g in zip(ends, ends[1:], given)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = []
+            for a, b in zip(sides(batch["a"]), sides(batch["b"])):
+                i, at, w = a
+                j, other, v = b or a
+                used = i[:, None] > j[None] if b is None else i[:, None] != j[None]
+                d2 = ((at[:, :, None] - other[:, None, :]) ** 2).sum(0)
+                both = w[:, None] * v[None] * used
+                rows.append((int(used.sum()), *((both * np.exp(-d2 / (2 * s * s))).sum() for s in scales)))
+            columns = list(zip(*rows)) if rows else [[]] * (len(scales) + 1)
+            kinds = [pa.int64(), *[pa.float64()] * len(scales)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(c, k) for c, k in zip(columns, kinds))], [batch.schema.names[0], "n_pairs", *(f"s{k}" for k in range(len(scales)))])
+
+    return run
+
+
 def proximity(points: DataFrame, group: str, index: str, coordinates: list[str], weight: str, scales=K.SCALES) -> DataFrame:
-    """The score of each group and scale; one pass over pairs for all scales."""
-    pairs = residue_pairs(points, group, index, coordinates, [weight])
-    both = F.col(f"{weight}_a") * F.col(f"{weight}_b")
-    wide = pairs.groupBy(group).agg(*(F.sum(both * C.kernel(F.col("d2"), s)).alias(f"s{k}") for k, s in enumerate(scales)))
+    """The score of each group and scale; one pass over tiles of pairs for all scales."""
+    wide = pair_sums(points, group, index, coordinates, weight, tuple(scales))
     long = F.explode(F.array(*(F.struct(F.lit(k).alias("scale_idx"), F.lit(float(s)).alias("scale"), F.col(f"s{k}").alias("score")) for k, s in enumerate(scales))))
     return wide.select(group, long.alias("r")).select(group, "r.*")
 

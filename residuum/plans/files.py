@@ -2,22 +2,10 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-def new_path(spark: SparkSession, name: str) -> str:
-    """A path that does not exist yet, under ``spark.checkpoint.dir``; local mode may do without that setting."""
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if not shared:
-        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
-        shared = "file://" + os.path.join(tempfile.gettempdir(), "residuum-files")
-    return f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from residuum.sources.staging import new_path
 
 
 def lines(spark: SparkSession, rows: DataFrame, name: str, *columns) -> str:

@@ -61,8 +61,8 @@ def proximity_score(spark: SparkSession, d: str) -> DataFrame:
         "l_partkey", (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("i"), F.col("l_quantity").alias("x"),
         (F.col("l_extendedprice") / 1000).alias("y"), (F.col("l_discount") * 100).alias("z"),
     )
-    pairs = structure.residue_pairs(p, "l_partkey", "i", ["x", "y", "z"])
-    return pairs.groupBy("l_partkey").agg(F.count("*").alias("n_pairs"), F.round(F.sum(C.kernel(F.col("d2"), 6.0)), 6).alias("score"))
+    found = structure.pair_sums(p, "l_partkey", "i", ["x", "y", "z"], None, (6.0,))
+    return found.select("l_partkey", "n_pairs", F.round("s0", 6).alias("score"))
 
 
 def _atoms(spark: SparkSession, d: str) -> DataFrame:
