@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
 from residuum.functions import constants as K
-from residuum.operators import summarize
+from residuum.operators import greedy, summarize
 from residuum.operators.draws import Draws, Prepared, in_rounds
 from residuum.operators.nullmodel import _HELD, Spots, _fresh, own_distributions, whole_draws
+from residuum.sources.staging import Stage
 
 EDGE = ["pdb", "kind", "c1", "c2", "side"]
 
@@ -276,29 +277,45 @@ def partner_rows(rows: DataFrame) -> DataFrame:
 def merge_nested(rows: DataFrame, share: float = 0.8) -> DataFrame:
     """A smaller interface of a protein joins the first larger one that holds ``share`` of it.
 
-    ``rows`` holds ``partner_kind, uniprot, key, pdb, ligand, residues, p``. The kept row
-    has its own p and lists the ``pdbs`` and ``ligands`` of all that joined. Rows
-    without residues go. The steps depend on order (size, then key); one protein's
-    interfaces, a bounded number, are one group.
+    ``rows`` holds ``partner_kind, uniprot, key, pdb, ligand, residues, p``; a key is one
+    interface of its protein. Interfaces are taken from the largest on, equal ones by key; the
+    kept row has its own p and lists the ``pdbs`` and ``ligands`` of all that joined. Rows
+    without residues go.
+
+    Equal interfaces are one. A small one shares at least ``share`` of its residues with its
+    home, so at least one of its rarest few; only those are looked up in the lists of a protein's
+    interfaces by residue. Which are homes is settled in rounds over the links found.
     """
-    columns = [*rows.columns, "pdbs", "ligands"]
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", pdbs array<string>, ligands array<string>"
-
-    def merge(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_n=pdf["residues"].map(len)).sort_values(["_n", "key"], ascending=[False, True])
-        kept: list[tuple[int, set, set, set]] = []
-        for n, (residues, pdb, ligand) in enumerate(zip(pdf["residues"], pdf["pdb"], pdf["ligand"])):
-            own = set(residues)
-            home = next((k for k in kept if len(own & k[1]) >= share * len(own)), None)
-            if home is None:
-                kept.append((n, own, {pdb}, {ligand}))
-            else:
-                home[2].add(pdb)
-                home[3].add(ligand)
-        out = pdf.iloc[[k[0] for k in kept]].drop(columns="_n")
-        return out.assign(pdbs=[sorted(k[2]) for k in kept], ligands=[sorted(k[3]) for k in kept])[columns]
-
-    return rows.filter(F.size("residues") > 0).groupBy("partner_kind", "uniprot").applyInPandas(merge, schema)
+    stage = Stage(rows.sparkSession, "nested")
+    own = F.array_sort(F.array_distinct("residues"))
+    sized = rows.filter(F.size("residues") > 0).withColumn("_set", own)
+    of = ["partner_kind", "uniprot"]
+    sets = stage.write(sized.groupBy(*of, "_set").agg(F.min("key").alias("first")).withColumn("n", F.size("_set")))
+    name = lambda key: F.struct(*of, F.col(key).alias("first"))
+
+    flat = sets.select(*of, "first", "n", F.explode("_set").alias("residue"))
+    common = flat.groupBy(*of, "residue").agg(F.count("*").alias("f"))
+    by_rarity = F.array_sort(F.collect_list(F.struct("f", "residue")))
+    prefix = F.col("n") - F.ceil(F.col("n") * share - 1e-9).cast("int") + 1
+    ordered = flat.join(common, [*of, "residue"]).groupBy(*of, "first", "n").agg(by_rarity.alias("r"))
+    rare = ordered.select(*of, F.col("first").alias("small"), F.col("n").alias("ns"), F.explode(F.slice("r", F.lit(1), F.least(F.col("n"), prefix))).alias("x"))
+    rare = rare.select(*of, "small", "ns", F.col("x.residue").alias("residue"))
+    pairs = rare.join(flat, [*of, "residue"]).filter((F.col("n") > F.col("ns")) | (F.col("n") == F.col("ns")) & (F.col("first") < F.col("small")))
+    pairs = pairs.select(*of, "small", "first", "n").distinct()
+    held = pairs.join(sets.select(*of, F.col("first").alias("small"), F.col("_set").alias("inner")), [*of, "small"])
+    held = held.join(sets.select(*of, "first", F.col("_set").alias("outer")), [*of, "first"])
+    held = held.filter(F.size(F.array_intersect("inner", "outer")) >= share * F.size("inner"))
+    links = stage.write(held.select(name("small").alias("item"), name("first").alias("earlier"), "n"))
+
+    gone = greedy.dropped(links, stage)
+    to_kept = links.join(gone.withColumnRenamed("item", "earlier"), "earlier", "left_anti")
+    home = to_kept.groupBy("item").agg(F.min_by("earlier", F.struct(-F.col("n"), F.col("earlier.first"))).alias("home"))
+    home = home.select("item.*", F.col("home.first").alias("home"))
+    members = sized.join(sets.drop("n"), [*of, "_set"]).join(home, [*of, "first"], "left").withColumn("home", F.coalesce("home", "first"))
+    listed = lambda c: F.array_sort(F.collect_set(c))
+    joined = members.groupBy(*of, "home").agg(listed("pdb").alias("pdbs"), listed("ligand").alias("ligands"))
+    kept = members.filter("key = first AND home = first").dropDuplicates([*of, "key"]).drop("_set", "first")
+    return kept.join(joined, [*of, "home"]).select(*rows.columns, "pdbs", "ligands")
 
 
 def ligand_names(rows: DataFrame, names: DataFrame) -> DataFrame:

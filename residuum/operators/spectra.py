@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators.mapping import context, snps
+from residuum.operators.ranges import in_ranges
 
 
 def coding(muts: DataFrame, column: str = "Variant_Classification") -> DataFrame:
@@ -22,24 +23,6 @@ def sample_counts(muts: DataFrame, group: str = "ttype", sample: str = "sample")
     return muts.groupBy(group, sample).agg(F.count("*").alias("mut_count"))
 
 
-def _bucket(rows: DataFrame, order: list[str], parts: int = 256, step: int = 16) -> DataFrame:
-    """``rows`` with ``_b``, numbers of ranges in the order of ``order``.
-
-    The separators are a row of each of ``parts`` hash classes, the one with the
-    least hash, so any large range of equal counts is split by the later columns.
-    They depend on the rows alone, not on partitions.
-    """
-    key = F.struct(*order)
-    least = rows.groupBy(F.pmod(F.xxhash64(*order), F.lit(parts)).alias("_class")).agg(
-        F.min(F.struct(F.xxhash64(F.lit("cut"), *order).alias("h"), key.alias("key"))).alias("low")
-    )
-    cuts = least.agg(F.array_sort(F.collect_list("low.key")).alias("_cuts"))  # at most ``parts``
-    upto = lambda found: F.size(F.filter(found, lambda c: c <= key))
-    placed = rows.crossJoin(F.broadcast(cuts))
-    placed = placed.withColumn("_o", F.greatest(upto(F.filter("_cuts", lambda _, i: i % step == 0)) - 1, F.lit(0)) * step)
-    return placed.withColumn("_b", F.col("_o") + upto(F.slice("_cuts", F.col("_o") + 1, F.lit(step)))).drop("_cuts", "_o")
-
-
 def frequency_weights(counts: DataFrame, group: str | None = "ttype", sample: str = "sample", clamp: bool = True) -> DataFrame:
     """Rank score and z-log weight of each sample within its group.
 
@@ -49,8 +32,8 @@ def frequency_weights(counts: DataFrame, group: str | None = "ttype", sample: st
     """
     keys = [group] if group else []
     logs = F.log10(F.col("mut_count").cast("double"))
-    moments = counts.groupBy(*keys).agg(F.avg(logs).alias("_mean"), F.stddev_pop(logs).alias("_sd"), F.count("*").alias("_n"))
-    placed = _bucket(counts, [*keys, "mut_count", sample])
+    placed = in_ranges(counts, [*keys, "mut_count", sample])
+    moments = placed.groupBy(*keys).agg(F.avg(logs).alias("_mean"), F.stddev_pop(logs).alias("_sd"), F.count("*").alias("_n"))
     below = Window.partitionBy(*keys).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = placed.groupBy(*keys, "_b").agg(F.count("*").alias("_m"))
     sums = sums.select(*keys, "_b", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_base"))

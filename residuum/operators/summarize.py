@@ -2,27 +2,34 @@
 
 from __future__ import annotations
 
+import math
+
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from residuum.functions import columns as C
 from residuum.functions import constants as K
+from residuum.operators import greedy
+from residuum.operators.ranges import in_ranges
+from residuum.sources.staging import Stage
 
 
-def bh_fdr(rows: DataFrame, p: str, key: str, name: str = "q", buckets: int = 1024) -> DataFrame:
+def bh_fdr(rows: DataFrame, p: str, key: str, name: str = "q") -> DataFrame:
     """Benjamini-Hochberg q of every row; ties of p are ordered by ``key``.
 
-    Ranks need a total order. Rows are dealt into buckets of p, ordered within
-    each, and the few bucket sums and minima are accumulated apart, so no task
-    holds all rows.
+    Ranks need a total order. Rows are dealt into ranges of p and key, so that equal p-values
+    are split, too; they are ordered inside a range, and the sums and minima of the ranges are
+    accumulated apart, so no task holds all rows.
     """
-    placed = rows.withColumn("_b", F.least(F.floor(F.col(p) * buckets), F.lit(buckets - 1)))
+    placed = in_ranges(rows, [p, key])
     inside = Window.partitionBy("_b").orderBy(p, key)
     placed = placed.withColumn("_i", F.row_number().over(inside))
     sums = placed.groupBy("_b").agg(F.count("*").alias("_m"))
     below = Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     sums = sums.select("_b", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_base"), F.sum("_m").over(Window.partitionBy()).alias("_n"))
-    placed = placed.join(F.broadcast(sums), "_b")  # at most ``buckets`` rows
+    placed = placed.join(F.broadcast(sums), "_b")  # a row for each range
     placed = placed.withColumn("_q", F.col(p) * F.col("_n") / (F.col("_base") + F.col("_i")))
     low = placed.groupBy("_b").agg(F.min("_q").alias("_low"))
     later = Window.orderBy(F.desc("_b")).rowsBetween(Window.unboundedPreceding, -1)
@@ -61,53 +68,103 @@ def best(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("_r = 1").drop("_r")
 
 
-def representatives(rows: DataFrame, group: str = "uniprot", similar: float = 0.9, share: float = 0.5, apart: float = 0.1) -> DataFrame:
+def near_ranges(rows: DataFrame, group: str, key: str, similar: float) -> DataFrame:
+    """``a, b``: links of ranges ``start, end`` of a group whose Jaccard index is above ``similar``, enough to connect all that have one.
+
+    Equal ranges are linked to the first of them only. Of two near ranges the shorter has at
+    least ``similar`` of the longer's length, and their starts differ by little, so each is
+    looked up in the cells of two classes of lengths.
+    """
+    name = F.struct(F.col(group).alias("group"), F.col(key).alias("key"))
+    length = F.col("end") - F.col("start")
+    long = rows.filter(length > 0).select(name.alias("name"), F.col(group).alias("group"), "start", "end")
+    same = long.groupBy("group", "start", "end").agg(F.min("name").alias("first"))
+    copies = long.join(same, ["group", "start", "end"]).filter("name <> first").select(F.col("first").alias("a"), F.col("name").alias("b"))
+    step = -math.log(similar)
+    level = F.floor(F.log(F.col("end") - F.col("start")) / step).cast("int")
+    reach = lambda c: F.ceil((1 / similar - 1) * F.exp((c + 1) * step)) + 1  # noqa: E731  how far starts of near ranges of the level lie apart
+    place = lambda c: F.floor(F.col("start") / reach(c))
+    cells = same.withColumn("level", level).withColumn("cell", place(F.col("level")))
+    probes = same.withColumn("own", level).withColumn("level", F.explode(F.array(F.col("own"), F.col("own") + 1)))
+    probes = probes.withColumn("cell", F.explode(F.sequence(place(F.col("level")) - 1, place(F.col("level")) + 1)))
+    a, b = probes.alias("a"), cells.alias("b")
+    meet = (F.col("a.group") == F.col("b.group")) & (F.col("a.level") == F.col("b.level")) & (F.col("a.cell") == F.col("b.cell"))
+    span = [F.col(x).cast("double") for x in ("a.start", "a.end", "b.start", "b.end")]
+    near = a.join(b, meet & (F.col("a.first") != F.col("b.first"))).filter(C.jaccard(*span) > similar)
+    return near.select(F.col("a.first").alias("a"), F.col("b.first").alias("b")).unionByName(copies)
+
+
+def representatives(rows: DataFrame, group: str = "uniprot", similar: float = 0.9, share: float = 0.5, apart: float = 0.1, key: str = "key") -> DataFrame:
     """Greedy clusters of a protein's structures and one structure for each place.
 
     ``rows`` holds ``group, key, start, end, p``. From the longest on (ties by key)
     a structure joins the first cluster of which at least ``share`` of the members
     overlap it by a Jaccard index above ``similar``. The best member of each
     cluster is kept if it overlaps no kept one by more than ``apart`` of the
-    shorter. Adds ``cluster`` and ``kept``. The steps depend on order, so one
-    protein's structures, a bounded number, are one group.
-    """
+    shorter. Adds ``cluster``, numbered by the clusters' first members, and ``kept``.
 
-    def pick(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.assign(_len=pdf["end"] - pdf["start"]).sort_values(["_len", "key"], ascending=[False, True]).drop(columns="_len")
-        spans = list(zip(pdf["start"], pdf["end"]))
-        shared = lambda a, b: max(0, min(a[1], b[1]) - max(a[0], b[0]))
-        size = lambda a: a[1] - a[0]
-
-        def near(a, b) -> bool:
-            union = size(a) + size(b) - shared(a, b)
-            return union > 0 and shared(a, b) / union > similar
-
-        clusters: list[list[int]] = []
-        for n, span in enumerate(spans):
-            home = next((c for c in clusters if sum(near(span, spans[m]) for m in c) >= share * len(c)), None)
-            clusters.append([n]) if home is None else home.append(n)
-        number, kept = [0] * len(spans), [False] * len(spans)
-        chosen: list[int] = []
-        p, keys = pdf["p"].tolist(), pdf["key"].tolist()
-        for c, members in enumerate(clusters):
-            for m in members:
-                number[m] = c
-            first = min(members, key=lambda m: (p[m], keys[m]))
-            clear = all(
-                min(size(spans[first]), size(spans[m])) == 0
-                or shared(spans[first], spans[m]) / min(size(spans[first]), size(spans[m])) <= apart
-                for m in chosen
-            )
-            if clear:
-                chosen.append(first)
-                kept[first] = True
-        return pdf.assign(cluster=number, kept=kept)[columns]
-
-    columns = [*rows.columns, "cluster", "kept"]
-    schema = ", ".join(f"`{n}` {t}" for n, t in rows.dtypes) + ", cluster int, kept boolean"
-    several = rows.groupBy(group).agg(F.count("*").alias("_m")).filter("_m > 1").select(group)
-    alone = rows.join(several, group, "left_anti").select(*rows.columns, F.lit(0).alias("cluster"), F.lit(True).alias("kept"))
-    return rows.join(several, group, "left_semi").groupBy(group).applyInPandas(pick, schema).unionByName(alone)
+    A structure only joins clusters in which it overlaps some member, so clusters lie inside
+    connected components of near structures. These are found on tables, and only one
+    component, of nearly equal ranges, is gone through in a task. The second step runs over
+    the best members of all clusters in rounds.
+    """
+    stage = Stage(rows.sparkSession, "representatives")
+    name = F.struct(F.col(group).alias("group"), F.col(key).alias("key"))
+    kind = dict(rows.dtypes)
+    own = rows.select(name.alias("name"), F.col(group).alias("group"), F.col(key).alias("key"), "start", "end", "p")
+    linked = greedy.components(near_ranges(rows, group, key, similar), stage)
+    several = own.join(linked.withColumnRenamed("node", "name"), "name")
+
+    def gather(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(_len=pdf["end"] - pdf["start"]).sort_values(["_len", "key"], ascending=[False, True])
+        keys = pdf["key"].tolist()
+        return pd.DataFrame({"group": pdf["group"], "key": keys, "first": [keys[c] for c in first_clusters(pdf["start"].to_numpy(), pdf["end"].to_numpy(), similar, share)]})
+
+    schema = f"group {kind[group]}, key {kind[key]}, first {kind[key]}"
+    found = several.select("root", "group", "key", "start", "end").groupBy("root").applyInPandas(lambda pdf: gather(pdf), schema)
+    alone = own.join(linked.withColumnRenamed("node", "name"), "name", "left_anti").select("group", "key", F.col("key").alias("first"))
+    placed = stage.write(found.unionByName(alone))
+
+    founders = own.join(placed.select("group", F.col("first").alias("key")).distinct(), ["group", "key"])
+    order = Window.partitionBy("group").orderBy((F.col("end") - F.col("start")).desc(), "key")
+    numbers = founders.select("group", F.col("key").alias("first"), (F.row_number().over(order) - 1).cast("int").alias("cluster"))
+    best_of = own.join(placed, ["group", "key"]).groupBy("group", "first").agg(F.min_by(F.struct("key", "start", "end"), F.struct("p", "key")).alias("best"))
+    chosen = stage.write(best_of.join(numbers, ["group", "first"]).select("group", "first", "cluster", "best.*"))
+    gone = greedy.dropped(_in_the_way(chosen, apart), stage).select("item.*").withColumn("_gone", F.lit(True))
+    kept = chosen.join(gone, ["group", "cluster"], "left").filter("_gone IS NULL").select("group", "key", F.lit(True).alias("_kept"))
+    marks = placed.join(numbers, ["group", "first"]).join(kept, ["group", "key"], "left")
+    marks = marks.select(F.col("group").alias(group), F.col("key").alias(key), "cluster", F.coalesce("_kept", F.lit(False)).alias("kept"))
+    return rows.join(marks, [group, key]).select(*rows.columns, "cluster", "kept")
+
+
+def first_clusters(start: np.ndarray, end: np.ndarray, similar: float, share: float) -> np.ndarray:
+    """For ranges in order the index of the first member of the cluster that each joins."""
+    n = len(start)
+    first = np.zeros(n, np.int64)
+    size = end - start
+    members: dict[int, int] = {}  # of each cluster
+    for i in range(n):
+        shared = np.maximum(0, np.minimum(end[:i], end[i]) - np.maximum(start[:i], start[i]))
+        union = np.maximum(1, size[:i] + size[i] - shared)
+        near = np.flatnonzero(shared / union > similar)
+        home = i
+        if len(near):
+            clusters, number = np.unique(first[near], return_counts=True)  # in the order of their first members
+            fits = [c for c, k in zip(clusters.tolist(), number.tolist()) if k >= share * members[c]]
+            home = fits[0] if fits else i
+        first[i] = home
+        members[home] = members.get(home, 0) + 1
+    return first
+
+
+def _in_the_way(chosen: DataFrame, apart: float, width: int = 64) -> DataFrame:
+    """``item, earlier``: ranges of a group of which the earlier cluster's overlaps the other by more than ``apart`` of the shorter."""
+    bins = F.explode(F.sequence(F.floor(F.col("start") / width), F.floor(F.col("end") / width)))
+    a, b = (chosen.select("group", "cluster", "start", "end", bins.alias("bin")).alias(s) for s in "ab")
+    span = [F.col(x).cast("double") for x in ("a.start", "a.end", "b.start", "b.end")]
+    met = a.join(b, (F.col("a.group") == F.col("b.group")) & (F.col("a.bin") == F.col("b.bin")) & (F.col("a.cluster") > F.col("b.cluster")))
+    name = lambda s: F.struct(F.col(f"{s}.group").alias("group"), F.col(f"{s}.cluster").alias("cluster"))
+    return met.filter(C.overlap_of_shorter(*span) > apart).select(name("a").alias("item"), name("b").alias("earlier"))
 
 
 def gene_symbols(metadata: DataFrame, genes: DataFrame, first: bool = False) -> DataFrame:

@@ -64,7 +64,7 @@ def test_bh_matches_numpy(spark):
     rng = np.random.default_rng(2)
     p = np.round(np.r_[rng.random(300), rng.random(60) / 500, [0, 1, 1]], 4)
     frame = spark.createDataFrame(list(enumerate(p.tolist())), "key int, p double")
-    got = {r.key: r.q for r in summarize.bh_fdr(frame, "p", "key", buckets=32).collect()}
+    got = {r.key: r.q for r in summarize.bh_fdr(frame, "p", "key").collect()}
     order = np.lexsort((np.arange(len(p)), p))
     ranked = p[order] * len(p) / np.arange(1, len(p) + 1)
     q = np.minimum(1, np.minimum.accumulate(ranked[::-1])[::-1])
