@@ -1,10 +1,10 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
-A document is the set of its word shingles, hashed once to 64 bits. All hashes
-have one order: first by how common they are (a class from a counting sketch of
-fixed size over the whole corpus), then by the hash. A document retains its
-bottom ``k`` values, where ``k`` follows its size ``n``: ``n - ceil(t n) + 1`` for
-similarity ``t``. Two sets that are similar enough always share a retained value,
+A document is the set of its word shingles, hashed once to 64 bits from digests of
+the words; links are confirmed on 64 bits more. All hashes have one order: first by
+how common they are (a class from a counting sketch of fixed size over the whole
+corpus), then by the hash. A document retains its bottom ``k`` values, where ``k``
+follows its size ``n``: ``n - ceil(t n) + 1`` for similarity ``t``. Two sets that are similar enough always share a retained value,
 so the sketches lose no link; common shingles are retained only by documents
 made of little else, so the inverted lists stay short.
 
@@ -32,6 +32,7 @@ their names. An empty table gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,49 +40,59 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import Staged, keyed, one_of_each, slices, text_bytes, without
+from residuum.llm.common import BoundedCache, Staged, keyed, one_of_each, slices, text_bytes, without
 from residuum.llm.components import components
-from residuum.llm.rolling import MULTIPLIER, Rolling, mix
+from residuum.llm.rolling import MULTIPLIER, mix
 
 _PART = 4096  # counters in a row of the counting sketch
 _BUCKETS = 512
 _SHORT = 16  # a list of so many documents gives its pairs itself
-_WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
-def _word_hashes(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
-    """Hash and first byte of each word of ``raw``."""
-    if not raw:
-        return np.empty(0, np.uint64), np.empty(0, np.int64)
-    buf = np.frombuffer(raw, np.uint8)
-    inside = np.zeros(len(buf) + 2, np.int8)
-    inside[1:-1] = ~_WHITE[buf]
-    edge = np.diff(inside)
-    starts, ends = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
-    return Rolling(raw).hashes(starts, ends), starts
+_PIECE = 1 << 20  # bytes of a text whose words are lists at a time
+_BLANK = re.compile(rb"[ \t\n\v\f\r]")
+_words = BoundedCache(100_000, lambda words: [hashlib.blake2b(w, digest_size=16).digest() for w in words])
 
 
-def shingle_sets(texts: list[str | None], size: int, limit: int = 500_000) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct 64-bit hashes of its ``size``-word shingles."""
+def _word_hashes(raw: bytes) -> bytes:
+    """128 bits for each word of ``raw``, a digest of its bytes."""
+    out, at = [], 0
+    while at < len(raw):
+        cut = _BLANK.search(raw, at + _PIECE) if at + _PIECE < len(raw) else None
+        end = cut.start() if cut else len(raw)
+        words = raw[at:end].split()
+        known = _words.look_up(set(words))
+        out.append(b"".join([known[w] for w in words]))
+        at = end
+    return b"".join(out)
+
+
+def shingle_sets(texts: list[str | None], size: int, limit: int = 500_000, checks: bool = False) -> Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]:
+    """For each text the sorted distinct 64-bit hashes of its ``size``-word shingles; with ``checks`` also 64 bits more of each."""
     for begin, end in slices(texts, limit):
-        raws = [text_bytes(t).lower() for t in texts[begin:end]]
-        h, starts = _word_hashes(b" ".join(raws))
-        places = np.cumsum([0, *(len(r) + 1 for r in raws)])
-        bounds = np.searchsorted(starts, places)
-        joined = h[: max(0, len(h) - size + 1)].copy()
-        for i in range(1, size):
-            joined = mix(joined * MULTIPLIER + h[i : len(h) - size + 1 + i])
-        joined = mix(joined)
+        raws = [_word_hashes(text_bytes(t).lower()) for t in texts[begin:end]]
+        h = np.frombuffer(b"".join(raws), np.uint64).reshape(-1, 2).T
+        bounds = np.cumsum([0, *(len(r) >> 4 for r in raws)])
+        joined = _chained(h, size)
         for b, e in zip(bounds[:-1], bounds[1:]):
             if e - b >= size:
-                yield np.unique(joined[b : e - size + 1])
-            elif e > b:  # too few words: all of them are one shingle
-                short = h[b : b + 1].copy()
-                for i in range(b + 1, e):
-                    short = mix(short * MULTIPLIER + h[i : i + 1])
-                yield mix(short)
+                own = joined[:, b : e - size + 1]
+            else:  # too few words: all of them are one shingle
+                own = _chained(h[:, b:e], e - b) if e > b else h[:, :0]
+            if checks:
+                first, at = np.unique(own[0], return_index=True)
+                yield first, own[1][at]
             else:
-                yield np.empty(0, np.uint64)
+                yield np.unique(own[0])
+
+
+def _chained(h: np.ndarray, size: int) -> np.ndarray:
+    """Hashes of ``size`` words in a row, in both halves."""
+    n = max(0, h.shape[1] - size + 1)
+    joined = h[:, :n].copy()
+    for i in range(1, size):
+        joined = mix(joined * MULTIPLIER + h[:, i : i + n])
+    return mix(joined)
 
 
 def shingles(text: str | None, size: int) -> np.ndarray:
@@ -107,6 +118,7 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["own"], pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.binary()),
                  empty(n, pa.int32()), empty(n, pa.binary())], names)
+        _words.clear()
         some = 256  # parts in a batch
         for begin in range(0, len(counts) // _PART, some):
             held = {p: counts[p * _PART : (p + 1) * _PART] for p in range(begin, min(begin + some, len(counts) // _PART))}
@@ -140,8 +152,12 @@ def _classes(survey: DataFrame, bits: int) -> np.ndarray:
 
 def ordered(values: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The shingles in the order common to all documents, as positive 63-bit values."""
+    return np.sort(_keys(values, classes))
+
+
+def _keys(values: np.ndarray, classes: np.ndarray) -> np.ndarray:
     kind = classes[(values & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64)
-    return np.sort((kind << np.uint64(57)) | (values >> np.uint64(7))).astype(np.int64)
+    return ((kind << np.uint64(57)) | (values >> np.uint64(7))).astype(np.int64)
 
 
 def retained(n: int, percent: int) -> int:
@@ -277,8 +293,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             linked = []
             for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist()):
-                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
-                linked.append(similar(x, y, percent))
+                x, y = (np.frombuffer(s, np.int64).reshape(2, -1) for s in (x, y))
+                linked.append(similar(x[0], y[0], percent, (x[1], y[1])))
             mask = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
@@ -286,8 +302,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
-    """Jaccard similarity of two ordered sets reaches ``percent`` per cent."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int, checks: tuple[np.ndarray, np.ndarray] | None = None) -> bool:
+    """Jaccard similarity of two ordered sets reaches ``percent`` per cent; shared values must agree in their ``checks``, too."""
     total = len(x) + len(y)
     if not len(x) or not len(y):
         return False
@@ -297,7 +313,8 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
     shared = len(np.intersect1d(a, b, assume_unique=True))
     if (len(a) + len(b) - 2 * shared) * (100 + percent) > (100 - percent) * total:
         return False
-    shared = len(np.intersect1d(x, y, assume_unique=True))
+    _, at, by = np.intersect1d(x, y, assume_unique=True, return_indices=True)
+    shared = len(at) if checks is None else int((checks[0][at] == checks[1][by]).sum())
     return 100 * shared >= percent * (total - shared)
 
 
@@ -351,7 +368,11 @@ def _groups(
 
     def ordered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = [keys(s).tobytes() for s in shingle_sets(batch["text"].to_pylist(), shingle_words)]
+            sets = []
+            for values, checks in shingle_sets(batch["text"].to_pylist(), shingle_words, checks=True):
+                at = _keys(values, classes.value)
+                order = np.argsort(at)
+                sets.append(np.stack([at[order], checks[order].view(np.int64)]).tobytes())
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "values"])
 
     gone = copies.select("doc_id").distinct()

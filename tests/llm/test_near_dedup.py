@@ -106,3 +106,27 @@ def test_components_of_long_path(spark):
     found = {r.node: r.root for r in components(links, Staged(spark, "test")).collect()}
     assert found == {**{i: 0 for i in order}, 100: 100, 101: 100}
     assert components(links.limit(0), Staged(spark, "test")).count() == 0
+
+
+def test_words_that_collide_under_polynomials_stay_apart(spark):
+    """Thue-Morse words have equal polynomial hashes modulo powers of two, for any odd base."""
+    bits = [bin(i).count("1") & 1 for i in range(2048)]
+    rows = [(i, "".join(("xy", "yx")[i % 2][b] for b in bits)) for i in range(2)]
+    rows += [(i + 10, f"{rows[i][1]} and more words") for i in range(2)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2, percent=80) == brute(rows, 2, 80)
+
+
+def test_long_texts_in_pieces(monkeypatch):
+    text = " ".join(f"w{i % 9000}\n" for i in range(60_000)) + "\tend"
+    whole = next(near_dedup.shingle_sets([text], 3))
+    monkeypatch.setattr(near_dedup, "_PIECE", 1000)
+    assert (next(near_dedup.shingle_sets([text], 3)) == whole).all() and len(whole) == 9001
+    values, checks = next(near_dedup.shingle_sets([text], 3, checks=True))
+    assert (values == whole).all() and len(np.unique(checks)) == len(whole)
+
+
+@pytest.mark.parametrize("size", [15, 16, 17, 18])
+def test_lists_about_the_limit_of_short_ones(spark, size):
+    base = [f"v{i}" for i in range(40)]
+    rows = [(i, " ".join([*base[: 38 - i % 3], *(f"e{i}x{k}" for k in range(2 + i % 4))])) for i in range(size)]
+    assert got(spark.createDataFrame(rows, "doc_id long, text string"), shingle_words=2, percent=80) == brute(rows, 2, 80)
