@@ -1,7 +1,7 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
-A document is the set of its word shingles, hashed once to 64 bits from digests of
-the words; links are confirmed on 64 bits more. All hashes have one order: first by
+A document is the set of its word shingles, hashed once to 64 bits from sums
+over the words' bytes and places; links are confirmed on 64 bits more. All hashes have one order: first by
 how common they are (a class from a counting sketch of fixed size over the whole
 corpus), then by the hash. A document retains its bottom ``k`` values, where ``k``
 follows its size ``n``: ``n - ceil(t n) + 1`` for similarity ``t``. Two sets that are similar enough always share a retained value,
@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import BoundedCache, Staged, keyed, one_of_each, slices, text_bytes, without
+from residuum.llm.common import Staged, keyed, one_of_each, slices, text_bytes, without
 from residuum.llm.components import components
 from residuum.llm.rolling import MULTIPLIER, mix
 
@@ -49,30 +49,66 @@ _BUCKETS = 512
 _SHORT = 16  # a list of so many documents gives its pairs itself
 
 
-_PIECE = 1 << 20  # bytes of a text whose words are lists at a time
+_PIECE = 1 << 20  # bytes hashed at a time
+_NEAR = 64  # places in a word whose values are in a table
 _BLANK = re.compile(rb"[ \t\n\v\f\r]")
-_words = BoundedCache(100_000, lambda words: [hashlib.blake2b(w, digest_size=16).digest() for w in words])
+_WHITE = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 
 
-def _word_hashes(raw: bytes) -> bytes:
-    """128 bits for each word of ``raw``, a digest of its bytes."""
-    out, at = [], 0
+def _values(place: np.ndarray, byte: np.ndarray, lane: int) -> np.ndarray:
+    """A pseudo-random number for each byte at its place in a word."""
+    return mix((place.astype(np.uint64) << np.uint64(9) | byte.astype(np.uint64) << np.uint64(1) | np.uint64(lane)) * MULTIPLIER + MULTIPLIER)
+
+
+_TABLES = [_values(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256), _NEAR), lane) for lane in range(2)]
+
+
+def _sums(byte: np.ndarray, place: np.ndarray, begin: np.ndarray, lanes: int) -> np.ndarray:
+    far = np.flatnonzero(place >= _NEAR)
+    at = (np.minimum(place, _NEAR - 1) << 8) + byte
+    out = np.empty((lanes, len(begin)), np.uint64)
+    for lane in range(lanes):
+        values = _TABLES[lane][at]
+        values[far] = _values(place[far], byte[far], lane)
+        out[lane] = np.add.reduceat(values, begin)
+    return out
+
+
+def _word_hashes(raw: bytes, lanes: int = 1) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits in each lane for every word of ``raw``, and the words' first bytes.
+
+    A word's hash is the mixed sum of numbers that are random in byte and place, so it has no
+    algebra by which texts of one pattern could collide, and the bytes of a word add up in any pieces.
+    """
+    hashes, firsts, at = [np.empty((lanes, 0), np.uint64)], [np.empty(0, np.int64)], 0
     while at < len(raw):
         cut = _BLANK.search(raw, at + _PIECE) if at + _PIECE < len(raw) else None
         end = cut.start() if cut else len(raw)
-        words = raw[at:end].split()
-        known = _words.look_up(set(words))
-        out.append(b"".join([known[w] for w in words]))
+        edge = np.diff(np.r_[np.int8(0), (~_WHITE[np.frombuffer(raw, np.uint8, end - at, at)]).astype(np.int8), np.int8(0)])
+        starts, sizes = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
+        if len(starts):
+            total = np.zeros((lanes, len(starts)), np.uint64)
+            upto = np.cumsum(sizes)
+            for b in range(0, int(upto[-1]), 2 * _PIECE):  # one turn, but for a word of more than a piece
+                e = min(int(upto[-1]), b + 2 * _PIECE)
+                low, high = np.searchsorted(upto, b, "right"), np.searchsorted(upto, e - 1, "right") + 1
+                before = upto[low:high] - sizes[low:high]
+                here = np.minimum(upto[low:high], e) - np.maximum(before, b)
+                place = np.arange(b, e) - np.repeat(before, here)
+                byte = np.frombuffer(raw, np.uint8)[at + np.repeat(starts[low:high], here) + place]
+                total[:, low:high] += _sums(byte.astype(np.int64), place, np.cumsum(here) - here, lanes)
+            hashes.append(mix(total))
+            firsts.append(starts + at)
         at = end
-    return b"".join(out)
+    return np.concatenate(hashes, axis=1), np.concatenate(firsts)
 
 
 def shingle_sets(texts: list[str | None], size: int, limit: int = 500_000, checks: bool = False) -> Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]:
     """For each text the sorted distinct 64-bit hashes of its ``size``-word shingles; with ``checks`` also 64 bits more of each."""
     for begin, end in slices(texts, limit):
-        raws = [_word_hashes(text_bytes(t).lower()) for t in texts[begin:end]]
-        h = np.frombuffer(b"".join(raws), np.uint64).reshape(-1, 2).T
-        bounds = np.cumsum([0, *(len(r) >> 4 for r in raws)])
+        raws = [text_bytes(t).lower() for t in texts[begin:end]]
+        h, starts = _word_hashes(b" ".join(raws), 2 if checks else 1)
+        bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
         joined = _chained(h, size)
         for b, e in zip(bounds[:-1], bounds[1:]):
             if e - b >= size:
@@ -118,7 +154,6 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays(
                 [batch["doc_id"], batch["own"], pa.array(ns, pa.int64()), pa.array(digests, pa.binary()), pa.array(buckets, pa.binary()),
                  empty(n, pa.int32()), empty(n, pa.binary())], names)
-        _words.clear()
         some = 256  # parts in a batch
         for begin in range(0, len(counts) // _PART, some):
             held = {p: counts[p * _PART : (p + 1) * _PART] for p in range(begin, min(begin + some, len(counts) // _PART))}

@@ -122,6 +122,10 @@ def test_long_texts_in_pieces(monkeypatch):
     monkeypatch.setattr(near_dedup, "_PIECE", 1000)
     assert (next(near_dedup.shingle_sets([text], 3)) == whole).all() and len(whole) == 9001
     values, checks = next(near_dedup.shingle_sets([text], 3, checks=True))
+    words = ["a", "y" * 9000, "b" * 63, "b" * 64, "b" * 65, "c" * 2001, "é", "y" * 9000]
+    few = near_dedup._word_hashes(" ".join(words).encode(), 2)[0]
+    monkeypatch.setattr(near_dedup, "_PIECE", 1 << 20)
+    assert (near_dedup._word_hashes(" ".join(words).encode(), 2)[0] == few).all() and len(np.unique(few)) == 14
     assert (values == whole).all() and len(np.unique(checks)) == len(whole)
 
 
