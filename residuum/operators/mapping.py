@@ -133,6 +133,25 @@ def residue_positions(genes: DataFrame) -> DataFrame:
     return cut.select("uniprot", "gene", "chrom", "strand", site.cast("int").alias("site"), (F.col("p0") + 1).alias("pos"))
 
 
+def residue_spans(genes: DataFrame) -> DataFrame:
+    """``uniprot, gene, chrom, site, s, e``: the coding bases of every residue as half-open runs of positions from 0.
+
+    As :func:`residue_positions`, but a row for each run of a residue in an exon, not for each base.
+    """
+    cut = genes.select("uniprot", "gene", "chrom", "strand", "blocks", "excluded", F.posexplode("exons").alias("k", "exon"))
+    begin = F.get("blocks", F.col("k"))["a0"]
+    cut = cut.select("uniprot", "gene", "chrom", "strand", "excluded", F.col("exon.s").alias("b"), F.col("exon.e").alias("x"), begin["aa"].alias("aa"), begin["phase"].alias("phase")).filter("x > b")
+    size = F.col("x") - F.col("b")
+    cut = cut.withColumn("r", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("phase") + size - 1) / 3))))
+    low, high = F.greatest(3 * F.col("r") - F.col("phase"), F.lit(0)), F.least(3 * F.col("r") + 3 - F.col("phase"), size)
+    plus = F.col("strand") == "+"
+    cut = cut.withColumns({"s": F.when(plus, F.col("b") + low).otherwise(F.col("x") - high), "e": F.when(plus, F.col("b") + high).otherwise(F.col("x") - low)})
+    inside = F.array_sort(F.filter("excluded", lambda p: (p >= F.col("s")) & (p < F.col("e"))))
+    pieces = F.arrays_zip(F.concat(F.array("s"), F.transform(inside, lambda p: p + 1)).alias("s"), F.concat(inside, F.array("e")).alias("e"))
+    cut = cut.select("uniprot", "gene", "chrom", (F.col("aa") + F.col("r") + 1).cast("int").alias("site"), F.inline(pieces).alias("s", "e"))
+    return cut.filter("s < e")
+
+
 def residue_codons(positions: DataFrame, genome: DataFrame, proteins: DataFrame, chunk: int = 65536) -> DataFrame:
     """``uniprot, gene, site, strand, codon, ctx`` of residues with three bases that translate to the protein's.
 

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators.draws import Draws, Prepared, in_rounds, settled
+from residuum.sources.staging import Stage
 
 
 def replicates(spark: SparkSession, n: int) -> DataFrame:
@@ -82,10 +83,73 @@ def coverage_weights(positions: DataFrame, coverage: DataFrame) -> DataFrame:
     """
     rows = positions.join(coverage, ["chrn", "pos"], "left")
     mean = rows.groupBy("structure", "i").agg(F.greatest(F.lit(0.0), F.coalesce(F.avg("cov"), F.lit(0.0))).alias("c"))
+    return _shares(mean)
+
+
+def coverage_by_runs(spans: DataFrame, runs: DataFrame, width: int = 4096) -> DataFrame:
+    """As :func:`coverage_weights`, from runs of positions and runs of equal coverage.
+
+    ``spans`` holds ``structure, i, chrn, s, e`` (null where a residue has no positions), ``runs``
+    ``chrn, start, end, cov``, both half-open. Two runs meet in the bins of ``width`` positions that both touch, and
+    count in the first of them; a mean weighs coverage by the positions shared.
+    """
+    bins = lambda b, e: F.explode(F.sequence(F.floor(F.col(b) / width), F.floor((F.col(e) - 1) / width)))
+    own = spans.filter("s < e").withColumn("_bin", bins("s", "e"))
+    covered = runs.filter("start < end").withColumn("_bin", bins("start", "end"))
+    met = own.join(covered, ["chrn", "_bin"]).filter(F.col("_bin") == F.floor(F.greatest("s", "start") / width))
+    shared = F.least("e", "end") - F.greatest("s", "start")
+    sums = met.filter(shared > 0).groupBy("structure", "i").agg(F.sum(shared * F.col("cov")).alias("_sum"), F.sum(shared).alias("_n"))
+    every = spans.select("structure", "i").distinct().join(sums, ["structure", "i"], "left")
+    mean = every.select("structure", "i", F.greatest(F.lit(0.0), F.coalesce(F.col("_sum") / F.col("_n"), F.lit(0.0))).alias("c"))
+    return _shares(mean)
+
+
+def _shares(mean: DataFrame) -> DataFrame:
     total = mean.groupBy("structure").agg(F.sum("c").alias("t"), F.count("*").alias("n"))
-    return mean.join(total, "structure").select(
-        "structure", "i", F.when(F.col("t") > 0, F.col("c") / F.col("t")).otherwise(1 / F.col("n")).alias("weight")
-    )
+    share = F.when(F.col("t") > 0, F.col("c") / F.col("t")).otherwise(1 / F.col("n"))
+    return mean.join(total, "structure").select("structure", "i", share.alias("weight"))
+
+
+def runs_of_coverage(coverage: DataFrame, width: int = 4096) -> DataFrame:
+    """``chrn, start, end, cov`` of a table of positions (from 1), in runs that end at bins of ``width`` at the latest."""
+    at = coverage.select("chrn", (F.col("pos") - 1).alias("p"), "cov").withColumn("_bin", F.floor(F.col("p") / width))
+    along = Window.partitionBy("chrn", "_bin", "cov").orderBy("p")
+    island = at.withColumn("_run", F.col("p") - F.row_number().over(along))
+    return island.groupBy("chrn", "_bin", "cov", "_run").agg(F.min("p").alias("start"), (F.max("p") + 1).alias("end")).select("chrn", "start", "end", "cov")
+
+
+def exact_median(rows: DataFrame, keys: list[str], value: str, name: str, held: int = 1000, buckets: int = 256) -> DataFrame:
+    """``keys, name``: the exact median of ``value``, nulls left out; no task holds more than ``held`` values of a key.
+
+    Keys with more values are narrowed in rounds: the values between two bounds are counted in
+    equal buckets, and the bounds of a rank become the least and greatest value of its bucket,
+    until that is one value. Both middle ranks are followed.
+    """
+    rows = rows.select(*keys, F.col(value).cast("double").alias("_v")).dropna(subset=["_v"])
+    stage = Stage(rows.sparkSession, "median")
+    bounds = [F.count("*").alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high")]
+    large = stage.write(rows.groupBy(*keys).agg(*bounds).filter(F.col("_n") > held))
+    if large.isEmpty():
+        return rows.groupBy(*keys).agg(F.median("_v").alias(name))
+    small = rows.join(large, keys, "left_anti").groupBy(*keys).agg(F.median("_v").alias(name))
+    left = stage.write(rows.join(large.select(*keys), keys, "left_semi"))
+    state = stage.write(large.select(*keys, F.posexplode(F.array(F.floor((F.col("_n") - 1) / 2), F.floor(F.col("_n") / 2))).alias("_which", "_rank"), "_low", "_high"))
+    found = []
+    while True:
+        found.append(state.filter("_low = _high").select(*keys, "_low"))
+        state = state.filter("_low < _high")
+        if state.isEmpty():
+            break
+        place = F.least(F.floor((F.col("_v") - F.col("_low")) / (F.col("_high") - F.col("_low")) * buckets), F.lit(buckets - 1))
+        inside = left.join(state, keys).filter((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+        counts = inside.groupBy(*keys, "_which", "_rank", place.alias("_b")).agg(*bounds)
+        upto = F.sum("_n").over(Window.partitionBy(*keys, "_which").orderBy("_b").rowsBetween(Window.unboundedPreceding, 0))
+        chosen = counts.withColumn("_upto", upto).filter((F.col("_rank") < F.col("_upto")) & (F.col("_rank") >= F.col("_upto") - F.col("_n")))
+        state = stage.write(chosen.select(*keys, "_which", (F.col("_rank") - F.col("_upto") + F.col("_n")).alias("_rank"), "_low", "_high"))
+    middle = found[0]
+    for more in found[1:]:
+        middle = middle.unionByName(more)
+    return small.unionByName(middle.groupBy(*keys).agg(F.avg("_low").alias(name)))
 
 
 def residue_channels(codons: DataFrame) -> DataFrame:
@@ -131,7 +195,7 @@ def mutation_probabilities(hits: DataFrame, probabilities: DataFrame, coverage:
     A site with a negative or an all-zero vector has none.
     """
     rows = hits.select("structure", "patient", F.col("i").alias("site")).distinct().join(probabilities, ["structure", "patient"])
-    mid = rows.groupBy("structure", "site", "i").agg(F.median("q").alias("q"))
+    mid = exact_median(rows, ["structure", "site", "i"], "q", "q")
     mid = mid.join(coverage, ["structure", "i"]).withColumn("w", F.col("q") * F.col("weight"))
     total = mid.groupBy("structure", "site").agg(F.sum("w").alias("t"), F.min("w").alias("low"))
     good = total.filter("t > 0 AND low >= 0").select("structure", "site", "t")

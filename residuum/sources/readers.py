@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
 from residuum.functions import constants as K
+from residuum.sources.structure_files import structure_lines
+from residuum.sources.twobit import TwoBit
 from residuum.sources.writers import protein_shard
 
 MUTATIONS = (
@@ -151,13 +153,36 @@ def genome(spark: SparkSession, path: str, chunk: int = 65536) -> DataFrame:
     return cut.groupBy("chrom", "chunk_id").agg(whole.alias("seq"))
 
 
-def atoms(spark: SparkSession, path: str, chains: list[str] | None = None) -> DataFrame:
-    """Atom records of structure files ``pdbXXXX.ent`` (also compressed)."""
-    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_name"))
+def two_bit(spark: SparkSession, path: str, chunk: int = 65536, per_task: int = 64) -> DataFrame:
+    """As :func:`genome`, from a 2bit file; filters on ``chrom`` and ``chunk_id`` decide which chunks are read."""
+    spark.dataSource.register(TwoBit)
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    options = {"chunk": chunk, "per_task": per_task, "pushdown": "true"}
+    return spark.read.format("twobit").options(**options).load(path)
+
+
+def _structure_text(spark: SparkSession, path: str, ids: DataFrame | None) -> DataFrame:
+    """``pdb, value``: lines of all files under ``path``, or of those that ``ids`` names."""
+    if ids is not None:
+        return structure_lines(ids, path).filter("n IS NOT NULL").select("pdb", "value")
+    lines = spark.read.text(path)
+    return lines.select(F.regexp_extract(F.col("_metadata.file_name"), r"pdb(\w{4})\.", 1).alias("pdb"), "value")
+
+
+def atoms(spark: SparkSession, path: str, chains: list[str] | None = None, ids: DataFrame | None = None) -> DataFrame:
+    """Atom records of structure files ``pdbXXXX.ent`` (also compressed).
+
+    With ``ids`` (``pdb``) only the files of those structures are opened, under the folders of their middle characters.
+    """
+    return atom_records(_structure_text(spark, path, ids), chains)
+
+
+def atom_records(lines: DataFrame, chains: list[str] | None = None) -> DataFrame:
+    """``pdb, chain, resnum, resname, x, y, z`` of the atom lines ``pdb, value``."""
     lines = lines.filter(F.col("value").startswith("ATOM") | F.col("value").startswith("HETATM"))
     field = lambda b, n: F.trim(F.substring("value", b, n))
     found = lines.select(
-        F.regexp_extract("file", r"pdb(\w{4})\.", 1).alias("pdb"),
+        "pdb",
         field(22, 1).alias("chain"),
         field(23, 4).cast("int").alias("resnum"),
         field(18, 3).alias("resname"),
@@ -166,14 +191,14 @@ def atoms(spark: SparkSession, path: str, chains: list[str] | None = None) -> Da
     return found.filter(F.col("chain").isin(chains)) if chains else found
 
 
-def fragments(spark: SparkSession, path: str) -> DataFrame:
-    """``pdb, chain, fragment`` of structure headers, ``NA`` where a molecule names none."""
-    lines = spark.read.text(path).withColumn("file", F.col("_metadata.file_name"))
+def fragments(spark: SparkSession, path: str, ids: DataFrame | None = None) -> DataFrame:
+    """``pdb, chain, fragment`` of structure headers, ``NA`` where a molecule names none; ``ids`` as in :func:`atoms`."""
+    lines = _structure_text(spark, path, ids)
     parts = (
         lines.filter(F.col("value").startswith("COMPND"))
-        .groupBy("file")
+        .groupBy("pdb")
         .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(F.substring("value", 8, 3).alias("n"), F.trim(F.substring("value", 11, 70)).alias("t")))), lambda x: x["t"]), " ").alias("text"))
-        .select(F.regexp_extract("file", r"pdb(\w{4})\.", 1).alias("pdb"), F.explode(F.split("text", "MOL_ID:")).alias("molecule"))
+        .select("pdb", F.explode(F.split("text", "MOL_ID:")).alias("molecule"))
     )
     chains = F.explode(F.split(F.regexp_extract("molecule", r"CHAIN:\s*([^;]+)", 1), r",\s*"))
     text = F.nullif(F.trim(F.regexp_extract("molecule", r"FRAGMENT:\s*([^;]+)", 1)), F.lit(""))
@@ -186,6 +211,11 @@ def coverage(spark: SparkSession, path: str) -> DataFrame:
     return _tsv(spark, path, True, "chrn int, pos long, cov double")
 
 
+def coverage_runs(spark: SparkSession, path: str) -> DataFrame:
+    """Runs of equal coverage: ``chrn, start, end, cov``, positions from 0, the end not included."""
+    return _tsv(spark, path, True, "chrn int, start long, end long, cov double")
+
+
 def gene_metadata(spark: SparkSession, path: str, overrides: dict[str, int] | None = None) -> DataFrame:
     """``accession, entrez, gene_names, length``; ``overrides`` replaces lengths."""
     raw = _tsv(spark, path, True, "accession string, gene_names string, entrez string, length int")
@@ -207,13 +237,27 @@ def results(spark: SparkSession, path: str) -> DataFrame:
     A line holds key columns, then ``e/d`` for each scale, then the status.
     """
     raw = _tsv(spark, path, False, "u1 string, u2 string, pdb_chain string, start int, scores string, status int")
-    return raw.select(
-        "u1", "u2", "pdb_chain", "start", "status", F.posexplode(F.split("scores", r"\s+")).alias("scale_idx", "pair")
-    ).select(
-        "u1", "u2", "pdb_chain", "start", "scale_idx", "status",
-        F.split_part("pair", F.lit("/"), F.lit(1)).cast("long").alias("exceed"),
-        F.split_part("pair", F.lit("/"), F.lit(2)).cast("long").alias("draws"),
+    return _scores(raw, "u1", "u2", "pdb_chain", "start")
+
+
+def result_files(spark: SparkSession, path: str) -> DataFrame:
+    """Results whose key is the file's name, ``number_u1_u2_chain_start``; lines of ``e/d`` and status lines ``#status`` take turns.
+
+    As :func:`results`, with the number of the run in its file as ``run``.
+    """
+    raw = spark.read.text(path, wholetext=True).select(F.split(F.regexp_replace(F.col("_metadata.file_name"), r"\.txt$", ""), "_").alias("k"), F.posexplode(F.split(F.trim("value"), r"\s*\n")).alias("line", "text"))
+    raw = raw.filter((F.size("k") == 5) & (F.col("text") != "")).select(
+        F.get("k", F.lit(1)).alias("u1"), F.get("k", F.lit(2)).alias("u2"), F.get("k", F.lit(3)).alias("pdb_chain"), F.get("k", F.lit(4)).cast("int").alias("start"),
+        F.floor(F.col("line") / 2).cast("int").alias("run"), F.when(F.col("line") % 2 == 0, F.col("text")).alias("scores"), F.when(F.col("line") % 2 == 1, F.regexp_replace("text", "^#", "")).cast("int").alias("status"),
     )
+    keys = ["u1", "u2", "pdb_chain", "start", "run"]
+    return _scores(raw.groupBy(*keys).agg(F.max("scores").alias("scores"), F.max("status").alias("status")), *keys)
+
+
+def _scores(raw: DataFrame, *keys: str) -> DataFrame:
+    flat = raw.select(*keys, "status", F.posexplode(F.split("scores", r"\s+")).alias("scale_idx", "pair"))
+    part = lambda i: F.split_part("pair", F.lit("/"), F.lit(i)).cast("long")
+    return flat.select(*keys, "scale_idx", "status", part(1).alias("exceed"), part(2).alias("draws"))
 
 
 def nucleic_pairs(spark: SparkSession, path: str) -> DataFrame:

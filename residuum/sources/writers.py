@@ -37,8 +37,9 @@ def by_structure(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
 
 
 def append_results(df: DataFrame, path: str, run: str) -> None:
-    """Runs accumulate, each under its own id."""
-    df.withColumn("run", F.lit(run)).write.mode("append").partitionBy("run").parquet(path)
+    """Runs accumulate, each under its own id; a run that is written again replaces its own rows only."""
+    rows = df.withColumn("run", F.lit(run))
+    rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run").parquet(path)
 
 
 def summary(df: DataFrame, path: str) -> None:
