@@ -42,7 +42,7 @@ from residuum.llm.common import Staged, text_bytes
 SCALE = 1_000_000_000
 _TERM = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _PIECE = 1 << 20  # bytes of a text that are split at a time
-_HELD = 300_000  # terms that a task holds
+_HELD = 500_000  # terms that a task holds
 _PART = 1 << 16  # counters in a row of a sketch
 
 

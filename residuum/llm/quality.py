@@ -3,10 +3,13 @@
 Each document gets counts and rule failures. Failures are summed by host; each
 host's failure rate is shrunk towards the rate of all hosts with an empirical
 beta prior (moments of the hosts' rates), so that a host with two documents is
-not judged by them alone. Where hosts differ no more than chance allows, all have
-the rate of all. A host whose shrunk rate of a rule is ``excess`` times the rate of
-all or more gets a verdict on that rule, and the verdicts are joined back: a
-document goes if it fails the base rules, or fails a rule on which its host has
+not judged by them alone. A host gets a verdict on a rule if its posterior, the
+prior updated by its own documents, gives a chance of ``level`` or more that its rate
+is beyond the limit: the rate at which failures are ``odds`` times as frequent,
+against passes, as in all documents. Such a limit lies between 0 and 1 for any rate of all,
+and the verdict is sharper the more documents a host has. Where hosts differ no
+more than chance allows, or no document fails, there is no verdict. The verdicts are
+joined back: a document goes if it fails the base rules, or fails a rule on which its host has
 a verdict. So of two equal texts from different hosts one may go and one stay; a
 document that fails nothing always stays.
 
@@ -19,6 +22,8 @@ table gives an empty result; extra columns, whatever their names, are ignored by
 
 from __future__ import annotations
 
+import math
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -96,8 +101,30 @@ def rules() -> dict[str, Column]:
     }
 
 
-def host_verdicts(flags: DataFrame, names: list[str], excess: float) -> DataFrame:
-    """Per host: documents, and for each rule the shrunk rate and the verdict."""
+def beta_above(a: float, b: float, x: float) -> float:
+    """The chance that a beta variable is above ``x``, by the continued fraction of the incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x <= 0)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - beta_above(b, a, 1 - x) if a > 0 else 0.0
+    front = math.exp(math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b) + a * math.log(x) + b * math.log1p(-x))
+    tiny = 1e-300
+    c, d = 1.0, 1 - (a + b) * x / (a + 1)
+    d = 1 / (d if abs(d) > tiny else tiny)
+    f = d
+    for m in range(1, 100_000):
+        for top in (m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))):
+            d, c = 1 + top * d, 1 + top / c
+            d = 1 / (d if abs(d) > tiny else tiny)
+            c = c if abs(c) > tiny else tiny
+            f *= d * c
+        if abs(d * c - 1) < 1e-12:
+            break
+    return min(1.0, max(0.0, 1 - front * f / a))
+
+
+def host_verdicts(flags: DataFrame, names: list[str], odds: float, level: float) -> DataFrame:
+    """Per host: documents, and for each rule the shrunk rate, the chance that it is beyond the limit, and the verdict."""
     hosts = flags.groupBy("host").agg(
         F.count("*").alias("n_docs"), *(F.sum(F.col(f"fail_{r}").cast("long")).alias(f"n_{r}") for r in names)
     )
@@ -114,11 +141,29 @@ def host_verdicts(flags: DataFrame, names: list[str], excess: float) -> DataFram
         apart = 1 - F.col("squares") / F.col("all_docs") / F.col("all_docs")
         between = F.col(f"var_{r}") / F.col("all_docs") - mean * mean - spread * (F.col("hosts") - 1) / F.col("all_docs")
         strength = F.when((between > 1e-12) & (apart > 1e-12), F.greatest(spread * apart / between - 1, F.lit(1.0)))
-        shrunk = (F.col(f"n_{r}") + mean * strength) / (F.col("n_docs") + strength)
+        judged = judged.withColumns({f"mean_{r}": mean, f"strength_{r}": strength})
+        shrunk = (F.col(f"n_{r}") + F.col(f"mean_{r}") * F.col(f"strength_{r}")) / (F.col("n_docs") + F.col(f"strength_{r}"))
         judged = judged.withColumn(f"rate_{r}", F.coalesce(shrunk, mean))
-        judged = judged.withColumn(f"bad_{r}", F.col(f"rate_{r}") >= excess * mean)
-        columns += [f"rate_{r}", f"bad_{r}"]
-    return judged.select(columns)
+        columns += [f"rate_{r}"]
+    needed = [c for r in names for c in (f"n_{r}", f"mean_{r}", f"strength_{r}")]
+    judged = judged.select(*columns, *needed)
+
+    def weigh(batch: pa.RecordBatch) -> pa.RecordBatch:
+        out = [batch[c] for c in columns]
+        for r in names:
+            chances = []
+            for n, bad, mean, strength in zip(*(batch[c].to_pylist() for c in ("n_docs", f"n_{r}", f"mean_{r}", f"strength_{r}"))):
+                if strength is None or not 0 < mean < 1:
+                    chances.append(0.0)
+                else:
+                    limit = odds * mean / (1 - mean + odds * mean)
+                    chances.append(beta_above(mean * strength + bad, (1 - mean) * strength + n - bad, limit))
+            out.append(pa.array(chances, pa.float64()))
+        return pa.RecordBatch.from_arrays(out, [*columns, *(f"chance_{r}" for r in names)])
+
+    schema = "host string, n_docs long, all_docs long, " + ", ".join(f"{c}_{r} double" for c in ("rate", "chance") for r in names)
+    weighed = map_batches(judged, weigh, schema)
+    return weighed.withColumns({f"bad_{r}": F.col(f"chance_{r}") >= level for r in names})
 
 
 def _with_hosts(flags: DataFrame, hosts: DataFrame, broadcast_hosts: int) -> DataFrame:
@@ -131,14 +176,14 @@ def _with_hosts(flags: DataFrame, hosts: DataFrame, broadcast_hosts: int) -> Dat
 
 
 def _judged(
-    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, excess: float, broadcast_hosts: int
+    docs: DataFrame, id_col: str, text_col: str, host_col: str, min_words: int, odds: float, level: float, broadcast_hosts: int
 ) -> DataFrame:
     staged = Staged(docs.sparkSession, "quality")
     counts = staged.write(document_counts(docs, id_col, text_col, host_col))
     found = rules()
     base = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
     flags = counts.withColumn("base_failed", base).withColumns({f"fail_{r}": c for r, c in found.items()})
-    hosts = staged.write(host_verdicts(flags, list(found), excess))
+    hosts = staged.write(host_verdicts(flags, list(found), odds, level))
     failed = F.lit(False)
     for r in found:
         failed = failed | (F.col(f"fail_{r}") & F.col(f"bad_{r}"))
@@ -151,15 +196,17 @@ def judge(
     text_col: str = "text",
     host_col: str = "source",
     min_words: int = 50,
-    excess: float = 2.0,
+    odds: float = 2.0,
+    level: float = 0.9,
     broadcast_hosts: int = 100_000,
 ) -> DataFrame:
     """One row per document: counts, ``base_failed``, ``kept``, and its host's shrunk rate of each rule.
 
-    :param excess: a host is bad on a rule from this multiple of the rate of all.
+    :param odds: the limit of a rule has this multiple of the odds of failure in all documents.
+    :param level: the chance to be beyond it from which a host is bad.
     :param broadcast_hosts: verdicts of at most so many hosts are broadcast.
     """
-    judged = _judged(docs, id_col, text_col, host_col, min_words, excess, broadcast_hosts)
+    judged = _judged(docs, id_col, text_col, host_col, min_words, odds, level, broadcast_hosts)
     return judged.select("doc_id", *_COUNTS, "base_failed", "kept", *(f"rate_{r}" for r in rules()))
 
 
@@ -169,7 +216,8 @@ def keep_good(
     text_col: str = "text",
     host_col: str = "source",
     min_words: int = 50,
-    excess: float = 2.0,
+    odds: float = 2.0,
+    level: float = 0.9,
     broadcast_hosts: int = 100_000,
 ) -> DataFrame:
     """The documents that stay, with all their columns.
@@ -177,6 +225,6 @@ def keep_good(
     Text and host decide about a document, so it is found again by the digest of the one and
     the other, whatever its identifier is.
     """
-    judged = _judged(docs, id_col, text_col, host_col, min_words, excess, broadcast_hosts)
+    judged = _judged(docs, id_col, text_col, host_col, min_words, odds, level, broadcast_hosts)
     gone = judged.filter("NOT kept").select("digest", "host").distinct()
     return without(docs, gone, {"digest": _digest(docs, text_col), "host": _host(docs, host_col)})

@@ -2,7 +2,8 @@ import random
 import re
 from collections import Counter
 
-from residuum.llm.quality import judge, keep_good, text_counts
+import numpy as np
+from residuum.llm.quality import beta_above, judge, keep_good, text_counts
 
 
 def brute(text):
@@ -37,7 +38,15 @@ def test_judge(docs, corpus, odd, nothing):
     assert {r.doc_id for r in kept.collect()} == {i for i, r in rows.items() if r.kept}
 
 
-def verdicts(rows, excess=2.0, min_words=50):
+def above(a, b, x, steps=20_000):
+    """The chance of a beta variable to be above ``x``, by plain sums over a grid in the log-odds."""
+    ys = np.linspace(-60, 60, 40 * steps)
+    logs = -a * np.logaddexp(0, -ys) - b * np.logaddexp(0, ys)
+    w = np.exp(logs - logs.max())
+    return w[ys > np.log(x / (1 - x))].sum() / w.sum()
+
+
+def verdicts(rows, odds=2.0, level=0.9, min_words=50):
     """``kept`` of each row ``(id, text, host)`` by plain sums."""
     counts = [text_counts(t) for _, t, _ in rows]
     fails = [
@@ -54,9 +63,12 @@ def verdicts(rows, excess=2.0, min_words=50):
         apart = 1 - sum(n * n for _, n in sums.values()) / len(rows) ** 2
         between = sum(n * (x / n - mean) ** 2 for x, n in sums.values()) / len(rows) - spread * (len(sums) - 1) / len(rows)
         for h, (x, n) in sums.items():
-            strength = max(spread * apart / between - 1, 1.0) if between > 1e-12 and apart > 1e-12 else None
-            rate = mean if strength is None else (x + mean * strength) / (n + strength)
-            bad[h, k] = rate >= excess * mean
+            if between <= 1e-12 or apart <= 1e-12 or not 0 < mean < 1:
+                bad[h, k] = False
+                continue
+            strength = max(spread * apart / between - 1, 1.0)
+            limit = odds * mean / (1 - mean + odds * mean)
+            bad[h, k] = above(mean * strength + x, (1 - mean) * strength + n - x, limit) >= level
     out = []
     for (_, _, h), f, (n, *_, r, _) in zip(rows, fails, counts):
         base = n < min_words or 100 * r > 50 * n
@@ -64,6 +76,24 @@ def verdicts(rows, excess=2.0, min_words=50):
     return out
 
 
+def test_beta_tails():
+    for a, b, x in ((0.5, 0.5, 0.3), (2, 5, 0.2), (3, 900, 0.01), (800, 40, 0.97), (0.5, 4, 0.4), (1e4, 2e4, 0.34)):
+        assert abs(beta_above(a, b, x) - above(a, b, x)) < 1e-4
+    assert beta_above(1e7, 1e9, 0.01) < 1e-6 and beta_above(1e7, 1e9, 0.0098) > 1 - 1e-6
+
+
+def test_hosts_are_judged_at_any_rate(spark):
+    """Where most documents fail, the host that is far worse still stands out; where none fails, there is no verdict."""
+    clean, noisy = " ".join(f"word{i}" for i in range(80)), " ".join(f"word{i}###" for i in range(80))
+    rows = [(i, noisy if i < 270 else clean, "worse") for i in range(300)] + [(1000 + i, noisy if i < 20 else clean, "better") for i in range(200)]
+    frame = lambda x: spark.createDataFrame(x, "doc_id long, text string, source string")
+    got = {r.doc_id: r.kept for r in judge(frame(rows)).collect()}
+    assert not any(got[i] for i in range(270)) and all(got[i] for i in got if i >= 270)
+    assert [got[i] for i, _, _ in rows] == verdicts(rows)
+    assert judge(frame([(i, clean, f"h{i % 3}") for i in range(90)])).filter("NOT kept").count() == 0
+    assert judge(frame([(i, noisy, f"h{i % 3}") for i in range(90)])).filter("NOT kept").count() == 0
+
+
 def _hosted(rnd, n=900):
     """Hosts of many sizes, some with many noisy pages, one without a name."""
     rows = []
