@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 _WHITE = " \t\n\v\f\r"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 _NO_ID = 1 << 62  # keys from here on stand for rows without an identifier of their own
 
 
@@ -61,16 +62,22 @@ class Staged:
         for scope in _scopes:
             scope.append(self)
 
-    def write(self, df: DataFrame) -> DataFrame:
-        """Write a table and read it; Spark deletes the shuffle files behind it at once."""
+    def write(self, df: DataFrame, batch_rows: int | None = None) -> DataFrame:
+        """Write a table and read it; Spark deletes the shuffle files behind it at once.
+
+        :param batch_rows: rows of an Arrow batch, for tables of wide rows.
+        """
         path = f"{self.root}/{self.count}"
         self.count += 1
-        before = self.spark.conf.get(_CLEAN_UP, "false")
-        self.spark.conf.set(_CLEAN_UP, "true")
+        wanted = {_CLEAN_UP: "true"} | ({_BATCH: str(batch_rows)} if batch_rows else {})
+        before = {k: self.spark.conf.get(k, None) for k in wanted}
+        for k, v in wanted.items():
+            self.spark.conf.set(k, v)
         try:
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.set(_CLEAN_UP, before)
+            for k, v in before.items():
+                self.spark.conf.set(k, v) if v is not None else self.spark.conf.unset(k)
         out = self.spark.read.schema(df.schema).parquet(path)
         out.staged_path = path
         return out

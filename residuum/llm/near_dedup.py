@@ -1,7 +1,7 @@
 """Near-duplicate groups from bottom-k sketches of one hash function.
 
 A document is the set of its word shingles, hashed once to 64 bits from sums
-over the words' bytes and places; links are confirmed on 64 bits more. All hashes have one order: first by
+over the words' bytes and places; links are confirmed on sets of other 64-bit hashes. All hashes have one order: first by
 how common they are (a class from a counting sketch of fixed size over the whole
 corpus), then by the hash. A document retains its bottom ``k`` values, where ``k``
 follows its size ``n``: ``n - ceil(t n) + 1`` for similarity ``t``. Two sets that are similar enough always share a retained value,
@@ -63,31 +63,27 @@ def _values(place: np.ndarray, byte: np.ndarray, lane: int) -> np.ndarray:
 _TABLES = [_values(np.repeat(np.arange(_NEAR), 256), np.tile(np.arange(256), _NEAR), lane) for lane in range(2)]
 
 
-def _sums(byte: np.ndarray, place: np.ndarray, begin: np.ndarray, lanes: int) -> np.ndarray:
+def _sums(byte: np.ndarray, place: np.ndarray, begin: np.ndarray, lane: int) -> np.ndarray:
     far = np.flatnonzero(place >= _NEAR)
-    at = (np.minimum(place, _NEAR - 1) << 8) + byte
-    out = np.empty((lanes, len(begin)), np.uint64)
-    for lane in range(lanes):
-        values = _TABLES[lane][at]
-        values[far] = _values(place[far], byte[far], lane)
-        out[lane] = np.add.reduceat(values, begin)
-    return out
+    values = _TABLES[lane][(np.minimum(place, _NEAR - 1) << 8) + byte]
+    values[far] = _values(place[far], byte[far], lane)
+    return np.add.reduceat(values, begin)
 
 
-def _word_hashes(raw: bytes, lanes: int = 1) -> tuple[np.ndarray, np.ndarray]:
-    """64 bits in each lane for every word of ``raw``, and the words' first bytes.
+def _word_hashes(raw: bytes, lane: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """64 bits for every word of ``raw``, others in each lane, and the words' first bytes.
 
     A word's hash is the mixed sum of numbers that are random in byte and place, so it has no
     algebra by which texts of one pattern could collide, and the bytes of a word add up in any pieces.
     """
-    hashes, firsts, at = [np.empty((lanes, 0), np.uint64)], [np.empty(0, np.int64)], 0
+    hashes, firsts, at = [np.empty(0, np.uint64)], [np.empty(0, np.int64)], 0
     while at < len(raw):
         cut = _BLANK.search(raw, at + _PIECE) if at + _PIECE < len(raw) else None
         end = cut.start() if cut else len(raw)
         edge = np.diff(np.r_[np.int8(0), (~_WHITE[np.frombuffer(raw, np.uint8, end - at, at)]).astype(np.int8), np.int8(0)])
         starts, sizes = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1) - np.flatnonzero(edge == 1)
         if len(starts):
-            total = np.zeros((lanes, len(starts)), np.uint64)
+            total = np.zeros(len(starts), np.uint64)
             upto = np.cumsum(sizes)
             for b in range(0, int(upto[-1]), 2 * _PIECE):  # one turn, but for a word of more than a piece
                 e = min(int(upto[-1]), b + 2 * _PIECE)
@@ -96,38 +92,33 @@ def _word_hashes(raw: bytes, lanes: int = 1) -> tuple[np.ndarray, np.ndarray]:
                 here = np.minimum(upto[low:high], e) - np.maximum(before, b)
                 place = np.arange(b, e) - np.repeat(before, here)
                 byte = np.frombuffer(raw, np.uint8)[at + np.repeat(starts[low:high], here) + place]
-                total[:, low:high] += _sums(byte.astype(np.int64), place, np.cumsum(here) - here, lanes)
+                total[low:high] += _sums(byte.astype(np.int64), place, np.cumsum(here) - here, lane)
             hashes.append(mix(total))
             firsts.append(starts + at)
         at = end
-    return np.concatenate(hashes, axis=1), np.concatenate(firsts)
+    return np.concatenate(hashes), np.concatenate(firsts)
 
 
-def shingle_sets(texts: list[str | None], size: int, limit: int = 500_000, checks: bool = False) -> Iterator[np.ndarray | tuple[np.ndarray, np.ndarray]]:
-    """For each text the sorted distinct 64-bit hashes of its ``size``-word shingles; with ``checks`` also 64 bits more of each."""
+def shingle_sets(texts: list[str | None], size: int, limit: int = 500_000, lane: int = 0) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct 64-bit hashes of its ``size``-word shingles."""
     for begin, end in slices(texts, limit):
         raws = [text_bytes(t).lower() for t in texts[begin:end]]
-        h, starts = _word_hashes(b" ".join(raws), 2 if checks else 1)
+        h, starts = _word_hashes(b" ".join(raws), lane)
         bounds = np.searchsorted(starts, np.cumsum([0, *(len(r) + 1 for r in raws)]))
         joined = _chained(h, size)
         for b, e in zip(bounds[:-1], bounds[1:]):
             if e - b >= size:
-                own = joined[:, b : e - size + 1]
+                yield np.unique(joined[b : e - size + 1])
             else:  # too few words: all of them are one shingle
-                own = _chained(h[:, b:e], e - b) if e > b else h[:, :0]
-            if checks:
-                first, at = np.unique(own[0], return_index=True)
-                yield first, own[1][at]
-            else:
-                yield np.unique(own[0])
+                yield _chained(h[b:e], e - b) if e > b else h[:0]
 
 
 def _chained(h: np.ndarray, size: int) -> np.ndarray:
-    """Hashes of ``size`` words in a row, in both halves."""
-    n = max(0, h.shape[1] - size + 1)
-    joined = h[:, :n].copy()
+    """Hashes of ``size`` words in a row."""
+    n = max(0, len(h) - size + 1)
+    joined = h[:n].copy()
     for i in range(1, size):
-        joined = mix(joined * MULTIPLIER + h[:, i : i + n])
+        joined = mix(joined * MULTIPLIER + h[i : i + n])
     return mix(joined)
 
 
@@ -187,12 +178,8 @@ def _classes(survey: DataFrame, bits: int) -> np.ndarray:
 
 def ordered(values: np.ndarray, classes: np.ndarray) -> np.ndarray:
     """The shingles in the order common to all documents, as positive 63-bit values."""
-    return np.sort(_keys(values, classes))
-
-
-def _keys(values: np.ndarray, classes: np.ndarray) -> np.ndarray:
     kind = classes[(values & np.uint64(len(classes) - 1)).astype(np.int64)].astype(np.uint64)
-    return ((kind << np.uint64(57)) | (values >> np.uint64(7))).astype(np.int64)
+    return np.sort((kind << np.uint64(57)) | (values >> np.uint64(7))).astype(np.int64)
 
 
 def retained(n: int, percent: int) -> int:
@@ -328,8 +315,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         for batch in batches:
             linked = []
             for x, y in zip(batch["sa"].to_pylist(), batch["sb"].to_pylist()):
-                x, y = (np.frombuffer(s, np.int64).reshape(2, -1) for s in (x, y))
-                linked.append(similar(x[0], y[0], percent, (x[1], y[1])))
+                linked.append(similar(np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64), percent))
             mask = pa.array(linked, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
@@ -337,8 +323,8 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def similar(x: np.ndarray, y: np.ndarray, percent: int, checks: tuple[np.ndarray, np.ndarray] | None = None) -> bool:
-    """Jaccard similarity of two ordered sets reaches ``percent`` per cent; shared values must agree in their ``checks``, too."""
+def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
+    """Jaccard similarity of two ordered sets reaches ``percent`` per cent."""
     total = len(x) + len(y)
     if not len(x) or not len(y):
         return False
@@ -348,8 +334,7 @@ def similar(x: np.ndarray, y: np.ndarray, percent: int, checks: tuple[np.ndarray
     shared = len(np.intersect1d(a, b, assume_unique=True))
     if (len(a) + len(b) - 2 * shared) * (100 + percent) > (100 - percent) * total:
         return False
-    _, at, by = np.intersect1d(x, y, assume_unique=True, return_indices=True)
-    shared = len(at) if checks is None else int((checks[0][at] == checks[1][by]).sum())
+    shared = len(np.intersect1d(x, y, assume_unique=True))
     return 100 * shared >= percent * (total - shared)
 
 
@@ -401,13 +386,9 @@ def _groups(
                 arrays = [pa.array(np.concatenate(x)) for x in (value, doc, n, pos)]
                 yield pa.RecordBatch.from_arrays(arrays, ["value", "doc_id", "n", "pos"])
 
-    def ordered_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def checked_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            sets = []
-            for values, checks in shingle_sets(batch["text"].to_pylist(), shingle_words, checks=True):
-                at = _keys(values, classes.value)
-                order = np.argsort(at)
-                sets.append(np.stack([at[order], checks[order].view(np.int64)]).tobytes())
+            sets = [s.tobytes() for s in shingle_sets(batch["text"].to_pylist(), shingle_words, lane=1)]
             yield pa.RecordBatch.from_arrays([batch["doc_id"], pa.array(sets, pa.binary())], ["doc_id", "values"])
 
     gone = copies.select("doc_id").distinct()
@@ -427,8 +408,8 @@ def _groups(
 
     def checked(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = staged.write(_only(rows.drop("own"), ids, broadcast_rows).mapInArrow(ordered_sets, "doc_id long, values binary"))
-        linked = staged.write(verify(pairs, sets, percent))
+        sets = staged.write(_only(rows.drop("own"), ids, broadcast_rows).mapInArrow(checked_sets, "doc_id long, values binary"))
+        linked = staged.write(verify(pairs, sets, percent), batch_rows=500)
         staged.drop(sets)
         return linked
 

@@ -121,12 +121,12 @@ def test_long_texts_in_pieces(monkeypatch):
     whole = next(near_dedup.shingle_sets([text], 3))
     monkeypatch.setattr(near_dedup, "_PIECE", 1000)
     assert (next(near_dedup.shingle_sets([text], 3)) == whole).all() and len(whole) == 9001
-    values, checks = next(near_dedup.shingle_sets([text], 3, checks=True))
+    other = next(near_dedup.shingle_sets([text], 3, lane=1))
+    assert len(other) == len(whole) and not set(other.tolist()) & set(whole.tolist())
     words = ["a", "y" * 9000, "b" * 63, "b" * 64, "b" * 65, "c" * 2001, "é", "y" * 9000]
-    few = near_dedup._word_hashes(" ".join(words).encode(), 2)[0]
+    few = near_dedup._word_hashes(" ".join(words).encode(), 1)[0]
     monkeypatch.setattr(near_dedup, "_PIECE", 1 << 20)
-    assert (near_dedup._word_hashes(" ".join(words).encode(), 2)[0] == few).all() and len(np.unique(few)) == 14
-    assert (values == whole).all() and len(np.unique(checks)) == len(whole)
+    assert (near_dedup._word_hashes(" ".join(words).encode(), 1)[0] == few).all() and len(np.unique(few)) == 7
 
 
 @pytest.mark.parametrize("size", [15, 16, 17, 18])
