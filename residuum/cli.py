@@ -1,4 +1,7 @@
-"""``python -m residuum.cli prep|test|summarize``, for spark-submit or alone."""
+"""``python -m residuum.cli prep|test|summarize|select|interface-test|interface-summarize``, for spark-submit or alone.
+
+What a step drops is counted by the job that writes its result, and lies beside it under ``dropped``.
+"""
 
 from __future__ import annotations
 
@@ -9,8 +12,10 @@ from pyspark.sql import functions as F
 
 from residuum.config import SAMPLERS, TestSettings
 from residuum.functions import columns as C
-from residuum.operators import mapping, nullmodel, spectra, structure, summarize
+from residuum.operators import interface, interface_tables, mapping, nullmodel, spectra, structure, summarize
+from residuum.operators.tally import Tally
 from residuum.sources import readers, writers
+from residuum.sources.staging import Stage, scratch
 
 
 def parser() -> argparse.ArgumentParser:
@@ -41,9 +46,41 @@ def parser() -> argparse.ArgumentParser:
     for name in ("results", "sites", "maps", "metadata", "genes", "out"):
         total.add_argument(f"--{name}", required=True)
     total.add_argument("--atoms", help="structure files, for the names of fragments")
+    select = steps.add_parser("select", help="lists of structures for interface tests")
+    for name in ("maps", "contacts", "complexes", "entries", "out"):
+        select.add_argument(f"--{name}", required=True)
+    faces = steps.add_parser("interface-test", help="mutation mass at interfaces against a null model")
+    for name in ("list", "maps", "contacts", "sites", "atoms", "out"):
+        faces.add_argument(f"--{name}", required=True)
+    for name in ("weights", "ttype", "gene-map", "coverage", "genome", "proteins", "spectra"):
+        faces.add_argument(f"--{name}")
+    faces.add_argument("--sampler", choices=("uniform", "coverage", "spectrum"), default="uniform")
+    faces.add_argument("--reach", type=float, default=5.0, help="of the band around contacts")
+    faces.add_argument("--max-draws", type=int, default=10_000)
+    faces.add_argument("--seed", type=int, default=0)
+    faces.add_argument("--run", default="1")
+    final = steps.add_parser("interface-summarize", help="tables of protein pairs, proteins and partners")
+    for name in ("results", "maps", "metadata", "genes", "out"):
+        final.add_argument(f"--{name}", required=True)
+    final.add_argument("--ligands")
+    for step in (test, faces, prep):
+        step.add_argument("--genome-format", choices=("fasta", "2bit"), default="fasta")
+    for step in (test, faces):
+        step.add_argument("--coverage-format", choices=("positions", "runs"), default="positions")
+        step.add_argument("--atoms-by-id", action="store_true", help="--atoms is a folder of {id[1:3]}/pdb{id}.ent.gz; only wanted files are opened")
     return top
 
 
+def _genome(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    return readers.two_bit(spark, a.genome) if a.genome_format == "2bit" else readers.genome(spark, a.genome)
+
+
+def _atoms(spark: SparkSession, a: argparse.Namespace, wanted: DataFrame) -> DataFrame:
+    """Atoms of the structures in ``wanted`` (``pdb_chain``)."""
+    ids = wanted.select(F.split_part("pdb_chain", F.lit("-"), F.lit(1)).alias("pdb")).distinct()
+    return readers.atoms(spark, a.atoms, ids=ids if a.atoms_by_id else None)
+
+
 def prep(spark: SparkSession, a: argparse.Namespace) -> None:
     if a.ptm:
         ptm = readers.ptm_sites(spark, a.ptm)
@@ -53,13 +90,16 @@ def prep(spark: SparkSession, a: argparse.Namespace) -> None:
     if not (a.mutations and a.gene_map and a.genome and a.proteins):
         raise SystemExit("prep needs --ptm, or --mutations, --gene-map, --genome and --proteins")
     muts = readers.mutations(spark, a.mutations)
-    genome = readers.genome(spark, a.genome)
-    mapped = mapping.to_residues(muts, readers.gene_map(spark, a.gene_map), genome, readers.proteins(spark, a.proteins))
+    genome = _genome(spark, a)
+    tally, of_spectra = Tally(), Tally()
+    mapped = mapping.to_residues(muts, readers.gene_map(spark, a.gene_map), genome, readers.proteins(spark, a.proteins), tally=tally)
     writers.by_protein(mapping.site_rows(mapped), f"{a.out}/sites")
+    writers.tsv(tally.table(spark).coalesce(1), f"{a.out}/dropped/sites")
     samples = spectra.coding(muts).withColumnRenamed("Tumor_Sample_Barcode", "sample")
     spectra.frequency_weights(spectra.sample_counts(samples)).write.parquet(f"{a.out}/weights")
     writers.mapped(mapping.changes_by_mutation(mapped), f"{a.out}/mapped")
-    writers.tsv(spectra.spectrum_pivot(spectra.channel_counts(muts, genome)), f"{a.out}/spectra")
+    writers.tsv(spectra.spectrum_pivot(spectra.channel_counts(muts, genome, tally=of_spectra)), f"{a.out}/spectra")
+    writers.tsv(of_spectra.table(spark).coalesce(1), f"{a.out}/dropped/spectra")
 
 
 def test(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -72,7 +112,7 @@ def test(spark: SparkSession, a: argparse.Namespace) -> None:
     weights = spark.read.parquet(a.weights) if a.weights and settings.sample_weights else None
     residues = structure.usable_maps(readers.residue_maps(spark, a.maps), sites)
     found = structure.mutated(residues, structure.site_weights(sites, weights, list(settings.classes), settings.ttype), settings.hill)
-    centres = structure.residue_centroids(residues, readers.atoms(spark, a.atoms))
+    centres = structure.residue_centroids(residues, _atoms(spark, a, residues))
     points = centres.join(found.select("structure", "i", "v"), ["structure", "i"], "left")
     points = points.join(found.select("structure").distinct(), "structure", "left_semi")
     names = {"lysine": ("LYS",), "phospho": ("SER", "TYR", "THR")}.get(settings.sampler)
@@ -90,7 +130,8 @@ def test(spark: SparkSession, a: argparse.Namespace) -> None:
                 raise SystemExit("the spectrum sampler needs --gene-map, --genome, --proteins and --spectra")
             hits = _hits(residues, sites, settings)
             vectors = _mutation_vectors(spark, a, residues, genes, covered, hits)
-    writers.append_results(nullmodel.structure_test(points, names=names, options=draws, vectors=vectors), a.out, a.run)
+    with scratch(spark):
+        writers.append_results(nullmodel.structure_test(points, names=names, options=draws, vectors=vectors), a.out, a.run)
 
 
 def _coverage_weights(spark: SparkSession, a: argparse.Namespace, residues: DataFrame, genes: DataFrame) -> DataFrame:
@@ -98,8 +139,11 @@ def _coverage_weights(spark: SparkSession, a: argparse.Namespace, residues: Data
     if not a.coverage:
         n = residues.groupBy("structure").agg(F.count("*").alias("n"))
         return residues.join(n, "structure").select("structure", "i", (1 / F.col("n")).alias("weight"))
-    at = mapping.first_gene(mapping.residue_positions(genes))
-    at = at.select(F.col("uniprot").alias("u1"), F.col("site").alias("u"), C.chromosome_number(F.col("chrom")).alias("chrn"), "pos")
+    # over the positions of all gene models of a protein
+    if a.coverage_format == "runs":
+        spans = mapping.residue_spans(genes).select(F.col("uniprot").alias("u1"), F.col("site").alias("u"), C.chromosome_number(F.col("chrom")).alias("chrn"), "s", "e")
+        return nullmodel.coverage_by_runs(residues.select("structure", "i", "u1", "u").join(spans, ["u1", "u"], "left"), readers.coverage_runs(spark, a.coverage))
+    at = mapping.residue_positions(genes).select(F.col("uniprot").alias("u1"), F.col("site").alias("u"), C.chromosome_number(F.col("chrom")).alias("chrn"), "pos")
     return nullmodel.coverage_weights(residues.select("structure", "i", "u1", "u").join(at, ["u1", "u"], "left"), readers.coverage(spark, a.coverage))
 
 
@@ -113,7 +157,7 @@ def _hits(residues: DataFrame, sites: DataFrame, settings: TestSettings) -> Data
 def _mutation_vectors(spark: SparkSession, a: argparse.Namespace, residues: DataFrame, genes: DataFrame, covered: DataFrame, hits: DataFrame) -> DataFrame:
     """``structure, site, i, w``: where each mutation may fall by the spectra of its patients."""
     positions = mapping.first_gene(mapping.residue_positions(genes))
-    codons = mapping.residue_codons(positions, readers.genome(spark, a.genome), readers.proteins(spark, a.proteins))
+    codons = mapping.residue_codons(positions, _genome(spark, a), readers.proteins(spark, a.proteins))
     own = codons.withColumnsRenamed({"uniprot": "u1", "site": "u"}).join(residues.select("structure", "i", "u1", "u"), ["u1", "u"])
     channels = nullmodel.residue_channels(own.select("structure", "i", "strand", "codon", "ctx"))
     spectrum = readers.spectra(spark, a.spectra).groupBy("patient", "channel").agg(F.sum("n").alias("n"))
@@ -126,15 +170,72 @@ def summary(spark: SparkSession, a: argparse.Namespace) -> None:
     residues = structure.usable_maps(maps, sites)
     covered = summarize.coverage_summary(residues, sites)
     genes = readers.gene_list(spark, a.genes)
-    table = summarize.summarize(spark.read.parquet(a.results), covered, readers.gene_metadata(spark, a.metadata), genes)
-    fragments = readers.fragments(spark, a.atoms) if a.atoms else None
-    writers.summary(summarize.summary_table(table, maps, fragments), a.out)
+    tally = Tally()
+    with scratch(spark):
+        table = summarize.summarize(spark.read.parquet(a.results), covered, readers.gene_metadata(spark, a.metadata), genes, tally)
+        fragments = readers.fragments(spark, a.atoms) if a.atoms else None
+        writers.summary(summarize.summary_table(table, maps, fragments), a.out)
+        writers.tsv(tally.table(spark).coalesce(1), f"{a.out.rstrip('/')}-dropped")
+
+
+def select(spark: SparkSession, a: argparse.Namespace) -> None:
+    entries = spark.read.option("sep", "\t").schema("entry string, uniprot string").csv(a.entries)
+    known = readers.complexes(spark, a.complexes, entries)
+    writers.structure_lists(interface_tables.selected(readers.residue_maps(spark, a.maps), readers.contacts(spark, a.contacts), known), a.out)
+
+
+def interface_test(spark: SparkSession, a: argparse.Namespace) -> None:
+    settings = TestSettings(ttype=a.ttype, sampler=a.sampler, max_draws=a.max_draws, seed=a.seed)
+    maps = readers.residue_maps(spark, a.maps).withColumn("line", F.monotonically_increasing_id())
+    maps = interface_tables.listed_maps(maps, readers.structure_list(spark, a.list))
+    residues = interface.chain_residues(maps).distinct()
+    sites = readers.protein_sites(spark, a.sites).filter(F.substring("mtype", 1, 1) == "M")
+    sites = sites.filter(F.col("ttype").startswith(a.ttype)) if a.ttype else sites
+    muts = interface.chain_mutations(residues, sites, spark.read.parquet(a.weights) if a.weights else None)
+    centres = _atoms(spark, a, maps).groupBy("pdb", "chain", "resnum").agg(*(F.avg(c).alias(c) for c in "xyz"))
+    contacts = readers.contacts(spark, a.contacts).join(residues.select("pdb").distinct(), "pdb", "left_semi")
+    edges = interface.with_band(contacts, centres, a.reach)
+    mass = muts.groupBy("pdb", "chain", "resnum").agg(F.sum("w").alias("w"))
+    points = residues.select("pdb", "chain", "resnum").distinct().join(mass, ["pdb", "chain", "resnum"], "left")
+    vectors = None
+    if a.sampler != "uniform":
+        if not a.gene_map or a.sampler == "coverage" and not a.coverage or a.sampler == "spectrum" and not (a.genome and a.proteins and a.spectra):
+            raise SystemExit("the coverage sampler needs --gene-map and --coverage; the spectrum sampler --gene-map, --genome, --proteins and --spectra")
+        own = residues.select(F.concat_ws("-", "pdb", "chain").alias("structure"), F.col("resnum").alias("i"), F.col("uniprot").alias("u1"), "u")
+        genes = readers.gene_map(spark, a.gene_map)
+        covered = _coverage_weights(spark, a, own, genes)
+        of_chain = [F.split_part("structure", F.lit("-"), F.lit(k + 1)).alias(n) for k, n in enumerate(("pdb", "chain"))]
+        if a.sampler == "coverage":
+            weight = covered.select(*of_chain, F.col("i").alias("resnum"), "weight")
+            points = points.join(weight, ["pdb", "chain", "resnum"], "left").fillna(0.0, ["weight"])
+        else:
+            vectors = _mutation_vectors(spark, a, own, genes, covered, _hits(own, sites, settings)).select(*of_chain, "site", F.col("i").alias("resnum"), "w")
+    with scratch(spark):
+        tested = interface.interface_test(points, edges, nullmodel.Draws(max_draws=a.max_draws, batch=min(10_000, a.max_draws), seed=a.seed), vectors)
+        rows = interface.result_rows(edges, residues, muts, tested.filter("draws > 0"))
+        writers.append_results(interface_tables.wide(rows), a.out, a.run)
+
+
+def interface_summary(spark: SparkSession, a: argparse.Namespace) -> None:
+    rows = spark.read.parquet(a.results).select(*(F.col(c) for c in interface_tables.WIDE if c not in ("gene1", "gene2", "list1", "list2", "length1", "length2", "q", "q_restricted")))
+    maps = readers.residue_maps(spark, a.maps).withColumn("line", F.monotonically_increasing_id())
+    metadata, genes = readers.gene_metadata(spark, a.metadata), readers.gene_list(spark, a.genes)
+    with scratch(spark):
+        pairs = Stage(spark, "pairs").write(interface_tables.pair_table(rows, maps, metadata, genes))
+        writers.tsv(pairs, f"{a.out}/PPI")
+        writers.tsv(interface_tables.protein_table(pairs), f"{a.out}/PPI_perProtein")
+        ligands = readers.ligands(spark, a.ligands) if a.ligands else None
+        for kind, name in (("L", "PLI"), ("d", "PdI"), ("D", "P_DI"), ("R", "PRI")):  # names that differ by more than case
+            writers.tsv(interface_tables.partner_table(rows, kind, maps, metadata, genes, ligands), f"{a.out}/{name}")
+
+
+STEPS = {"prep": prep, "test": test, "summarize": summary, "select": select, "interface-test": interface_test, "interface-summarize": interface_summary}
 
 
 def main(argv: list[str] | None = None) -> None:
     args = parser().parse_args(argv)
     spark = SparkSession.builder.appName(f"residuum-{args.step}").getOrCreate()
-    {"prep": prep, "test": test, "summarize": summary}[args.step](spark, args)
+    STEPS[args.step](spark, args)
 
 
 if __name__ == "__main__":

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
+from residuum.operators.tally import Tally, counted
 
 
 def snps(muts: DataFrame) -> DataFrame:
@@ -38,21 +39,24 @@ def context(muts: DataFrame, genome: DataFrame, at: Column, length: int, name: s
     return muts.join(chunks, ["chrom", "_chunk"]).withColumn(name, bases).drop("_seq", "_chunk")
 
 
-def to_residues(muts: DataFrame, genes: DataFrame, genome: DataFrame, proteins: DataFrame, chunk: int = 65536, width: int = 65536) -> DataFrame:
+def to_residues(
+    muts: DataFrame, genes: DataFrame, genome: DataFrame, proteins: DataFrame, chunk: int = 65536, width: int = 65536, tally: Tally | None = None
+) -> DataFrame:
     """One row per mutation and protein residue.
 
     A mutation falls into the first exon of each gene that holds it. Its codon is
     read base by base in genomic order; bases beyond the exon come from the exon
     next to it, and a codon that would reach past the first or last exon is
-    dropped. So is one whose amino acid is not the protein's.
+    dropped. So is one whose amino acid is not the protein's. ``tally`` counts the rows that
+    reach each step.
     """
-    muts = snps(muts).withColumn("chrom", C.chromosome_name(F.col("Chromosome"))).withColumn("p0", F.col("Start_position") - 1)
+    muts = counted(tally, snps(counted(tally, muts, "mutations")), "single bases").withColumn("chrom", C.chromosome_name(F.col("Chromosome"))).withColumn("p0", F.col("Start_position") - 1)
     muts = muts.withColumn("mutation", F.xxhash64("Tumor_Sample_Barcode", "ttype", "chrom", "p0", "Reference_Allele", "Tumor_Seq_Allele2"))
     cut = genes.select("chrom", "gene", "uniprot", "strand", "exons", "blocks", "excluded", F.posexplode("exons").alias("k", "exon"))
     cut = cut.withColumns({"s": F.col("exon.s"), "e": F.col("exon.e")}).drop("exon")
     hit = binned_join(muts, cut, ["chrom"], "p0", "s", "e", width).filter(~F.array_contains("excluded", F.col("p0")))
     first = hit.groupBy("mutation", "gene").agg(F.min("k").alias("k")).dropDuplicates()
-    hit = hit.join(first, ["mutation", "gene", "k"], "left_semi")
+    hit = counted(tally, hit.join(first, ["mutation", "gene", "k"], "left_semi"), "in exons")
 
     plus = F.col("strand") == "+"
     off = F.when(plus, F.col("p0") - F.col("s")).otherwise(F.col("e") - F.col("p0") - 1)
@@ -71,15 +75,16 @@ def to_residues(muts: DataFrame, genes: DataFrame, genome: DataFrame, proteins:
         )
 
     hit = hit.withColumns({f"b{i}": base(i) for i in range(3)}).dropna(subset=["b0", "b1", "b2"])
+    hit = counted(tally, hit, "whole codons")
     for i in range(3):
         hit = context(hit, genome, F.col(f"b{i}"), 1, f"c{i}", chunk)
     codon = F.concat("c0", "c1", "c2")
     new = F.overlay(codon, F.lower("Tumor_Seq_Allele2"), (F.col("r") + 1).cast("int"), F.lit(1))
     turn = lambda c: F.when(plus, c).otherwise(C.reverse_complement(c))
-    hit = hit.join(proteins.select("uniprot", "seq"), "uniprot")
+    hit = counted(tally, hit.join(proteins.select("uniprot", "seq"), "uniprot"), "known proteins")
     inside = (F.col("aa0") >= 0) & (F.col("aa0") < F.length("seq"))
     ref, alt = C.translate_codon(turn(codon)), C.translate_codon(turn(new))
-    return (
+    found = (
         hit.filter(inside)
         .withColumn("aa_ref", ref)
         .filter(F.col("aa_ref") == F.substring(F.col("seq"), F.col("aa0") + 1, F.lit(1)))
@@ -89,6 +94,7 @@ def to_residues(muts: DataFrame, genes: DataFrame, genome: DataFrame, proteins:
         )
         .dropna(subset=["aa_alt"])
     )
+    return counted(tally, found, "same amino acid")
 
 
 def changes_by_mutation(mapped: DataFrame) -> DataFrame:

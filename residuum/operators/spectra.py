@@ -9,6 +9,7 @@ from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators.mapping import context, snps
 from residuum.operators.ranges import in_ranges
+from residuum.operators.tally import Tally, counted
 
 
 def coding(muts: DataFrame, column: str = "Variant_Classification") -> DataFrame:
@@ -51,11 +52,11 @@ def ptm_counts(ptm: DataFrame) -> DataFrame:
     return ptm.groupBy(F.col("patient").alias("sample")).agg(F.sum("value").alias("mut_count"))
 
 
-def channel_counts(muts: DataFrame, genome: DataFrame, chunk: int = 65536) -> DataFrame:
+def channel_counts(muts: DataFrame, genome: DataFrame, chunk: int = 65536, tally: Tally | None = None) -> DataFrame:
     """``patient, ttype, channel`` of each usable SNP; patients without one stay with a null channel."""
     rows = snps(muts).filter("Variant_Type = 'SNP'").withColumn("chrom", C.chromosome_name(F.col("Chromosome")))
-    rows = context(rows, genome, F.col("Start_position") - 2, 3, "abc", chunk)
-    rows = rows.filter(F.substring("abc", 2, 1) == F.lower("Reference_Allele"))
+    rows = counted(tally, context(rows, genome, F.col("Start_position") - 2, 3, "abc", chunk), "with bases around")
+    rows = counted(tally, rows.filter(F.substring("abc", 2, 1) == F.lower("Reference_Allele")), "same base")
     index = C.channel_index(F.col("abc"), F.lower("Tumor_Seq_Allele2"))
     return rows.select(F.col("Tumor_Sample_Barcode").alias("patient"), "ttype", index.alias("channel"))
 

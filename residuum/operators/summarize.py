@@ -13,6 +13,7 @@ from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators import greedy
 from residuum.operators.ranges import in_ranges
+from residuum.operators.tally import Tally, counted
 from residuum.sources.staging import Stage
 
 
@@ -214,17 +215,19 @@ def summary_table(table: DataFrame, maps: DataFrame, fragments: DataFrame | None
     )
 
 
-def summarize(results: DataFrame, coverage: DataFrame, metadata: DataFrame, genes: DataFrame) -> DataFrame:
+def summarize(results: DataFrame, coverage: DataFrame, metadata: DataFrame, genes: DataFrame, tally: Tally | None = None) -> DataFrame:
     """The final table, by p.
 
-    ``results`` holds ``structure, scale_idx, exceed, draws, status`` of all runs.
+    ``results`` holds ``structure, scale_idx, exceed, draws, status`` of all runs. ``tally`` counts the rows that reach each step.
     """
     total = results.groupBy("structure", "scale_idx").agg(
         F.sum("exceed").alias("e"), F.sum("draws").alias("d"), F.max("status").alias("status")
     )
     p = total.filter(F.col("scale_idx") == K.REPORTED_SCALE).select("structure", F.try_divide("e", "d").alias("p"), "status")
-    rows = coverage.join(p.dropna(subset=["p"]), "structure").withColumn("key", F.col("structure").cast("string"))
-    kept = representatives(rows, "u1").filter("kept")
-    full = annotate(kept, metadata, genes)
+    p = counted(tally, p.dropna(subset=["p"]), "tested structures")
+    rows = counted(tally, coverage.join(p, "structure"), "with mutated residues").withColumn("key", F.col("structure").cast("string"))
+    rows = Stage(rows.sparkSession, "summary").write(rows)
+    kept = counted(tally, representatives(rows, "u1").filter("kept"), "representatives")
+    full = counted(tally, annotate(kept, metadata, genes), "named proteins")
     full = bh_fdr(full, "p", "key", "q_full")
     return bh_fdr_restricted(full, "p", "key", F.col("symbol").isNotNull()).orderBy("p", "key")

@@ -53,7 +53,10 @@ def mapped(df: DataFrame, path: str) -> None:
     tsv(df.withColumn("uniprot_change", F.array_join(F.transform("uniprot_changes", one), "; ")).drop("uniprot_changes"), path)
 
 
-def structure_lists(df: DataFrame, path: str) -> None:
-    """``pdb c:uniprot:residue_c:uniprot:residue`` lines."""
-    side = lambda k: F.concat_ws(":", f"{k}_chain", f"{k}_uniprot", F.col(f"{k}_start").cast("string"))
-    df.select(F.concat(F.col("pdb"), F.lit(" "), side("a"), F.lit("_"), side("b")).alias("value")).write.text(path)
+def structure_lists(lists: dict[str, DataFrame], path: str) -> None:
+    """A list of structures for each name: ids, or ``pdb c:uniprot:residue`` with ``_c:uniprot:residue`` for pairs."""
+    for name, df in lists.items():
+        side = lambda k: F.concat_ws(":", f"{k}_chain", f"{k}_uniprot", F.col(f"{k}_start").cast("string"))
+        sides = [side(k) for k in "ab" if f"{k}_chain" in df.columns]
+        line = F.concat(F.col("pdb"), F.lit(" "), F.concat_ws("_", *sides)) if sides else F.col("pdb")
+        df.select(line.alias("value")).write.text(f"{path}/{name}")
