@@ -7,16 +7,18 @@ their mutations.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators import interface, mapping, nullmodel, spectra, structure, summarize
+from residuum.operators.tally import Tally
 from residuum.plans import files
 from residuum.plans import tables as T
 from residuum.plans.registry import query
 from residuum.sources import readers, writers
+from residuum.sources.structure_files import structure_lines
 
 # Genes, genome and proteins
 
@@ -70,13 +72,15 @@ def _protein_file(spark: SparkSession, d: str) -> str:
 
 
 def _genome_file(spark: SparkSession, d: str) -> str:
-    """Chromosomes in lines of 1000 bases."""
+    """Chromosomes in lines of 1000 bases, each line a row."""
     size = T.table(spark, d, "part").agg(((F.max("p_partkey") + 2) / 10).cast("long").alias("rows"))
-    chroms = spark.range(1, _CHROMS + 1).select(F.col("id").alias("c")).crossJoin(F.broadcast(size))  # one row
-    line = lambda r: F.array_join(F.transform(F.sequence(r * 1000, r * 1000 + 999), lambda p: _base(p, F.col("c"))), "")
-    text = F.array_join(F.transform(F.sequence(F.lit(0).cast("long"), F.col("rows")), line), "\n")
+    rows = spark.range(1, _CHROMS + 1).select(F.col("id").alias("c")).crossJoin(F.broadcast(size))  # one row
+    rows = rows.select("c", F.explode(F.sequence(F.lit(-1).cast("long"), F.col("rows"))).alias("r"))
+    bases = F.array_join(F.transform(F.sequence(F.col("r") * 1000, F.col("r") * 1000 + 999), lambda p: _base(p, F.col("c"))), "")
+    line = F.when(F.col("r") < 0, F.concat(F.lit(">chr"), F.col("c").cast("string"), F.lit(" made"))).otherwise(bases)
     path = files.new_path(spark, "genome")
-    chroms.select(F.concat(F.lit(">chr"), F.col("c").cast("string"), F.lit(" made\n"), text).alias("value")).write.text(path)
+    ordered = rows.repartition("c").sortWithinPartitions("c", "r").select("c", line.alias("value"))
+    ordered.write.partitionBy("c").text(path)
     return path
 
 
@@ -429,9 +433,17 @@ def maps_of_structures(spark: SparkSession, d: str) -> DataFrame:
     return rows.select("pdb_chain", "u1", F.col("i").cast("long").alias("i"), F.col("u").cast("long").alias("u"))
 
 
+_RESIDUES = 9000  # of a structure, as their numbers have four digits
+
+
+def _structure_name(block: Column) -> Column:
+    return F.format_string("s%d%02d", F.col("label"), block)
+
+
 def _structure_files(spark: SparkSession, d: str) -> str:
-    """Structures ``s<label>`` with two atoms a residue, and a header with molecules."""
-    e = T.table(spark, d, "embeddings").select(F.format_string("s%03d", "label").alias("pdb"), F.row_number().over(_by_label()).alias("r"), "embedding")
+    """Structures ``s<label><block>`` with two atoms a residue, and a header with molecules."""
+    e = T.table(spark, d, "embeddings").select("label", (F.row_number().over(_by_label()) - 1).alias("at"), "embedding")
+    e = e.select(_structure_name(F.floor(F.col("at") / _RESIDUES)).alias("pdb"), (F.col("at") % _RESIDUES + 1).alias("r"), "embedding")
     atom = lambda k: F.format_string(
         "ATOM  %5d  C%d  %3s %1s%4d    %8.3f%8.3f%8.3f  1.00  0.00", F.col("r") * 2 + k, F.lit(k), F.when(F.col("r") % 7 == 0, "MSE").otherwise("GLY"), F.when(F.col("r") % 2 == 0, "A").otherwise("B"), F.col("r"),
         *(F.floor(F.get("embedding", F.lit(3 * k + o)).cast("double") * 1000) / 100 for o in range(3)),
@@ -452,16 +464,18 @@ def _by_label():
     return Window.partitionBy("label").orderBy("vec_id")
 
 
-_ATOMS = """e AS (SELECT format('s{:03d}', label) AS pdb, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS r, embedding FROM embeddings),
+_BLOCKS = f"""e AS (SELECT format('s{{:d}}{{:02d}}', label, n // {_RESIDUES}) AS pdb, label, n % {_RESIDUES} + 1 AS r, embedding
+  FROM (SELECT label, embedding, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS n FROM embeddings))"""
+_ATOMS = f"""{_BLOCKS},
 atoms AS (SELECT pdb, r, CASE WHEN r % 2 = 0 THEN 'A' ELSE 'B' END AS chain, floor(embedding[3*k+1]::DOUBLE * 1000) / 100 AS x, floor(embedding[3*k+2]::DOUBLE * 1000) / 100 AS y, floor(embedding[3*k+3]::DOUBLE * 1000) / 100 AS z
   FROM e, (VALUES (0), (1)) t(k))"""
 
 
-@query(f"WITH {_ATOMS} SELECT pdb, chain, r AS i, CASE WHEN r % 7 = 0 THEN 'MSE' ELSE 'GLY' END AS resname, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM atoms WHERE r <= 900 GROUP BY ALL")
+@query(f"WITH {_ATOMS} SELECT pdb, chain, r AS i, CASE WHEN r % 7 = 0 THEN 'MSE' ELSE 'GLY' END AS resname, round(avg(x), 4) AS x, round(avg(y), 4) AS y, round(avg(z), 4) AS z FROM atoms GROUP BY ALL")
 def structure_centroids(spark: SparkSession, d: str) -> DataFrame:
     """Residue centres from structure files."""
     atoms = readers.atoms(spark, _structure_files(spark, d), ["A", "B"])
-    own = atoms.select("pdb", "chain", "resnum").distinct().filter("resnum <= 900")
+    own = atoms.select("pdb", "chain", "resnum").distinct()
     residues = own.select(
         F.concat_ws("-", "pdb", "chain").alias("structure"), F.concat_ws("-", "pdb", "chain").alias("pdb_chain"), F.col("resnum").alias("p"), F.col("resnum").alias("i"), F.col("resnum").alias("u")
     )
@@ -470,7 +484,7 @@ def structure_centroids(spark: SparkSession, d: str) -> DataFrame:
     return found.select(F.get(parts, F.lit(0)).alias("pdb"), F.get(parts, F.lit(1)).alias("chain"), F.col("i").cast("long").alias("i"), "resname", *(F.round(c, 4).alias(c) for c in "xyz"))
 
 
-@query("SELECT format('s{:03d}', label) AS pdb, chain, CASE WHEN chain = 'B' THEN 'NA' ELSE 'PART ' || format('s{:03d}', label) END AS fragment FROM (SELECT DISTINCT label FROM embeddings), (VALUES ('A'), ('B'), ('C')) t(chain)")
+@query(f"WITH {_BLOCKS} SELECT pdb, chain, CASE WHEN chain = 'B' THEN 'NA' ELSE 'PART ' || pdb END AS fragment FROM (SELECT DISTINCT pdb FROM e), (VALUES ('A'), ('B'), ('C')) t(chain)")
 def structure_fragments(spark: SparkSession, d: str) -> DataFrame:
     return readers.fragments(spark, _structure_files(spark, d))
 
@@ -793,3 +807,108 @@ def interface_per_protein(spark: SparkSession, d: str) -> DataFrame:
     listed = spark.range(0, 40, 3).select(F.explode(F.array(*(F.concat(F.lit(c), F.col("id").cast("string")) for c in ("UA", "UB")))).alias("uniprot"))
     found = interface.per_protein(rows, listed)
     return found.select("uniprot", "key", F.round("mass", 2).alias("mass"), *(F.round(c, 9).alias(c) for c in ("p", "q", "q_restricted")))
+
+
+# Runs, medians, counts in passing and files by id
+
+
+@query(f"""WITH {_GENES}, m AS (SELECT g, idx // 3 + 1 AS i, avg(CASE WHEN g % 6 <> 5 THEN ((b + 7 * ((p - b) // 7)) % 17)::DOUBLE END) AS v FROM coding WHERE NOT excluded GROUP BY 1, 2),
+c AS (SELECT g, i, coalesce(v, 0) AS v FROM m)
+SELECT 'U' || g AS structure, i, round(CASE WHEN sum(v) OVER w > 0 THEN v / sum(v) OVER w ELSE 1e0 / count(*) OVER w END, 9) AS weight FROM c WINDOW w AS (PARTITION BY g)""")
+def coverage_runs(spark: SparkSession, d: str) -> DataFrame:
+    """Draw weights of residues from runs of equal coverage, which cut codons anywhere."""
+    g = _genes(spark, d).filter("g % 6 <> 5")
+    step = F.explode(F.sequence(F.col("b"), F.col("e1") - 1, F.lit(7).cast("long"))).alias("start")
+    rows = g.select(F.col("c").alias("chrn"), step, "e1")
+    path = files.new_path(spark, "coverage-runs")
+    writers.tsv(rows.select("chrn", "start", F.least(F.col("start") + 7, F.col("e1")).alias("end"), (F.col("start") % 17).alias("cov")), path)
+    spans = mapping.residue_spans(readers.gene_map(spark, _gene_file(spark, d)))
+    spans = spans.select(F.col("uniprot").alias("structure"), F.col("site").alias("i"), C.chromosome_number(F.col("chrom")).alias("chrn"), "s", "e")
+    found = nullmodel.coverage_by_runs(spans, readers.coverage_runs(spark, path), 512)
+    return found.select("structure", F.col("i").cast("long").alias("i"), F.round("weight", 9).alias("weight"))
+
+
+@query("SELECT l_returnflag, l_linenumber % 2 AS side, median(l_extendedprice) AS middle FROM lineitem GROUP BY ALL")
+def exact_medians(spark: SparkSession, d: str) -> DataFrame:
+    """Medians of few keys with many values, in rounds of buckets."""
+    rows = T.table(spark, d, "lineitem").select("l_returnflag", (F.col("l_linenumber") % 2).cast("long").alias("side"), "l_extendedprice")
+    return nullmodel.exact_median(rows, ["l_returnflag", "side"], "l_extendedprice", "middle", held=50)
+
+
+@query(f"""WITH {_MAPPED}, s AS (SELECT 1 AS k, 'mutations' AS step, count(*) AS n FROM muts UNION ALL SELECT 2, 'single bases', count(*) FROM muts WHERE alt <> '-'
+UNION ALL SELECT 3, 'in exons', count(*) FROM muts m JOIN tr t ON m.g = t.g AND m.p = t.p WHERE NOT excluded AND alt <> '-' UNION ALL SELECT 6, 'same amino acid', count(*) FROM mapped)
+SELECT step, n FROM s""")
+def dropped_mutations(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that reach the steps of the mapping, counted by the job that writes its result."""
+    tally = Tally()
+    mapped = mapping.to_residues(
+        readers.mutations(spark, _mutation_file(spark, d)), readers.gene_map(spark, _gene_file(spark, d)),
+        readers.genome(spark, _genome_file(spark, d), 4096), readers.proteins(spark, _protein_file(spark, d)), 4096, 512, tally,
+    )
+    mapped.write.parquet(files.new_path(spark, "counted"))
+    return tally.table(spark).filter(F.col("step").isin("mutations", "single bases", "in exons", "same amino acid")).select("step", "n")
+
+
+@query(f"WITH {_BLOCKS} SELECT pdb, 2 * count(*) AS atoms, 1::BIGINT AS found FROM e WHERE label % 3 = 1 GROUP BY 1 UNION ALL SELECT 'none', 0, 0")
+def structures_by_id(spark: SparkSession, d: str) -> DataFrame:
+    """Only the files of structures that a table names are opened; an id without a file is reported."""
+    blocks = T.table(spark, d, "embeddings").filter("label % 3 = 1").groupBy("label").agg(F.floor((F.count("*") - 1) / _RESIDUES).alias("last"))
+    ids = blocks.select("label", F.explode(F.sequence(F.lit(0).cast("long"), F.col("last"))).alias("block")).select(_structure_name(F.col("block")).alias("pdb"))
+    ids = ids.unionByName(spark.range(1).select(F.lit("none").alias("pdb")))
+    lines = structure_lines(ids, _structure_files(spark, d), pattern="pdb{id}.ent")
+    found = lines.groupBy("pdb").agg(F.count_if(F.col("value").startswith("ATOM")).alias("atoms"), F.max(F.col("n").isNotNull().cast("long")).alias("found"))
+    return found.select("pdb", "atoms", "found")
+
+
+_CHROMOSOMES = "SELECT p_partkey AS k, CASE p_partkey % 29 WHEN 25 THEN 'X' WHEN 26 THEN 'Y' WHEN 27 THEN 'MT' WHEN 0 THEN '1' ELSE (p_partkey % 29)::VARCHAR END AS name FROM part"
+
+
+@query(f"""SELECT k, 'chr' || CASE name WHEN '23' THEN 'X' WHEN '24' THEN 'Y' WHEN 'MT' THEN 'M' ELSE name END AS chrom,
+  CASE WHEN name IN ('X', '23') THEN 23 WHEN name IN ('Y', '24') THEN 24 WHEN name = 'MT' THEN 25 ELSE name::INT END AS number FROM ({_CHROMOSOMES})""")
+def chromosome_names(spark: SparkSession, d: str) -> DataFrame:
+    """Names with the prefix, and numbers back from them, sex chromosomes and mitochondria included."""
+    n = F.col("p_partkey") % 29
+    name = F.when(n == 25, "X").when(n == 26, "Y").when(n == 27, "MT").when(n == 0, "1").otherwise(n.cast("string"))
+    rows = T.table(spark, d, "part").select(F.col("p_partkey").alias("k"), C.chromosome_name(name).alias("chrom"))
+    return rows.withColumn("number", C.chromosome_number(F.col("chrom")))
+
+
+@query("""WITH m AS (SELECT l_orderkey AS s, l_linenumber::BIGINT AS u, l_suppkey % 40 - 1 AS p FROM lineitem), ok AS (SELECT s FROM m GROUP BY 1 HAVING count(*) >= 5 AND min(p) >= 0),
+c AS (SELECT *, count(*) OVER (PARTITION BY s, p) AS n FROM m WHERE s IN (FROM ok)) SELECT s AS structure, u, p FROM c WHERE n = 1""")
+def negative_residues(spark: SparkSession, d: str) -> DataFrame:
+    """Maps with a negative residue go as a whole; residues mapped twice lose all copies."""
+    pair = F.struct(F.col("l_linenumber").cast("int").alias("u"), (F.col("l_suppkey") % 40 - 1).cast("int").alias("p"))
+    maps = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("structure")).agg(F.array_sort(F.collect_list(pair)).alias("resmap"))
+    maps = maps.withColumns({"u1": F.lit("P"), "u2": F.lit("P"), "pdb_chain": F.lit("s-A")})
+    return structure.usable_maps(maps).select("structure", F.col("u").cast("long").alias("u"), F.col("p").cast("long").alias("p"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS s, l_linenumber AS i, max(l_quantity) AS x, max(l_partkey) % 23 = 0 AS odd, max(l_suppkey) % 31 = 0 AS absent FROM lineitem GROUP BY 1, 2)
+SELECT s::VARCHAR AS structure, i::BIGINT AS i, round(x + 0.5e0, 6) AS x FROM r WHERE s NOT IN (SELECT s FROM r WHERE odd OR absent)""")
+def broken_structures(spark: SparkSession, d: str) -> DataFrame:
+    """A structure with a residue of an unknown name, or without atoms of one, goes as a whole."""
+    items = T.table(spark, d, "lineitem").groupBy(F.col("l_orderkey").cast("string").alias("pdb"), F.col("l_linenumber").cast("int").alias("r"))
+    items = items.agg(F.max("l_quantity").cast("double").alias("x"), *(F.max(c).alias(c) for c in ("l_partkey", "l_suppkey")))
+    at = items.filter("l_suppkey % 31 <> 0").select("pdb", F.lit("A").alias("chain"), F.col("r").alias("resnum"), F.when(F.col("l_partkey") % 23 == 0, "???").otherwise("GLY").alias("resname"), F.explode(F.array(F.col("x"), F.col("x") + 1)).alias("x"))
+    atoms = at.withColumns({"y": F.lit(0.0), "z": F.lit(0.0)})
+    residues = items.select(F.col("pdb").alias("structure"), F.concat("pdb", F.lit("-A")).alias("pdb_chain"), F.col("r").alias("i"), F.col("r").alias("u"), F.col("r").alias("p"))
+    found = structure.residue_centroids(residues, atoms)
+    return found.select("structure", F.col("i").cast("long").alias("i"), F.round("x", 6).alias("x"))
+
+
+@query("""WITH r AS (SELECT l_orderkey AS k, 'u' || l_suppkey % 6 AS u1, 'u' || l_partkey % 6 AS u2, (l_partkey % 3)::DOUBLE * (l_suppkey % 6 % 2) AS i1, (l_linenumber % 3)::DOUBLE AS i2, l_linenumber AS n, ((l_orderkey * 31 + l_linenumber) % 101 + 1) / 102e0 AS p FROM lineitem),
+f AS (SELECT *, least(u1, u2) AS ua, greatest(u1, u2) AS ub FROM r WHERE u1 <> u2), t AS (SELECT ua, ub, max(i1) AS t1, max(i2) AS t2 FROM f GROUP BY 1, 2)
+SELECT ua, ub, least(t1, t2) > 0 AS kept, (SELECT count(*) FROM f WHERE f.ua = t.ua AND f.ub = t.ub) AS n FROM t""")
+def empty_interfaces(spark: SparkSession, d: str) -> DataFrame:
+    """Pairs of proteins whose interfaces have no mapped residues on one side are dropped."""
+    text = lambda c: F.concat(F.lit("u"), (F.col(c) % 6).cast("string"))
+    name = lambda s, c: F.concat(F.lit(s), F.col(c).cast("string"))
+    rows = T.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("pdb"), name("c", "l_suppkey").alias("c1"), name("d", "l_partkey").alias("c2"), text("l_suppkey").alias("u1"), text("l_partkey").alias("u2"),
+        F.lit(10.0).alias("mapped1"), ((F.col("l_partkey") % 3) * (F.col("l_suppkey") % 6 % 2)).cast("double").alias("iface1"), F.lit(10.0).alias("mapped2"), (F.col("l_linenumber") % 3).cast("double").alias("iface2"),
+        (((F.col("l_orderkey") * 31 + F.col("l_linenumber")) % 101 + 1) / 102.0).alias("p"),
+    )
+    ids = rows.select("u1", F.concat_ws("-", "pdb", "c1").alias("pdb_chain")).unionByName(rows.select(F.col("u2").alias("u1"), F.concat_ws("-", "pdb", "c2").alias("pdb_chain"))).distinct()
+    best = interface.best_pair_rows(rows, ids.withColumn("identity", F.lit(90.0))).select("ua", "ub", F.lit(True).alias("_kept"))
+    pairs = rows.filter("u1 <> u2").groupBy(F.least("u1", "u2").alias("ua"), F.greatest("u1", "u2").alias("ub")).agg(F.count("*").alias("n"))
+    return pairs.join(best, ["ua", "ub"], "left").select("ua", "ub", F.coalesce("_kept", F.lit(False)).alias("kept"), "n")
