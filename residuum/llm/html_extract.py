@@ -6,19 +6,20 @@ renderer walks the tree and writes all visible text. Hidden are elements that
 browsers do not show (head matter, scripts, templates, closed dialogs), ``hidden``
 attributes, ``display:none``, and closed ``details`` apart from their summary;
 ``visibility:hidden`` hides text down to where it is set visible again. Styles come
-from ``style`` attributes and from the rules of ``style`` elements whose selectors
-name tags, classes and identifiers of one element (others, as those with
-combinators, are not looked at), in the order of the cascade. Block elements start
+from ``style`` attributes and from the rules of ``style`` elements, in the order of the
+cascade: selectors of tags, classes, identifiers and attributes, ``:not``, first, last and only
+children, with all combinators (rules with other pseudo-classes are not looked at). Conditions
+on media are weighed for a desktop screen, :data:`VIEWPORT`. Block elements start
 new lines, paragraphs and headings are set apart by an empty line, list items get
 bullets or numbers with indentation, and the cells of a table, spans over columns
-and rows included, are padded to common column widths. Formulas, labels of
-drawings, all options of choices and the contents of text areas are text.
+and rows included, are padded to common column widths; cells of over 80 characters are
+wrapped at spaces. Formulas, labels of drawings and buttons, all options of choices and the
+contents of text areas are text.
 
-Elements may be nested to any depth. Inside 100 quotes, list items and tables
-indentation and columns stop growing; text, marks, lines and cells stay apart.
+Elements may be nested to any depth. Inside 50 quotes and list items indentation stops
+growing; tables, lists and lines go on.
 
-Null or empty pages give an empty text. Pages of any length are read whole, in
-time linear in their length apart from tables. Repeated rows and null
+Null or empty pages give an empty text. Pages of any length are read whole. Repeated rows and null
 identifiers are rendered like others; an empty table gives an empty result;
 extra columns do not matter, whatever their names.
 """
@@ -27,9 +28,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from bisect import bisect_right
+from bisect import bisect_left, bisect_right
 from collections import defaultdict
 from collections.abc import Generator, Iterator
+from heapq import heappop, heappush
 from html import unescape
 from typing import Any
 
@@ -92,7 +94,6 @@ _TOKEN = re.compile(
 )
 _ATTRIBUTE = re.compile(_PAIR)
 _DECLARATION = re.compile(r"(?:\A|;)\s*+(display|visibility)\s*+:\s*+([a-z-]++)\s*+(!\s*+important)?", re.I)
-_SELECTOR = re.compile(r"([a-z][\w-]*+|\*)?+((?:[.#][\w-]++)*+)", re.I)
 _COMMENT = re.compile(r"/\*.*?(?:\*/|\Z)", re.S)
 _LAST = re.compile(r"[^\s\"'>]*+")  # of a reversed text
 _WHITE = re.compile(r"[ \t\n\r\f]+")
@@ -100,10 +101,32 @@ _WHITE = re.compile(r"[ \t\n\r\f]+")
 
 class Node:
     #: ``space``: "" for HTML, "math", "svg" where text is not drawn, "label" in a text of a drawing, "none" if unseen
-    __slots__ = ("tag", "attrs", "children", "space", "shown")
+    #: ``up``, ``number``, ``siblings``: the parent, and the place among its elements
+    __slots__ = ("tag", "attrs", "children", "space", "shown", "up", "number", "siblings", "_marks")
 
     def __init__(self, tag: str, attrs: dict[str, str], space: str = ""):
         self.tag, self.attrs, self.children, self.space, self.shown = tag, attrs, [], space, True
+        self.up, self.number, self.siblings, self._marks = None, 0, [self], None
+
+    def marks(self) -> set[str]:
+        """Classes and identifier, as selectors write them."""
+        if self._marks is None:
+            self._marks = {"." + c for c in self.attrs.get("class", "").split()} | ({"#" + self.attrs["id"]} if "id" in self.attrs else set())
+        return self._marks
+
+    def before(self) -> Node | None:
+        return self.siblings[self.number - 1] if self.number else None
+
+    def at(self, place: str) -> bool:
+        if place == "root":
+            return self.up is None
+        if place == "empty":
+            return not any(isinstance(c, Node) or c for c in self.children)
+        return (place == "last-child" or self.number == 0) and (place == "first-child" or self.number == len(self.siblings) - 1)
+
+    def label(self) -> str:
+        """What a button shows."""
+        return self.attrs.get("value", "") if self.attrs.get("type", "").lower() in ("submit", "button", "reset") else ""
 
 
 def _space(tag: str, around: str) -> str:
@@ -220,9 +243,76 @@ def parse(html: str) -> Node:
     return root
 
 
+#: The window for which media conditions are weighed: a desktop screen.
+VIEWPORT = {"width": 1280.0, "height": 800.0, "device-width": 1280.0, "device-height": 800.0}
+_UNITS = {"px": 1.0, "em": 16.0, "rem": 16.0, "pt": 4 / 3, "cm": 96 / 2.54, "in": 96.0, "": 1.0}
+_TRUE = frozenset([
+    ("orientation", "landscape"), ("prefers-color-scheme", "light"), ("prefers-reduced-motion", "no-preference"), ("hover", "hover"), ("pointer", "fine"),
+    ("any-hover", "hover"), ("any-pointer", "fine"), ("scripting", "none"), ("color", ""), ("hover", ""), ("width", ""), ("height", ""), ("display-mode", "browser"),
+])
+_LENGTH = re.compile(r"([0-9.]++)\s*+(px|em|rem|pt|cm|in|)")
+_COMPARED = re.compile(r"(?:([0-9.]+\s*[a-z]*)\s*(<=|>=|<|>)\s*)?((?:device-)?(?:width|height))\s*(?:(<=|>=|<|>|=)\s*([0-9.]+\s*[a-z]*))?")
+
+
+def _pixels(value: str) -> float | None:
+    m = _LENGTH.fullmatch(value.strip())
+    try:
+        return float(m[1]) * _UNITS[m[2]] if m else None
+    except ValueError:
+        return None
+
+
+def _compare(a: float | None, sign: str, b: float | None) -> bool:
+    if a is None or b is None:
+        return False
+    return {"<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b, "=": a == b}[sign]
+
+
+def _feature(condition: str) -> bool:
+    """One condition in brackets, for a desktop screen; unknown ones do not hold."""
+    name, colon, value = (x.strip() for x in condition.partition(":"))
+    if not colon:
+        m = _COMPARED.fullmatch(name)
+        if m and (m[2] or m[4]):
+            own = VIEWPORT[m[3]]
+            return (not m[2] or _compare(_pixels(m[1]), m[2], own)) and (not m[4] or _compare(own, m[4], _pixels(m[5])))
+        return (name, "") in _TRUE
+    bound, _, rest = name.partition("-")
+    if bound in ("min", "max") and rest in VIEWPORT:
+        return _compare(VIEWPORT[rest], ">=" if bound == "min" else "<=", _pixels(value))
+    if name in VIEWPORT:
+        return _compare(VIEWPORT[name], "=", _pixels(value))
+    if rest == "resolution":
+        m = re.fullmatch(r"([0-9.]+)(dppx|x|dpi)", value)
+        return bool(m) and _compare(1.0, ">=" if bound == "min" else "<=", float(m[1]) / (96 if m[2] == "dpi" else 1))
+    return (name, value) in _TRUE
+
+
 def _for_screens(media: str) -> bool:
-    """A list of media, of which one is for screens."""
-    return not media.strip() or any(m.split(None, 1)[:1] and m.split()[0].lower() in ("all", "screen", "only") or m.strip().startswith("(") for m in media.split(","))
+    """A list of media queries, of which one holds for a desktop screen."""
+    media = media.strip().lower()
+    return not media or any(_query(m.strip()) for m in media.split(","))
+
+
+def _query(query: str) -> bool:
+    negated, _, rest = query.partition(" ")
+    if negated in ("not", "only"):
+        query = rest.strip()
+    holds = True
+    for part in re.split(r"\s+and\s+|(?<=\))\s*and\s*(?=\()", query):
+        part = part.strip()
+        if part.startswith("not"):
+            holds &= not _either(part[3:].strip())
+        elif part.startswith("("):
+            holds &= _either(part)
+        else:
+            holds &= part in ("all", "screen")
+    return holds != (negated == "not")
+
+
+def _either(part: str) -> bool:
+    """Conditions in brackets, joined by ``or``; brackets around brackets count for what is in them."""
+    return any(_feature(x.strip().strip("()").strip()) for x in re.split(r"\)\s*or\s*\(", part))
 
 
 def _rules(css: str) -> Iterator[tuple[str, str]]:
@@ -249,42 +339,135 @@ def _rules(css: str) -> Iterator[tuple[str, str]]:
             at = end + 1
 
 
+_PART = re.compile(r"\s*([>+~]|\s)\s*|([a-z][\w-]*|\*)|([.#][\w-]+)|\[\s*([\w-]+)\s*(?:([~|^$*]?=)\s*(?:\"([^\"]*)\"|'([^']*)'|([^\]\s]+))\s*)?\]|:not\(\s*([^()]*)\)|:(first-child|last-child|only-child|root|empty)(?![\w(-])", re.I)
+
+
+class Compound:
+    """What a selector says of one element."""
+
+    __slots__ = ("tag", "marks", "attrs", "nots", "places")
+
+    def __init__(self) -> None:
+        self.tag, self.marks, self.attrs, self.nots, self.places = "*", set(), [], [], set()
+
+    def matches(self, node: Node) -> bool:
+        if self.tag not in ("*", node.tag) or not self.marks <= node.marks():
+            return False
+        for name, sign, value in self.attrs:
+            own = node.attrs.get(name)
+            if own is None or not {"": True, "=": own == value, "~=": value in own.split(), "|=": own == value or own.startswith(value + "-"), "^=": own.startswith(value), "$=": own.endswith(value), "*=": value in own}[sign]:
+                return False
+        if any(n.matches(node) for n in self.nots):
+            return False
+        return all(node.at(p) for p in self.places)
+
+
+def _selector(text: str) -> list[tuple[str, Compound]] | None:
+    """The compounds of a selector from the last one back, each with the sign between it and the next; None if it holds what is not known."""
+    out, now, sign, at = [], Compound(), "", 0
+    text = text.strip()
+    while at < len(text):
+        m = _PART.match(text, at)
+        if m is None or not m[0]:
+            return None
+        if m[1] is not None and not m[2]:
+            out.append((sign, now))
+            now, sign = Compound(), m[1].strip() or " "
+        elif m[2]:
+            now.tag = m[2].lower()
+        elif m[3]:
+            now.marks.add(m[3])
+        elif m[4]:
+            now.attrs.append((m[4].lower(), m[5] or "", next((v for v in m.group(6, 7, 8) if v is not None), "")))
+        elif m[9] is not None:
+            for inner in m[9].split(","):
+                part = _selector(inner)
+                if part is None or len(part) != 1:
+                    return None
+                now.nots.append(part[0][1])
+        else:
+            now.places.add(m[10].lower())
+        at = m.end()
+    out.append((sign, now))
+    return out[::-1]
+
+
+def _holds(parts: list[tuple[str, Compound]], node: Node) -> bool:
+    """All compounds match, from the element back. Of ancestors and earlier siblings the nearest that matches is taken, and others before it are tried."""
+    stack = [(0, node)]
+    while stack:
+        i, node = stack.pop()
+        sign, compound = parts[i]
+        if not compound.matches(node):
+            if i and parts[i - 1][0] in (" ", "~"):  # look further back for this compound
+                further = node.up if parts[i - 1][0] == " " else node.before()
+                if further is not None:
+                    stack.append((i, further))
+            continue
+        if i + 1 == len(parts):
+            return True
+        if i and parts[i - 1][0] in (" ", "~"):
+            further = node.up if parts[i - 1][0] == " " else node.before()
+            if further is not None and sign in (">", "+"):  # this match may not lead on where another does
+                stack.append((i, further))
+        then = node.up if sign in (" ", ">") else node.before()
+        if then is not None:
+            stack.append((i + 1, then))
+    return False
+
+
 class Styles:
-    """The rules of a page's style sheets on ``display`` and ``visibility`` of single elements."""
+    """The rules of a page's style sheets on ``display`` and ``visibility``, listed by what the last compound names."""
 
     def __init__(self) -> None:
-        self.by: defaultdict[str, list[tuple]] = defaultdict(list)  # "#id", ".class", tag or "*"
+        self.given: dict[tuple[str, str], tuple] = {}  # of equal selectors the weightiest rule
+        self.by: dict[str, dict[str, list[tuple]]] = {}  # property -> "#id", ".class", tag or "*"
         self.count = 0
 
     def add(self, css: str) -> None:
         for prelude, body in _rules(css):
             found = _DECLARATION.findall(body)
-            for selector in prelude.split(",") if found else ():
-                m = _SELECTOR.fullmatch(selector.strip())
-                if m is None or not m[0]:
+            for selector in prelude.split(",") if found and ":not(" not in prelude else [prelude] if found else ():
+                parts = _selector(selector)
+                if parts is None:
                     continue
-                tag = (m[1] or "*").lower()
-                marks = frozenset(re.findall(r"[.#][\w-]+", m[2]))
-                ids = sum(x[0] == "#" for x in marks)
-                key = max(marks, key=lambda x: x[0] == "#") if marks else tag
+                flat = [c for _, c in parts] + [n for _, c in parts for n in c.nots]
+                ids = sum(m[0] == "#" for c in flat for m in c.marks)
+                classes = sum(len(c.marks) + len(c.attrs) + len(c.places) for c in flat) - ids
                 for name, value, important in found:
                     self.count += 1
-                    weight = (bool(important), 0, ids, len(marks) - ids, tag != "*", self.count)
-                    self.by[key].append((weight, tag, marks, name.lower(), value.lower()))
+                    weight = (bool(important), 0, ids, classes, sum(c.tag != "*" for c in flat), self.count)
+                    key = (selector.strip(), name.lower())
+                    if key not in self.given or self.given[key][0] < weight:
+                        self.given[key] = (weight, parts, value.lower())
+
+    def close(self) -> None:
+        """All rules are known: each is listed under its rarest mark, the weightiest first."""
+        often: defaultdict[str, int] = defaultdict(int)
+        for _, parts, _ in self.given.values():
+            for m in parts[0][1].marks:
+                often[m] += 1
+        self.by = {"display": defaultdict(list), "visibility": defaultdict(list)}
+        for (_, name), rule in sorted(self.given.items(), key=lambda x: x[1][0], reverse=True):
+            last = rule[1][0][1]
+            self.by[name][min(last.marks, key=lambda m: (m[0] != "#", often[m], m)) if last.marks else last.tag].append(rule)
 
     def of(self, node: Node) -> dict[str, str]:
         """What holds for an element by its own style and the rules."""
         attrs, found = node.attrs, {}
-        if self.count:
-            marks = {"." + c for c in attrs.get("class", "").split()} | ({"#" + attrs["id"]} if "id" in attrs else set())
-            rules = [r for key in (*marks, node.tag, "*") for r in self.by.get(key, ()) if r[1] in ("*", node.tag) and r[2] <= marks]
-        else:
-            rules = []
-        if "style" in attrs:
-            own = _DECLARATION.findall(attrs["style"])
-            rules += [((bool(i), 1, 0, 0, 0, n), "", "", name.lower(), value.lower()) for n, (name, value, i) in enumerate(own)]
-        for _, _, _, name, value in sorted(rules, key=lambda r: r[0]):
-            found[name] = value
+        own = [((bool(i), 1, 0, 0, 0, n), name.lower(), value.lower()) for n, (name, value, i) in enumerate(_DECLARATION.findall(attrs["style"]))] if "style" in attrs else []
+        for name in ("display", "visibility"):
+            best = max(((w, v) for w, n, v in own if n == name), default=None)
+            if self.count:
+                for key in (*node.marks(), node.tag, "*"):
+                    for weight, parts, value in self.by[name].get(key, ()):
+                        if best is not None and weight <= best[0]:
+                            break
+                        if _holds(parts, node):
+                            best = (weight, value)
+                            break
+            if best is not None:
+                found[name] = best[1]
         return found
 
 
@@ -295,12 +478,16 @@ def apply_styles(root: Node) -> None:
         node = stack.pop()
         if node.tag == "style" and node.space == "" and _for_screens(node.attrs.get("media", "")):
             styles.add("".join(c for c in node.children if isinstance(c, str)))
-        stack.extend(c for c in reversed(node.children) if isinstance(c, Node))
+        inside = [c for c in node.children if isinstance(c, Node)]
+        for n, c in enumerate(inside):
+            c.up, c.number, c.siblings = node, n, inside
+        stack.extend(reversed(inside))
+    styles.close()
     walk = [(root, False)]
     while walk:
         node, hidden = walk.pop()
         held = styles.of(node) if styles.count or "style" in node.attrs else {}
-        unseen = node.tag in UNSEEN or node.space == "none" or node.tag in ("input", "img")
+        unseen = node.tag in UNSEEN or node.space == "none" or node.tag == "img" or node.tag == "input" and not node.label()
         closed = "hidden" in node.attrs or node.tag == "dialog" and "open" not in node.attrs
         node.shown = not unseen and (held["display"] != "none" if "display" in held else not closed)
         if not node.shown:
@@ -310,7 +497,7 @@ def apply_styles(root: Node) -> None:
         if hidden:
             node.shown = node.tag != "hr"
             node.children = [c for c in node.children if isinstance(c, Node)]
-            node.attrs = {k: v for k, v in node.attrs.items() if k != "label"}
+            node.attrs = {k: v for k, v in node.attrs.items() if k not in ("label", "value")}
         walk.extend((c, hidden) for c in node.children if isinstance(c, Node))
 
 
@@ -399,30 +586,77 @@ def _span(cell: Node, name: str, most: int) -> int:
     return most if not number and name == "rowspan" else min(max(number, 1), most)
 
 
+class _Taken:
+    """Columns that cells of rows above still take, as runs; what a cell takes is given back after its last row."""
+
+    def __init__(self) -> None:
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+        self.until: list[tuple[int, int, int]] = []  # a heap of last row, start, end
+
+    def free(self, column: int) -> int:
+        """The first free column from ``column`` on."""
+        i = bisect_right(self.starts, column) - 1
+        return max(column, self.ends[i]) if i >= 0 else column
+
+    def take(self, start: int, end: int, last: int) -> None:
+        """The free columns of a range, up to row ``last``."""
+        while start < end:
+            start = self.free(start)
+            i = bisect_right(self.starts, start)
+            stop = min(end, self.starts[i]) if i < len(self.starts) else end
+            if start >= stop:
+                return
+            heappush(self.until, (last, start, stop))
+            left, right = i and self.ends[i - 1] == start, i < len(self.starts) and self.starts[i] == stop
+            if left and right:
+                self.ends[i - 1] = self.ends[i]
+                del self.starts[i], self.ends[i]
+            elif left:
+                self.ends[i - 1] = stop
+            elif right:
+                self.starts[i] = start
+            else:
+                self.starts.insert(i, start)
+                self.ends.insert(i, stop)
+            start = stop
+
+    def give_back(self, row: int) -> None:
+        """What was taken up to a row before ``row``."""
+        while self.until and self.until[0][0] < row:
+            _, start, end = heappop(self.until)
+            i = bisect_right(self.starts, start) - 1
+            before, after = (self.starts[i], start), (end, self.ends[i])
+            parts = [p for p in (before, after) if p[0] < p[1]]
+            self.starts[i : i + 1], self.ends[i : i + 1] = [p[0] for p in parts], [p[1] for p in parts]
+
+
 def _places(rows: list[tuple[int, list[Node]]]) -> list[list[tuple[int, Node]]]:
     """The cells of each row with their columns, beside the cells that reach down from rows above."""
-    out, taken, before = [], {}, None  # column -> rows that it is still taken for
-    for section, cells in rows:
-        if section != before:
-            taken, before = {}, section
-        line, column, new = [], 0, {}
+    out, taken, section = [], _Taken(), None
+    for row, (own, cells) in enumerate(rows):
+        if own != section:
+            taken, section = _Taken(), own
+        taken.give_back(row)
+        line, column, new = [], 0, []
         for cell in cells:
-            while column in taken:
-                column += 1
+            column = taken.free(column)
             line.append((column, cell))
             wide, high = _span(cell, "colspan", MOST_COLUMNS), _span(cell, "rowspan", MOST_ROWS)
             if high > 1:
-                new.update((c, high - 1) for c in range(column, column + wide))
+                new.append((column, column + wide, row + high - 1))
             column += wide
-        taken = {c: n - 1 for c, n in taken.items() if n > 1} | new
+        for part in new:
+            taken.take(*part)
         out.append(line)
     return out
 
 
 # The walk: each step yields the steps it needs done first, and ``_walk`` keeps them on a stack of its own,
-# so that no depth of a page exhausts Python's. ``level`` counts quotes, list items and tables around.
+# so that no depth of a page exhausts Python's. ``level`` counts quotes and list items around.
 Step = Generator[Any, list[str] | None, list[str] | None]
-_LEVELS = 100
+_DEEPEST = 50  # indentation grows no further than so many quotes and list items; all else goes on
+_WIDEST = 80  # cells are wrapped at spaces beyond this, and columns are aligned up to it
 
 
 def _walk(step: Step) -> list[str] | None:
@@ -454,21 +688,51 @@ def _table(table: Node, level: int) -> Step:
     for places in _places(rows):
         line = []
         for column, c in places:
-            line.append((column, (yield _children(c, level))))
+            line.append((column, _wrapped((yield _children(c, level)))))
         grid.append(line)
     widths: dict[int, int] = {}  # of the columns in which a cell begins
     for line in grid:
         for column, cell in line:
-            widths[column] = max(widths.get(column, 0), *map(_width, cell), 0)
+            widths[column] = max(widths.get(column, 0), *(min(_WIDEST, w) for w in map(_width, cell)), 0)
     columns = sorted(widths)
+    if len(columns) == 1:
+        return out + [x for line in grid for _, cell in line for x in cell if x]
+    room = sum(64 + 4 * len(x) for line in grid for _, cell in line for x in cell)  # for columns that are empty in a row
     for line in grid:
-        cells = dict(line)
-        upto = columns[: bisect_right(columns, line[-1][0])] if line else []
-        for i in range(max((len(cell) for cell in cells.values()), default=0)):
-            parts = [cells[c][i] if c in cells and i < len(cells[c]) else "" for c in upto]
-            row = "  ".join(x + " " * (widths[c] - _width(x)) for c, x in zip(upto, parts)).rstrip()
+        for i in range(max((len(cell) for _, cell in line), default=0)):
+            row, at, due = [], 0, 0  # spaces due before the next cell that has text here
+            for column, cell in line:
+                if i >= len(cell) or not cell[i]:
+                    continue
+                place = bisect_left(columns, column)
+                for k in range(at, place):
+                    due += widths[columns[k]] + 2
+                    room -= widths[columns[k]] + 2
+                    if room < 0:
+                        break
+                row.append(" " * due + cell[i])
+                due, at = max(0, widths[column] - _width(cell[i])) + 2, place + 1
             if row:
-                out.append(row)
+                out.append("".join(row))
+    return out
+
+
+def _wrapped(lines: list[str]) -> list[str]:
+    """Lines of a cell, those beyond ``_WIDEST`` cut at spaces."""
+    out = []
+    for line in lines:
+        if len(line) <= _WIDEST:
+            out.append(line)
+            continue
+        now: list[str] = []
+        size = 0
+        for word in line.split(" "):
+            if now and size + len(word) > _WIDEST:
+                out.append(" ".join(now).rstrip())
+                now, size = [], 0
+            now.append(word)
+            size += len(word) + 1
+        out.append(" ".join(now).rstrip())
     return out
 
 
@@ -523,6 +787,8 @@ def _inline_or_block(node: Node, out: _Lines, level: int) -> Step:
         apart = tag in APART or tag == "tspan" and not node.attrs.keys().isdisjoint(("x", "y", "dy"))
         if apart:
             out.text(" ")
+        if tag == "input":
+            out.text(f" {node.label()} ")
         if tag == "optgroup":
             out.text(node.attrs.get("label", "") + " ")
         if tag == "mfrac":
@@ -540,15 +806,15 @@ def _inline_or_block(node: Node, out: _Lines, level: int) -> Step:
     if tag == "pre":
         text = "".join(x if isinstance(x, str) else "\n" if x.tag == "br" else _flat(x) for x in node.children)
         out.block(_preformatted(text))
-    elif tag == "table" and level < _LEVELS:
-        out.block((yield _table(node, level + 1)))
+    elif tag == "table":
+        out.block((yield _table(node, level)))
     elif tag in LISTS:
         yield _list(node, out, level)
     elif tag == "hr":
         out.block(["---"])
     else:
         indent = "    " if tag == "dd" else "> " if tag == "blockquote" else ""
-        if indent and level < _LEVELS:
+        if indent and level < _DEEPEST:
             out.block([indent + x if x else x for x in (yield _children(node, level + 1))])
         else:
             yield _each(_shown(node), out, level)
@@ -557,9 +823,14 @@ def _inline_or_block(node: Node, out: _Lines, level: int) -> Step:
         out.space()
 
 
+def _whole(value: str | None, default: int) -> int:
+    return int(value) if value and re.fullmatch(r"\s*-?\d{1,9}\s*", value) else default
+
+
 def _list(node: Node, out: _Lines, level: int) -> Step:
-    begin = node.attrs.get("start", "1")
-    number = int(begin) if re.fullmatch(r"-?\d{1,9}", begin) else 1
+    step = -1 if node.tag == "ol" and "reversed" in node.attrs else 1
+    items = sum(isinstance(c, Node) and c.tag == "li" and visible(c) for c in node.children) if step < 0 else 1
+    number = _whole(node.attrs.get("start"), items)
     for child in node.children:
         if not (isinstance(child, Node) and child.tag == "li"):
             yield _each([child], out, level)
@@ -569,9 +840,10 @@ def _list(node: Node, out: _Lines, level: int) -> Step:
         for inner in child.children:
             if isinstance(inner, Node) and inner.tag in LISTS:
                 inner.attrs["_nested"] = "1"
+        number = _whole(child.attrs.get("value"), number) if node.tag == "ol" else number
         mark = f"{number}. " if node.tag == "ol" else "- "
-        number += 1
-        if level >= _LEVELS:
+        number += step
+        if level >= _DEEPEST:
             out.end_line()
             out.mark += mark
             yield _each(child.children, out, level)

@@ -69,7 +69,8 @@ def test_rules_of_style_sheets():
     assert page(".h{display:none}", "<p class=h style='display:inline'>yes") == "yes"
     assert page(".h{display:none !important}", "<p class=h style='display:inline'>no") == ""
     assert page("@import 'x'; @media print{.a{display:none}} @media screen{.b{display:none}} .c{visibility:hidden}", "<p class=a>yes<p class=b>no<p class=c>no<i style='visibility:visible'>in</i>") == "yes\n\nin"
-    assert page("div .h, .h > p, p:hover{display:none}", "<div><p class=h>yes") == "yes"
+    assert page("div .h, .h > p{display:none}", "<div><p class=h>no") == ""  # combinators count
+    assert page(".h > p, p:hover{display:none}", "<div><p class=h>yes") == "yes"
     assert page("@font-face{a:b} .h{display:none", "<p class=h>no<p>yes") == "yes"
     assert render("<style media=print>p{display:none}</style><p>yes") == "yes"
 
