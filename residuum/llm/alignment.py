@@ -35,6 +35,7 @@ import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -74,10 +75,28 @@ class Stripes:
         return cell // self.size_b * self.number + stripe, cell % self.size_b
 
 
+class _Flat:
+    """The bytes of a vocabulary in one array."""
+
+    def __init__(self, entries: list[bytes]):
+        self._bytes = np.frombuffer(b"".join(entries), np.uint8)
+        self._size = np.array(list(map(len, entries)), np.int64)
+        self._begin = np.cumsum(self._size) - self._size
+
+    def same(self, ids: np.ndarray, raw: bytes) -> bool:
+        """The entries of ``ids`` in a row are ``raw``."""
+        size = self._size[ids]
+        upto = np.cumsum(size)
+        if len(raw) != (upto[-1] if len(upto) else 0):
+            return False
+        shift = np.repeat(self._begin[ids] - (upto - size), size)
+        return bool((self._bytes[np.arange(len(raw)) + shift] == np.frombuffer(raw, np.uint8)).all())
+
+
 class Aligner:
     """Both tokenizers; words between borders aligned through a cache."""
 
-    def __init__(self, path_a: str, path_b: str, stripes: int, cache_words: int = 120_000):
+    def __init__(self, path_a: str, path_b: str, stripes: int, cache_words: int = 220_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
         from tokenizers import Tokenizer
@@ -90,6 +109,7 @@ class Aligner:
         self.bytes_a = [pieces.get(i, b"") for i in range(max(pieces) + 1)]
         self.bytes_b = [self._surface(i) for i in range(self._b.get_piece_size())]
         self._size_a, self._size_b = (np.array(list(map(len, x)), np.int64) for x in (self.bytes_a, self.bytes_b))
+        self._flat_a, self._flat_b = _Flat(self.bytes_a), _Flat(self.bytes_b)
         self._decimal = [str(i) for i in range(max(len(self.bytes_a), len(self.bytes_b)))]
         self.stripes = Stripes(len(self.bytes_a), len(self.bytes_b), stripes)
         self._known = BoundedCache(cache_words, self._aligned)
@@ -118,17 +138,20 @@ class Aligner:
         """Of each word: tokens of A and B, groups, links, the groups as text and the links' cells; None if a side loses bytes."""
         of_a = [x.ids for x in self._a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
         of_b = self._b.encode(words, num_threads=1)
-        whole = []
-        for w, a, b in zip(words, of_a, of_b):
-            raw = b" " + w.encode("utf-8", "surrogatepass")
-            whole.append(raw == b"".join([self.bytes_a[i] for i in a]) == b"".join([self.bytes_b[i] for i in b]))
-        of_a, of_b = ([x for x, w in zip(side, whole) if w] for side in (of_a, of_b))
-        a, b = (np.fromiter((i for x in side for i in x), np.int64) for side in (of_a, of_b))
+        raw = f" {' '.join(words)}".encode("utf-8", "surrogatepass")
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (of_a, of_b))
+        whole = [True] * len(words)
+        if not self._flat_a.same(a, raw) or not self._flat_b.same(b, raw):
+            for n, (w, x, y) in enumerate(zip(words, of_a, of_b)):
+                own = b" " + w.encode("utf-8", "surrogatepass")
+                whole[n] = own == b"".join([self.bytes_a[i] for i in x]) == b"".join([self.bytes_b[i] for i in y])
+            of_a, of_b = ([x for x, w in zip(side, whole) if w] for side in (of_a, of_b))
+            a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (of_a, of_b))
         size_a = self._size_a[a]
         end_a, end_b = np.cumsum(size_a), np.cumsum(self._size_b[b])
         both = np.intersect1d(end_a, end_b, assume_unique=True)
         cut_a, cut_b = (np.searchsorted(e, both, "right").tolist() for e in (end_a, end_b))
-        text_a, text_b = ([self._decimal[i] for i in x.tolist()] for x in (a, b))
+        text_a, text_b = (list(map(self._decimal.__getitem__, x.tolist())) for x in (a, b))
         groups = [
             f"{','.join(text_a[p:q])}|{','.join(text_b[r:s])}"
             for p, q, r, s in zip([0, *cut_a], cut_a, [0, *cut_b], cut_b)
