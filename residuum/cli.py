@@ -47,11 +47,14 @@ def parser() -> argparse.ArgumentParser:
         total.add_argument(f"--{name}", required=True)
     total.add_argument("--atoms", help="structure files, for the names of fragments")
     select = steps.add_parser("select", help="lists of structures for interface tests")
-    for name in ("maps", "contacts", "complexes", "entries", "out"):
+    for name in ("maps", "complexes", "entries", "out"):
         select.add_argument(f"--{name}", required=True)
+    select.add_argument("--contacts", help="a table of contacts; else they are derived from --atoms")
+    select.add_argument("--atoms")
     faces = steps.add_parser("interface-test", help="mutation mass at interfaces against a null model")
-    for name in ("list", "maps", "contacts", "sites", "atoms", "out"):
+    for name in ("list", "maps", "sites", "atoms", "out"):
         faces.add_argument(f"--{name}", required=True)
+    faces.add_argument("--contacts", help="a table of contacts; else they are derived from --atoms")
     for name in ("weights", "ttype", "gene-map", "coverage", "genome", "proteins", "spectra"):
         faces.add_argument(f"--{name}")
     faces.add_argument("--sampler", choices=("uniform", "coverage", "spectrum"), default="uniform")
@@ -181,7 +184,10 @@ def summary(spark: SparkSession, a: argparse.Namespace) -> None:
 def select(spark: SparkSession, a: argparse.Namespace) -> None:
     entries = spark.read.option("sep", "\t").schema("entry string, uniprot string").csv(a.entries)
     known = readers.complexes(spark, a.complexes, entries)
-    writers.structure_lists(interface_tables.selected(readers.residue_maps(spark, a.maps), readers.contacts(spark, a.contacts), known), a.out)
+    if not (a.contacts or a.atoms):
+        raise SystemExit("select needs --contacts or --atoms")
+    contacts = readers.contacts(spark, a.contacts) if a.contacts else interface.atom_contacts(readers.atoms(spark, a.atoms))
+    writers.structure_lists(interface_tables.selected(readers.residue_maps(spark, a.maps), contacts, known), a.out)
 
 
 def interface_test(spark: SparkSession, a: argparse.Namespace) -> None:
@@ -192,8 +198,10 @@ def interface_test(spark: SparkSession, a: argparse.Namespace) -> None:
     sites = readers.protein_sites(spark, a.sites).filter(F.substring("mtype", 1, 1) == "M")
     sites = sites.filter(F.col("ttype").startswith(a.ttype)) if a.ttype else sites
     muts = interface.chain_mutations(residues, sites, spark.read.parquet(a.weights) if a.weights else None)
-    centres = _atoms(spark, a, maps).groupBy("pdb", "chain", "resnum").agg(*(F.avg(c).alias(c) for c in "xyz"))
-    contacts = readers.contacts(spark, a.contacts).join(residues.select("pdb").distinct(), "pdb", "left_semi")
+    atoms = _atoms(spark, a, maps)
+    centres = atoms.groupBy("pdb", "chain", "resnum").agg(*(F.avg(c).alias(c) for c in "xyz"))
+    contacts = readers.contacts(spark, a.contacts) if a.contacts else interface.atom_contacts(atoms)
+    contacts = contacts.join(residues.select("pdb").distinct(), "pdb", "left_semi")
     edges = interface.with_band(contacts, centres, a.reach)
     mass = muts.groupBy("pdb", "chain", "resnum").agg(F.sum("w").alias("w"))
     points = residues.select("pdb", "chain", "resnum").distinct().join(mass, ["pdb", "chain", "resnum"], "left")

@@ -45,7 +45,7 @@ def to_residues(
     """One row per mutation and protein residue.
 
     A mutation falls into the first exon of each gene that holds it. Its codon is
-    read base by base in genomic order; bases beyond the exon come from the exon
+    read in genomic order; bases beyond the exon come from the exon
     next to it, and a codon that would reach past the first or last exon is
     dropped. So is one whose amino acid is not the protein's. ``tally`` counts the rows that
     reach each step.
@@ -76,9 +76,13 @@ def to_residues(
 
     hit = hit.withColumns({f"b{i}": base(i) for i in range(3)}).dropna(subset=["b0", "b1", "b2"])
     hit = counted(tally, hit, "whole codons")
+    inside_exon = (F.col("b1") == F.col("b0") + 1) & (F.col("b2") == F.col("b0") + 2)
+    whole = context(hit.filter(inside_exon), genome, F.col("b0"), 3, "codon", chunk)
+    split = hit.filter(~inside_exon)  # few: codons cut by an exon's end are read base by base
     for i in range(3):
-        hit = context(hit, genome, F.col(f"b{i}"), 1, f"c{i}", chunk)
-    codon = F.concat("c0", "c1", "c2")
+        split = context(split, genome, F.col(f"b{i}"), 1, f"c{i}", chunk)
+    hit = whole.unionByName(split.withColumn("codon", F.concat("c0", "c1", "c2")).drop("c0", "c1", "c2"))
+    codon = F.col("codon")
     new = F.overlay(codon, F.lower("Tumor_Seq_Allele2"), (F.col("r") + 1).cast("int"), F.lit(1))
     turn = lambda c: F.when(plus, c).otherwise(C.reverse_complement(c))
     hit = counted(tally, hit.join(proteins.select("uniprot", "seq"), "uniprot"), "known proteins")

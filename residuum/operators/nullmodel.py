@@ -152,19 +152,22 @@ def exact_median(rows: DataFrame, keys: list[str], value: str, name: str, held:
     return small.unionByName(middle.groupBy(*keys).agg(F.avg("_low").alias(name)))
 
 
+def codon_changes(spark: SparkSession) -> DataFrame:
+    """``codon, k, to``: the changes of one base of a codon that make another amino acid; 576 rows at most."""
+    rows = [
+        (codon, k, to) for codon, aa in K.CODONS.items() for k in range(3) for to in K.BASES
+        if to != codon[k] and K.CODONS[codon[:k] + to + codon[k + 1 :]] not in ("*", aa)
+    ]
+    return spark.createDataFrame(rows, "codon string, k int, to string")
+
+
 def residue_channels(codons: DataFrame) -> DataFrame:
     """``structure, i, channel, mult`` of the amino-acid changes that one base can make.
 
     ``codons`` holds ``structure, i, strand, codon`` (as translated) and ``ctx``, the three
     genomic trinucleotides of the codon's bases in translated order. Stops are no change.
     """
-    place = F.explode(F.array(*map(F.lit, range(3)))).alias("k")
-    rows = codons.select("structure", "i", "strand", "codon", "ctx", place)
-    rows = rows.withColumn("to", F.explode(F.array(*map(F.lit, K.BASES))))
-    own = F.substring("codon", F.col("k") + 1, F.lit(1))
-    new = F.overlay("codon", "to", F.col("k") + 1, F.lit(1))
-    rows = rows.filter(F.col("to") != own).withColumns({"was": C.translate_codon(F.col("codon")), "is": C.translate_codon(new)})
-    rows = rows.filter((F.col("is") != "*") & (F.col("is") != F.col("was")))
+    rows = codons.select("structure", "i", "strand", "codon", "ctx").join(F.broadcast(codon_changes(codons.sparkSession)), "codon")
     genomic = F.when(F.col("strand") == "+", F.col("to")).otherwise(F.translate("to", "acgt", "tgca"))
     rows = rows.withColumn("channel", C.channel_index(F.get("ctx", F.col("k")), genomic)).dropna(subset=["channel"])
     return rows.groupBy("structure", "i", "channel").agg(F.count("*").alias("mult"))

@@ -23,8 +23,11 @@ def usable_maps(maps: DataFrame, sites: DataFrame | None = None) -> DataFrame:
     kept = maps.filter((F.size("resmap") >= 5) & ~F.exists("resmap", lambda x: x["p"] < 0))
     if sites is not None:
         kept = kept.join(sites.select(F.col("uniprot").alias("u1")).distinct(), "u1", "left_semi")
-    once = F.filter("resmap", lambda x: F.size(F.filter("resmap", lambda y: y["p"] == x["p"])) == 1)
-    rows = kept.select("structure", "u1", "u2", "pdb_chain", F.posexplode(once).alias("i", "r"))
+    keys = ["structure", "u1", "u2", "pdb_chain", "resmap"]
+    ordered = kept.select(*keys, F.array_sort(F.transform("resmap", lambda x: x["p"])).alias("_p"))
+    again = ordered.select(*keys, F.array_distinct(F.filter("_p", lambda p, n: (n > 0) & (p == F.get(F.col("_p"), n - 1)))).alias("_again"))
+    once = F.filter("resmap", lambda x: ~F.array_contains(F.col("_again"), x["p"]))  # few residues are mapped again
+    rows = again.select("structure", "u1", "u2", "pdb_chain", F.posexplode(once).alias("i", "r"))
     return rows.select("structure", "u1", "u2", "pdb_chain", "i", F.col("r.u").alias("u"), F.col("r.p").alias("p"))
 
 

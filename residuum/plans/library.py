@@ -912,3 +912,16 @@ def empty_interfaces(spark: SparkSession, d: str) -> DataFrame:
     best = interface.best_pair_rows(rows, ids.withColumn("identity", F.lit(90.0))).select("ua", "ub", F.lit(True).alias("_kept"))
     pairs = rows.filter("u1 <> u2").groupBy(F.least("u1", "u2").alias("ua"), F.greatest("u1", "u2").alias("ub")).agg(F.count("*").alias("n"))
     return pairs.join(best, ["ua", "ub"], "left").select("ua", "ub", F.coalesce("_kept", F.lit(False)).alias("kept"), "n")
+
+
+@query("""WITH a AS (SELECT l_orderkey AS pdb, CASE WHEN l_linenumber % 2 = 0 THEN 'A' ELSE 'B' END AS chain, l_linenumber AS r, l_quantity::DOUBLE AS x, l_partkey % 11 AS y, l_suppkey % 7 AS z FROM lineitem),
+m AS (SELECT DISTINCT a.pdb, a.r AS r1, b.r AS r2 FROM a JOIN a b ON a.pdb = b.pdb AND a.chain = 'A' AND b.chain = 'B' AND (a.x-b.x)*(a.x-b.x) + (a.y-b.y)*(a.y-b.y) + (a.z-b.z)*(a.z-b.z) <= 64)
+SELECT DISTINCT pdb::VARCHAR AS pdb, side, CASE WHEN side = 0 THEN r1 ELSE r2 END AS resnum FROM m, (VALUES (0), (1)) t(side)""")
+def contacts_of_atoms(spark: SparkSession, d: str) -> DataFrame:
+    """Residues of two chains that touch, from the atoms of all structures."""
+    n = F.col("l_linenumber")
+    atoms = T.table(spark, d, "lineitem").select(
+        F.col("l_orderkey").cast("string").alias("pdb"), F.when(n % 2 == 0, "A").otherwise("B").alias("chain"), n.alias("resnum"),
+        F.col("l_quantity").cast("double").alias("x"), (F.col("l_partkey") % 11).cast("double").alias("y"), (F.col("l_suppkey") % 7).cast("double").alias("z"),
+    )
+    return interface.atom_contacts(atoms, 8.0).select("pdb", "side", "resnum")
