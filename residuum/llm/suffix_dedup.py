@@ -22,8 +22,8 @@ third of all documents share reaches a later task as one row per earlier task.
 
 Null text is empty. Rows without an identifier, and rows that repeat one, come
 after all other documents in an order of their hash, each with its own text; rows
-repeated entire are one document and get the same result. Texts may have any
-length that Spark can hold. An empty table gives an empty result; extra columns
+repeated entire are one document and get the same result. Long texts are hashed in overlapping
+pieces, so memory grows by little more than a text itself. An empty table gives an empty result; extra columns
 are ignored, whatever their names.
 """
 
@@ -43,6 +43,7 @@ from residuum.llm.rolling import Rolling
 
 GRAM = 24
 _LOW = (1 << 31) - 1
+_PIECE = (1 << 20) - 256  # strings of a text that are hashed at a time
 _CHUNK = 800_000  # rows that a task settles among themselves before it passes them on
 
 
@@ -71,6 +72,16 @@ def anchors(raw: bytes, length: int) -> tuple[Rolling, np.ndarray, np.ndarray]:
     return rolling, grams, place
 
 
+def pieces(raw: bytes, length: int) -> Iterator[tuple[int, bytes]]:
+    """Parts of a text with their places, which overlap so that each string of ``length`` bytes lies whole in the part that it begins in.
+
+    Strings that share an anchor over a border give two spans; such spans differ from whole ones and are
+    settled string by string.
+    """
+    for at in range(0, max(1, len(raw) - length + 1), _PIECE):
+        yield at, raw[at : at + _PIECE + length - 1] if len(raw) > _PIECE else raw
+
+
 def _runs(*keys: np.ndarray) -> np.ndarray:
     """Starts of the runs of equal keys."""
     new = np.zeros(len(keys[0]), bool)
@@ -104,8 +115,8 @@ def _gram_rows(length: int):
         for batch in batches:
             for doc, text in zip(batch["doc"].to_pylist(), batch["text"].to_pylist()):
                 raw = text_bytes(text)
-                if len(raw) >= length:
-                    _, grams, place = anchors(raw, length)
+                for _, part in pieces(raw, length) if len(raw) >= length else ():
+                    _, grams, place = anchors(part, length)
                     rank = np.unique(grams[place[_runs(place)]])
                     yield rank, np.full(len(rank), doc, np.int64)
 
@@ -192,14 +203,15 @@ def _span_rows(length: int):
         for doc, raw, repeated, _ in _each_text(batches):
             if len(raw) < length or not len(repeated):
                 continue
-            rolling, grams, place = anchors(raw, length)
-            first = _runs(place)
-            count = np.diff(np.append(first, len(place)))
-            gram = grams[place[first]]
-            keep = np.isin(_signed(gram), repeated)
-            first, count, gram = first[keep], count[keep], gram[keep]
-            span = rolling.hashes(first, first + count - 1 + length)
-            yield _signed(gram), _signed(span), np.full(len(gram), doc, np.int64), first * 64 + count
+            for begin, part in pieces(raw, length):
+                rolling, grams, place = anchors(part, length)
+                first = _runs(place)
+                count = np.diff(np.append(first, len(place)))
+                gram = grams[place[first]]
+                keep = np.isin(_signed(gram), repeated)
+                first, count, gram = first[keep], count[keep], gram[keep]
+                span = rolling.hashes(first, first + count - 1 + length)
+                yield _signed(gram), _signed(span), np.full(len(gram), doc, np.int64), (first + begin) * 64 + count
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for gram, span, doc, at in _chunks(of_texts(batches)):
@@ -266,8 +278,13 @@ def _string_rows(length: int):
                     first, count = at // 64, at % 64
                     inner = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
                     starts = np.repeat(first, count) + inner
-                    string = Rolling(raw).hashes(starts, starts + length)
-                    yield _signed(string), np.repeat(gram, count), np.full(len(starts), doc, np.int64), starts
+                    gram = np.repeat(gram, count)
+                    for begin, part in pieces(raw, length):
+                        own = np.flatnonzero((starts >= begin) & (starts < begin + _PIECE)) if len(raw) > _PIECE else slice(None)
+                        inside = starts[own] - begin
+                        if len(inside):
+                            string = Rolling(part).hashes(inside, inside + length)
+                            yield _signed(string), gram[own], np.full(len(inside), doc, np.int64), starts[own]
 
         for string, gram, doc, at in _chunks(rows()):
             order = np.lexsort((doc, gram, string))

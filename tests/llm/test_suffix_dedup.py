@@ -105,3 +105,18 @@ def test_edges(odd, nothing, docs):
     assert all(hashlib.sha256(r.kept).hexdigest() == got_row for r, got_row in ((r, got(docs)[r.doc_id][3]) for r in kept[:3]))
     with pytest.raises(ValueError):
         removal_digests(docs, length=20)
+
+
+def test_texts_of_several_pieces(spark):
+    """Passages that two long texts and a short one share, over the borders of pieces and beside them."""
+    rnd = random.Random(12)
+    prose = lambda n: "".join(rnd.choices("abcdefgh ", k=n))
+    edge = suffix_dedup._PIECE
+    first = prose(edge + 90_000)
+    second = prose(edge - 3000) + first[edge - 2000 : edge + 4000] + "x" * 60 + first[100:700] + prose(20_000) + "x" * 75
+    short = [first[edge - 40 : edge + 40], second[edge - 30 : edge + 30], first[edge : edge + 200], "x" * 120]
+    rows = list(enumerate([first, second, *short]))
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    assert got(frame) == brute(rows, 50)
+    parts = list(suffix_dedup.pieces(second.encode(), 50))
+    assert len(parts) == 2 and all(second.encode()[o : o + len(p)] == p for o, p in parts)
