@@ -48,7 +48,8 @@ from residuum.llm.common import BoundedCache, Staged, slices
 _SPACE = "▁"
 _BORDER = re.compile(rf"(?<=[^ {_SPACE}]) (?=[^\s{_SPACE}])")
 _BLOCK_TEXTS = 1 << 16  # texts of a block are numbered in 16 bits
-_ENCODED = 5_000  # words that the libraries encode at a time
+_ENCODED, _JOINED = 5_000, 50  # words that are encoded at a time, and of these in one text
+_NOT_BEHIND, _NOT_BEFORE = frozenset(_SPACE), frozenset([" ", _SPACE])  # first characters that need no border before, last ones that hold none behind
 
 
 @dataclass(frozen=True)
@@ -135,18 +136,31 @@ class Aligner:
         return out
 
     def _align(self, words: list[str]) -> list[tuple | None]:
-        """Of each word: tokens of A and B, groups, links, the groups as text and the links' cells; None if a side loses bytes."""
-        of_a = [x.ids for x in self._a.encode_batch_fast([f" {w}" for w in words], add_special_tokens=False)]
-        of_b = self._b.encode(words, num_threads=1)
+        """Of each word: tokens of A and B, groups, links, the groups as text and the links' cells; None if a side loses bytes.
+
+        Words are encoded many at a time as texts of their own, where their borders hold as well.
+        """
+        plain = [bool(w) and w[0] not in _NOT_BEHIND and w[-1] not in _NOT_BEFORE and not w[0].isspace() for w in words]
+        found = iter(self._halved([w for w, p in zip(words, plain) if p]))
+        return [next(found) if p else (self._rows([w], [w]) or [None])[0] for w, p in zip(words, plain)]
+
+    def _halved(self, words: list[str]) -> list[tuple | None]:
+        """The rows of many words; where a side loses bytes, those of each half."""
+        rows = self._rows(words, [" ".join(words[i : i + _JOINED]) for i in range(0, len(words), _JOINED)])
+        if rows is not None:
+            return rows
+        half = len(words) // 2
+        return self._halved(words[:half]) + self._halved(words[half:]) if half else [None]
+
+    def _rows(self, words: list[str], texts: list[str]) -> list[tuple] | None:
+        """The rows of ``words``, which ``texts`` hold in order with a space before each; None if a side loses bytes of any."""
+        if not words:
+            return []
+        of_a = [x.ids for x in self._a.encode_batch_fast([f" {t}" for t in texts], add_special_tokens=False)]
+        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (of_a, self._b.encode(texts, num_threads=1)))
         raw = f" {' '.join(words)}".encode("utf-8", "surrogatepass")
-        a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (of_a, of_b))
-        whole = [True] * len(words)
         if not self._flat_a.same(a, raw) or not self._flat_b.same(b, raw):
-            for n, (w, x, y) in enumerate(zip(words, of_a, of_b)):
-                own = b" " + w.encode("utf-8", "surrogatepass")
-                whole[n] = own == b"".join([self.bytes_a[i] for i in x]) == b"".join([self.bytes_b[i] for i in y])
-            of_a, of_b = ([x for x, w in zip(side, whole) if w] for side in (of_a, of_b))
-            a, b = (np.fromiter(chain.from_iterable(side), np.int64) for side in (of_a, of_b))
+            return None
         size_a = self._size_a[a]
         end_a, end_b = np.cumsum(size_a), np.cumsum(self._size_b[b])
         both = np.intersect1d(end_a, end_b, assume_unique=True)
@@ -160,20 +174,17 @@ class Aligner:
         number = np.searchsorted(end_b, end_a, "left") + 1 - first
         upto = np.cumsum(number)
         partner = np.arange(number.sum()) - np.repeat(upto - number - first, number)
-        cells = self.stripes.keys(np.repeat(a, number), b[partner])
-        count_a = np.fromiter(map(len, of_a), np.int64, len(of_a))
-        stop_a = np.cumsum(count_a)
-        stop_group = np.searchsorted(cut_a, stop_a, "right")
+        cells = self.stripes.keys(np.repeat(a, number), b[partner]).tobytes()
+        sizes = np.fromiter((len(w.encode("utf-8", "surrogatepass")) for w in words), np.int64, len(words)) if not raw.isascii() else np.fromiter(map(len, words), np.int64, len(words))
+        end = np.cumsum(sizes + 1)  # of words, where tokens of both sides end
+        stop_a, stop_b, stop_group = (np.searchsorted(e, end, "right") for e in (end_a, end_b, both))
         stop_link = np.append(0, upto)[stop_a]
-        found = iter(zip(map(len, of_a), map(len, of_b), [0, *stop_group.tolist()], stop_group.tolist(), [0, *stop_link.tolist()], stop_link.tolist()))
-        out: list[tuple | None] = []
-        for good in whole:
-            if not good:
-                out.append(None)
-                continue
-            n_a, n_b, g, h, x, y = next(found)
-            out.append((n_a, n_b, h - g, y - x, ";".join(groups[g:h]), cells[x:y].tobytes()))
-        return out
+        steps = [np.diff(x, prepend=0).tolist() for x in (stop_a, stop_b, stop_group, stop_link)]
+        groups_to, links_to = stop_group.tolist(), stop_link.tolist()
+        return [
+            (n_a, n_b, n_g, n_l, ";".join(groups[g - n_g : g]), cells[8 * (x - n_l) : 8 * x])
+            for n_a, n_b, n_g, n_l, g, x in zip(*steps, groups_to, links_to)
+        ]
 
 
 def _bytes_of_characters() -> dict[str, int]:

@@ -75,6 +75,14 @@ def test_borders_leave_the_encodings_alone(paths):
             assert [i for w in words for i in made._b.encode(w)] == made._b.encode(text)
 
 
+def test_words_that_lose_bytes_are_found_among_many(paths):
+    made = alignment.Aligner(*paths, 99)
+    words = [f"w{i}" if i % 17 else f"lo▁st{i}" for i in range(300)] + [" a", "b ", "\n"]
+    many = made._align(words)
+    assert [x is None for x in many] == ["▁" in w for w in words]
+    assert many == [made._align([w])[0] for w in words]
+
+
 def test_blocks_and_parts_do_not_matter(spark, paths, monkeypatch):
     frame = spark.createDataFrame([(i % 7 or None, t, "x") for i, t in enumerate(TEXTS * 3)], "doc_id long, text string, stripe string").repartition(4)
     one = alignment.align(frame, *paths, digest=True, stripes=7, salts=1).documents().collect()
