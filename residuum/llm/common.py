@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 _WHITE = " \t\n\v\f\r"
 _CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
-_NO_ID = 1 << 62  # keys from here on stand for rows without an identifier of their own
+NO_ID = 1 << 62  # keys from here on stand for rows without an identifier of their own
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -101,13 +101,13 @@ def keyed(docs: DataFrame, id_col: str, text_col: str, staged: Staged) -> tuple[
     rows = docs.select(docs[id_col].cast("long").alias("own"), docs[text_col].alias("text"))
     name = F.coalesce(F.col("own").cast("string"), F.lit("none")).alias("name")
     many = F.count("*") > 1
-    odd = rows.groupBy("own").agg(many.alias("many")).filter(f"many OR own IS NULL OR own >= {_NO_ID}")
+    odd = rows.groupBy("own").agg(many.alias("many")).filter(f"many OR own IS NULL OR own >= {NO_ID}")
     odd = staged.write(odd.select(name, F.lit(True).alias("odd")))
     if odd.isEmpty():
         return rows.select(F.col("own").alias("doc_id"), "own", "text"), False
     few = is_few(odd, 100_000)
     marked = rows.withColumn("name", name).join(F.broadcast(odd) if few else odd, "name", "left")
-    hashed = F.xxhash64(F.lit("key"), "own", "text").bitwiseAND(F.lit(_NO_ID - 1)).bitwiseOR(F.lit(_NO_ID))
+    hashed = F.xxhash64(F.lit("key"), "own", "text").bitwiseAND(F.lit(NO_ID - 1)).bitwiseOR(F.lit(NO_ID))
     return marked.select(F.when(F.col("odd"), hashed).otherwise(F.col("own")).alias("doc_id"), "own", "text"), True
 
 

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import Staged, keyed, text_bytes
+from residuum.llm.common import NO_ID, Staged, keyed, text_bytes
 from residuum.llm.prefix_doubling import covered_positions
 from residuum.llm.rolling import Rolling
 
@@ -367,7 +367,9 @@ def remove_repeats(
     staged = Staged(docs.sparkSession, "suffix-dedup")
     rows, odd = keyed(docs, id_col, text_col, staged)
     rows = rows.withColumnRenamed("doc_id", "doc")
-    texts = rows.groupBy("doc").agg(F.first("text").alias("text")) if odd else rows.select("doc", "text")
+    texts = rows.select("doc", "text")
+    if odd:  # only keys made from hashes stand for several rows
+        texts = texts.filter(F.col("doc") < NO_ID).unionByName(texts.filter(F.col("doc") >= NO_ID).dropDuplicates(["doc"]))
     if method == "doubling":
         side = covered_positions(texts, staged, length).select("doc", (F.col("at") * 64 + 1).alias("a"))
     else:
