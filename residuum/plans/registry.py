@@ -556,6 +556,35 @@ def nested_merge(spark: SparkSession, d: str) -> DataFrame:
     return interface.merge_nested(rows)
 
 
+@query("""WITH RECURSIVE r AS (SELECT p_brand AS brand, printf('%09d', p_partkey) AS key, p_partkey * 37 % 500 AS s, p_partkey * 37 % 500 + p_size + 20 AS e, (p_partkey * 7919 % 997 + 1) / 998e0 AS p FROM part),
+o AS (SELECT *, row_number() OVER (PARTITION BY brand ORDER BY e - s DESC, key) AS n FROM r),
+w AS (SELECT DISTINCT brand, 0::BIGINT AS n, CAST([] AS STRUCT(s BIGINT, e BIGINT)[][]) AS cl, NULL::VARCHAR AS key, NULL::BIGINT AS cluster FROM o
+UNION ALL SELECT brand, n, CASE WHEN c IS NULL THEN list_append(cl, [{'s': s, 'e': e}]) ELSE list_transform(cl, lambda x, i: CASE WHEN i = c THEN list_append(x, {'s': s, 'e': e}) ELSE x END) END, key, coalesce(c - 1, len(cl)) FROM (
+  SELECT w.brand, o.n, o.key, o.s::BIGINT AS s, o.e::BIGINT AS e, w.cl, list_filter(range(1, len(w.cl) + 1), lambda i: 2 * len(list_filter(w.cl[i], lambda m: greatest(0, least(m.e, o.e) - greatest(m.s, o.s)) / ((m.e - m.s) + (o.e - o.s) - greatest(0, least(m.e, o.e) - greatest(m.s, o.s)))::DOUBLE > 0.9e0)) >= len(w.cl[i]))[1] AS c
+  FROM w JOIN o ON o.brand = w.brand AND o.n = w.n + 1)),
+b AS (SELECT w.brand, w.cluster, arg_min({'key': r.key, 's': r.s::BIGINT, 'e': r.e::BIGINT}, {'p': r.p, 'key': r.key}) AS best FROM w JOIN r ON r.brand = w.brand AND r.key = w.key WHERE w.n > 0 GROUP BY 1, 2),
+k AS (SELECT DISTINCT brand, -1::BIGINT AS cluster, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS chosen, NULL::VARCHAR AS key FROM b
+UNION ALL SELECT k.brand, b.cluster, CASE WHEN ok THEN list_append(k.chosen, {'s': best.s, 'e': best.e}) ELSE k.chosen END, CASE WHEN ok THEN best.key END FROM k JOIN b ON b.brand = k.brand AND b.cluster = k.cluster + 1,
+  LATERAL (SELECT len(list_filter(k.chosen, lambda m: greatest(0, least(m.e, b.best.e) - greatest(m.s, b.best.s)) / least(m.e - m.s, b.best.e - b.best.s)::DOUBLE > 0.1e0)) = 0 AS ok))
+SELECT w.brand, w.key, w.cluster, k.key IS NOT NULL AS kept FROM w LEFT JOIN k ON k.brand = w.brand AND k.key = w.key WHERE w.n > 0""")
+def structure_clusters(spark: SparkSession, d: str) -> DataFrame:
+    """Greedy clusters and chosen structures; the SQL goes through the rows of each group one by one."""
+    found = summarize.representatives(T.part_ranges(spark, d), "brand")
+    return found.select("brand", "key", F.col("cluster").cast("long").alias("cluster"), "kept")
+
+
+@query("""WITH RECURSIVE s AS (SELECT l_suppkey::VARCHAR AS u, l_orderkey::VARCHAR AS k, list_sort(list(DISTINCT l_linenumber)) AS r FROM lineitem GROUP BY 1, 2),
+o AS (SELECT *, row_number() OVER (PARTITION BY u ORDER BY len(r) DESC, k) AS n FROM s),
+w AS (SELECT DISTINCT u, 0::BIGINT AS n, CAST([] AS STRUCT(k VARCHAR, r INTEGER[])[]) AS kept, NULL::VARCHAR AS me, 0::BIGINT AS size, NULL::VARCHAR AS home FROM o
+UNION ALL SELECT u, n, CASE WHEN h IS NULL THEN list_append(kept, {'k': k, 'r': r::INTEGER[]}) ELSE kept END, k, len(r), coalesce(h, k) FROM (
+  SELECT w.u, o.n, o.k, o.r, w.kept, list_filter(w.kept, lambda x: 5 * len(list_intersect(x.r, o.r::INTEGER[])) >= 4 * len(o.r))[1].k AS h FROM w JOIN o ON o.u = w.u AND o.n = w.n + 1))
+SELECT u AS uniprot, home AS key, count(*) AS n, string_agg(me, ',' ORDER BY me) AS pdbs, string_agg(DISTINCT 'x' || size, ',' ORDER BY 'x' || size) AS ligands FROM w WHERE n > 0 GROUP BY 1, 2""")
+def nested_homes(spark: SparkSession, d: str) -> DataFrame:
+    """Interfaces with those that they hold; the SQL goes through the rows of each protein one by one."""
+    merged = nested_merge(spark, d)
+    return merged.select("uniprot", "key", F.size("pdbs").cast("long").alias("n"), F.array_join("pdbs", ",").alias("pdbs"), F.array_join("ligands", ",").alias("ligands"))
+
+
 @query()
 def adaptive_null(spark: SparkSession, d: str) -> DataFrame:
     points = T.points(spark, d).withColumn("v", F.when(F.col("i") % 10 == 0, F.col("v")))
