@@ -43,6 +43,7 @@ from residuum.llm.rolling import Rolling
 
 GRAM = 24
 _LOW = (1 << 31) - 1
+_PLACE = np.uint64((1 << 20) - 1)
 _PIECE = (1 << 20) - 256  # strings of a text that are hashed at a time
 _CHUNK = 800_000  # rows that a task settles among themselves before it passes them on
 
@@ -56,20 +57,20 @@ def _signed(x: np.ndarray) -> np.ndarray:
 
 
 def anchors(raw: bytes, length: int) -> tuple[Rolling, np.ndarray, np.ndarray]:
-    """Hash sums, the gram hashes, and for each string of ``length`` bytes its anchor (the leftmost least gram)."""
+    """Hash sums, the gram hashes, and for each string of ``length`` bytes its anchor (the leftmost of the least grams by 44 bits).
+
+    ``raw`` is shorter than 2 ** 20 bytes, so that a number holds the bits of a gram above its place.
+    """
     rolling = Rolling(raw)
     grams = rolling.windows(GRAM)
+    least = grams & ~_PLACE | np.arange(len(grams), dtype=np.uint64)
     width = length - GRAM + 1
-    value, place = grams, np.arange(len(grams), dtype=np.int32)
     have = 1
     while have < width:
         step = min(have, width - have)
-        right = value[step:]
-        left = value[: len(value) - step]
-        take = right < left
-        value, place = np.where(take, right, left), np.where(take, place[step:], place[: len(place) - step])
+        least = np.minimum(least[: len(least) - step], least[step:])
         have += step
-    return rolling, grams, place
+    return rolling, grams, (least & _PLACE).astype(np.int32)
 
 
 def pieces(raw: bytes, length: int) -> Iterator[tuple[int, bytes]]:
