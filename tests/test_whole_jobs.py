@@ -6,6 +6,7 @@ import numpy as np
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from residuum.operators.ranges import in_ranges
 from residuum.operators import interface, nullmodel, spectra
 from residuum.plans import registry
 
@@ -48,7 +49,7 @@ def test_no_task_ranks_a_whole_group(spark):
     ).filter("mut_count > 0")
     for keys in (["ttype"], []):
         order = [*keys, "mut_count", "sample"]
-        largest = spectra._bucket(rows, order).groupBy(*keys, "_b").count().agg(F.max("count")).first()[0]
+        largest = in_ranges(rows, order).groupBy(*keys, "_b").count().agg(F.max("count")).first()[0]
         assert largest < rows.count() / 20
         got = spectra.frequency_weights(rows, keys[0] if keys else None)
         w = Window.partitionBy(*keys)
