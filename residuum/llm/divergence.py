@@ -31,6 +31,7 @@ import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from itertools import compress
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +43,7 @@ from residuum.llm.common import Staged, text_bytes
 SCALE = 1_000_000_000
 _TERM = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
 _PIECE = 1 << 20  # bytes of a text that are split at a time
-_HELD = 500_000  # terms that a task holds
+_HELD = 300_000  # terms that a task holds
 _PART = 1 << 16  # counters in a row of a sketch
 
 
@@ -143,46 +144,65 @@ def document_frequency_sketch(rows: DataFrame, shape: Sketch, min_docs: int) ->
 
 
 def _counted(shape: Sketch, reached) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """Counts by language, source and possible term; for each source met, a row without a term."""
+    """Counts by key (:func:`_parts`) of language, source and possible term; for each source met, a row with an empty term.
+
+    ``docs`` are the documents of the language that hold the term, on one of its rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(reached.value).astype(bool)
-        held: dict[tuple[str, str], tuple[Counter, Counter]] = {}
+        held: dict[tuple[str, str], Counter] = {}
+        docs: dict[str, Counter] = {}
         met: set[tuple[str, str]] = set()
+        size = 0
 
         def rows() -> Iterator[pa.RecordBatch]:
-            for (lang, source), (count, docs) in held.items():
-                words = list(count)
+            for lang, number in docs.items():
+                words = list(number)  # each is looked up once for all sources
+                possible: set[bytes] = set()
                 for at in range(0, len(words), 50_000):
                     some = words[at : at + 50_000]
-                    possible = bits[shape.places(lang, some)].all(0)
-                    kept = [w for w, p in zip(some, possible.tolist()) if p]
-                    yield frame(lang, source, [w.decode("utf-8", "surrogatepass") for w in kept], [count[w] for w in kept], [docs[w] for w in kept])
+                    possible.update(compress(some, bits[shape.places(lang, some)].all(0).tolist()))
+                for source, count in [(source, c) for (of, source), c in held.items() if of == lang]:
+                    kept = [w for w in count if w in possible]
+                    if kept:
+                        yield frame(lang, source, kept, list(map(count.__getitem__, kept)), [number.pop(w, 0) for w in kept])
             held.clear()
+            docs.clear()
 
-        def frame(lang: str, source: str, word: list, n: list, docs: list) -> pa.RecordBatch:
-            lists = [[lang] * len(word), [source] * len(word), word, n, docs]
-            kinds = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(lists, kinds)], ["lang", "source", "term", "n", "docs"])
+        def frame(lang: str, source: str, word: list[bytes], n: list[int], number: list[int]) -> pa.RecordBatch:
+            behind = b"\0%d\0" % len(lang) + text_bytes(lang) + text_bytes(source)
+            keys = pa.array([w + behind for w in word], pa.binary()).cast(pa.string())
+            return pa.RecordBatch.from_arrays([keys, pa.array(n, pa.int64()), pa.array(number, pa.int64())], ["key", "n", "docs"])
 
         for batch in batches:
             for lang, source, text in _columns(batch):
                 if (lang, source) not in met:
                     met.add((lang, source))
-                    yield frame(lang, source, [None], [0], [0])
-                count, docs = held.setdefault((lang, source), (Counter(), Counter()))
+                    yield frame(lang, source, [b""], [0], [0])
+                count, number = held.setdefault((lang, source), Counter()), docs.setdefault(lang, Counter())
+                before = len(count)
                 own: set[bytes] = set()
                 for some in terms(text):
                     count.update(some)
                     own.update(some)
-                docs.update(own)
-                if sum(len(c) for c, _ in held.values()) > _HELD:
+                number.update(own)
+                size += len(count) - before
+                if size > _HELD:
                     yield from rows()
+                    size = 0
         yield from rows()
 
     return run
 
 
+def _parts(counts: DataFrame) -> DataFrame:
+    """``lang, source, term`` of keys, which hold the term, the length of the language, and language and source; one string groups faster than three."""
+    term, size = (F.split_part("key", F.lit("\0"), F.lit(i)) for i in (1, 2))
+    rest = counts.select("*", term.alias("term"), size.cast("int").alias("_size")).withColumn("_rest", F.expr("substring(key, length(term) + length(_size) + 3)"))
+    return rest.select(F.expr("left(_rest, _size)").alias("lang"), F.expr("substring(_rest, _size + 1)").alias("source"), F.nullif("term", F.lit("")).alias("term"), "n", "docs")
+
+
 def _share(n: Column | str, total: Column | str, kept: Column | str) -> Column:
     """``1 + floor(SCALE * (n + 2) / (total + 2 kept))``; decimals, as counts of large corpora times ``SCALE`` leave 64 bits."""
     whole = lambda x: (F.col(x) if isinstance(x, str) else x).cast("decimal(20,0)")
@@ -210,8 +230,8 @@ def audit(
     shape = Sketch(sketch_bits, sketch_depth)
     reached = docs.sparkSession.sparkContext.broadcast(document_frequency_sketch(rows, shape, min_docs))
 
-    counted = rows.mapInArrow(_counted(shape, reached), "lang string, source string, term string, n long, docs long")
-    counted = staged.write(counted.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs")))
+    counted = rows.mapInArrow(_counted(shape, reached), "key string, n long, docs long")
+    counted = staged.write(_parts(counted.groupBy("key").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))))
     found = counted.filter("term IS NOT NULL")
     kept = staged.write(found.groupBy("lang", "term").agg(F.sum("n").alias("of_lang"), F.sum("docs").alias("docs")).filter(F.col("docs") >= min_docs))
     langs = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("of_lang").alias("lang_total"))

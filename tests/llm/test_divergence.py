@@ -58,6 +58,13 @@ def test_equals_plain(spark):
     assert rows_of(divergence.audit(frame, min_docs=3, top_terms=2, parts=1)) == plain(rows, 3, 2)
 
 
+def test_odd_names_of_languages_and_sources(spark):
+    """Names with zero bytes and digits, which keys hold as they are."""
+    rows = [("one two three", lang, source) for lang in ("", "3", "a\0b", "é\0", "a") for source in ("", "\0", "b\0c", "1\0x", "0")] * 4
+    frame = spark.createDataFrame([(1, *r, 1, "x") for r in rows], SCHEMA).repartition(3)
+    assert rows_of(divergence.audit(frame)) == plain(rows, 10, 10)
+
+
 def test_a_small_sketch_and_small_pieces_change_nothing(spark, monkeypatch):
     rows = corpus()
     frame = spark.createDataFrame([(None, *r, 1, "x") for r in rows], SCHEMA).repartition(3)
