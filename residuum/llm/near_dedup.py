@@ -46,6 +46,7 @@ from residuum.llm.rolling import MULTIPLIER, mix
 
 _PART = 4096  # counters in a row of the counting sketch
 _BUCKETS = 512
+_CLIP = 10_000  # documents after which counters are cut to 255, before any can overflow
 _SHORT = 16  # a list of so many documents gives its pairs itself
 
 
@@ -130,13 +131,17 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
     """One row per document (``n``, ``digest``, bucket counts) and the parts of each task's counting sketch."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = np.zeros(1 << bits, np.uint32)
+        counts, since = np.zeros(1 << bits, np.uint16), 0  # 255 stands for more
         names = ["doc_id", "own", "n", "digest", "buckets", "part", "counts"]
         empty = lambda n, kind: pa.nulls(n, kind)
         for batch in batches:
             ns, digests, buckets = [], [], []
             for s in shingle_sets(batch["text"].to_pylist(), size):
-                np.add.at(counts, (s & np.uint64((1 << bits) - 1)).astype(np.int64), 1)
+                np.add.at(counts, (s & np.uint64((1 << bits) - 1)).astype(np.int64), np.uint16(1))
+                since += 1
+                if since == _CLIP:
+                    np.minimum(counts, 255, out=counts)
+                    since = 0
                 ns.append(len(s))
                 digests.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
                 held = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=_BUCKETS)
@@ -160,16 +165,24 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
 def _classes(survey: DataFrame, bits: int) -> np.ndarray:
     """For each counter the class of its count: the number of its binary digits."""
 
+    def kinds(part: int, total: np.ndarray) -> pa.RecordBatch:
+        kind = np.ceil(np.log2(total.astype(float) + 1)).astype(np.uint8).tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([kind], pa.binary())], ["part", "classes"])
+
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[int, np.ndarray] = {}  # at most 2 ** bits counters
+        last, total = None, np.zeros(_PART, np.uint64)  # of one part, as they come in order
         for batch in batches:
             for part, block in zip(batch["part"].to_pylist(), batch["counts"].to_pylist()):
-                total.setdefault(part, np.zeros(_PART, np.uint64))
-                total[part] += np.frombuffer(block, np.uint8)
-        kinds = [np.ceil(np.log2(t.astype(float) + 1)).astype(np.uint8).tobytes() for t in total.values()]
-        yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.int32()), pa.array(kinds, pa.binary())], ["part", "classes"])
-
-    parts = survey.filter("part IS NOT NULL").select("part", "counts").repartition("part").mapInArrow(add, "part int, classes binary")
+                if part != last:
+                    if last is not None:
+                        yield kinds(last, total)
+                    last, total = part, np.zeros(_PART, np.uint64)
+                total += np.frombuffer(block, np.uint8)
+        if last is not None:
+            yield kinds(last, total)
+
+    parts = survey.filter("part IS NOT NULL").select("part", "counts").repartition("part").sortWithinPartitions("part")
+    parts = parts.mapInArrow(add, "part int, classes binary")
     out = np.zeros(1 << bits, np.uint8)
     for row in parts.collect():  # at most 2 ** bits bytes
         out[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(row["classes"], np.uint8)
