@@ -34,7 +34,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from residuum.llm.common import Staged
+from residuum.llm.common import Staged, is_few
 
 BITS = 128
 _PIECE = 1 << 15  # characters, so at most 2 ** 14 words
@@ -103,10 +103,12 @@ def _blocks(radius: int) -> list[tuple[str, int, int]]:
     return [(half, b, e - b) for half in ("f0", "f1") for b, e in zip(edges, edges[1:])]
 
 
-def within(queries: DataFrame, index: DataFrame, radius: int = 6) -> DataFrame:
+def within(queries: DataFrame, index: DataFrame, radius: int = 6, broadcast_rows: int = 50_000) -> DataFrame:
     """``q0, q1, f0, f1, distance``: for each distinct fingerprint ``f0, f1`` of ``queries`` all distinct ones of ``index`` within ``radius`` bits.
 
     ``q0, q1`` are the query's. Equal fingerprints are one, so groups of copies cost no more than one text.
+
+    :param broadcast_rows: the tables of at most so many queries are broadcast; those of more meet the index by a shuffle.
     """
     blocks = _blocks(radius)
     value = lambda f, b, w: F.shiftrightunsigned(f, b).bitwiseAND(F.lit((1 << w) - 1))
@@ -116,6 +118,8 @@ def within(queries: DataFrame, index: DataFrame, radius: int = 6) -> DataFrame:
     ))
     listed = lambda df: df.select("f0", "f1").distinct().select("f0", "f1", F.inline(tables))
     wanted = listed(queries).withColumnsRenamed({"f0": "q0", "f1": "q1"})
+    # a row of a table is one of many of its fingerprint, which the sizes that Spark plans by do not show
+    wanted = F.broadcast(wanted) if is_few(queries.select("f0", "f1").distinct(), broadcast_rows) else wanted.hint("merge")
     other = {"f0": "q0", "f1": "q1"}
     equal = [(value(f, b, w) == value(other[f], b, w)).cast("int") for f, b, w in blocks]
     before = reduce(lambda x, y: x + y, [F.when(F.col("high") > k, e).otherwise(0) for k, e in enumerate(equal)])

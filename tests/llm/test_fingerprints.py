@@ -107,6 +107,8 @@ def test_all_within_the_radius_are_found_once(spark, radius):
     found = [(join(r.q0, r.q1), join(r.f0, r.f1), r.distance) for r in got]
     expected = {(a, b, (a ^ b).bit_count()) for a in made for b in made if (a ^ b).bit_count() <= radius}
     assert set(found) == expected and len(found) == len(expected)
+    shuffled = fingerprints.within(frame, frame, radius, broadcast_rows=5)
+    assert sorted(map(tuple, shuffled.collect())) == sorted(map(tuple, got))
 
 
 def test_number_of_near_documents(spark):
