@@ -16,6 +16,7 @@ from residuum.llm.common import BoundedCache, text_bytes
 
 
 _MARKS = b".,;:!?#%*$&"
+_MARK_SET = frozenset(_MARKS)
 
 
 class WordTokenizer:
@@ -69,7 +70,7 @@ class WordTokenizer:
 
     def _encode_parts(self, words: list[bytes]) -> list[bytes]:
         """Words with the marks behind them encoded apart, since the pre-tokenizer always cuts there."""
-        cut = [self._split(w) for w in words]
+        cut = [self._split(w) if w[-1] in _MARK_SET else (w, b"") for w in words]
         known = self._cores.look_up({x for pair in cut for x in pair if x})
         known[b""] = b""
         return [known[core] + known[tail] for core, tail in cut]
@@ -84,9 +85,16 @@ class WordTokenizer:
         self._cores.clear()
         self._known.clear()
 
+    def _words(self, text: str | None) -> list[bytes]:
+        """Words, the letters A-Z in lower case if the tokenizer has no other; not beside combining marks, which may join with a letter."""
+        raw = text_bytes(text)
+        if self.lower and b"\xcc" not in raw and b"\xcd" not in raw:
+            raw = raw.lower()
+        return raw.split()
+
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Little-endian 32-bit ids of each text, ``end_id`` last."""
-        split = [text_bytes(t).split() for t in texts]
+        split = list(map(self._words, texts))
         known = self._known.look_up(set().union(*split))
         return [b"".join([known[w] for w in words]) + self.end for words in split]
 
