@@ -27,11 +27,11 @@ whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import compress
+from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +39,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from residuum.llm.common import Staged, text_bytes
+from residuum.llm.rolling import MULTIPLIER, mix
 
 SCALE = 1_000_000_000
 _TERM = bytes(b | 0x20 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256))
@@ -66,9 +67,11 @@ class Sketch:
 
     def places(self, lang: str, words: list[bytes]) -> np.ndarray:
         """The counters of each term, by row of the sketch."""
-        person = hashlib.blake2b(text_bytes(lang), digest_size=16).digest()
-        raw = b"".join([hashlib.blake2b(w, digest_size=16, person=person).digest() for w in words])
-        first, step = np.frombuffer(raw, np.uint64).reshape(-1, 2).T
+        seed = np.uint64(crc32(text_bytes(lang)))
+        # terms of one checksum share all counters, so none is below the frequency of either
+        own = np.fromiter(map(crc32, words), np.uint64, len(words)) << np.uint64(32) | seed
+        first = mix(own * MULTIPLIER)
+        step = mix(first + MULTIPLIER)
         row = np.arange(self.depth, dtype=np.uint64)[:, None]
         mask = np.uint64((1 << self.bits) - 1)
         return ((first + row * (step | np.uint64(1))) & mask | row << np.uint64(self.bits)).astype(np.int64)
@@ -267,7 +270,8 @@ def _pairs(shares: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
 
     partner = of_other(shares, "term", p.alias("other_p"), z.alias("other_absent"))
     both = shares.join(partner, ["lang", "term"]).filter("source < other").groupBy("lang", "source", "other")
-    both = both.agg(F.sum(_differ(p, other_p) - _differ(p, other_z) - _differ(z, other_p) + _differ(z, other_z)).alias("both"))
+    both = both.agg(F.sum(_differ(p, other_p) - _differ(p, other_z) - _differ(z, other_p)).alias("held"), F.count("*").alias("m"), F.first("absent").alias("absent"), F.first("other_absent").alias("other_absent"))
+    both = both.select("lang", "source", "other", (F.col("held") + F.col("m") * _differ(z, other_z)).alias("both"))
 
     swap = lambda df, c: df.select("lang", F.col("other").alias("source"), F.col("source").alias("other"), c)
     more = alone.unionByName(swap(alone, "alone")).withColumnRenamed("alone", "more")
