@@ -40,7 +40,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from residuum.llm.common import Staged, keyed, one_of_each, slices, text_bytes, without
+from residuum.llm.common import Staged, keyed, one_of_each, releasing, slices, text_bytes, without
 from residuum.llm.components import components
 from residuum.llm.rolling import MULTIPLIER, mix
 
@@ -159,7 +159,7 @@ def _survey(docs: DataFrame, size: int, bits: int) -> DataFrame:
                 [empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.int64()), empty(n, pa.binary()), empty(n, pa.binary()),
                  pa.array(list(blocks), pa.int32()), pa.array(list(blocks.values()), pa.binary())], names)
 
-    return docs.mapInArrow(run, "doc_id long, own long, n long, digest binary, buckets binary, part int, counts binary")
+    return docs.mapInArrow(releasing(run), "doc_id long, own long, n long, digest binary, buckets binary, part int, counts binary")
 
 
 def _classes(survey: DataFrame, bits: int) -> np.ndarray:
@@ -182,7 +182,7 @@ def _classes(survey: DataFrame, bits: int) -> np.ndarray:
             yield kinds(last, total)
 
     parts = survey.filter("part IS NOT NULL").select("part", "counts").repartition("part").sortWithinPartitions("part")
-    parts = parts.mapInArrow(add, "part int, classes binary")
+    parts = parts.mapInArrow(releasing(add), "part int, classes binary")
     out = np.zeros(1 << bits, np.uint8)
     for row in parts.collect():  # at most 2 ** bits bytes
         out[row["part"] * _PART : (row["part"] + 1) * _PART] = np.frombuffer(row["classes"], np.uint8)
@@ -333,7 +333,7 @@ def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch["a"].filter(mask), batch["b"].filter(mask)], ["a", "b"])
 
     of = lambda c, s: sets.select(F.col("doc_id").alias(c), F.col("values").alias(s))
-    return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
+    return pairs.join(of("a", "sa"), "a").join(of("b", "sb"), "b").select("a", "b", "sa", "sb").mapInArrow(releasing(run), "a long, b long")
 
 
 def similar(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
@@ -408,20 +408,20 @@ def _groups(
     few = gone.limit(broadcast_rows + 1).count() <= broadcast_rows
     singles = rows.drop("own").join(F.broadcast(gone) if few else gone, "doc_id", "left_anti")
     lists = staged.write(
-        singles.mapInArrow(postings, "value long, doc_id long, n long, pos long")
+        singles.mapInArrow(releasing(postings), "value long, doc_id long, n long, pos long")
         .repartition("value")
         .sortWithinPartitions("value", "doc_id")
-        .mapInArrow(_list_rows(percent), "kind int, a long, b long")
+        .mapInArrow(releasing(_list_rows(percent)), "kind int, a long, b long")
     )
 
     sizes = usable.select("doc_id", "n", "buckets").dropDuplicates(["doc_id"])
     of = lambda c: sizes.select(F.col("doc_id").alias(c), F.col("n").alias(f"n{c}"), F.col("buckets").alias(f"k{c}"))
     first = lists.filter("kind = 0").select("a", "b").distinct().join(of("a"), "a").join(of("b"), "b")
-    first = staged.write(first.mapInArrow(_within_buckets(percent), "a long, b long"))
+    first = staged.write(first.mapInArrow(releasing(_within_buckets(percent)), "a long, b long"))
 
     def checked(pairs: DataFrame) -> DataFrame:
         ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-        sets = staged.write(_only(rows.drop("own"), ids, broadcast_rows).mapInArrow(checked_sets, "doc_id long, values binary"))
+        sets = staged.write(_only(rows.drop("own"), ids, broadcast_rows).mapInArrow(releasing(checked_sets), "doc_id long, values binary"))
         linked = staged.write(verify(pairs, sets, percent), batch_rows=500)
         staged.drop(sets)
         return linked
@@ -450,7 +450,7 @@ def _groups(
         blocks.repartition("block")
         .sortWithinPartitions("block")
         .select("block", "doc_id", "root", "own", "n", "buckets")
-        .mapInArrow(_block_pairs(percent), "a long, b long")
+        .mapInArrow(releasing(_block_pairs(percent)), "a long, b long")
         .distinct()
     )
     staged.drop(lists)

@@ -47,7 +47,7 @@ def cut_pieces(
         for batch in batches:
             texts, ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
             rows = []
-            for begin, end in slices(texts):
+            for begin, end in slices(texts, 1_000_000):
                 for doc_id, raw in zip(ids[begin:end], tok.encode(texts[begin:end])):
                     total = len(raw) // 4
                     for start in range(0, total, window):

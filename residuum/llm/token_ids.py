@@ -120,7 +120,7 @@ def _windows(tokenizer_path: str, window: int, end_id: int, pad_id: int, group_t
         first, held, pieces = TaskContext.get().partitionId() << 33, 0, []
         for batch in batches:
             texts, ids = batch["text"].to_pylist(), batch["doc_id"].to_pylist()
-            for begin, end in slices(texts):
+            for begin, end in slices(texts, 1_000_000):
                 for doc_id, raw in zip(ids[begin:end], tok.encode(texts[begin:end])):
                     held += len(raw) // 4
                     pieces += [(doc_id, at // 4, raw[at : at + 4 * window]) for at in range(0, len(raw), 4 * window)]

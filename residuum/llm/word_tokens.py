@@ -12,7 +12,7 @@ from functools import lru_cache
 
 import numpy as np
 
-from residuum.llm.common import BoundedCache, text_bytes
+from residuum.llm.common import BoundedCache, release, text_bytes
 
 
 _MARKS = b".,;:!?#%*$&"
@@ -84,6 +84,7 @@ class WordTokenizer:
     def clear(self) -> None:
         self._cores.clear()
         self._known.clear()
+        release()
 
     def _words(self, text: str | None) -> list[bytes]:
         """Words, the letters A-Z in lower case if the tokenizer has no other; not beside combining marks, which may join with a letter."""
