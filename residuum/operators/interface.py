@@ -29,9 +29,13 @@ def best_map(maps: DataFrame) -> DataFrame:
 
 
 def _chosen_line(maps: DataFrame, score: Column, tie: Column) -> DataFrame:
-    """The rows of the best line of each chain; lines are chosen before any residues move."""
-    line = maps.groupBy("pdb_chain").agg(F.max_by("line", F.struct(score, tie)).alias("line"))
-    return maps.join(line, ["pdb_chain", "line"], "left_semi")
+    """The maps of the best line of each chain; lines are chosen before any residues move.
+
+    Maps that share a line's number are judged one by one: only those that reach the best score stay.
+    """
+    order = F.struct(score.alias("score"), tie.alias("tie"))
+    top = maps.groupBy("pdb_chain").agg(F.max(order).alias("_top"))
+    return maps.withColumn("_top", order).join(top, ["pdb_chain", "_top"], "left_semi").select(*maps.columns)
 
 
 def last_identity(maps: DataFrame) -> DataFrame:

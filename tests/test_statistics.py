@@ -190,3 +190,13 @@ def test_settings():
     for bad in ('{"sampler": "x"}', '{"sampler": "lysine"}', '{"other": 1}', '{"max_draws": 0}'):
         with pytest.raises(ValueError):
             TestSettings.from_json(bad)
+
+
+def test_maps_that_share_a_line_are_judged_alone(spark):
+    """Maps of two proteins have the chain's name and line in common: only the larger ones count."""
+    pairs = lambda n, shift: [{"u": u, "p": u + shift} for u in range(n)]
+    rows = [("P", pairs(3, 0), 80.0), ("Q", pairs(5, 10), 40.0), ("R", pairs(5, 20), 60.0)]
+    maps = spark.createDataFrame([(u, "1abc-A", m, 7, x) for u, m, x in rows], "u1 string, pdb_chain string, resmap array<struct<u:int,p:int>>, line int, identity double")
+    assert sorted(r.u1 for r in interface.largest_map(maps).collect()) == ["Q", "R"]
+    assert [r.u1 for r in interface.best_map(maps).collect()] == ["R"]
+    assert {r.uniprot for r in interface.chain_residues(maps).collect()} == {"Q", "R"}
