@@ -53,17 +53,19 @@ def native_structures(maps: DataFrame) -> DataFrame:
 def atom_contacts(atoms: DataFrame, reach: float = 4.0) -> DataFrame:
     """Contacts ``pdb, kind, c1, c2, side, resnum`` between chains: residues with an atom within ``reach`` of one of the other chain.
 
-    ``atoms`` is what :func:`residuum.sources.readers.atoms` gives. Space is cut into cubes of the reach, and an
-    atom is compared with those of its own and the neighbouring cubes only.
+    ``atoms`` is what :func:`residuum.sources.readers.atoms` gives. Space is cut into cubes of four times the reach. An
+    atom is listed in the cubes that its reach touches, which are one to eight (3.4 on average), and compared with the
+    atoms that lie in them.
     """
-    cube = lambda c: F.floor(F.col(c) / reach)
-    own = atoms.select("pdb", "chain", "resnum", *"xyz", *(cube(c).alias(f"q{c}") for c in "xyz"))
-    steps = [(i, j, k) for i in (-1, 0, 1) for j in (-1, 0, 1) for k in (-1, 0, 1)]
-    around = F.inline(F.array(*(F.struct(*((F.col(f"q{c}") + n).alias(f"q{c}") for c, n in zip("xyz", step))) for step in steps)))
-    near = own.select("pdb", F.col("chain").alias("c1"), F.col("resnum").alias("r1"), *(F.col(c).alias(f"s{c}") for c in "xyz"), around)
-    pairs = near.join(own.withColumnsRenamed({"chain": "c2", "resnum": "r2"}), ["pdb", "qx", "qy", "qz"]).filter("c1 < c2")
+    width = 4 * reach
+    cube = lambda c, by=0.0: F.floor((F.col(c) + by) / width)
+    own = atoms.select("pdb", "chain", "resnum", *"xyz")
+    near = own.select("pdb", F.col("chain").alias("c1"), F.col("resnum").alias("r1"), *(F.col(c).alias(f"s{c}") for c in "xyz"))
+    for c in "xyz":  # a hair wider than the reach, as sums are rounded
+        near = near.withColumn(f"q{c}", F.explode(F.sequence(cube(f"s{c}", -reach * 1.001), cube(f"s{c}", reach * 1.001))))
+    lying = own.select("pdb", F.col("chain").alias("c2"), F.col("resnum").alias("r2"), *"xyz", *(cube(c).alias(f"q{c}") for c in "xyz"))
     d2 = C.squared_distance([F.col(f"s{c}") for c in "xyz"], [F.col(c) for c in "xyz"])
-    met = pairs.filter(d2 <= reach * reach).select("pdb", "c1", "c2", "r1", "r2").distinct()
+    met = near.join(lying, ["pdb", "qx", "qy", "qz"]).filter("c1 < c2").filter(d2 <= reach * reach)
     sides = F.inline(F.array(*(F.struct(F.lit(k).alias("side"), F.col(r).alias("resnum")) for k, r in enumerate(("r1", "r2")))))
     return met.select("pdb", F.lit("P").alias("kind"), "c1", "c2", sides).distinct()
 

@@ -1,11 +1,12 @@
 """The interface tools from files to all tables on a small world."""
 
 import itertools
+import random
 
 import pytest
 from residuum import cli
 from residuum.functions import constants as K
-from residuum.operators import interface_tables
+from residuum.operators import interface, interface_tables
 from residuum.sources import writers
 
 from .test_cli import world
@@ -98,3 +99,15 @@ def test_samplers_of_interfaces(spark, tmp_path):
     assert 0 < p["spectrum"].p <= 1
     with pytest.raises(SystemExit):
         run("interface-test", *common, "--sampler", "spectrum", "--out", f"{d}/none")
+
+
+def test_atoms_are_listed_in_few_cubes(spark):
+    """Contacts of atoms on and beside the borders of cubes equal all pairs; an atom no longer has 27 places."""
+    rng = random.Random(3)
+    rows = [("p", "ABC"[n % 3], n, *(rng.choice((0.0, 1.0, 4.0, 15.9, 16.0, -4.0, -16.0)) + rng.choice((0.0, 0.5)) for _ in "xyz")) for n in range(150)]
+    atoms = spark.createDataFrame(rows, "pdb string, chain string, resnum int, x double, y double, z double")
+    met = [(a, b) for a in rows for b in rows if a[1] < b[1] and sum((p - q) ** 2 for p, q in zip(a[3:], b[3:])) <= 16]
+    found = interface.atom_contacts(atoms)
+    assert {tuple(r) for r in found.collect()} == {("p", "P", a[1], b[1], s, (a, b)[s][2]) for a, b in met for s in (0, 1)}
+    listed = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "inline" in x]
+    assert len(listed) == 1  # the two sides of a contact; places are no list of 27
