@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from itertools import product
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from residuum.functions import columns as C
+from residuum.functions import constants as K
 from residuum.operators.tally import Tally, counted
 
 
@@ -32,11 +35,20 @@ def binned_join(
 
 
 def context(muts: DataFrame, genome: DataFrame, at: Column, length: int, name: str, chunk: int) -> DataFrame:
-    """Lower-case bases from 0-based ``at`` on; chunks overlap by two bases, so up to three never span more."""
-    chunks = genome.select("chrom", F.col("chunk_id").cast("long").alias("_chunk"), F.col("seq").alias("_seq"))
-    muts = muts.withColumn("_chunk", F.floor(at / chunk))
-    bases = F.lower(F.substring(F.col("_seq"), (at - F.col("_chunk") * chunk + 1).cast("int"), F.lit(length)))
-    return muts.join(chunks, ["chrom", "_chunk"]).withColumn(name, bases).drop("_seq", "_chunk")
+    """Lower-case bases from 0-based ``at`` on; chunks overlap by two bases, so up to three never span more.
+
+    Positions meet pieces of a chunk, not the whole chunk: a character of a long text is found by counting from its
+    start, and filters on what is made of the bases repeat that for each mention.
+    """
+    step = max(64, chunk // 64)
+    last = -(-chunk // step) - 1  # beyond the end of the chromosome pieces are empty
+    number = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_piece")
+    cut = genome.select("chrom", F.col("chunk_id").cast("long").alias("_chunk"), "seq", number)
+    cut = cut.select("chrom", "_chunk", "_piece", F.substring(F.col("seq"), F.col("_piece") * step + 1, F.lit(step + 2)).alias("_seq"))
+    inside = at - F.col("_chunk") * chunk
+    muts = muts.withColumn("_chunk", F.floor(at / chunk)).withColumn("_piece", F.floor(inside / step).cast("int"))
+    bases = F.lower(F.substring(F.col("_seq"), (inside - F.col("_piece") * step + 1).cast("int"), F.lit(length)))
+    return muts.join(cut, ["chrom", "_chunk", "_piece"]).withColumn(name, bases).drop("_seq", "_chunk", "_piece")
 
 
 def to_residues(
@@ -82,25 +94,31 @@ def to_residues(
     for i in range(3):
         split = context(split, genome, F.col(f"b{i}"), 1, f"c{i}", chunk)
     hit = whole.unionByName(split.withColumn("codon", F.concat("c0", "c1", "c2")).drop("c0", "c1", "c2"))
-    codon = F.col("codon")
-    new = F.overlay(codon, F.lower("Tumor_Seq_Allele2"), (F.col("r") + 1).cast("int"), F.lit(1))
-    turn = lambda c: F.when(plus, c).otherwise(C.reverse_complement(c))
     hit = counted(tally, hit.join(proteins.select("uniprot", "seq"), "uniprot"), "known proteins")
     inside = (F.col("aa0") >= 0) & (F.col("aa0") < F.length("seq"))
-    ref, alt = C.translate_codon(turn(codon)), C.translate_codon(turn(new))
+    hit = hit.withColumns({"plus": F.coalesce(plus, F.lit(False)), "r": F.col("r").cast("int"), "new": F.lower("Tumor_Seq_Allele2")})
     found = (
         hit.filter(inside)
-        .withColumn("aa_ref", ref)
+        .join(F.broadcast(_changed(hit.sparkSession)), ["plus", "codon", "r", "new"])
         .filter(F.col("aa_ref") == F.substring(F.col("seq"), F.col("aa0") + 1, F.lit(1)))
         .select(
             F.col("Tumor_Sample_Barcode").alias("sample"), "ttype", "chrom", (F.col("p0") + 1).alias("pos"),
-            "Reference_Allele", "Tumor_Seq_Allele2", "uniprot", "aa_ref", (F.col("aa0") + 1).alias("site"), alt.alias("aa_alt"),
+            "Reference_Allele", "Tumor_Seq_Allele2", "uniprot", "aa_ref", (F.col("aa0") + 1).alias("site"), "aa_alt",
         )
-        .dropna(subset=["aa_alt"])
     )
     return counted(tally, found, "same amino acid")
 
 
+def _changed(spark: SparkSession) -> DataFrame:
+    """``plus, codon, r, new, aa_ref, aa_alt``: amino acids of a genomic codon before and after base ``r`` is ``new``; 1,536 rows."""
+    rows, turn = [], str.maketrans("acgt", "tgca")
+    for codon, r, new in product(K.CODONS, range(3), K.BASES):
+        after = codon[:r] + new + codon[r + 1 :]
+        rows.append((True, codon, r, new, K.CODONS[codon], K.CODONS[after]))
+        rows.append((False, codon, r, new, *(K.CODONS[c[::-1].translate(turn)] for c in (codon, after))))
+    return spark.createDataFrame(rows, "plus boolean, codon string, r int, new string, aa_ref string, aa_alt string")
+
+
 def changes_by_mutation(mapped: DataFrame) -> DataFrame:
     """One row per mutation with all its protein changes, in the order of proteins."""
     keys = ["sample", "ttype", "chrom", "pos", "Reference_Allele", "Tumor_Seq_Allele2"]

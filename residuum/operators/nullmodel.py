@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators.draws import Draws, Prepared, in_rounds, settled
+from residuum.operators.spectra import with_channel
 from residuum.sources.staging import Stage
 
 
@@ -169,7 +170,7 @@ def residue_channels(codons: DataFrame) -> DataFrame:
     """
     rows = codons.select("structure", "i", "strand", "codon", "ctx").join(F.broadcast(codon_changes(codons.sparkSession)), "codon")
     genomic = F.when(F.col("strand") == "+", F.col("to")).otherwise(F.translate("to", "acgt", "tgca"))
-    rows = rows.withColumn("channel", C.channel_index(F.get("ctx", F.col("k")), genomic)).dropna(subset=["channel"])
+    rows = with_channel(rows.select("structure", "i", F.get("ctx", F.col("k")).alias("abc"), genomic.alias("new"))).dropna(subset=["channel"])
     return rows.groupBy("structure", "i", "channel").agg(F.count("*").alias("mult"))
 
 

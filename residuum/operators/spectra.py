@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import product
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -57,8 +59,23 @@ def channel_counts(muts: DataFrame, genome: DataFrame, chunk: int = 65536, tally
     rows = snps(muts).filter("Variant_Type = 'SNP'").withColumn("chrom", C.chromosome_name(F.col("Chromosome")))
     rows = counted(tally, context(rows, genome, F.col("Start_position") - 2, 3, "abc", chunk), "with bases around")
     rows = counted(tally, rows.filter(F.substring("abc", 2, 1) == F.lower("Reference_Allele")), "same base")
-    index = C.channel_index(F.col("abc"), F.lower("Tumor_Seq_Allele2"))
-    return rows.select(F.col("Tumor_Sample_Barcode").alias("patient"), "ttype", index.alias("channel"))
+    rows = rows.select(F.col("Tumor_Sample_Barcode").alias("patient"), "ttype", "abc", F.lower("Tumor_Seq_Allele2").alias("new"))
+    return with_channel(rows).select("patient", "ttype", "channel")
+
+
+def with_channel(rows: DataFrame) -> DataFrame:
+    """``channel`` of ``abc`` and ``new`` as in :func:`columns.channel_index`, null if there is none, looked up in a table of 192 rows.
+
+    The expression mentions the bases dozens of times, and each mention is computed anew where it meets a filter.
+    """
+    number, turn = {name: n for n, name in enumerate(K.channels())}, str.maketrans("acgt", "tgca")
+    table = []
+    for abc in map("".join, product(K.BASES, repeat=3)):
+        for new in set(K.BASES) - {abc[1]}:
+            folded = (abc[::-1].translate(turn), new.translate(turn)) if abc[1] in "gt" else (abc, new)
+            table.append((abc, new, number[f"{folded[0]}-{folded[1]}"]))
+    known = rows.sparkSession.createDataFrame(table, "abc string, new string, channel int")
+    return rows.join(F.broadcast(known), ["abc", "new"], "left")
 
 
 def spectrum_pivot(rows: DataFrame) -> DataFrame:

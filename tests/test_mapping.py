@@ -1,7 +1,9 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
+from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators import mapping, spectra
 from residuum.sources import readers, writers
@@ -186,3 +188,19 @@ def test_genome_over_many_splits(spark, tmp_path):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
     wanted = {(c, k): s[k * 256 : k * 256 + 258] for c, s in records.items() for k in range((len(s) + 255) // 256)}
     assert got == wanted
+
+
+def test_positions_meet_pieces_of_chunks(spark):
+    """Bases at every place of two chunks; no joined row holds a chunk, and none is read beyond the end."""
+    text = "".join("ACGT"[(n * 7 + n // 5) % 4] for n in range(300))
+    genome = spark.createDataFrame([("c", 0, text[:258]), ("c", 1, text[256:])], "chrom string, chunk_id int, seq string")
+    at = spark.range(-1, 310).selectExpr("'c' AS chrom", "id AS at")
+    found = mapping.context(at, genome, F.col("at"), 3, "abc", 256)
+    assert {r.at: r.abc for r in found.collect()} == {n: text[n : n + 3].lower() for n in range(310)}
+    assert "_piece" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_channels_of_the_table_equal_the_expression(spark):
+    rows = spark.createDataFrame([(a + b + c, n) for a in "acgtn" for b in "acgtn" for c in "acgtn" for n in "acgtn"] + [("", "a"), (None, "a"), ("aca", None)], "abc string, new string")
+    found = spectra.with_channel(rows).withColumn("want", C.channel_index(F.col("abc"), F.col("new"))).collect()
+    assert len(found) == 628 and all(r.channel == r.want for r in found) and sum(r.channel is not None for r in found) == 192
