@@ -11,7 +11,7 @@ from residuum.functions import columns as C
 from residuum.functions import constants as K
 from residuum.operators import greedy, summarize
 from residuum.operators.draws import Draws, Prepared, in_rounds
-from residuum.operators.nullmodel import _HELD, Spots, _fresh, own_distributions, whole_draws
+from residuum.operators.nullmodel import _HELD, Spots, _fresh, distributions, own_distributions, whole_draws
 from residuum.sources.staging import Stage
 
 EDGE = ["pdb", "kind", "c1", "c2", "side"]
@@ -163,7 +163,7 @@ def interface_test(residues: DataFrame, edges: DataFrame, options: Draws = Draws
     needed = ["pdb", "chain", "resnum", "w", *(["weight"] if weighted else [])]
     tables = {"residues": residues.select(*needed), "edges": _fresh(edges.select(*EDGE, "chain", "resnum"))}
     if vectors is not None:
-        tables["vectors"] = _fresh(vectors.select("pdb", "chain", "site", "resnum", "w"))
+        tables["vectors"] = _fresh(distributions(vectors, ["pdb", "chain"], "resnum"))
     both = [tables[t].select(F.col("pdb").alias("pdb")).distinct() for t in ("residues", "edges")]
     common = _fresh(both[0].join(both[1], "pdb", "left_semi"))
     tables = {t: df.join(_fresh(common), "pdb", "left_semi") for t, df in tables.items()}
@@ -212,11 +212,11 @@ def _by_spectra(points: pd.DataFrame, chains: list[np.ndarray], hit: np.ndarray,
     spots = []
     for members in chains:
         numbers = points["resnum"].to_numpy()[members]
-        own = vectors[vectors["chain"] == points["chain"].iat[members[0]]].rename(columns={"resnum": "i"})
-        p = own_distributions(own, pd.Series(numbers), numbers[hit[members]])
+        own = vectors[vectors["chain"] == points["chain"].iat[members[0]]]
+        p, of = own_distributions(own, pd.Series(numbers), numbers[hit[members]])
         if (p.sum(1) <= 0).any():
             return None
-        spots.append((members, Spots(p)))
+        spots.append((members, Spots(p, of)))
 
     def draw(rng: np.random.Generator, n: int) -> tuple[list[np.ndarray], np.ndarray]:
         out, whole = [], np.ones(n, bool)

@@ -266,15 +266,17 @@ def _sampler(weights: np.ndarray | None, allowed: np.ndarray, k: int) -> Callabl
 
 
 class Spots:
-    """A residue for each mutation from its own distribution, the row of ``p``."""
+    """A residue for each mutation from its own distribution, the row of ``p`` that ``of`` has for it (its own number if not given)."""
 
-    def __init__(self, p: np.ndarray):
-        self.k, self.size = p.shape
+    def __init__(self, p: np.ndarray, of: np.ndarray | None = None):
+        self._of = np.arange(len(p)) if of is None else of
+        self.k, self.size = len(self._of), p.shape[1]
         steps = np.cumsum(p, axis=1)
-        self._steps = (steps / steps[:, -1:] + np.arange(self.k)[:, None]).ravel()
+        self._steps = (steps / steps[:, -1:] + np.arange(len(p))[:, None]).ravel()
 
     def _at(self, rng: np.random.Generator, m: np.ndarray) -> np.ndarray:
-        found = np.searchsorted(self._steps, m + rng.random(len(m)), "right") - m * self.size
+        row = self._of[m]
+        found = np.searchsorted(self._steps, row + rng.random(len(m)), "right") - row * self.size
         return np.clip(found, 0, self.size - 1)
 
     def draw(self, rng: np.random.Generator, n: int, tries: int = 1000) -> tuple[np.ndarray, np.ndarray]:
@@ -315,9 +317,9 @@ def whole_draws(some: Callable[[np.random.Generator, int], tuple[list[np.ndarray
     return None
 
 
-def _collision_free(rng: np.random.Generator, p: np.ndarray, n: int) -> np.ndarray | None:
+def _collision_free(rng: np.random.Generator, p: np.ndarray, n: int, of: np.ndarray | None = None) -> np.ndarray | None:
     """Residues of ``n`` draws without collisions, a bounded table at a time."""
-    spots, parts, some = Spots(p), [], max(1, _HELD // p.shape[1])
+    spots, parts, some = Spots(p, of), [], max(1, _HELD // p.shape[1])
     for at in range(0, n, some):
         drawn = whole_draws(lambda r, m: ((x := spots.draw(r, m))[:1], x[1]), rng, min(some, n - at))
         if drawn is None:
@@ -331,12 +333,12 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
 
     ``points`` holds ``group, i, x, y, z, v`` (``v`` null where not mutated), and
     ``weight`` for weighted draws, ``resname`` for restricted ones. With
-    ``vectors`` (``group, site, i, w``) each mutation is drawn from its own
+    ``vectors`` (``group, site, i, w``, or the form of :func:`distributions`) each mutation is drawn from its own
     distribution and keeps its weight; else weights are permuted. Status 1: the
     budget of draws or seconds ended before the stop rule; 2: no draw was possible. Seeds follow
     the structure's name and the block, so results do not depend on partitions or rounds.
 
-    A task holds the residues of one structure and draws some of its blocks. The pairs of all
+    A task holds the residues of one structure, and its unlike distributions, and draws some of its blocks. The pairs of all
     residues are held only for a chain of common size; in larger ones pairs are made in tiles.
     """
     has_weight, by_site = "weight" in points.columns, vectors is not None
@@ -362,12 +364,12 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
             allowed = allowed[weights[allowed] > 0]
         reached = lambda index, mass: (score(index, mass) >= observed[:, None] - 1e-12).sum(1)
         if by_site:
-            p = own_distributions(own["vectors"], pdf["i"], pdf["i"].to_numpy()[mutated])
+            p, of = own_distributions(own["vectors"], pdf["i"], pdf["i"].to_numpy()[mutated])
             if (p.sum(1) <= 0).any():
                 return impossible(observed)
 
             def by_spectrum(rng: np.random.Generator, n: int) -> np.ndarray | None:
-                index = _collision_free(rng, p, n)
+                index = _collision_free(rng, p, n, of)
                 return None if index is None else reached(index, np.broadcast_to(values, index.shape))
 
             return labels, observed, by_spectrum
@@ -379,18 +381,41 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
     needed = [group, "i", "x", "y", "z", "v", *(["weight"] if has_weight else []), *(["resname"] if names else [])]
     tables = {"points": points.select(*needed)}
     if vectors is not None:
-        tables["vectors"] = _fresh(vectors.select(group, "site", "i", "w")).join(_fresh(points.select(group)).distinct(), group, "left_semi")
+        tables["vectors"] = _fresh(distributions(vectors, [group])).join(_fresh(points.select(group)).distinct(), group, "left_semi")
     return in_rounds(tables, group, "scale_idx int", prepare, options)
 
 
-def own_distributions(vectors: pd.DataFrame, residues: pd.Series, mutated: np.ndarray) -> np.ndarray:
-    """The weights ``site, i, w`` of ``vectors`` as a table of mutated sites by residues."""
-    p = np.zeros((len(mutated), len(residues)))
-    row, place = ({int(x): n for n, x in enumerate(xs)} for xs in (mutated, residues))
-    for site, i, w in zip(vectors["site"], vectors["i"], vectors["w"]):
-        if site in row and i in place:
-            p[row[site], place[i]] = w
-    return p
+def distributions(vectors: DataFrame, keys: list[str], index: str = "i") -> DataFrame:
+    """``keys, sites, i, w`` of ``keys, site, index, w``: a row for each distribution, and the sites that share it.
+
+    Tasks get arrays in place of a row for each site and residue, and a distribution of many sites once. Such a table
+    is left as it is.
+    """
+    if "sites" in vectors.columns:
+        return vectors.select(*keys, "sites", "i", "w")
+    own = vectors.groupBy(*keys, "site").agg(F.array_sort(F.collect_list(F.struct(F.col(index).alias("i"), "w"))).alias("_own"))
+    return own.groupBy(*keys, "_own").agg(F.collect_list("site").alias("sites")).select(*keys, "sites", F.col("_own.i").alias("i"), F.col("_own.w").alias("w"))
+
+
+def own_distributions(vectors: pd.DataFrame, residues: pd.Series, mutated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A row over ``residues``, which are in order, of each distribution ``sites, i, w`` in use, and the row of each of ``mutated``.
+
+    Mutated residues without a distribution share a row of zeros.
+    """
+    numbers, rows, of = residues.to_numpy(), [], np.full(len(mutated), -1)
+    for sites, i, w in zip(vectors["sites"], vectors["i"], vectors["w"]):
+        has = np.isin(mutated, sites)
+        if has.any():
+            of[has] = len(rows)
+            i, w = np.asarray(i), np.asarray(w)
+            at = np.searchsorted(numbers, i, "right") - 1
+            known = (at >= 0) & (numbers[at] == i)
+            rows.append(np.zeros(len(numbers)))
+            rows[-1][at[known]] = w[known]
+    if (of < 0).any():
+        of[of < 0] = len(rows)
+        rows.append(np.zeros(len(numbers)))
+    return np.array(rows).reshape(len(rows), len(numbers)), of
 
 
 def _fresh(df: DataFrame) -> DataFrame:

@@ -159,3 +159,20 @@ def test_interface_counts_do_not_depend_on_rounds(spark, first_round):
         one = interface.interface_test(residues, edges, base, v).collect()
         more = interface.interface_test(residues, edges, replace(base, first_round=first_round, tasks=5), v).collect()
         assert sorted(one) == sorted(more) and len(one) == 3
+
+
+def test_sites_that_draw_alike_share_one_distribution(spark, points):
+    """A row for a distribution, not for each site and residue; both forms of the table draw the same."""
+    w = 1 / (1 + F.abs("x"))
+    sites = points.filter("v IS NOT NULL").select("structure", F.col("i").alias("site"))
+    rows = sites.join(points.select("structure", "i", w.alias("w")), "structure")
+    packed = nullmodel.distributions(rows, ["structure"])
+    assert sorted((r.structure, len(r.sites), len(r.i)) for r in packed.collect()) == [(f"s{s}", 4, 30) for s in range(6)]
+    options = Draws(max_draws=300, batch=100)
+    assert sorted(nullmodel.structure_test(points, options=options, vectors=rows).collect()) == sorted(nullmodel.structure_test(points, options=options, vectors=packed).collect())
+    unlike = rows.withColumn("w", F.col("w") * (F.col("site") % 2 + 1) + F.when(F.col("i") == F.col("site"), 1.0).otherwise(0.0))
+    p, of = nullmodel.own_distributions(nullmodel.distributions(unlike, ["structure"]).filter("structure = 's0'").toPandas(), points.filter("structure = 's0'").toPandas()["i"], np.array([r.site for r in sites.filter("structure = 's0'").collect()]))
+    plain_rows = {(r.site, r.i): r.w for r in unlike.filter("structure = 's0'").collect()}
+    assert p.shape == (4, 30) and sorted(of) == [0, 1, 2, 3]
+    for site, row in zip([r.site for r in sites.filter("structure = 's0'").collect()], of):
+        assert [plain_rows[site, i] for i in range(30)] == p[row].tolist()
