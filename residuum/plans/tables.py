@@ -22,6 +22,14 @@ POINTS = """points AS (SELECT label, vec_id AS i, embedding[1]::DOUBLE * 20 AS x
   embedding[3]::DOUBLE * 20 AS z, 1e0 + vec_id % 5 AS v FROM embeddings)"""
 
 
+def with_others(a: DataFrame, b: DataFrame, key: str, slices: int = 32, tasks: int = 96) -> DataFrame:
+    """All rows of ``a`` beside those of ``b`` with the same ``key``; ``a`` is cut into slices, so that a key with many rows is spread over tasks."""
+    cut = a.withColumn("_slice", F.pmod(F.xxhash64(*a.columns), F.lit(slices)))
+    others = b.withColumn("_slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1)).cast("array<bigint>")))
+    near = [df.repartition(tasks, key, "_slice") for df in (cut, others)]
+    return near[0].join(near[1].hint("shuffle_hash"), [key, "_slice"]).drop("_slice")
+
+
 def order_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``ttype, sample, mut_count``: orders of customers by market segment."""
     rows = table(spark, sf_dir, "customer").join(table(spark, sf_dir, "orders"), F.col("c_custkey") == F.col("o_custkey"))
