@@ -298,22 +298,30 @@ def best_pair_rows(rows: DataFrame, identities: DataFrame, share: float = 0.8) -
     score the least p is chosen.
     """
     rows = rows.filter("u1 <> u2").withColumns({"ua": F.least("u1", "u2"), "ub": F.greatest("u1", "u2")})
-    tops = rows.groupBy("ua", "ub").agg(*(F.max(c).alias(f"top_{c}") for c in ("mapped1", "iface1", "mapped2", "iface2")))
-    rows = rows.join(tops.filter("least(top_iface1, top_iface2) > 0"), ["ua", "ub"])
-    for k in "12":
-        ids = identities.select(F.col("u1").alias(f"u{k}"), F.col("pdb_chain").alias("_pc"), F.col("identity").alias(f"id{k}"))
-        rows = rows.withColumn("_pc", F.concat_ws("-", "pdb", f"c{k}")).join(ids, [f"u{k}", "_pc"]).drop("_pc")
-    straight = F.col("u1") == F.col("ua")
+    stage, keys = Stage(rows.sparkSession, "pairs"), ["ua", "ub"]
+    tops = stage.write(rows.groupBy(*keys).agg(*(F.max(c).alias(f"top_{c}") for c in ("mapped1", "iface1", "mapped2", "iface2"))).filter("least(top_iface1, top_iface2) > 0"))
+    tops = _held(tops)
+    names = {k: _held(identities.select(F.col("u1").alias(f"u{k}"), F.col("pdb_chain").alias("_pc"), F.col("identity").alias(f"id{k}"))) for k in "12"}
 
     def part(side: str, top: str):
         return F.col(f"id{side}") * (F.col(f"iface{side}") / F.col(f"top_iface{top}") + F.col(f"mapped{side}") / F.col(f"top_mapped{top}"))
 
+    straight = F.col("u1") == F.col("ua")
     score = F.when(straight, part("1", "1") + part("2", "2")).otherwise(part("2", "1") + part("1", "2"))
-    rows = rows.withColumn("score", score)
-    high = rows.groupBy("ua", "ub").agg(F.max("score").alias("_top"))
-    rows = rows.join(high, ["ua", "ub"]).filter(F.col("score") >= share * F.col("_top"))
-    order = Window.partitionBy("ua", "ub").orderBy("p", F.desc("score"), "pdb", "c1", "c2")
-    return rows.withColumn("_r", F.row_number().over(order)).filter("_r = 1").drop("_r", "_top")
+
+    def scored(rows: DataFrame) -> DataFrame:
+        rows = rows.join(tops, keys)
+        for k, ids in names.items():
+            rows = rows.withColumn("_pc", F.concat_ws("-", "pdb", f"c{k}")).join(ids, [f"u{k}", "_pc"]).drop("_pc")
+        return rows.withColumn("score", score)
+
+    # of one p only the best score can be chosen, so a number for each p is kept, and only the chosen rows are sorted
+    best = stage.write(scored(rows).groupBy(*keys, "p").agg(F.max("score").alias("_best")))
+    high = F.max("_best").over(Window.partitionBy(*keys))
+    chosen = _first(best.withColumn("_top", high).filter(F.col("_best") >= share * F.col("_top")).drop("_top"), keys, ["p"])
+    chosen = _held(chosen.select(F.col("ua").alias("_ua"), F.col("ub").alias("_ub"), F.col("p").alias("_p"), "_best"))
+    near = rows.join(chosen, (F.col("ua") == F.col("_ua")) & (F.col("ub") == F.col("_ub")) & F.col("p").eqNullSafe(F.col("_p"))).drop("_ua", "_ub", "_p")
+    return _first(scored(near).filter(F.col("score") == F.col("_best")).drop("_best"), keys, ["pdb", "c1", "c2"])
 
 
 def partner_rows(rows: DataFrame) -> DataFrame:

@@ -31,3 +31,33 @@ def test_crowded_keys_are_spread_over_tasks(spark):
     assert met.count() == met.distinct().count() == 80_000
     sizes = [r["count"] for r in met.groupBy(F.spark_partition_id()).count().collect()]
     assert len(sizes) > 8 and max(sizes) < 20_000
+
+
+def test_best_pair_rows_against_loops(spark):
+    """Nulls, equal scores and equal p-values; only chosen rows are sorted."""
+    random.seed(5)
+    one = lambda n: (f"p{n % 3}", f"c{n}", f"d{n}", f"u{n % 4}", f"u{n // 4 % 4}", *(float(random.randint(0, 3)) for _ in range(4)), random.choice([0.1, 0.1, 0.2, 0.5, None]))
+    data = [one(n) for n in range(300)]
+    cols = ["pdb", "c1", "c2", "u1", "u2", "mapped1", "iface1", "mapped2", "iface2", "p"]
+    ids = {(r[2 + k], f"{r[0]}-{r[k]}"): random.choice([50.0, 90.0, None]) for r in data for k in (1, 2)}
+    groups = {}
+    for r in (dict(zip(cols, x)) for x in data):
+        if r["u1"] != r["u2"]:
+            groups.setdefault(tuple(sorted((r["u1"], r["u2"]))), []).append(r)
+    expected = set()
+    for pair, rows in groups.items():
+        top = {c: max(r[c] for r in rows) for c in ("mapped1", "iface1", "mapped2", "iface2")}
+        for r in rows:
+            part = lambda s, t: (i := ids[r[f"u{s}"], f"{r['pdb']}-{r[f'c{s}']}"]) and i * (r[f"iface{s}"] / top[f"iface{t}"] + r[f"mapped{s}"] / top[f"mapped{t}"])  # noqa: E731, B023
+            own = [part("1", "1"), part("2", "2")] if r["u1"] == pair[0] else [part("2", "1"), part("1", "2")]
+            r["score"] = None if None in own else sum(own)
+        best = max(r["score"] for r in rows if r["score"] is not None)
+        high = [r for r in rows if r["score"] is not None and r["score"] >= 0.8 * best]
+        first = min(high, key=lambda r: (r["p"] is not None, r["p"] or 0, -r["score"], r["pdb"], r["c1"], r["c2"]))
+        expected.add((*pair, first["c1"], first["c2"], first["p"], first["score"]))
+    rows = spark.createDataFrame(data, "pdb string, c1 string, c2 string, u1 string, u2 string, mapped1 double, iface1 double, mapped2 double, iface2 double, p double")
+    names = spark.createDataFrame([(*k, v) for k, v in ids.items()], "u1 string, pdb_chain string, identity double")
+    found = interface.best_pair_rows(rows, names)
+    assert {tuple(r) for r in found.select("ua", "ub", "c1", "c2", "p", "score").collect()} == expected and len(expected) == 6
+    windows = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "_best" in windows  # rows are filtered by the number of their pair before any window
