@@ -61,3 +61,19 @@ def test_best_pair_rows_against_loops(spark):
     assert {tuple(r) for r in found.select("ua", "ub", "c1", "c2", "p", "score").collect()} == expected and len(expected) == 6
     windows = found._jdf.queryExecution().optimizedPlan().toString()
     assert "_best" in windows  # rows are filtered by the number of their pair before any window
+
+
+def test_overlap_totals_count_equal_ranges(spark):
+    from residuum.operators import summarize
+
+    random.seed(7)
+    ranges = [(g, (s := random.randint(0, 30)), s + random.choice([0, 3, 9, 20])) for g in "ab" for _ in range(120)] + [("c", 1, 5)]
+    expected = {}
+    for g in "ab":
+        own = [r[1:] for r in ranges if r[0] == g]
+        pairs = [(max(0, min(e, y) - max(s, x)), e - s, y - x) for (s, e), (x, y) in itertools.combinations(own, 2)]
+        near = [p for p in pairs if p[0]]
+        expected[g] = (len(pairs), sum(p[0] for p in near), sum(o / (x + y - o) for o, x, y in near), sum(o / min(x, y) for o, x, y in near))
+    frame = spark.createDataFrame(ranges, "brand string, start long, end long").withColumn("key", F.monotonically_increasing_id())
+    got = {r.brand: (r.n_pairs, r.shared, r.jaccard, r.of_shorter) for r in summarize.overlap_totals(frame, "brand").collect()}
+    assert got == {g: pytest.approx(e) for g, e in expected.items()}
