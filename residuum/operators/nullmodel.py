@@ -251,6 +251,59 @@ def _score_apart(xyz: np.ndarray, scales: tuple[float, ...], index: np.ndarray,
     return out
 
 
+def _along(x: np.ndarray, scale: float) -> tuple[np.ndarray, np.ndarray] | None:
+    """Features of ``exp(-(x - y)^2 / (2 scale^2))`` on a line and their weights: products of two rows give the kernel to 1e-12.
+
+    The kernel is interpolated at Chebyshev nodes; None if 64 of them are not enough.
+    """
+    middle, half = (x.max() + x.min()) / 2, max(x.max() - x.min(), 1e-9) / 2
+    kernel = lambda a, b: np.exp(-(((a[:, None] - b[None]) * half) ** 2) / (2 * scale * scale))
+    for n in (8, 12, 16, 20, 24, 28, 32, 40, 48, 64):
+        nodes = np.cos(np.pi * (np.arange(n) + 0.5) / n)
+        turn = np.polynomial.chebyshev.chebvander(nodes, n - 1) * np.where(np.arange(n) > 0, 2 / n, 1 / n)
+        at = lambda t: np.polynomial.chebyshev.chebvander(t, n - 1) @ turn.T  # noqa: E731, B023
+        grid = np.linspace(-1, 1, 4 * n + 1)
+        inner = kernel(nodes, nodes)
+        if np.abs(at(grid) @ inner @ at(grid).T - kernel(grid, grid)).max() < 2e-13:
+            weight, turned = np.linalg.eigh(inner)
+            kept = weight > 1e-15 * weight[-1]
+            return at((x - middle) / half) @ (turned[:, kept] * np.sqrt(weight[kept])), weight[kept] / weight[-1]
+    return None
+
+
+def _separable(xyz: np.ndarray, scale: float, k: int) -> tuple[np.ndarray, ...] | None:
+    """Features of the kernel along each axis, and which of x and y to multiply, if they are less work than the pairs of ``k`` residues."""
+    along = [_along(xyz[:, c], scale) for c in range(3)]
+    if any(a is None for a in along):
+        return None
+    (x, wx), (y, wy), (z, _) = along
+    a, b = np.nonzero(np.outer(wx, wy) > 1e-15)
+    if len(a) * (1 + z.shape[1] / 10) > 3 * k:
+        return None
+    return x, y, z, a, b
+
+
+def _score_large(xyz: np.ndarray, scales: tuple[float, ...], k: int) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """As :func:`_score` for many residues: sums over features, whose number does not grow with the draws, or over tiles of pairs."""
+    known = {scale: _separable(xyz, scale, k) for scale in scales}
+    apart = tuple(s for s in scales if known[s] is None)
+
+    def score(index: np.ndarray, values: np.ndarray) -> np.ndarray:
+        out = np.empty((len(scales), len(index)))
+        if apart:
+            out[[s in apart for s in scales]] = _score_apart(xyz, apart, index, values)
+        for n, scale in enumerate(scales):
+            if known[scale] is not None:
+                x, y, z, a, b = known[scale]
+                flat = x[:, a] * y[:, b]
+                for d, (at, v) in enumerate(zip(index, values)):
+                    sums = flat[at].T @ (z[at] * v[:, None])
+                    out[n, d] = (np.vdot(sums, sums) - v @ v) / 2
+        return out
+
+    return score
+
+
 def _sampler(weights: np.ndarray | None, allowed: np.ndarray, k: int) -> Callable[[np.random.Generator, int], np.ndarray]:
     def sample(rng: np.random.Generator, n: int) -> np.ndarray:
         out, some = np.empty((n, k), allowed.dtype), max(1, _HELD // len(allowed))
@@ -356,7 +409,7 @@ def structure_test(points: DataFrame, group: str = "structure", names: tuple[str
         if len(pdf) <= _DENSE:
             score = partial(_score, _kernels(xyz, options.scales))
         else:
-            score = partial(_score_apart, xyz, options.scales)
+            score = _score_large(xyz, options.scales, k)
         observed = score(mutated[None], values[None])[:, 0]
         allowed = np.flatnonzero(pdf["resname"].isin(names)) if names else np.arange(len(pdf))
         weights = pdf["weight"].to_numpy(float) if has_weight else None

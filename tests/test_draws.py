@@ -176,3 +176,16 @@ def test_sites_that_draw_alike_share_one_distribution(spark, points):
     assert p.shape == (4, 30) and sorted(of) == [0, 1, 2, 3]
     for site, row in zip([r.site for r in sites.filter("structure = 's0'").collect()], of):
         assert [plain_rows[site, i] for i in range(30)] == p[row].tolist()
+
+
+def test_scores_of_many_residues_from_features():
+    """Sums over features are those over all pairs, near and far scales, and pairs are left only where they are less work."""
+    rng = np.random.default_rng(2)
+    xyz = rng.normal(0, 2.5, (3000, 3)) * [1, 2, 0]
+    xyz[:, 2] = 7.0
+    index = np.sort(np.array([rng.permutation(3000)[:900] for _ in range(3)]), axis=1)
+    values, scales = rng.random((3, 900)), (0.01, 3.0, 6.0, 10.0)
+    assert [nullmodel._separable(xyz, s, 900) is None for s in scales] == [True, False, False, False]
+    assert nullmodel._separable(xyz, 3.0, 5) is None
+    got = nullmodel._score_large(xyz, scales, 900)(index, values)
+    assert np.allclose(got, nullmodel._score_apart(xyz, scales, index, values), rtol=1e-11, atol=0)
