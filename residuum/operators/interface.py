@@ -301,7 +301,8 @@ def best_pair_rows(rows: DataFrame, identities: DataFrame, share: float = 0.8) -
     stage, keys = Stage(rows.sparkSession, "pairs"), ["ua", "ub"]
     tops = stage.write(rows.groupBy(*keys).agg(*(F.max(c).alias(f"top_{c}") for c in ("mapped1", "iface1", "mapped2", "iface2"))).filter("least(top_iface1, top_iface2) > 0"))
     tops = _held(tops)
-    names = {k: _held(identities.select(F.col("u1").alias(f"u{k}"), F.col("pdb_chain").alias("_pc"), F.col("identity").alias(f"id{k}"))) for k in "12"}
+    known = _held(stage.write(identities.select("u1", "pdb_chain", "identity")))
+    names = {k: known.select(F.col("u1").alias(f"u{k}"), F.col("pdb_chain").alias("_pc"), F.col("identity").alias(f"id{k}")) for k in "12"}
 
     def part(side: str, top: str):
         return F.col(f"id{side}") * (F.col(f"iface{side}") / F.col(f"top_iface{top}") + F.col(f"mapped{side}") / F.col(f"top_mapped{top}"))
@@ -321,6 +322,7 @@ def best_pair_rows(rows: DataFrame, identities: DataFrame, share: float = 0.8) -
     chosen = _first(best.withColumn("_top", high).filter(F.col("_best") >= share * F.col("_top")).drop("_top"), keys, ["p"])
     chosen = _held(chosen.select(F.col("ua").alias("_ua"), F.col("ub").alias("_ub"), F.col("p").alias("_p"), "_best"))
     near = rows.join(chosen, (F.col("ua") == F.col("_ua")) & (F.col("ub") == F.col("_ub")) & F.col("p").eqNullSafe(F.col("_p"))).drop("_ua", "_ub", "_p")
+    near = _held(stage.write(near))
     return _first(scored(near).filter(F.col("score") == F.col("_best")).drop("_best"), keys, ["pdb", "c1", "c2"])
 
 
