@@ -59,56 +59,110 @@ def to_residues(
     A mutation falls into the first exon of each gene that holds it. Its codon is
     read in genomic order; bases beyond the exon come from the exon
     next to it, and a codon that would reach past the first or last exon is
-    dropped. So is one whose amino acid is not the protein's. ``tally`` counts the rows that
+    dropped. So is one whose amino acid is not the protein's. Bases and amino acids are joined to
+    pieces of exons, so a mutation is read and moved once. ``tally`` counts the rows that
     reach each step.
     """
+    muts = muts.select("Tumor_Sample_Barcode", "ttype", "Chromosome", "Start_position", "Reference_Allele", "Tumor_Seq_Allele2")
     muts = counted(tally, snps(counted(tally, muts, "mutations")), "single bases").withColumn("chrom", C.chromosome_name(F.col("Chromosome"))).withColumn("p0", F.col("Start_position") - 1)
-    muts = muts.withColumn("mutation", F.xxhash64("Tumor_Sample_Barcode", "ttype", "chrom", "p0", "Reference_Allele", "Tumor_Seq_Allele2"))
-    cut = genes.select("chrom", "gene", "uniprot", "strand", "exons", "blocks", "excluded", F.posexplode("exons").alias("k", "exon"))
-    cut = cut.withColumns({"s": F.col("exon.s"), "e": F.col("exon.e")}).drop("exon")
-    hit = binned_join(muts, cut, ["chrom"], "p0", "s", "e", width).filter(~F.array_contains("excluded", F.col("p0")))
-    first = hit.groupBy("mutation", "gene").agg(F.min("k").alias("k")).dropDuplicates()
-    hit = counted(tally, hit.join(first, ["mutation", "gene", "k"], "left_semi"), "in exons")
-
-    plus = F.col("strand") == "+"
-    off = F.when(plus, F.col("p0") - F.col("s")).otherwise(F.col("e") - F.col("p0") - 1)
-    begin = F.get("blocks", F.col("k"))["a0"]
-    phase = begin["phase"] + off % 3
-    hit = hit.withColumn("aa0", (begin["aa"] + F.floor(off / 3) + F.floor(phase / 3)).cast("int"))
-    hit = hit.withColumn("r", F.when(plus, phase % 3).otherwise(2 - phase % 3))
-    before, after = F.get("exons", F.col("k") - 1), F.get("exons", F.col("k") + 1)
-
-    def base(i: int) -> Column:
-        want = F.col("p0") - F.col("r") + i
-        return (
-            F.when(want < F.col("s"), before["e"] - (F.col("s") - want))
-            .when(want >= F.col("e"), after["s"] + (want - F.col("e")))
-            .otherwise(want)
-        )
-
-    hit = hit.withColumns({f"b{i}": base(i) for i in range(3)}).dropna(subset=["b0", "b1", "b2"])
-    hit = counted(tally, hit, "whole codons")
-    inside_exon = (F.col("b1") == F.col("b0") + 1) & (F.col("b2") == F.col("b0") + 2)
-    whole = context(hit.filter(inside_exon), genome, F.col("b0"), 3, "codon", chunk)
-    split = hit.filter(~inside_exon)  # few: codons cut by an exon's end are read base by base
-    for i in range(3):
-        split = context(split, genome, F.col(f"b{i}"), 1, f"c{i}", chunk)
-    hit = whole.unionByName(split.withColumn("codon", F.concat("c0", "c1", "c2")).drop("c0", "c1", "c2"))
-    hit = counted(tally, hit.join(proteins.select("uniprot", "seq"), "uniprot"), "known proteins")
-    inside = (F.col("aa0") >= 0) & (F.col("aa0") < F.length("seq"))
-    hit = hit.withColumns({"plus": F.coalesce(plus, F.lit(False)), "r": F.col("r").cast("int"), "new": F.lower("Tumor_Seq_Allele2")})
+    step = min(width, _PIECE)
+    inside = F.col("p0").between(F.col("lo"), F.col("hi") - 1) & ~F.array_contains("excluded", F.col("p0"))
+    first = (F.size("earlier") == 0) | ~F.exists("earlier", lambda x: (F.col("p0") >= x["s"]) & (F.col("p0") < x["e"]))
+    placed = muts.withColumn("_bin", F.floor(F.col("p0") / step))
+    hit = placed.join(_exon_pieces(genes, genome, proteins, chunk, step), ["_bin", "chrom"]).filter(inside & first)
+
+    at = F.col("c0") + F.when(F.col("plus"), F.col("p0")).otherwise(-F.col("p0"))  # number of the coding base
+    hit = hit.withColumn("at", at).withColumn("aa0", F.floor(F.col("at") / 3)).withColumn("r", (F.col("at") - 3 * F.col("aa0")).cast("int"))
+    hit = hit.withColumn("r", F.when(F.col("plus"), F.col("r")).otherwise(2 - F.col("r"))).withColumn("b0", F.col("p0") - F.col("r"))
+    whole = (F.col("b0") >= F.col("from")) & (F.col("b0") + 2 < F.col("upto"))
+    codon = F.substring(F.col("bases"), (F.col("b0") - F.col("from") + 1).cast("int"), F.lit(3))
+    letter = F.when(F.col("aa0") >= F.col("a0"), F.substring(F.col("letters"), (F.col("aa0") - F.col("a0") + 1).cast("int"), F.lit(1)))
+    hit = hit.select(
+        "Tumor_Sample_Barcode", "ttype", "chrom", "p0", "Reference_Allele", "Tumor_Seq_Allele2", "uniprot", "plus", "aa0", "r", whole.alias("whole"),
+        F.when(whole, codon).alias("codon"), letter.alias("letter"), "copy", F.col("letters").isNotNull().alias("known"),
+    )
+    hit = counted(tally, hit, "in exons", F.col("copy") == 0)
+    hit = counted(tally, hit.filter("whole"), "whole codons", F.col("copy") == 0)
+    hit = counted(tally, hit.filter(F.col("known") & ~F.contains("codon", F.lit(_ABSENT))), "known proteins")
     found = (
-        hit.filter(inside)
+        hit.withColumn("new", F.lower("Tumor_Seq_Allele2"))
         .join(F.broadcast(_changed(hit.sparkSession)), ["plus", "codon", "r", "new"])
-        .filter(F.col("aa_ref") == F.substring(F.col("seq"), F.col("aa0") + 1, F.lit(1)))
+        .filter("aa_ref = letter")
         .select(
             F.col("Tumor_Sample_Barcode").alias("sample"), "ttype", "chrom", (F.col("p0") + 1).alias("pos"),
-            "Reference_Allele", "Tumor_Seq_Allele2", "uniprot", "aa_ref", (F.col("aa0") + 1).alias("site"), "aa_alt",
+            "Reference_Allele", "Tumor_Seq_Allele2", "uniprot", "aa_ref", (F.col("aa0") + 1).cast("int").alias("site"), "aa_alt",
         )
     )
     return counted(tally, found, "same amino acid")
 
 
+_PIECE = 256  # bases of an exon or of the genome in a row
+_ABSENT = "?"  # a base whose chunk the genome does not have
+
+
+def _exon_pieces(genes: DataFrame, genome: DataFrame, proteins: DataFrame, chunk: int, step: int) -> DataFrame:
+    """``chrom, _bin, uniprot, plus, c0, lo, hi, from, upto, bases, a0, letters, copy, excluded, earlier``: exons in bins of ``step`` positions.
+
+    A mutation meets all that it needs in one row: ``bases`` are those from ``from`` to ``upto``, two more than the
+    piece on both sides, beyond the exon's ends from the exon next to it if there is one; ``letters`` are
+    the amino acids from ``a0`` on, null without a protein; of several proteins of a name each has its row and ``copy``. The coding base at ``p0`` has the number ``c0 + p0``, or
+    ``c0 - p0`` on the other strand. ``earlier`` lists exons before that overlap this one.
+    """
+    cut = genes.select("chrom", "uniprot", "strand", "exons", "blocks", "excluded", F.posexplode("exons").alias("k", "exon"))
+    s, e, k = F.col("exon.s"), F.col("exon.e"), F.col("k")
+    begin, before, after = F.get("blocks", k)["a0"], F.get("exons", k - 1)["e"], F.get("exons", k + 1)["s"]
+    plus, code = F.col("strand") == "+", 3 * begin["aa"] + begin["phase"]
+    overlapping = F.filter(F.slice("exons", F.lit(1), k), lambda x: (x["s"] < e) & (x["e"] > s))
+    cut = cut.filter(e > s).select(
+        "chrom", "uniprot", F.coalesce(plus, F.lit(False)).alias("plus"), s.alias("s"), e.alias("e"), before.alias("before"), after.alias("after"),
+        F.when(plus, code - s).otherwise(code + e - 1).alias("c0"), "excluded", overlapping.alias("earlier"), F.explode(F.sequence(F.floor(s / step), F.floor((e - 1) / step))).alias("_bin"),
+    )
+    lo, hi = F.greatest("s", F.col("_bin") * step), F.least("e", (F.col("_bin") + 1) * step)
+    cut = cut.withColumns({"lo": lo, "hi": hi, "excluded": F.filter("excluded", lambda p: (p >= lo) & (p < hi))})
+    start = F.when(F.col("before").isNull(), F.greatest("s", F.col("lo") - 2)).otherwise(F.col("lo") - 2)
+    end = F.when(F.col("after").isNull(), F.least("e", F.col("hi") + 2)).otherwise(F.col("hi") + 2)
+    cut = cut.withColumns({"from": start, "upto": end, "piece": F.monotonically_increasing_id()})
+
+    run = lambda b, x: F.struct(b.alias("b"), x.alias("x"))
+    left = run(F.col("before") - F.col("s") + F.col("from"), F.col("before"))
+    right = run(F.col("after"), F.col("after") + F.col("upto") - F.col("e"))
+    runs = F.filter(F.array(left, run(F.greatest("from", "s"), F.least("upto", "e")), right), lambda x: x["b"] < x["x"])
+    runs = cut.select(F.struct(*cut.columns).alias("piece"), F.posexplode(runs).alias("n", "run")).select("piece.chrom", "piece", "n", F.col("run.b").alias("b"), F.col("run.x").alias("x"))
+    text = _bases_of_runs(runs, genome, chunk).groupBy("piece.piece").agg(F.first("piece").alias("p"), F.array_sort(F.collect_list(F.struct("n", "b", "bases"))).alias("t"))
+    found = text.select("p.*", F.array_join(F.transform("t", lambda x: x["bases"]), "").alias("bases")).drop("piece", "before", "after")
+
+    known = proteins.groupBy("uniprot").agg(F.collect_list(F.coalesce("seq", F.lit(""))).alias("seqs"))
+    ends = [F.col("c0") + F.when(F.col("plus"), p).otherwise(-p) for p in (F.col("lo"), F.col("hi") - 1)]
+    found = found.join(known, "uniprot", "left").withColumn("a0", F.greatest(F.floor(F.least(*ends) / 3), F.lit(0)))
+    count = (F.floor(F.greatest(*ends) / 3) - F.col("a0") + 1).cast("int")
+    found = found.select("*", F.posexplode_outer("seqs").alias("copy", "_seq")).withColumn("copy", F.coalesce("copy", F.lit(0)))
+    letters = F.substring(F.col("_seq"), (F.col("a0") + 1).cast("int"), count)
+    return found.withColumn("letters", F.when(F.col("_seq").isNotNull(), F.coalesce(letters, F.lit("")))).drop("seqs", "_seq", "s", "e")
+
+
+def _bases_of_runs(runs: DataFrame, genome: DataFrame, chunk: int) -> DataFrame:
+    """``runs`` of positions ``b`` to ``x`` on ``chrom``, cut where the genome's pieces end, with their lower-case ``bases``.
+
+    Bases after the end of a chromosome are blanks.
+    """
+    step = min(chunk, _PIECE)
+    number = F.explode(F.sequence(F.lit(0), F.lit(-(-chunk // step) - 1))).alias("_piece")
+    cut = genome.select("chrom", F.col("chunk_id").cast("long").alias("_chunk"), "seq", number)
+    cut = cut.select("chrom", "_chunk", "_piece", F.substring(F.col("seq"), F.col("_piece") * step + 1, F.lit(step)).alias("_seq"))
+    b, x = F.col("b"), F.col("x")
+
+    def split(df: DataFrame, name: str, zero: Column, size: int) -> DataFrame:
+        df = df.withColumn(name, F.explode(F.sequence(F.floor((b - zero) / size), F.floor((x - 1 - zero) / size))))
+        low = zero + F.col(name) * size
+        return df.withColumns({"b": F.greatest(b, low), "x": F.least(x, low + size)})
+
+    runs = split(split(runs, "_chunk", F.lit(0).cast("long"), chunk), "_piece", F.col("_chunk") * chunk, step).withColumn("_piece", F.col("_piece").cast("int"))
+    n = (x - b).cast("int")
+    own = F.rpad(F.lower(F.substring(F.col("_seq"), (b - F.col("_chunk") * chunk - F.col("_piece") * step + 1).cast("int"), n)), n, F.lit(" "))
+    found = runs.join(cut, ["chrom", "_chunk", "_piece"], "left")
+    return found.withColumn("bases", F.coalesce(own, F.repeat(F.lit(_ABSENT), n))).drop("_seq", "_chunk", "_piece")
+
+
 def _changed(spark: SparkSession) -> DataFrame:
     """``plus, codon, r, new, aa_ref, aa_alt``: amino acids of a genomic codon before and after base ``r`` is ``new``; 1,536 rows."""
     rows, turn = [], str.maketrans("acgt", "tgca")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -12,10 +12,10 @@ class Tally:
     def __init__(self) -> None:
         self._seen: dict[str, Observation] = {}
 
-    def at(self, df: DataFrame, step: str) -> DataFrame:
-        """``df``, counted as ``step`` whenever it is computed."""
+    def at(self, df: DataFrame, step: str, only: Column | None = None) -> DataFrame:
+        """``df``, its rows (those where ``only`` holds, if given) counted as ``step`` whenever it is computed."""
         self._seen[step] = Observation(step)
-        return df.observe(self._seen[step], F.count(F.lit(1)).alias("n"))
+        return df.observe(self._seen[step], (F.count(F.lit(1)) if only is None else F.count_if(only)).alias("n"))
 
     def counts(self) -> dict[str, int]:
         """The rows of each step; an action must have run through all of them."""
@@ -29,5 +29,5 @@ class Tally:
         return spark.createDataFrame(rows, "step string, n long, dropped long")
 
 
-def counted(tally: Tally | None, df: DataFrame, step: str) -> DataFrame:
-    return df if tally is None else tally.at(df, step)
+def counted(tally: Tally | None, df: DataFrame, step: str, only: Column | None = None) -> DataFrame:
+    return df if tally is None else tally.at(df, step, only)

@@ -63,7 +63,7 @@ def _protein(genes: DataFrame) -> DataFrame:
 
 
 def _protein_file(spark: SparkSession, d: str) -> str:
-    rows = _protein(_genes(spark, d))
+    rows = _protein(_genes(spark, d).repartition(32, "g"))  # the table of genes is small, their sequences take time
     half = F.floor(F.length("seq") / 2).cast("int")
     text = F.concat(F.lit(">sp|"), "uniprot", F.lit("|name\n"), F.substring("seq", F.lit(1), half), F.lit("\n"), F.substring("seq", half + 1, F.length("seq")))
     path = files.new_path(spark, "proteins")
@@ -76,11 +76,11 @@ def _genome_file(spark: SparkSession, d: str) -> str:
     size = T.table(spark, d, "part").agg(((F.max("p_partkey") + 2) / 10).cast("long").alias("rows"))
     rows = spark.range(1, _CHROMS + 1).select(F.col("id").alias("c")).crossJoin(F.broadcast(size))  # one row
     rows = rows.select("c", F.explode(F.sequence(F.lit(-1).cast("long"), F.col("rows"))).alias("r"))
-    period = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(219)), lambda p: _base(p, F.col("c"))), "")  # bases repeat after 220
-    bases = F.substring(F.repeat(period, 6), (F.col("r") * 1000 % 220 + 1).cast("int"), F.lit(1000))
+    period = {c: "".join("ACGT"[(p * 7 + p // 5 + p // 11 + c * 3) % 4] for p in range(220)) * 6 for c in range(1, _CHROMS + 1)}  # bases repeat after 220
+    bases = F.substring(F.element_at(C.literal_map(period), F.col("c").cast("int")), (F.col("r") * 1000 % 220 + 1).cast("int"), F.lit(1000))
     line = F.when(F.col("r") < 0, F.concat(F.lit(">chr"), F.col("c").cast("string"), F.lit(" made"))).otherwise(bases)
     path = files.new_path(spark, "genome")
-    ordered = rows.repartition("c").sortWithinPartitions("c", "r").select("c", line.alias("value"))
+    ordered = rows.repartition(8 * _CHROMS, "c").sortWithinPartitions("c", "r").select("c", line.alias("value"))
     ordered.write.partitionBy("c").text(path)
     return path
 
