@@ -41,14 +41,14 @@ def context(muts: DataFrame, genome: DataFrame, at: Column, length: int, name: s
     start, and filters on what is made of the bases repeat that for each mention.
     """
     step = max(64, chunk // 64)
-    last = -(-chunk // step) - 1  # beyond the end of the chromosome pieces are empty
-    number = F.explode(F.sequence(F.lit(0), F.lit(last))).alias("_piece")
+    each = -(-chunk // step)  # pieces of a chunk; beyond the end of the chromosome they are empty
+    number = F.explode(F.sequence(F.lit(0), F.lit(each - 1))).alias("_n")
     cut = genome.select("chrom", F.col("chunk_id").cast("long").alias("_chunk"), "seq", number)
-    cut = cut.select("chrom", "_chunk", "_piece", F.substring(F.col("seq"), F.col("_piece") * step + 1, F.lit(step + 2)).alias("_seq"))
-    inside = at - F.col("_chunk") * chunk
-    muts = muts.withColumn("_chunk", F.floor(at / chunk)).withColumn("_piece", F.floor(inside / step).cast("int"))
-    bases = F.lower(F.substring(F.col("_seq"), (inside - F.col("_piece") * step + 1).cast("int"), F.lit(length)))
-    return muts.join(cut, ["chrom", "_chunk", "_piece"]).withColumn(name, bases).drop("_seq", "_chunk", "_piece")
+    cut = cut.select("chrom", (F.col("_chunk") * each + F.col("_n")).alias("_piece"), F.substring(F.col("seq"), F.col("_n") * step + 1, F.lit(step + 2)).alias("_seq"))
+    inside = F.pmod(at, F.lit(chunk))
+    muts = muts.withColumn("_piece", F.floor(at / chunk) * each + F.floor(inside / step))  # one number, by which rows are sorted first
+    bases = F.lower(F.substring(F.col("_seq"), (inside % step + 1).cast("int"), F.lit(length)))
+    return muts.join(cut, ["_piece", "chrom"]).withColumn(name, bases).drop("_seq", "_piece")
 
 
 def to_residues(

@@ -79,7 +79,10 @@ def with_channel(rows: DataFrame) -> DataFrame:
 
 
 def spectrum_pivot(rows: DataFrame) -> DataFrame:
-    """The 96 counts of each patient in channel order, zero where absent."""
-    names = K.channels()
-    counts = [F.count_if(F.col("channel") == i).alias(name) for i, name in enumerate(names)]
-    return rows.groupBy("patient", "ttype").agg(*counts)
+    """The 96 counts of each patient in channel order, zero where absent.
+
+    Mutations of a channel are counted first, so the 96 columns are made from a few rows of each patient.
+    """
+    found = rows.groupBy("patient", "ttype", "channel").agg(F.count("*").alias("n"))
+    counts = [F.coalesce(F.sum(F.when(F.col("channel") == i, F.col("n"))), F.lit(0).cast("long")).alias(name) for i, name in enumerate(K.channels())]
+    return found.groupBy("patient", "ttype").agg(*counts)
