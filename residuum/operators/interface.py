@@ -340,7 +340,7 @@ def merge_nested(rows: DataFrame, share: float = 0.8) -> DataFrame:
     kept row has its own p and lists the ``pdbs`` and ``ligands`` of all that joined. Rows
     without residues go.
 
-    Equal interfaces are one. A small one shares at least ``share`` of its residues with its
+    Equal interfaces are one row with their names, so the input is read and moved once. A small one shares at least ``share`` of its residues with its
     home, so at least one of its rarest few; only those are looked up in the lists of a protein's
     interfaces by residue. Which are homes is settled in rounds over the links found.
     """
@@ -348,7 +348,12 @@ def merge_nested(rows: DataFrame, share: float = 0.8) -> DataFrame:
     own = F.array_sort(F.array_distinct("residues"))
     sized = rows.filter(F.size("residues") > 0).withColumn("_set", own)
     of = ["partner_kind", "uniprot"]
-    sets = stage.write(sized.groupBy(*of, "_set").agg(F.min("key").alias("first")).withColumn("n", F.size("_set")))
+    listed = lambda c: F.array_sort(F.array_distinct(c))
+    alike = sized.filter("partner_kind IS NOT NULL AND uniprot IS NOT NULL").groupBy(*of, "_set").agg(
+        F.min_by(F.struct(*rows.columns), "key").alias("row"), F.collect_set("pdb").alias("pdbs"), F.collect_set("ligand").alias("ligands")
+    )
+    whole = stage.write(alike.withColumns({"first": F.col("row.key"), "n": F.size("_set")}).filter("first IS NOT NULL"))
+    sets = whole.select(*of, "_set", "first", "n")
     name = lambda key: F.struct(*of, F.col(key).alias("first"))
 
     flat = sets.select(*of, "first", "n", F.explode("_set").alias("residue"))
@@ -369,11 +374,10 @@ def merge_nested(rows: DataFrame, share: float = 0.8) -> DataFrame:
     to_kept = links.join(gone.withColumnRenamed("item", "earlier"), "earlier", "left_anti")
     home = to_kept.groupBy("item").agg(F.min_by("earlier", F.struct(-F.col("n"), F.col("earlier.first"))).alias("home"))
     home = home.select("item.*", F.col("home.first").alias("home"))
-    members = sized.join(sets.drop("n"), [*of, "_set"]).join(home, [*of, "first"], "left").withColumn("home", F.coalesce("home", "first"))
-    listed = lambda c: F.array_sort(F.collect_set(c))
-    joined = members.groupBy(*of, "home").agg(listed("pdb").alias("pdbs"), listed("ligand").alias("ligands"))
-    kept = members.filter("key = first AND home = first").dropDuplicates([*of, "key"]).drop("_set", "first")
-    return kept.join(joined, [*of, "home"]).select(*rows.columns, "pdbs", "ligands")
+    members = whole.join(home, [*of, "first"], "left").withColumn("home", F.coalesce("home", "first"))
+    own = F.any_value(F.when(F.col("first") == F.col("home"), F.col("row")), F.lit(True))
+    merged = members.groupBy(*of, "home").agg(own.alias("row"), *(listed(F.flatten(F.collect_list(c))).alias(c) for c in ("pdbs", "ligands")))
+    return merged.select("row.*", "pdbs", "ligands")
 
 
 def ligand_names(rows: DataFrame, names: DataFrame) -> DataFrame:
