@@ -7,8 +7,9 @@ import os
 import tempfile
 import uuid
 from collections import ChainMap
-from collections.abc import Callable, Iterator, Mapping
+from collections.abc import Callable, Iterable, Iterator, Mapping
 from contextlib import contextmanager
+from itertools import chain, islice
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -216,29 +217,38 @@ class BoundedCache:
         self.old: dict = {}
         self.held = 0
 
-    def clear(self) -> None:
-        """Forget all words, at the end of a task, so that the worker's next task has the memory."""
-        self.young, self.old, self.held = {}, {}, 0
+    def clear(self, keep: int = 0) -> None:
+        """Forget words at the end of a task, so that the worker's next task has the memory; all but ``keep`` of those met first, which are the common ones."""
+        self.young = dict(islice(chain(self.young.items(), self.old.items()), keep))
+        self.old, self.held = {}, len(self.young) + sum(map(len, self.young)) // self._PLACE
 
     def look_up(self, wanted: set) -> Mapping:
         """A mapping that holds every wanted word."""
         if self.held + len(wanted) > self.limit:
             self.old, self.young, self.held = self.young, {}, 0
         young, old = self.young, self.old
-        missing, longer = [], []
-        for word in [w for w in wanted if w not in young]:
-            value = old.get(word)
-            if value is not None:
-                young[word] = value
-                self.held += 1 + len(word) // self._PLACE
-            elif len(word) > self._LONGEST:
-                longer.append(word)
-            else:
-                missing.append(word)
+        absent = wanted.difference(young)
+        again = [w for w in absent if w in old]
+        young.update(zip(again, map(old.__getitem__, again)))
+        absent.difference_update(again)
+        longer = [w for w in absent if len(w) > self._LONGEST]
+        absent.difference_update(longer)
+        missing = list(absent)
         young.update(zip(missing, self.make(missing)))
-        self.held += len(missing) + sum(map(len, missing)) // self._PLACE
+        for words in (again, missing):
+            self.held += len(words) + sum(map(len, words)) // self._PLACE
         return ChainMap(dict(zip(longer, self.make(longer))), young) if longer else young
 
+    def held_of(self, words: Iterable) -> dict:
+        """Those of ``words`` that are in either generation."""
+        young, old = self.young, self.old
+        return {w: v for w in words if (v := young.get(w) or old.get(w)) is not None}
+
+    def keep(self, values: dict) -> None:
+        """Words that ``make`` met on its way."""
+        self.young.update((w, v) for w, v in values.items() if len(w) <= self._LONGEST)
+        self.held += len(values) + sum(map(len, values)) // self._PLACE
+
 
 def slices(texts: list[str | None], limit: int = 4_000_000) -> Iterator[tuple[int, int]]:
     """Ranges of ``texts`` of about ``limit`` characters, one text at least."""
