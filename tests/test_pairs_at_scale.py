@@ -77,3 +77,51 @@ def test_overlap_totals_count_equal_ranges(spark):
     frame = spark.createDataFrame(ranges, "brand string, start long, end long").withColumn("key", F.monotonically_increasing_id())
     got = {r.brand: (r.n_pairs, r.shared, r.jaccard, r.of_shorter) for r in summarize.overlap_totals(frame, "brand").collect()}
     assert got == {g: pytest.approx(e) for g, e in expected.items()}
+
+
+def test_best_pair_rows_read_identities_little(spark, monkeypatch):
+    """Identities are moved once for both sides, and only those of the chosen rows are read again; odd rows stay as they were."""
+    plans = []
+
+    class Recorded(interface.Stage):
+        def write(self, df):
+            df.collect()
+            plans.append(df._jdf.queryExecution().executedPlan().toString())
+            return super().write(df)
+
+    def read(found):
+        folders = {f.rpartition("/")[0] for f in found.inputFiles()}
+        return max(spark.read.parquet(f).count() for f in folders)
+
+    random.seed(11)
+    one = lambda n: (f"p{n % 7}", f"c{n}", f"d{n}", f"u{n % 3}", f"u{n // 3 % 3}", 10.0, float(n % 4), 10.0, float(n % 3), random.choice([0.1, 0.2, 0.3, None]))
+    data = [one(n) for n in range(300)]
+    data += [(None, "c1", "d1", "u0", "u1", 10.0, 3.0, 10.0, 2.0, 0.1), ("p1", None, "d1", "u0", "u1", 10.0, 3.0, 10.0, 2.0, 0.1), ("p1", "c1", "d1", None, "u1", 10.0, 3.0, 10.0, 2.0, 0.1)]
+    rows = spark.createDataFrame(data, "pdb string, c1 string, c2 string, u1 string, u2 string, mapped1 double, iface1 double, mapped2 double, iface2 double, p double")
+    ids = [(r[3 + k], f"{r[0]}-{r[1 + k]}", random.choice([50.0, 90.0])) for r in data[:300] for k in (0, 1)]
+    ids += [*ids[:200], (None, "p1-c1", 90.0), ("u0", None, 90.0), ("u0", "c1", 40.0), ("u0", "p1", 30.0), *((f"x{n}", "none", 1.0) for n in range(100))]
+    known = spark.createDataFrame(ids, "u1 string, pdb_chain string, identity double")
+    wanted = ["ua", "ub", "pdb", "c1", "c2", "p", "id1", "id2", "score"]
+
+    part = lambda s, t: f"id{s} * (iface{s} / ti{t} + mapped{s} / tm{t})"
+    tops = ", ".join(f"max({c}{k}) OVER w AS t{c[0]}{k}" for c in ("mapped", "iface") for k in "12")
+    expected = spark.sql(
+        f"""WITH r AS (SELECT *, least(u1, u2) AS ua, greatest(u1, u2) AS ub FROM {{rows}} WHERE u1 <> u2), t AS (SELECT *, {tops} FROM r WINDOW w AS (PARTITION BY ua, ub)),
+        i AS (SELECT t.*, a.identity AS id1, b.identity AS id2 FROM t JOIN {{known}} a ON a.u1 = t.u1 AND a.pdb_chain = concat_ws('-', pdb, c1) JOIN {{known}} b ON b.u1 = t.u2 AND b.pdb_chain = concat_ws('-', pdb, c2)),
+        s AS (SELECT *, CASE WHEN u1 = ua THEN {part(1, 1)} + {part(2, 2)} ELSE {part(2, 1)} + {part(1, 2)} END AS score FROM i), h AS (SELECT *, max(score) OVER (PARTITION BY ua, ub) AS top FROM s),
+        n AS (SELECT *, row_number() OVER (PARTITION BY ua, ub ORDER BY p, score DESC, pdb, c1, c2) AS n FROM h WHERE score >= 0.8 * top) SELECT {", ".join(wanted)} FROM n WHERE n = 1""",
+        rows=rows, known=known,
+    )
+    expected = sorted(expected.collect())
+    few = interface.best_pair_rows(rows, known)
+    assert sorted(few.select(wanted).collect()) == expected and len(expected) == 3 and read(few) < 300 < len(ids)
+    monkeypatch.setattr(interface, "_FEW", 0)
+    monkeypatch.setattr(interface, "Stage", Recorded)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        many = interface.best_pair_rows(rows, known)
+        assert sorted(many.select(wanted).collect()) == expected and read(many) < 300
+        assert any("ReusedExchange" in p or "ReusedQueryStage" in p for p in plans if "score" in p or "_best" in p)
+        assert interface.best_pair_rows(rows.limit(0), known).count() == interface.best_pair_rows(rows, known.limit(0)).count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
