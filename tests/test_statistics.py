@@ -200,3 +200,27 @@ def test_maps_that_share_a_line_are_judged_alone(spark):
     assert sorted(r.u1 for r in interface.largest_map(maps).collect()) == ["Q", "R"]
     assert [r.u1 for r in interface.best_map(maps).collect()] == ["R"]
     assert {r.uniprot for r in interface.chain_residues(maps).collect()} == {"Q", "R"}
+
+
+def test_centres_meet_atoms_once(spark):
+    """Residues and atoms are joined once; rows without a structure stay, broken or not, and repeated rows stay repeated."""
+    residues = [("s1", "a-A", 1, 11, 1), ("s1", "a-A", 2, 12, 2), ("s2", "a-A", 1, 11, 1), ("s2", "a-A", 3, 13, 3), ("s3", "b-A", 1, 11, 1), ("s3", "b-A", 1, 11, 1), ("s4", "b-A", 1, 11, None), ("s5", None, 1, 11, 1), ("s6", "c", 1, 11, 1), ("s7", "b-B", 1, 11, 1)]
+    residues += [(None, "a-A", 1, 11, 1), (None, "a-A", 9, 19, 9), (None, "a-A", 3, 13, 3), ("", "b-A", 2, 12, 2)]
+    atoms = [("a", "A", 1, "GLY", 1.0), ("a", "A", 1, "???", 3.0), ("a", "A", 2, "ALA", 5.0), ("a", "A", 3, "GLY", 7.0), ("a", "A", 3, "???", 9.0), ("b", "A", 1, "GLY", None), ("b", "A", 2, "MSE", 2.0), ("b", "A", 2, None, 4.0), ("b", "B", 1, None, 1.0), (None, "A", 1, "GLY", 1.0), ("b", "A", None, "GLY", 1.0)]
+    frame = spark.createDataFrame([(*r, 0.0, 0.0) for r in atoms], "pdb string, chain string, resnum int, resname string, x double, y double, z double")
+    found = structure.residue_centroids(spark.createDataFrame(residues, "structure string, pdb_chain string, i int, u int, p int"), frame)
+    assert found.columns == ["structure", "i", "u", "p", "x", "y", "z", "resname"]
+    centres = {}
+    for pdb, chain, p, name, x in atoms:
+        centres.setdefault((f"{pdb}-{chain}", p), []).append((x, name))
+
+    def centre(r):
+        own = centres.get((r[1], r[4]), []) if r[4] is not None else []
+        xs, names = [x for x, _ in own if x is not None], [n for _, n in own if n is not None]
+        return sum(xs) / len(xs) if xs else None, min(names) if names else None
+
+    broken = {r[0] for r in residues if centre(r)[1] not in ("GLY", "ALA", "MSE")} - {None}
+    expected = [(r[0], r[2], *centre(r)) for r in residues if r[0] not in broken]
+    got = [tuple(r) for r in found.select("structure", "i", "x", "resname").collect()]
+    assert sorted(got, key=str) == sorted(expected, key=str) and ("s3", 1, None, "GLY") in got and (None, 9, None, None) in got
+    assert found._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1  # only that with the broken structures
