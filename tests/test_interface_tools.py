@@ -111,3 +111,23 @@ def test_atoms_are_listed_in_few_cubes(spark):
     assert {tuple(r) for r in found.collect()} == {("p", "P", a[1], b[1], s, (a, b)[s][2]) for a, b in met for s in (0, 1)}
     listed = [x for x in found._jdf.queryExecution().optimizedPlan().toString().splitlines() if "inline" in x]
     assert len(listed) == 1  # the two sides of a contact; places are no list of 27
+
+
+def test_places_of_atoms_are_shuffled_once(spark):
+    """Both sides of the join with cubes are one exchange; odd rows and rows at the ends of cubes give the pairs of loops."""
+    rng = random.Random(9)
+    edge = lambda: rng.choice((0.0, 18.0, -18.0, 36.0, -0.0, 14.0)) + rng.choice((0.0, 4.0, -4.0, 3.9999999, 1e-9, -1e-9, 0.5))
+    rows = [(rng.choice("pq"), rng.choice(("A", "B", "C")), n % 90, edge(), edge(), edge()) for n in range(240)]
+    rows += rows[:40]  # repeated
+    rows += [("p", "A", 200, x, 0.0, 0.0) for x in (float("nan"), float("inf"), float("-inf"), 1e300, -1e18, None)]
+    rows += [("p", "B", 201, x, 0.0, 0.0) for x in (float("nan"), float("inf"), float("-inf"), 1e300, -1e18, None)]
+    rows += [(None, "A", 300, 0.0, 0.0, 0.0), (None, "B", 301, 0.0, 0.0, 0.0), ("p", None, 302, 0.0, 0.0, 0.0), ("q", "A", None, 0.0, 0.0, 0.0), ("q", "", 303, 0.0, 0.0, 0.0), ("", "A", 304, 5.0, 5.0, 5.0), ("", "B", 305, 5.0, 5.0, 5.0)]
+    far = lambda a, b: sum((p - q) ** 2 for p, q in zip(a[3:], b[3:]))
+    able = [r for r in rows if None not in r[:2] and None not in r[3:]]
+    met = [(a, b) for a in able for b in able if a[0] == b[0] and a[1] < b[1] and abs(a[3] - b[3]) <= 4 and far(a, b) <= 16]
+    atoms = spark.createDataFrame(rows, "pdb string, chain string, resnum int, x double, y double, z double")
+    found = interface.atom_contacts(atoms)
+    got = [tuple(r) for r in found.collect()]
+    assert len(got) == len(set(got)) and set(got) == {(a[0], "P", a[1], b[1], s, (a, b)[s][2]) for a, b in met for s in (0, 1)}
+    assert {200, 201, None, 303, 304} <= {r[5] for r in got} and not {300, 301, 302} & {r[5] for r in got}
+    assert "ReusedExchange" in found._jdf.queryExecution().executedPlan().toString()
